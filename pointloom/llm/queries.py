@@ -5,12 +5,65 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointloom.llm import langid, linededup, mixing, simhash, spm
+from pointloom.llm import bm25, langid, linededup, mixing, quality, repetition, simhash, spm, toxicity, urlfilter
 from pointloom.llm.common import crc_rest, read
 
 TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
 
 
+def op1_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return bm25.top_k(docs, docs.where("doc_id % 50 = 0"))
+
+
+def _first_day():
+    return F.lit("2024-01-01").cast("date")
+
+
+def _hashed(column):
+    return F.conv(F.substring(F.md5(column), 1, 8), 16, 10).cast("long")
+
+
+def url_captures(pages: DataFrame) -> DataFrame:
+    """The pages as captures: the table has no fetch day, so page_id gives one in 2024 or 2025."""
+    return pages.select("page_id", "url", F.date_add(_first_day(), ((F.col("page_id") * 7919) % 730).cast("int")).alias("fetched_on"))
+
+
+def url_entries(pages: DataFrame) -> DataFrame:
+    """A dated list that grows with the pages: hosts, their domains and first path steps, added, removed and added again by hash."""
+    h, first = urlfilter.host(F.col("url")), F.split(urlfilter.path(F.col("url")), "/")
+    named = pages.select(h.alias("h"), F.get(first, F.lit(1)).alias("step")).where("h <> ''").distinct()
+    upper = F.array_join(F.slice(F.split("h", r"\."), 2, 100), ".")
+    value = [("host", F.col("h"), 3), ("domain", upper, 4), ("path", F.concat("h", F.lit("/"), "step"), 5)]
+    rows = [named.select(F.lit(kind).alias("kind"), v.alias("value")).where("value <> ''" + (" and step <> ''" if kind == "path" else "")).distinct().where(_hashed(F.col("value")) % every == 0) for kind, v, every in value]
+    listed = rows[0].unionByName(rows[1]).unionByName(rows[2]).withColumn("n", _hashed(F.concat("kind", F.lit(":"), "value")))
+    category = F.element_at(F.array(F.lit("adult"), F.lit("malware"), F.lit("spam")), (F.col("n") % 3 + 1).cast("int"))
+    day = (F.col("n") % 400).cast("int")
+    events = F.array(
+        F.struct(F.lit("add").alias("action"), day.alias("after")),
+        F.struct(F.lit("remove").alias("action"), (day + 90).alias("after")),
+        F.struct(F.when(F.col("n") % 2 == 0, "add").otherwise("remove").alias("action"), (day + 200).alias("after")),
+    )
+    return listed.select("kind", "value", category.alias("category"), F.inline(events)).select("kind", "value", "category", "action", F.date_add(_first_day(), F.col("after")).alias("effective_on"))
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages").select("page_id", "url")
+    found = urlfilter.evaluate(url_captures(pages), url_entries(pages))
+    return found.select("page_id", "url", F.col("fetched_on").cast("string").alias("fetched_on"), "blocked", "n_matches", "categories")
+
+
+def _classified(spark: SparkSession, sf_dir: str, operator, modulus: int, held: int) -> DataFrame:
+    docs, labels = read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "labels")
+    model = operator.train(docs.where(crc_rest(F.col("doc_id"), modulus) != held), labels)
+    found = operator.score(docs, model)
+    return found.select("doc_id", (crc_rest(F.col("doc_id"), modulus) == held).alias("held_out"), "score", "predicted")
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _classified(spark, sf_dir, toxicity, 3, 1)
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash.simhash_groups(read(spark, sf_dir, "documents"))
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -21,6 +74,10 @@ def op5_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _classified(spark, sf_dir, quality, 4, 2)
+
+
 def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").withColumn("held_out", crc_rest(F.col("doc_id"), 3) == 1)
     model = langid.train(docs.where(~F.col("held_out")).select("doc_id", "text", "lang"))
@@ -33,6 +90,10 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_lines", "n_removed", F.md5("text").alias("text_md5"))
 
 
+def op9_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetition.repetition(read(spark, sf_dir, "documents"))
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = spm.load(spark, TOKENIZER)
     return spm.digests(spm.encode(read(spark, sf_dir, "documents"), model), model)
@@ -40,17 +101,52 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op1_bm25": op1_bm25,
+        "op2_url_filter": op2_url_filter,
+        "op3_toxicity": op3_toxicity,
         "op4_simhash": op4_simhash,
         "op5_mix": op5_mix,
+        "op6_quality": op6_quality,
         "op7_langid": op7_langid,
         "op8_line_dedup": op8_line_dedup,
+        "op9_repetition": op9_repetition,
         "op10_sentencepiece": op10_sentencepiece,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_mix": OP5_SQL, "op8_line_dedup": OP8_SQL}
-
+    return {"op2_url_filter": OP2_SQL, "op5_mix": OP5_SQL, "op8_line_dedup": OP8_SQL}
+
+
+OP2_SQL = r"""
+WITH captures AS (
+  SELECT page_id, url, CAST(DATE '2024-01-01' + CAST((page_id * 7919) % 730 AS INTEGER) AS DATE) AS day,
+         regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:@]*)', 1)), '\.$', '') AS h,
+         regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*([^?#]*)', 1) AS p
+  FROM pages
+), entries AS (
+  SELECT DISTINCT kind, value, ('0x' || substr(md5(kind || ':' || value), 1, 8))::BIGINT AS n FROM (
+    SELECT 'host' AS kind, h AS value, 3 AS every FROM captures
+    UNION ALL SELECT 'domain', regexp_replace(h, '^[^.]*\.?', ''), 4 FROM captures
+    UNION ALL SELECT 'path', h || '/' || string_split(p, '/')[2], 5 FROM captures WHERE coalesce(string_split(p, '/')[2], '') <> ''
+  ) WHERE value <> '' AND value NOT LIKE '/%' AND ('0x' || substr(md5(value), 1, 8))::BIGINT % every = 0
+), log AS (
+  SELECT kind, value, (['adult', 'malware', 'spam'])[n % 3 + 1] AS category, CAST(DATE '2024-01-01' + CAST(n % 400 + e.after AS INTEGER) AS DATE) AS day,
+         CASE e.k WHEN 1 THEN 'add' WHEN 2 THEN 'remove' ELSE CASE WHEN n % 2 = 0 THEN 'add' ELSE 'remove' END END AS action
+  FROM entries, (VALUES (1, 0), (2, 90), (3, 200)) e(k, after)
+), hits AS (
+  -- the last change up to the day of the fetch, of each entry that names the capture
+  SELECT c.url, c.day, l.kind, l.value, l.category, arg_max(l.action, (l.day, l.action)) AS state
+  FROM (SELECT DISTINCT url, day, h, p FROM captures WHERE h <> '') c JOIN log l
+    ON l.day <= c.day AND ((l.kind = 'host' AND l.value = c.h) OR (l.kind = 'domain' AND (l.value = c.h OR c.h LIKE '%.' || l.value))
+       OR (l.kind = 'path' AND (c.h || regexp_replace(c.p, '/+', '/', 'g') || '/') LIKE l.value || '/%'))
+  GROUP BY ALL
+), found AS (
+  SELECT url, day, count(*)::BIGINT AS n, string_agg(DISTINCT category, ',' ORDER BY category) AS categories FROM hits WHERE state = 'add' GROUP BY ALL
+)
+SELECT c.page_id, c.url, c.day::VARCHAR AS fetched_on, f.n IS NOT NULL AS blocked, coalesce(f.n, 0)::BIGINT AS n_matches, coalesce(f.categories, '') AS categories
+FROM captures c LEFT JOIN found f ON c.url = f.url AND c.day = f.day
+"""
 
 OP5_SQL = r"""
 WITH RECURSIVE sized AS (
