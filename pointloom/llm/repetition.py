@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pointloom.llm.common import slices
+
 MIN_WORDS = 5
 MAX_COVERED = 0.2
 #: Longest repeat that is let pass: so many words, or so large a share of the text if that is more.
@@ -156,7 +158,7 @@ def measured(texts: list[str | None]) -> list[tuple]:
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [f.split()[0] for f in FIELDS.split(", ")]
-    for b in batches:
+    for b in slices(batches):
         found = measured(b.column(1).to_pylist())
         columns = list(zip(*found, strict=True)) if found else [()] * 7
         kinds = [pa.int64()] * 5 + [pa.float64(), pa.int64()]

@@ -22,29 +22,50 @@ import hashlib
 import os
 import pickle
 import re
+from array import array
+from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
-from itertools import chain, pairwise
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pointloom.llm.common import stored
+from pointloom.llm.common import slices, stored
 
 SPACE = "▁"
 NONE = -(1 << 62)
 #: Texts of more characters are encoded by the parallel scan, in chunks of so many.
 GIANT = 1 << 16
 CHUNK = 1 << 14
-MEMO = 400_000
+MEMO = 100_000
+#: Characters of text whose words are looked up together; characters that the tables of the tree have.
+TOGETHER = 1_000_000
+COMMON = 160
 #: Parts of up to so many characters are remembered.
 SHORT = 64
 #: The library's penalty of an unknown character, below the smallest score.
 UNKNOWN_BELOW = 10
 
 
+class _Words(dict):
+    """Best paths of words behind a given mark; forgets all when full."""
+
+    def __init__(self, vocabulary: Vocabulary, mark: str):
+        super().__init__()
+        self.vocabulary, self.mark = vocabulary, mark
+
+    def __missing__(self, word: str) -> tuple[float, bytes]:
+        found = self.vocabulary._search(self.mark + word)
+        if len(word) < SHORT:
+            if len(self) > MEMO:
+                self.clear()
+            self[word] = found
+        return found
+
+
 class Vocabulary:
     """The pieces of a model file, their scores, and which neighbours no piece holds."""
 
@@ -56,6 +77,7 @@ class Vocabulary:
         self.pieces = [p.piece for p in proto.pieces]
         self.kinds = [p.type for p in proto.pieces]  # 1 normal, 2 unknown, 3 control, 6 byte
         self.normal = {p.piece: (i, int(p.score) if p.score == int(p.score) else p.score) for i, p in enumerate(proto.pieces) if p.type == 1}
+        self.numbers = {p: i for p, (i, _) in self.normal.items()}
         self.bytes_ = {int(p.piece[3:5], 16): i for i, p in enumerate(proto.pieces) if p.type == 6}
         self.unknown = min(s for _, s in self.normal.values()) - UNKNOWN_BELOW
         self.longest = max(map(len, self.normal))
@@ -68,12 +90,20 @@ class Vocabulary:
         known = "".join(map(re.escape, sorted({c for p in self.normal for c in p} - {SPACE})))
         self._part = re.compile(f"{SPACE}*[{known}]+|{SPACE}+|[^{known}{SPACE}]", re.DOTALL) if self.word_cuts else None
         self.scores = [int(p.score) if p.score == int(p.score) else p.score for p in proto.pieces]
-        self.memo: dict[str, tuple[float, list[int]]] = {}
-        #: Every beginning of a piece, with the score of those that are pieces themselves.
-        self.begins: dict[str, float | None] = {p[:k]: None for p in self.normal for k in range(1, len(p))}
-        self.begins |= {p: score for p, (_, score) in self.normal.items()}
+        self.memo: dict[str, tuple[float, bytes]] = {}
+        #: Whether a line end is a character that no piece holds, and so a part by itself.
+        self.next: np.ndarray | None = None
+        self.line_cuts = self.word_cuts and not any("\n" in p for p in self.normal)
+        self._words = (_Words(self, SPACE), _Words(self, ""))
+        #: Tree of the pieces: character -> (tree of what follows, score if a piece ends here).
+        self.tree: dict[str, tuple[dict, float | None]] = {}
+        for p, (_, score) in self.normal.items():
+            at = self.tree
+            for c in p[:-1]:
+                at = at.setdefault(c, ({}, None))[0]
+            at[p[-1]] = (at.get(p[-1], ({},))[0], score)
         code = lambda b: chr(b) if b < 128 else chr(0xDC00 + b)
-        self.shown = [p.piece if p.type == 1 else code(int(p.piece[3:5], 16)) if p.type == 6 else "" for p in proto.pieces]
+        self.shown = np.array([p.piece if p.type == 1 else code(int(p.piece[3:5], 16)) if p.type == 6 else "" for p in proto.pieces], object)
         self._escaped = re.compile("[\udc80-\udcff]")
 
     def marked(self, text: str) -> str:
@@ -82,76 +112,223 @@ class Vocabulary:
 
     def ends(self, text: str, at: int) -> list[tuple[int, float]]:
         """(end, score) of the pieces that begin at a place, or of one unknown character if none is that short."""
-        found = []
-        for end in range(at + 1, min(at + self.longest, len(text)) + 1):
-            s = self.begins.get(text[at:end], NONE)
-            if s == NONE:
+        found, tree = [], self.tree
+        for end in range(at, len(text)):
+            step = tree.get(text[end])
+            if step is None:
                 break
+            tree, s = step
             if s is not None:
-                found.append((end, s))
+                found.append((end + 1, s))
         if not found or found[0][0] != at + 1:
             found.insert(0, (at + 1, self.unknown))
         return found
 
-    def best(self, text: str) -> tuple[float, list[int]]:
-        """Score and ids of the best path over a whole text; of equals, the path whose last pieces begin first."""
-        hit = self.memo.get(text)
-        if hit is not None:
-            return hit
-        n, longest, begins = len(text), self.longest, self.begins
+    def _search(self, text: str) -> tuple[float, bytes]:
+        n, root, unknown = len(text), self.tree, self.unknown
         score, back = [0, *[NONE] * n], [0] * (n + 1)
         for at in range(n):
-            base, single = score[at], False
-            for end in range(at + 1, min(n, at + longest) + 1):
-                s = begins.get(text[at:end], NONE)
-                if s is None:
-                    continue
-                if s == NONE:
+            base, tree, end = score[at], root, at
+            while end < n:
+                step = tree.get(text[end])
+                if step is None:
                     break
-                single = single or end == at + 1
-                if base + s > score[end]:
-                    score[end], back[end] = base + s, at
-            if not single and base + self.unknown > score[at + 1]:
-                score[at + 1], back[at + 1] = base + self.unknown, at
+                tree, s = step
+                end += 1
+                if s is not None:
+                    if base + s > score[end]:
+                        score[end] = base + s
+                        back[end] = at
+                elif end == at + 1 and base + unknown > score[end]:
+                    score[end] = base + unknown
+                    back[end] = at
+            if end == at and base + unknown > score[at + 1]:
+                score[at + 1] = base + unknown
+                back[at + 1] = at
         steps, at = [n], n
         while at:
             at = back[at]
             steps.append(at)
+        steps.reverse()
         ids: list[int] = []
-        self.emit(text, steps[::-1], ids)
-        if n <= SHORT:
-            if len(self.memo) > MEMO:
+        self.emit(text, steps, ids)
+        return score[n], array("i", ids).tobytes()
+
+    def _layout(self) -> None:
+        """The tree as tables: next state by state and character number (0: none), score and id of each state."""
+        seen = Counter(c for p in self.normal for c in p)
+        common = [c for c, _ in seen.most_common(COMMON - 1)]
+        self.number = np.zeros(0x110000, np.uint8)
+        self.number[[ord(c) for c in common]] = np.arange(1, len(common) + 1)
+        states, known = [self.tree], set(common)
+        rows, values, pids = [(0, 0, 0)], [NONE, NONE], [-1, -1]
+        at = 0
+        while at < len(states):  # state of states[at] is at + 1
+            for c, (below, score) in states[at].items():
+                if c in known:
+                    rows.append((at + 1, int(self.number[ord(c)]), len(states) + 1))
+                    states.append(below)
+                    values.append(NONE if score is None else score)
+            at += 1
+        self.next = np.zeros((len(states) + 1, COMMON), np.int32)
+        a, c, b = np.array(rows[1:]).T
+        self.next[a, c] = b
+        self.value = np.array(values, np.int64 if all(isinstance(v, int) for v in values) else np.float64)
+        self.pid = np.full(len(states) + 1, -1, np.int32)
+        for p, (i, _) in self.normal.items():
+            if known.issuperset(p):
+                state = 1
+                for c in p:
+                    state = self.next[state, self.number[ord(c)]]
+                self.pid[state] = i
+
+    def _search_many(self, words: list[str]) -> list[tuple[float, bytes]]:
+        """_search for many words at once: those of one length advance together, character by character."""
+        if self.next is None:
+            self._layout()
+        out: list = [None] * len(words)
+        by_length: dict[int, list[int]] = {}
+        for k, w in enumerate(words):
+            by_length.setdefault(len(w), []).append(k)
+        for length, members in by_length.items():
+            if length > SHORT or not length:
+                for k in members:
+                    out[k] = self._search(words[k])
+                continue
+            n = len(members)
+            raw = np.frombuffer("".join(words[k] for k in members).encode("utf-32-le", "surrogatepass"), "<u4").reshape(n, length)
+            codes = np.ascontiguousarray(self.number[raw].T)
+            score = np.full((length + 1, n), NONE, self.value.dtype)
+            score[0] = 0
+            back, pid = np.zeros((length + 1, n), np.int16), np.full((length + 1, n), -1, np.int32)
+            for at in range(length):
+                base, chosen, state = score[at], np.arange(n), np.ones(n, np.int32)
+                for end in range(at, min(length, at + self.longest)):
+                    state = self.next[state, codes[end][chosen]]
+                    if end == at:
+                        lone = np.flatnonzero(self.value[state] == NONE)
+                        lone = lone[base[lone] + self.unknown > score[end + 1][lone]]
+                        score[end + 1][lone], back[end + 1][lone], pid[end + 1][lone] = base[lone] + self.unknown, at, -1
+                    live = np.flatnonzero(state)
+                    if len(live) < len(state):
+                        chosen, state = chosen[live], state[live]
+                        if not len(chosen):
+                            break
+                    value = self.value[state]
+                    hit = np.flatnonzero(value != NONE)
+                    to = chosen[hit]
+                    new = base[to] + value[hit]
+                    better = np.flatnonzero(new > score[end + 1][to])
+                    to = to[better]
+                    score[end + 1][to], back[end + 1][to], pid[end + 1][to] = new[better], at, self.pid[state[hit[better]]]
+            every, at = np.arange(n), np.full(n, length, np.int16)
+            pieces = np.full((length, n), -2, np.int32)
+            for step in range(length - 1, -1, -1):
+                open_ = at > 0
+                if not open_.any():
+                    break
+                pieces[step] = np.where(open_, pid[at, every], -2)
+                at = np.where(open_, back[at, every], 0)
+            strange = (codes == 0).any(axis=0) | (pieces == -1).any(axis=0)
+            rows = pieces.T
+            there = rows > -2
+            ids = rows[there].astype("<i4").tobytes()
+            ends = np.concatenate([[0], np.cumsum(there.sum(axis=1)) * 4]).tolist()
+            for k, total, a, b, odd in zip(members, score[length].tolist(), ends[:-1], ends[1:], strange.tolist(), strict=True):
+                out[k] = self._search(words[k]) if odd else (total, ids[a:b])
+        return out
+
+    def prepare(self, texts: list[str | None]) -> None:
+        """Look for the best paths of all new words of some texts together."""
+        if not self.line_cuts or not self.prefix:
+            return
+        met: tuple[set[str], set[str]] = (set(), set())
+        for text in texts:
+            for n, line in enumerate((text or "").split("\n")):
+                words = line.split(" ")
+                met[0].update(words[1:])
+                met[min(n, 1)].add(words[0])
+        for words, memo in zip(met, self._words, strict=True):
+            words.discard("")
+            new = [w for w in words if w not in memo]
+            if len(memo) + len(new) > MEMO:
+                memo.clear()
+                new = list(words)
+            memo.update(zip(new, self._search_many([memo.mark + w for w in new]), strict=True))
+
+    def encode_all(self, texts: list[str | None]) -> list[tuple[np.ndarray, float]]:
+        """encode() of many texts; words are looked up for some millions of characters at a time."""
+        out, held, size = [], [], 0
+        for text in texts:
+            held.append(text)
+            size += len(text or "")
+            if size > TOGETHER:
+                self.prepare(held)
+                out += map(self.encode, held)
+                held, size = [], 0
+        self.prepare(held)
+        return [*out, *map(self.encode, held)]
+
+    def best(self, text: str) -> tuple[float, bytes]:
+        """Score and ids (32-bit numbers) of the best path over a whole text; of equals, the path whose last pieces begin first."""
+        hit = self.memo.get(text)
+        if hit is not None:
+            return hit
+        found = self._search(text)
+        if len(text) <= SHORT:
+            if len(self.memo) > MEMO // 4:
                 self.memo.clear()
-            self.memo[text] = (score[n], ids)
-        return score[n], ids
+            self.memo[text] = found
+        return found
 
     def parts(self, text: str) -> list[str]:
         return self._part.findall(text) if self._part else [text]
 
-    def paths(self, text: str) -> list[tuple[float, list[int]]]:
+    def paths(self, text: str) -> list[tuple[float, bytes]]:
         """Score and ids of each part between cuts."""
         memo, best = self.memo, self.best
         return [memo.get(p) or best(p) for p in self.parts(text)]
 
     def emit(self, text: str, ends: list[int], out: list[int]) -> None:
         """Ids of the pieces between places; an unknown character becomes its bytes, or the unknown id."""
+        numbers = self.numbers
         for start, end in pairwise(ends):
-            if hit := self.normal.get(text[start:end]):
-                out.append(hit[0])
+            i = numbers.get(text[start:end])
+            if i is not None:
+                out.append(i)
             elif self.bytes_:
                 out.extend(self.bytes_[b] for b in text[start:end].encode("utf-8", "replace"))
             else:
                 out.append(self.kinds.index(2))
 
-    def encode(self, text: str | None) -> tuple[list[int], float]:
+    def encode(self, text: str | None) -> tuple[np.ndarray, float]:
         """Ids and score of a text in one go; none for null."""
-        found = self.paths(self.marked(text or ""))
-        return list(chain.from_iterable(f[1] for f in found)), sum(f[0] for f in found)
+        text = text or ""
+        if not self.line_cuts or SPACE in text or not self.prefix:
+            found = self.paths(self.marked(text))
+        else:
+            found, after = [], self._words[0]
+            for n, line in enumerate(text.split("\n") if text else ()):
+                if n:
+                    found.append(self.best("\n"))
+                if "  " in line or line[:1] == " " or line[-1:] == " ":
+                    found += self.paths((SPACE if not n else "") + line.replace(" ", SPACE))
+                    continue
+                words = line.split(" ")
+                if words[0]:
+                    found.append(self._words[min(n, 1)][words[0]])
+                elif not n:
+                    found.append(self.best(SPACE))
+                found += map(after.__getitem__, words[1:])
+        if not found:
+            return np.empty(0, "<i4"), 0
+        scores, ids = zip(*found, strict=True)
+        return np.frombuffer(b"".join(ids), "<i4"), sum(scores)
 
     def decode(self, ids) -> str:
         """The text of ids: byte pieces are joined, space marks become spaces, the dummy prefix goes."""
         # a byte above 127 stands as its surrogate until its neighbours are known
-        text = "".join(map(self.shown.__getitem__, ids))
+        text = "".join(self.shown[np.asarray(ids, np.int64)].tolist())
         if self._escaped.search(text):
             text = text.encode("utf-8", "surrogateescape").decode("utf-8", "replace")
         text = text.replace(SPACE, " ")
@@ -221,11 +398,9 @@ class Vocabulary:
         if first is None:
             self.emit(text, self._reach(text, size, a)[b][1], ids)
             return ids
-        ids += self.best(text[a:first])[1]
-        for _, part in self.paths(text[first:last]):
-            ids += part
         self.emit(text, self._reach(text, size, last)[b][1], ids)
-        return ids
+        before = [self.best(text[a:first])[1], *(part for _, part in self.paths(text[first:last]))]
+        return np.frombuffer(b"".join(before), "<i4").tolist() + ids
 
 
 def max_plus(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -310,7 +485,7 @@ def encode_giants(texts: DataFrame, model: bytes, chunk: int = CHUNK, block: int
 
     def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = _vocabulary(held)
-        for b in batches:
+        for b in slices(batches):
             found = [_dump(v.transfer(t, n)) for t, n in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.binary())], ["key", "c", "m"])
 
@@ -341,7 +516,7 @@ def encode_giants(texts: DataFrame, model: bytes, chunk: int = CHUNK, block: int
 
     def backtraced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = _vocabulary(held)
-        for b in batches:
+        for b in slices(batches):
             ids = [v.backtrace(*row) for row in zip(*(b.column(k).to_pylist() for k in (2, 3, 4, 5)), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids, pa.list_(pa.int32())), b.column(6)], ["key", "c", "ids", "score"])
 
@@ -361,9 +536,11 @@ def encode(docs: DataFrame, model: bytes, giant: int = GIANT, chunk: int = CHUNK
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = _vocabulary(held)
-        for b in batches:
-            found = [v.encode(t.as_py()) for t in b.column(1)]
-            ids = pa.array([f[0] if t.is_valid else None for f, t in zip(found, b.column(1), strict=True)], pa.list_(pa.int32()))
+        for b in slices(batches):
+            found = v.encode_all(b.column(1).to_pylist())
+            ends = np.cumsum([0, *(len(f[0]) for f in found)], dtype=np.int32)
+            flat = np.concatenate([f[0] for f in found]) if found else np.empty(0, "<i4")
+            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int32()), mask=b.column(1).is_null())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), ids, pa.array([float(f[1]) for f in found], pa.float64())], ["doc_id", "text", "ids", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -381,7 +558,7 @@ def decode(coded: DataFrame, model: bytes) -> DataFrame:
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = _vocabulary(held)
-        for b in batches:
+        for b in slices(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([None if i is None else v.decode(i) for i in b.column(1).to_pylist()], pa.string())], ["doc_id", "decoded"])
 
     return coded.select("doc_id", "ids").mapInArrow(texts, "doc_id long, decoded string")
@@ -394,14 +571,14 @@ def digests(coded: DataFrame, model: bytes) -> DataFrame:
 
     def digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = _vocabulary(held)
-        for b in batches:
+        for b in slices(batches):
             out = []
             for text, ids in zip(b.column(1), b.column(2), strict=True):
                 if not ids.is_valid:
                     out.append((0, None, None, None))
                     continue
                 row = ids.values.to_numpy()
-                decoded = v.decode(row.tolist())
+                decoded = v.decode(row)
                 out.append((len(row), md5(row.astype("<i4").tobytes()), md5(decoded.encode()), decoded == text.as_py()))
             n, i, d, r = zip(*out, strict=True) if out else ((), (), (), ())
             yield pa.RecordBatch.from_arrays(
