@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pointloom.llm.common import stored
+
 DIVISOR = 4
 MIN_LINES = 2
 #: The factor of the rolling polynomial over line hashes.
@@ -53,7 +55,7 @@ def repeated_chunks(docs: DataFrame, divisor: int = DIVISOR, min_lines: int = MI
     rows = _chunked(keyed, F.col("text"), divisor).select("_id", "_th", F.explode("_chunks").alias("_c")).where((F.col("_c.n") >= min_lines) & F.col("_c.text").rlike(r"[^\x20\x09-\x0D]"))
     many = rows.select("_id", "_th", F.col("_c.idx").alias("_idx"), F.md5("_c.text").alias("_ch"), F.col("_c.text").alias("_text"))
     again = many.groupBy("_ch").agg(F.count("*").alias("_n")).where("_n > 1").select("_ch")
-    found = many.join(again, "_ch")
+    found = stored(many.join(again, "_ch"))  # the texts of repeated hashes alone are read twice
     place = F.struct(F.col("_id").isNull().alias("nameless"), F.col("_id").alias("id"), F.col("_th").alias("th"), F.col("_idx").alias("idx"))
     same = found.groupBy("_ch", "_text").agg(F.min(place).alias("_first")).withColumnsRenamed({"_ch": "_ch2", "_text": "_text2"})
     later = found.join(same, (F.col("_ch") == F.col("_ch2")) & (F.col("_text") == F.col("_text2")))
