@@ -17,6 +17,8 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pointloom.llm.common import slices
+
 BITS = 20
 ORDERS = (3, 4, 5)
 #: Labelled rows that a model is fitted on at most: those with the smallest hashed ids.
@@ -24,7 +26,7 @@ SAMPLE = 12_000
 #: Buckets kept, the labelled rows that one must be in, and the standard errors its shares must differ by.
 FEATURES = 16_384
 LEAST_ROWS = 3
-LEAST_Z = 2.5
+LEAST_Z = 5.0
 SMOOTHING = 1.0
 STRIDE = 1 << 20
 
@@ -64,10 +66,11 @@ class Scaled:
 
 
 def sampled(docs: DataFrame, labels: DataFrame, label: str, sample: int = SAMPLE) -> DataFrame:
-    """(text, y) of labelled rows, ``sample`` of them at most. Rows without a label are left out; a doc_id has one label, the largest given."""
+    """(text, y) of labelled rows, ``sample`` of them at most. Rows without a label are left out; a doc_id has one label, the largest given; of equal texts with equal labels one is taken, lest copies be learnt by heart."""
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
     ids = docs.select("doc_id").join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).distinct()
-    return docs.join(F.broadcast(ids), "doc_id").select(F.col("text").cast("string").alias("text"), (F.col("y") > 0).cast("int").alias("y"))  # ``sample`` ids at most
+    rows = docs.join(F.broadcast(ids), "doc_id")  # ``sample`` ids at most
+    return rows.select(F.col("text").cast("string").alias("text"), (F.col("y") > 0).cast("int").alias("y")).distinct()
 
 
 def counted(rows: DataFrame) -> tuple[Scaled, int, int]:
@@ -75,7 +78,7 @@ def counted(rows: DataFrame) -> tuple[Scaled, int, int]:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums, n = np.zeros((2, 1 << BITS), np.int64), [0, 0]
-        for b in batches:
+        for b in slices(batches):
             for text, y in zip(b.column(0), b.column(1).to_pylist(), strict=True):
                 sums[y][present(text.as_py())] += 1
                 n[y] += 1
@@ -107,7 +110,7 @@ def design(rows: DataFrame, scaled: Scaled) -> tuple[np.ndarray, np.ndarray, np.
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks, buckets = held.value.marks(), held.value.buckets
-        for b in batches:
+        for b in slices(batches):
             found = [np.searchsorted(buckets, present(t.as_py(), marks)).astype(np.int32) for t in b.column(0)]
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array(found, pa.list_(pa.int32()))], ["y", "x"])
 
@@ -147,7 +150,7 @@ def scored(docs: DataFrame, model: Linear, threshold: float = 0.7) -> DataFrame:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held.value
         marks, dense = model.scaled.marks(), model.dense()
-        for b in batches:
+        for b in slices(batches):
             scores = [model.score(t.as_py(), marks, dense) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32())], ["doc_id", "score", "predicted"])
 

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 
 from pointloom.llm import ngrams
 
-COST = 0.1
+COST = 0.003
 EPOCHS = 30
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 
 from pointloom.llm import ngrams
 
-RIDGE = 1.0
+RIDGE = 3.0
 STEPS = 30
 
 
