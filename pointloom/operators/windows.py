@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pointloom.operators.cells import moments, ratio
+
 AXES = ("c0", "c1", "c2")
 
 
@@ -22,8 +24,8 @@ def binned(points: DataFrame, side_bits: int, axes: Sequence[str] = AXES, bits:
     return points.groupBy(*at).agg(value.alias("n"))
 
 
-def window_sums(grid: DataFrame, side: int, width: int, d: int, periodic: bool = True) -> DataFrame:
-    """(k.., n): sum over the cube of ``width`` cells that starts at each origin, origins without a point left out.
+def window_sums(grid: DataFrame, side: int, width: int, d: int, periodic: bool = True, values: Sequence[str] = ("n",)) -> DataFrame:
+    """(k.., values): sums over the cube of ``width`` cells that starts at each origin, origins without a point left out.
 
     Without wrapping only cubes inside the box are made. One axis at a time: width rows a
     cell and a partial sum, so width * d rows in place of width^d.
@@ -33,10 +35,26 @@ def window_sums(grid: DataFrame, side: int, width: int, d: int, periodic: bool =
         back = F.explode(F.sequence(F.lit(0), F.lit(width - 1)))
         moved = df.withColumn("_b", back).withColumn(f"k{i}", F.col(f"k{i}") - F.col("_b"))
         moved = moved.withColumn(f"k{i}", F.pmod(F.col(f"k{i}"), F.lit(side))) if periodic else moved.where((F.col(f"k{i}") >= 0) & (F.col(f"k{i}") <= side - width))
-        df = moved.groupBy(*[f"k{j}" for j in range(d)]).agg(F.sum("n").alias("n"))
+        df = moved.groupBy(*[f"k{j}" for j in range(d)]).agg(*[F.sum(v).alias(v) for v in values])
     return df
 
 
+def paired_windows(data: DataFrame, randoms: DataFrame, side_bits: int, widths: Sequence[int], axes: Sequence[str] = AXES, bits: int = 16, periodic: bool = True, weight: str = "w", footprint: float = 0.0) -> DataFrame:
+    """(width, t, s1..s4 and moments): density contrast of all shifted cubes whose random weight exceeds the footprint cut; alpha is that of all points."""
+    side, d = 1 << side_bits, len(axes)
+    keys = [f"k{i}" for i in range(d)]
+    both = binned(data, side_bits, axes, bits, weight).select(*keys, F.col("n").alias("sw_d"), F.lit(0.0).alias("sw_r")).unionByName(binned(randoms, side_bits, axes, bits, weight).select(*keys, F.lit(0.0).alias("sw_d"), F.col("n").alias("sw_r")))
+    grid = both.groupBy(*keys).agg(F.sum("sw_d").alias("sw_d"), F.sum("sw_r").alias("sw_r"))
+    alpha = grid.agg(ratio(F.sum("sw_d"), F.sum("sw_r")).alias("alpha"))
+    out = None
+    for w in widths:
+        c = window_sums(grid, side, w, d, periodic, ("sw_d", "sw_r")).crossJoin(F.broadcast(alpha)).where(F.col("sw_r") > F.lit(footprint))
+        delta = ratio(F.col("sw_d"), F.col("alpha") * F.col("sw_r")) - 1
+        part = c.withColumn("delta", delta).agg(F.sum("sw_r").alias("t"), *[F.sum(F.col("sw_r") * F.pow("delta", F.lit(k))).alias(f"s{k}") for k in (1, 2, 3, 4)]).withColumn("width", F.lit(w))
+        out = part if out is None else out.unionByName(part)
+    return moments(out)
+
+
 def window_pmf(points: DataFrame, side_bits: int, widths: Sequence[int], axes: Sequence[str] = AXES, bits: int = 16, periodic: bool = True) -> DataFrame:
     """(width, n, windows): how many of all shifted cubes hold n points; n = 0 is counted from the number of cubes."""
     side, d = 1 << side_bits, len(axes)

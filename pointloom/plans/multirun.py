@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from itertools import product
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pointloom.operators.cells import AXES, _keys, moments, ratio
@@ -76,18 +76,90 @@ def coverage(randoms: DataFrame, runs: DataFrame, axes: Sequence[str] = AXES, bi
     return runs.select("run").join(kept, "run", "left").crossJoin(F.broadcast(randoms.agg(F.sum(weight).alias("whole")))).select("run", F.coalesce(ratio(F.col("kept"), F.col("whole")), F.lit(0.0)).alias("coverage"))
 
 
-def run_raw_sums(data: DataFrame, randoms: DataFrame, runs: DataFrame, axes: Sequence[str] = AXES, bits: int = 16, levels: Sequence[int] = range(1, 5), periodic: bool = True, footprint: float = 0.0) -> DataFrame:
-    """(run, level, side, t, s1..s4): raw sums of delta of every run; side is the cell's in parts of the box."""
+def run_cells(data: DataFrame, randoms: DataFrame, runs: DataFrame, axes: Sequence[str] = AXES, bits: int = 16, levels: Sequence[int] = range(1, 5), periodic: bool = True) -> DataFrame:
+    """(run, scale, level, k.., n_d, sw_d, sw2_d, n_r, sw_r, sw2_r): the cells of every run."""
     keys = _keys(axes)
     finest = max(levels)
     rows = [apply(df, runs, axes, bits, periodic).select("run", "scale", *[F.shiftright(a, bits - finest).alias(k) for a, k in zip(axes, keys, strict=True)], F.col("w").cast("double").alias("w"), F.lit(c).alias("c")) for df, c in ((data, "d"), (randoms, "r"))]
-    fine = rows[0].unionByName(rows[1]).groupBy("run", "scale", *keys).agg(*[F.coalesce(F.sum(F.when(F.col("c") == c, F.col("w"))), F.lit(0.0)).alias(f"sw_{c}") for c in "dr"])
+    sums = []
+    for c in "dr":
+        of = F.col("c") == c
+        sums += [F.count(F.when(of, 1)).alias(f"n_{c}"), F.coalesce(F.sum(F.when(of, F.col("w"))), F.lit(0.0)).alias(f"sw_{c}"), F.coalesce(F.sum(F.when(of, F.col("w") * F.col("w"))), F.lit(0.0)).alias(f"sw2_{c}")]
+    names = [f"{x}_{c}" for c in "dr" for x in ("n", "sw", "sw2")]
+    fine = rows[0].unionByName(rows[1]).groupBy("run", "scale", *keys).agg(*sums)
     spread = fine.withColumn("level", F.explode(F.array(*[F.lit(x) for x in levels])))
-    cells = spread.select("run", "scale", "level", *[F.expr(f"shiftright({k}, {finest} - level)").alias(k) for k in keys], "sw_d", "sw_r").groupBy("run", "scale", "level", *keys).agg(F.sum("sw_d").alias("sw_d"), F.sum("sw_r").alias("sw_r"))
+    return spread.select("run", "scale", "level", *[F.expr(f"shiftright({k}, {finest} - level)").alias(k) for k in keys], *names).groupBy("run", "scale", "level", *keys).agg(*[F.sum(n).alias(n) for n in names])
+
+
+def _side() -> Column:
+    return (F.col("scale") / F.pow(F.lit(2.0), F.col("level"))).alias("side")
+
+
+def _contrast(cells: DataFrame, footprint: float) -> DataFrame:
     totals = cells.groupBy("run", "level").agg(ratio(F.sum("sw_d"), F.sum("sw_r")).alias("alpha"))
-    c = cells.join(totals, ["run", "level"]).where(F.col("sw_r") > footprint).withColumn("delta", ratio(F.col("sw_d"), F.col("alpha") * F.col("sw_r")) - 1)
+    return cells.join(totals, ["run", "level"]).where(F.col("sw_r") > footprint).withColumn("delta", ratio(F.col("sw_d"), F.col("alpha") * F.col("sw_r")) - 1)
+
+
+def run_raw_sums(data: DataFrame, randoms: DataFrame, runs: DataFrame, axes: Sequence[str] = AXES, bits: int = 16, levels: Sequence[int] = range(1, 5), periodic: bool = True, footprint: float = 0.0) -> DataFrame:
+    """(run, level, side, t, s1..s4): raw sums of delta of every run; side is the cell's in parts of the box."""
+    c = _contrast(run_cells(data, randoms, runs, axes, bits, levels, periodic), footprint)
     w, d = F.col("sw_r"), F.col("delta")
-    return c.groupBy("run", "level", (F.col("scale") / F.pow(F.lit(2.0), F.col("level"))).alias("side")).agg(F.sum(w).alias("t"), *[F.sum(w * F.pow(d, k)).alias(f"s{k}") for k in (1, 2, 3, 4)])
+    return c.groupBy("run", "level", _side()).agg(F.sum(w).alias("t"), *[F.sum(w * F.pow(d, k)).alias(f"s{k}") for k in (1, 2, 3, 4)])
+
+
+def run_haar_sums(data: DataFrame, randoms: DataFrame, runs: DataFrame, axes: Sequence[str] = AXES, bits: int = 16, levels: Sequence[int] = range(1, 4), periodic: bool = True, footprint: float = 0.0) -> DataFrame:
+    """(run, level, side, pattern, t, q): parents' random weight and its sum times w_e^2, parents and all children in the footprint."""
+    keys, d = _keys(axes), len(axes)
+    c = _contrast(run_cells(data, randoms, runs, axes, bits, sorted({*levels, *(x + 1 for x in levels)}), periodic), footprint)
+    corner = sum(F.col(k).bitwiseAND(F.lit(1)).cast("int") * (1 << i) for i, k in enumerate(keys))
+    children = c.where(F.col("level").isin([x + 1 for x in levels])).select("run", (F.col("level") - 1).alias("level"), *[F.shiftright(k, 1).alias(k) for k in keys], corner.alias("corner"), "delta")
+    signed = [F.sum(F.when(F.bit_count(F.col("corner").bitwiseAND(F.lit(e))) % 2 == 0, F.col("delta")).otherwise(-F.col("delta"))).alias(f"e{e}") for e in range(1, 1 << d)]
+    whole = children.groupBy("run", "level", *keys).agg(F.count("*").alias("n"), *signed).where(F.col("n") == (1 << d))
+    j = whole.join(c.select("run", "scale", "level", *keys, "sw_r"), ["run", "level", *keys])
+    rows = F.inline(F.array(*[F.struct(F.lit(e).alias("pattern"), (F.col(f"e{e}") / (1 << d)).alias("we")) for e in range(1, 1 << d)]))
+    return j.select("run", "level", "scale", "sw_r", rows).groupBy("run", "level", _side(), "pattern").agg(F.sum("sw_r").alias("t"), F.sum(F.col("sw_r") * F.col("we") * F.col("we")).alias("q"))
+
+
+def run_counts(data: DataFrame, randoms: DataFrame, runs: DataFrame, axes: Sequence[str] = AXES, bits: int = 16, levels: Sequence[int] = range(1, 4), periodic: bool = True) -> DataFrame:
+    """(run, level, side, n, cells): counts in the visited cells of every run."""
+    c = run_cells(data, randoms, runs, axes, bits, levels, periodic)
+    return c.groupBy("run", "level", _side(), F.col("n_d").alias("n")).agg(F.count("*").alias("cells"))
+
+
+def pools(rows: DataFrame, tolerance: float) -> DataFrame:
+    """(run, level, pool): runs' levels whose side is within a relative ``tolerance`` of the one before, in order of side. One row a run and level."""
+    order = Window.orderBy("side", "run", "level")
+    before = F.lag("side").over(order)
+    marked = rows.select("run", "level", "side").distinct().withColumn("gap", F.when(before.isNull() | (F.col("side") > before * (1 + tolerance)), 1).otherwise(0))
+    return marked.select("run", "level", (F.sum("gap").over(order) - 1).alias("pool"))
+
+
+def pooled_haar(rows: DataFrame, tolerance: float) -> DataFrame:
+    """(pool, pattern, side, mean_we2): mean square coefficients over all runs of a pool."""
+    return rows.join(pools(rows, tolerance), ["run", "level"]).groupBy("pool", "pattern").agg((F.sum(F.col("side") * F.col("t")) / F.sum("t")).alias("side"), ratio(F.sum("q"), F.sum("t")).alias("mean_we2"))
+
+
+def pooled_counts(rows: DataFrame, tolerance: float) -> DataFrame:
+    """(pool, n, cells, p): counts summed over runs, and the mean of the runs' own shares, all runs alike."""
+    at = rows.join(pools(rows, tolerance), ["run", "level"])
+    sizes = at.groupBy("pool", "run", "level").agg(F.sum("cells").alias("all"))
+    runs = sizes.groupBy("pool").agg(F.count("*").alias("runs"))
+    return at.join(sizes, ["pool", "run", "level"]).join(runs, "pool").groupBy("pool", "n").agg(F.sum("cells").alias("cells"), F.sum(F.col("cells") / F.col("all") / F.col("runs")).alias("p"))
+
+
+def pooled_xi(data: DataFrame, randoms: DataFrame, runs: DataFrame, axes: Sequence[str] = AXES, bits: int = 16, levels: Sequence[int] = range(5), periodic: bool = True) -> DataFrame:
+    """(scale, level, dd, dr, rr, xi): shells of all shifts of one scale added, counts and norms alike; xi is null where RR is 0."""
+    c = run_cells(data, randoms, runs, axes, bits, levels, periodic)
+    half = lambda k: F.sum((F.col(f"sw_{k}") * F.col(f"sw_{k}") - F.col(f"sw2_{k}")) / 2)
+    s = c.groupBy("run", "scale", "level").agg(half("d").alias("dd"), half("r").alias("rr"), F.sum(F.col("sw_d") * F.col("sw_r")).alias("dr"))
+    order = Window.partitionBy("run").orderBy("level")  # one row a level
+    shells = s.select("run", "scale", "level", *[(F.col(x) - F.lead(x, 1, 0.0).over(order)).alias(x) for x in ("dd", "dr", "rr")])
+    t = c.where(F.col("level") == min(levels)).groupBy("run").agg(*[F.sum(f"{x}_{k}").alias(f"{x}_{k}") for k in "dr" for x in ("sw", "sw2")])
+    j = shells.join(t, "run").groupBy("scale", "level").agg(
+        *[F.sum(x).alias(x) for x in ("dd", "dr", "rr")], F.sum((F.col("sw_d") * F.col("sw_d") - F.col("sw2_d")) / 2).alias("nd"), F.sum((F.col("sw_r") * F.col("sw_r") - F.col("sw2_r")) / 2).alias("nr"), F.sum(F.col("sw_d") * F.col("sw_r")).alias("nx")
+    )
+    fdd, fdr, frr = ratio(F.col("dd"), F.col("nd")), ratio(F.col("dr"), F.col("nx")), ratio(F.col("rr"), F.col("nr"))
+    return j.select("scale", "level", "dd", "dr", "rr", ratio(fdd - 2 * fdr + frr, frr).alias("xi"))
 
 
 def pooled(rows: DataFrame, tolerance: float) -> DataFrame:
@@ -97,10 +169,7 @@ def pooled(rows: DataFrame, tolerance: float) -> DataFrame:
     across_runs is the sample variance of the runs' own variances, all runs alike (0 for one run).
     One row for each run and level comes in, so the ordered step is small.
     """
-    order = Window.orderBy("side", "run", "level")
-    before = F.lag("side").over(order)
-    marked = rows.withColumn("gap", F.when(before.isNull() | (F.col("side") > before * (1 + tolerance)), 1).otherwise(0))
-    binned = marked.withColumn("pool", F.sum("gap").over(order) - 1)
+    binned = rows.join(pools(rows, tolerance), ["run", "level"])
     own = (F.col("s2") / F.col("t")) - F.pow(F.col("s1") / F.col("t"), 2)
     sums = binned.groupBy("pool").agg(
         F.count("*").alias("n_rows"), (F.sum(F.col("side") * F.col("t")) / F.sum("t")).alias("side"), F.coalesce(F.var_samp(own), F.lit(0.0)).alias("across_runs"), F.sum("t").alias("t"), *[F.sum(f"s{k}").alias(f"s{k}") for k in (1, 2, 3, 4)]

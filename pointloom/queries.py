@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from pointloom.functions import coords, cosmology, healpix
 from pointloom.functions.coords import chord
-from pointloom.operators import cells, gradients, knn, pairs, rangejoin, windows
+from pointloom.operators import cells, continuous, fields, gradients, graph, knn, pairs, rangejoin, windows
 from pointloom.plans import multirun
 
 VIEWS = {
@@ -433,7 +433,7 @@ def sigma2_clust(spark, d):
 
 
 @query("knn_shape", sql(caps_sql("c", "sky_d", "sky_d", True) + """, m AS (SELECT t, iq, jn, s1 / n_q AS m1, s2 / n_q AS m2, s3 / n_q AS m3, s4 / n_q AS m4 FROM c_m), v AS (SELECT *, m2 - m1 * m1 AS var FROM m)
-SELECT t::INT AS t, iq, jn::INT AS jn, round((m3 - 3 * m1 * m2 + 2 * m1 ** 3) / var ** 1.5, 6) AS skewness, round((m4 - 4 * m1 * m3 + 6 * m1 * m1 * m2 - 3 * m1 ** 4) / (var * var) - 3, 6) AS kurtosis FROM v""", "sky_d"))
+SELECT t::INT AS t, iq, jn::INT AS jn, round(CASE WHEN var > 0 THEN (m3 - 3 * m1 * m2 + 2 * m1 ** 3) / var ** 1.5 END, 6) AS skewness, round(CASE WHEN var > 0 THEN (m4 - 4 * m1 * m3 + 6 * m1 * m1 * m2 - 3 * m1 ** 4) / (var * var) - 3 END, 6) AS kurtosis FROM v""", "sky_d"))
 def knn_shape(spark, d):
     return knn.shape(knn.knn_moments(_counts(spark, d, "dd"))).select("t", "iq", "jn", *r6("skewness", "kurtosis"))
 
@@ -458,7 +458,7 @@ def knn_xi_annular(spark, d):
     return knn.xi_ls(*[knn.annular(_mean(spark, d, x), x) for x in ("dd", "dr", "rr")]).select("t", "iq", "jn", *r6("xi"))
 
 
-@query("knn_hamilton", sql("".join(_mean_sql(x) for x in ("dd", "dr", "rd", "rr")) + " SELECT t::INT AS t, iq, jn::INT AS jn, round(dd_v.v * rr_v.v / (dr_v.v * rd_v.v) - 1, 6) AS xi FROM dd_v JOIN dr_v USING (t, iq, jn) JOIN rd_v USING (t, iq, jn) JOIN rr_v USING (t, iq, jn)", "sky_d", "sky_r"))
+@query("knn_hamilton", sql("".join(_mean_sql(x) for x in ("dd", "dr", "rd", "rr")) + " SELECT t::INT AS t, iq, jn::INT AS jn, round(dd_v.v * rr_v.v / nullif(dr_v.v * rd_v.v, 0) - 1, 6) AS xi FROM dd_v JOIN dr_v USING (t, iq, jn) JOIN rd_v USING (t, iq, jn) JOIN rr_v USING (t, iq, jn)", "sky_d", "sky_r"))
 def knn_hamilton(spark, d):
     return knn.xi_hamilton(*[_mean(spark, d, x) for x in ("dd", "dr", "rd", "rr")]).select("t", "iq", "jn", *r6("xi"))
 
@@ -582,6 +582,139 @@ def run_coverage(spark, d):
     return multirun.coverage(view(spark, d, "box_r"), runs).select("run", *r6("coverage"))
 
 
+@query("pooled_haar")
+def pooled_haar(spark, d):
+    runs = multirun.plan(spark, multirun.shifted_grid(2, 3))
+    return multirun.pooled_haar(multirun.run_haar_sums(view(spark, d, "box_d"), view(spark, d, "box_r"), runs, levels=[1]), 0.02)
+
+
+@query("pooled_counts")
+def pooled_counts(spark, d):
+    runs = multirun.plan(spark, multirun.shifted_grid(2, 3))
+    return multirun.pooled_counts(multirun.run_counts(view(spark, d, "box_d"), view(spark, d, "box_r"), runs, levels=[2, 3]), 0.02)
+
+
+@query("pooled_xi", sql(cells_sql("box_d", "box_r", list(range(5))) + XI_SQL + " SELECT 1.0::DOUBLE AS scale, level, round(CASE WHEN frr <> 0 THEN (fdd - 2 * fdr + frr) / frr END, 6) AS xi FROM f", "box_d", "box_r"))
+def pooled_xi(spark, d):
+    runs = multirun.plan(spark, [("a", 1.0, 0.0, 0.0, 0.0), ("b", 1.0, 0.0, 0.0, 0.0)])  # equal runs pool to the single estimate
+    return multirun.pooled_xi(view(spark, d, "box_d"), view(spark, d, "box_r"), runs).select("scale", "level", *r6("xi"))
+
+
+# -- maps, graphs, continuous estimators -------------------------------------------------
+
+
+@query("paired_windows", sql("""
+, g AS (SELECT i AS k0, j AS k1, coalesce(sd, 0) AS sd, coalesce(sr, 0) AS sr FROM range(16) a(i) CROSS JOIN range(16) b(j) LEFT JOIN (SELECT c0 >> 12 AS x, c1 >> 12 AS y, sum(w) AS sd FROM box_d GROUP BY ALL) ON x = i AND y = j
+  LEFT JOIN (SELECT c0 >> 12 AS u, c1 >> 12 AS v, sum(w) AS sr FROM box_r GROUP BY ALL) ON u = i AND v = j),
+wide AS (SELECT a.k0, a.k1, width, sum(b.sd) AS sd, sum(b.sr) AS sr FROM g a, (SELECT unnest([2, 3]) AS width), g b WHERE (b.k0 - a.k0 + 16) % 16 < width AND (b.k1 - a.k1 + 16) % 16 < width GROUP BY ALL),
+x AS (SELECT width, sr, sd / ((SELECT sum(sd) / sum(sr) FROM g) * sr) - 1 AS delta FROM wide WHERE sr > 0)
+SELECT width::INT AS width, sum(sr) AS t, round(sum(sr * delta * delta) / sum(sr) - (sum(sr * delta) / sum(sr)) ** 2, 6) AS var_delta FROM x GROUP BY width""", "box_d", "box_r"))
+def paired_windows(spark, d):
+    m = windows.paired_windows(view(spark, d, "box_d"), view(spark, d, "box_r"), 4, [2, 3], ["c0", "c1"])
+    return m.select("width", "t", *r6("var_delta"))
+
+
+@query("completeness_map")
+def completeness_map(spark, d):
+    return fields.completeness_map(view(spark, d, "sky_r"), 2)
+
+
+@query("overdensity_map")
+def overdensity_map(spark, d):
+    return fields.overdensity_map(view(spark, d, "sky_d"), fields.completeness_map(view(spark, d, "sky_r"), 2), 2, 0.3)
+
+
+@query("template_weights")
+def template_weights(spark, d):
+    s = view(spark, d, "sky_d").withColumn("pix", healpix.pixel(F.col("ra"), F.col("u"), 2))
+    m = fields.count_map(view(spark, d, "sky_d"), 2)
+    mean = m.agg(F.avg("n")).first()[0]
+    t = fields.latitude_templates(F.degrees(F.asin("u")), F.col("ra"))
+    maps = s.groupBy("pix").agg(*[F.avg(c).alias(k) for k, c in t.items()]).join(m, "pix").withColumn("residual", F.col("n") / F.lit(mean) - 1)
+    return fields.template_weights(s.select("id", "pix"), maps, list(t))
+
+
+@query("jackknife_regions")
+def jackknife_regions(spark, d):
+    return fields.jackknife_regions(view(spark, d, "sky_d"), 5, 2)
+
+
+@query("partial_corr", sql("""
+, r AS (SELECT corr(c0, c1) AS xy, corr(c0, c2) AS xz, corr(c1, c2) AS yz FROM pts_d) SELECT round(xy, 6) AS r, round((xy - xz * yz) / sqrt((1 - xz * xz) * (1 - yz * yz)), 6) AS partial FROM r""", "pts_d"))
+def partial_corr(spark, d):
+    return fields.partial_corr(view(spark, d, "pts_d"), "c0", "c1", "c2").select(*r6("r", "partial"))
+
+
+@query("environment_means", sql("""
+, m AS (SELECT median(c0) AS m FROM pts_d) SELECT half, count(*) AS n, round(avg(w), 6) AS mean_w, round(avg(c1), 6) AS mean_c1 FROM (SELECT *, (c0 > m)::INT AS half FROM pts_d, m) GROUP BY half""", "pts_d"))
+def environment_means(spark, d):
+    return fields.environment_means(fields.median_split(view(spark, d, "pts_d"), "c0"), "half", ["w", "c1"]).select("half", "n", *r6("mean_w", "mean_c1"))
+
+
+@query("three_point", sql(f"""
+, e AS (SELECT 'd' AS k, a.id AS i, b.id AS j FROM pts_d a, pts_d b WHERE a.id < b.id AND {D2} BETWEEN 49000000 AND 81000000 UNION ALL SELECT 'r', a.id, b.id FROM pts_r a, pts_r b WHERE a.id < b.id AND {D2} BETWEEN 49000000 AND 81000000),
+t AS (SELECT x.k, count(*) AS n FROM e x, e y, e z WHERE x.k = y.k AND y.k = z.k AND x.j = y.i AND z.i = x.i AND z.j = y.j GROUP BY x.k),
+c AS (SELECT coalesce((SELECT n FROM t WHERE k = 'd'), 0) AS ddd, coalesce((SELECT n FROM t WHERE k = 'r'), 0) AS rrr, (SELECT count(*) FROM pts_d)::DOUBLE AS nd, (SELECT count(*) FROM pts_r)::DOUBLE AS nr)
+SELECT 8000.0::DOUBLE AS side, ddd, rrr, round(CASE WHEN rrr > 0 THEN ddd * nr * (nr - 1) * (nr - 2) / (rrr * nd * (nd - 1) * (nd - 2)) - 1 END, 6) AS zeta FROM c""".replace("49000000", str((8000 - 1000) ** 2)).replace("81000000", str((8000 + 1000) ** 2)), "pts_d", "pts_r"))
+def three_point(spark, d):
+    return graph.three_point(view(spark, d, "pts_d"), view(spark, d, "pts_r"), [8000.0], 1000.0).select("side", "ddd", "rrr", *r6("zeta"))
+
+
+@query("nearest", sql(f"""
+, p AS (SELECT a.id AS a_id, b.id AS b_id, {D2} AS d2 FROM pts_d a, pts_r b), k AS (SELECT *, row_number() OVER (PARTITION BY a_id ORDER BY d2, b_id) AS rank FROM p) SELECT a_id, b_id, d2, rank::INT AS rank FROM k WHERE rank <= 3""", "pts_d", "pts_r"))
+def nearest(spark, d):
+    return graph.k_nearest(view(spark, d, "pts_d"), view(spark, d, "pts_r"), 3, 8000.0, 120000.0).select("a_id", "b_id", "d2", "rank")
+
+
+@query("conditional_mean")
+def conditional_mean(spark, d):
+    import numpy as np
+
+    known = view(spark, d, "pts_r").withColumn("value", F.col("w"))
+    return graph.conditional_mean(view(spark, d, "pts_d"), known, lambda r: np.exp(-r / 8000.0), 6, 12000.0)
+
+
+@query("sigma2_data_only", sql(f"""
+, s AS (SELECT coalesce(sum(a.w * b.w * (1 - 0.75 * sqrt({D2}) / 5000 + (sqrt({D2}) / 5000) ** 3 / 16) * 3 / (4 * pi() * 5000.0 ** 3)), 0) AS s FROM pts_d a, pts_d b WHERE a.id < b.id AND {D2} < 100000000),
+t AS (SELECT (sum(w) ** 2 - sum(w * w)) / 2 AS pairs FROM pts_d) SELECT 5000.0::DOUBLE AS radius, round((s / pairs - 3.5527136788005009e-15) / 3.5527136788005009e-15, 6) AS sigma2 FROM s, t""", "pts_d"))
+def sigma2_data_only(spark, d):
+    return continuous.sigma2_data_only(view(spark, d, "pts_d"), 5000.0, 2.0**-48).select("radius", *r6("sigma2"))
+
+
+@query("xi_basis")
+def xi_basis(spark, d):
+    knots = [2000.0, 5000.0, 9000.0]
+    c = continuous.xi_basis(view(spark, d, "pts_d"), view(spark, d, "pts_r"), knots)
+    return spark.createDataFrame(list(zip(knots, c, strict=True)), "r double, xi double")
+
+
+@query("wp_chebyshev")
+def wp_chebyshev(spark, d):
+    c = continuous.wp_chebyshev(view(spark, d, "pts_d"), view(spark, d, "pts_r"), 1000.0, 8000.0, 6000.0)
+    return spark.createDataFrame(list(enumerate(c)), "k int, coefficient double")
+
+
+@query("sigma2_from_counts")
+def sigma2_from_counts(spark, d):
+    x = pairs.xi_estimators(view(spark, d, "pts_d"), view(spark, d, "pts_r"), EDGES)
+    n = {k: float(view(spark, d, f"pts_{k}").count()) for k in "dr"}
+    f = x.select("bin", (F.col("dd") / F.lit(n["d"] ** 2)).alias("fdd"), (F.col("dr") / F.lit(n["d"] * n["r"])).alias("fdr"), (F.col("rr") / F.lit(n["r"] ** 2)).alias("frr"))
+    return pairs.sigma2_from_counts(f, EDGES, [2000.0, 3000.0])
+
+
+@query("sigma2_from_xi")
+def sigma2_from_xi(spark, d):
+    mid = F.element_at(F.array(*[F.lit((a + b) / 2) for a, b in zip(EDGES[:-1], EDGES[1:], strict=True)]), F.col("bin") + 1)
+    x = pairs.xi_estimators(view(spark, d, "pts_d"), view(spark, d, "pts_r"), EDGES).select(mid.alias("r"), F.col("xi_ls").alias("xi"))
+    return pairs.sigma2_from_xi(x, [2000.0, 3000.0])
+
+
+@query("knn_log_slope")
+def knn_log_slope(spark, d):
+    s = knn.sigma2_cone_shell(knn.cone_counts(view(spark, d, "sky_r"), view(spark, d, "sky_d"), THETA, [0.5, 1.0, 1.5, 2.0]))
+    return knn.log_slope(s, [0.75, 1.25, 1.75])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 

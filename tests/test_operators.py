@@ -255,3 +255,62 @@ def test_quantize_and_bins(spark):
     x = spark.createDataFrame([(-0.5,), (0.0,), (99.999,), (100.0,), (None,)], "x double")
     assert [r[0] for r in x.select(coords.quantize(F.col("x"), 100.0, 4)).collect()] == [15, 0, 15, 0, None]
     assert [r[0] for r in x.select(coords.bin_of(F.col("x"), [0.0, 50.0, 100.0])).collect()] == [None, 0, 1, None, None]
+
+
+def test_k_nearest_is_brute_force(data, randoms):
+    from pointloom.operators import graph
+
+    got = {}
+    for r in graph.k_nearest(data[1], randoms[1], 4, 4000.0, 200000.0).collect():
+        got.setdefault(r.a_id, []).append((r.d2, r.b_id))
+    for a in data[0]:
+        assert sorted(got[a[0]]) == sorted((d2(a, b), b[0]) for b in randoms[0])[:4]
+
+
+def test_conditional_mean_passes_through_known_points(spark):
+    import numpy as np
+
+    from pointloom.operators import graph
+
+    rows = [(i, (i * 37) % 100 * 1.0, (i * 53) % 100 * 1.0, (i * 71) % 100 * 1.0, float(i % 5)) for i in range(40)]
+    known = spark.createDataFrame(rows, "id long, c0 double, c1 double, c2 double, value double")
+    got = {r.id: r["mean"] for r in graph.conditional_mean(known.drop("value"), known, lambda r: np.exp(-r / 50.0), 8, 200.0).collect()}
+    assert got == pytest.approx({r[0]: r[4] for r in rows}, abs=1e-2)
+
+
+def test_regions_are_balanced(spark):
+    from pointloom.operators import fields
+
+    sky = catalogs.uniform_sky(spark, 3000).withColumnRenamed("sin_dec", "u")
+    regions = fields.jackknife_regions(sky, 4, 2)
+    counts = sky.withColumn("pix", healpix.pixel(F.col("ra"), F.col("u"), 2)).join(regions, "pix").groupBy("region").count().collect()
+    assert len(counts) == 4 and max(r["count"] for r in counts) - min(r["count"] for r in counts) < 100
+    with pytest.raises(ValueError):
+        fields.jackknife_regions(sky, 4, 4096)
+
+
+def test_theory_curves():
+    import numpy as np
+
+    from pointloom.functions import theory
+
+    edges, density = theory.unit_cube_kernel()
+    assert (density * np.diff(edges)).sum() == pytest.approx(1) and theory.growth(0.0)[0] == pytest.approx(1) and theory.growth(1.0)[0] < 0.7
+    k = theory.log_k_grid(1e-4, 100.0, 8192)
+    power = np.exp(-(k**2))  # a Gaussian, whose transform is known
+    assert theory.xi_from_power(1.0, k, power)[0] == pytest.approx((4 * math.pi) ** -1.5 * math.exp(-0.25), rel=1e-3)
+    assert theory.sigma2_from_power(1e-3, k, power)[0] == pytest.approx((4 * math.pi) ** -1.5, rel=1e-3)
+
+
+def test_pooled_runs_of_equal_shifts(data, randoms):
+    runs = multirun.plan(data[1].sparkSession, [("a", 1.0, 0.0, 0.0, 0.0), ("b", 1.0, 0.0, 0.0, 0.0)])
+    pooled = multirun.pooled(multirun.run_raw_sums(data[1], randoms[1], runs, levels=[1]), 0.01).collect()
+    single = cells.field_stats(data[1], randoms[1], levels=[1]).first()
+    assert len(pooled) == 1 and pooled[0].n_rows == 2 and pooled[0].across_runs == pytest.approx(0, abs=1e-15)
+    assert pooled[0].var_delta == pytest.approx(single.var_delta) and pooled[0].t == pytest.approx(2 * single.t)
+
+
+def test_basis_fit_of_shells(spark):
+    shells = spark.createDataFrame([(10.0, 2.0, 0.1), (100.0, 1.0, 0.1), (1000.0, 0.5, 0.1), (50.0, None, 0.1)], "r double, xi double, var double")
+    c, chi2 = multirun.fit_xi_continuous(shells, [10.0, 100.0, 1000.0])
+    assert c == pytest.approx([2.0, 1.0, 0.5], abs=1e-6) and chi2 == pytest.approx(0, abs=1e-9)
