@@ -15,11 +15,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pointloom.llm.common import slices
+
 BITS = 15
-#: Labelled rows of each language that are counted: the bound of the training sample.
+#: Labelled rows of each language that are counted, about: the bound of the training sample.
 SAMPLE = 1000
 #: Languages the model holds at most; the driver keeps one vector of 2^BITS floats for each.
 MAX_LANGUAGES = 256
@@ -53,7 +55,7 @@ def grams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums: dict[str, np.ndarray] = {}
-    for batch in batches:
+    for batch in slices(batches):
         for text, lang in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
             ids, counts = grams(text.as_py())
             sums.setdefault(lang, np.zeros(1 << BITS))[ids] += counts
@@ -112,18 +114,21 @@ def em(p: np.ndarray, n: np.ndarray) -> tuple[float, np.ndarray]:
 
 
 def train(labelled: DataFrame, sample: int = SAMPLE) -> Model:
-    """Model from (doc_id, text, lang) rows: for each language the ``sample`` rows with the smallest hashed ids.
+    """Model from (doc_id, text, lang) rows: of each language about ``sample`` rows, those with hashed ids below a share of all hashes.
 
     Rows without text or lang are left out. The counts are summed by language and trigram
     on the executors, so the driver gets 2^BITS rows a language at most.
     """
     known = labelled.where("lang is not null and text is not null")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    picked = known.select("doc_id", "lang").select("*", F.row_number().over(order).alias("_r")).where(F.col("_r") <= sample).select("doc_id", F.col("lang").alias("_lang")).distinct()
-    languages = sorted(r[0] for r in picked.select("_lang").distinct().limit(MAX_LANGUAGES + 1).collect())
+    sizes = known.groupBy("lang").agg(F.count("*").alias("rows")).limit(MAX_LANGUAGES + 1).collect()
+    languages = sorted(r["lang"] for r in sizes)
     if len(languages) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    texts = known.join(F.broadcast(picked), "doc_id").where("lang = _lang").select(F.col("text").cast("string"), "lang")  # at most sample * MAX_LANGUAGES ids
+    if not languages:
+        return Model([], np.zeros((0, 1 << BITS)))
+    shares = known.sparkSession.createDataFrame([(r["lang"], int(min(1.0, sample / r["rows"]) * (1 << 31))) for r in sizes], "_lang string, _below long")
+    picked = known.join(F.broadcast(shares), known["lang"] == shares["_lang"]).where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31)) < F.col("_below"))  # MAX_LANGUAGES rows
+    texts = picked.select(F.col("text").cast("string").alias("text"), "lang")
     rows = texts.mapInArrow(_count, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros((len(languages), 1 << BITS))
     place = {k: i for i, k in enumerate(languages)}
@@ -140,7 +145,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(model)  # MAX_LANGUAGES * 2^BITS floats at most
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = [held.value.predict(t.as_py()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], ["doc_id", "lang_pred", "score"])
 
@@ -153,7 +158,7 @@ def keep_identified(docs: DataFrame, model: Model, least: float = 0.5) -> DataFr
     at = docs.columns.index("text")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = [held.value.predict(t.as_py()) for t in batch.column(at)]
             yield batch.filter(pa.array([lang != UNKNOWN and score >= least for lang, score in found], pa.bool_()))
 
