@@ -53,7 +53,7 @@ def suffix_repeats(symbols: np.ndarray, docs: np.ndarray) -> np.ndarray:
     head = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
     rank = np.empty(n, np.int64)
     rank[order] = head  # rank: place of the first suffix of its tie
-    rounds, width = [rank.copy()], 1
+    rounds, width = [rank.astype(np.int32)], 1
     end = np.append(np.flatnonzero(docs[1:] != docs[:-1]) + 1, n)
     end_of = end[np.searchsorted(end, np.arange(n), side="right")]
     while True:
@@ -70,7 +70,7 @@ def suffix_repeats(symbols: np.ndarray, docs: np.ndarray) -> np.ndarray:
         fresh[tied] = new
         head[tied] = np.maximum.accumulate(np.where(new, tied, 0))
         rank[order[tied]] = head[tied]
-        rounds.append(rank.copy())
+        rounds.append(rank.astype(np.int32))
         width *= 2
     # neighbours' common prefixes: from the widest round down, jump where both are tied
     a, b = order[:-1].copy(), order[1:].copy()
