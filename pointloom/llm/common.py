@@ -32,7 +32,7 @@ def stored(df: DataFrame) -> DataFrame:
     """Cut the lineage: write ``df`` as a table in the shared folder and read it again. It goes when the application ends."""
     spark = df.sparkSession
     path = f"{_folder(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)  # snappy would take direct memory for each column of each task
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)
