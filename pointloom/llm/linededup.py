@@ -4,7 +4,8 @@ Each line has a 48-bit hash. A rolling polynomial over the last three line hashe
 chunk after the lines where it is divisible by ``DIVISOR``; as the cut looks at content
 alone, an inserted or missing line moves the boundaries near it and no others. Chunks of
 two lines and more that occur again anywhere in the corpus are compared byte by byte, and
-all but the first occurrence (smallest doc_id, then place) are taken out.
+all but the first occurrence (smallest doc_id, then place) are taken out. Joins that carry
+texts are merge joins at every size: what repeats grows with the corpus.
 """
 
 from __future__ import annotations
@@ -30,7 +31,11 @@ def _fixed(df: DataFrame, name: str, value: Column) -> DataFrame:
 
 
 def _chunked(df: DataFrame, text: Column, divisor: int) -> DataFrame:
-    """``df`` with _chunks: array of struct(idx, n, text); no chunk where ``text`` is null."""
+    """``df`` with _chunks: array of struct(idx, n, text); no chunk where ``text`` is null.
+
+    The work is linear in the text: each line end is given a flag, 1 behind the last line
+    of a chunk and 0 behind others, and the joined lines are split again at the ones.
+    """
     lined = _fixed(df, "_lines", F.coalesce(F.split(text, "\n", -1), F.array().cast("array<string>")))
     hashed = _fixed(lined, "_h", F.transform("_lines", line_hash))
 
@@ -39,14 +44,11 @@ def _chunked(df: DataFrame, text: Column, divisor: int) -> DataFrame:
         return F.get("_h", i) + before(1) * FACTOR + before(2) * (FACTOR * FACTOR)
 
     last = F.size("_lines") - 1
-    cuts = F.filter(F.sequence(F.lit(0), last), lambda i: (i == last) | (rolled(i) % divisor == 0))
-    ended = _fixed(hashed, "_ends", F.when(last >= 0, cuts).otherwise(F.array().cast("array<int>"))).drop("_h")
-
-    def chunk(end: Column, k: Column) -> Column:
-        start = F.when(k > 0, F.get("_ends", k - 1) + 1).otherwise(0)
-        return F.struct(k.alias("idx"), (end - start + 1).alias("n"), F.array_join(F.slice("_lines", start + 1, end - start + 1), "\n").alias("text"))
-
-    return _fixed(ended, "_chunks", F.transform("_ends", chunk)).drop("_lines", "_ends")
+    flagged = F.transform("_lines", lambda x, i: F.when(i == last, x).when(rolled(i) % divisor == 0, F.concat(x, F.lit("\n1"))).otherwise(F.concat(x, F.lit("\n0"))))
+    parts = F.split(F.array_join(flagged, ""), "\n1", -1)
+    chunk = lambda c, k: F.struct(k.alias("idx"), F.size(F.split(c, "\n0", -1)).alias("n"), F.replace(c, F.lit("\n0"), F.lit("\n")).alias("text"))
+    none = F.array().cast("array<struct<idx:int,n:int,text:string>>")
+    return _fixed(hashed, "_chunks", F.when(last >= 0, F.transform(parts, chunk)).otherwise(none)).drop("_lines", "_h")
 
 
 def repeated_chunks(docs: DataFrame, divisor: int = DIVISOR, min_lines: int = MIN_LINES) -> DataFrame:
@@ -54,11 +56,11 @@ def repeated_chunks(docs: DataFrame, divisor: int = DIVISOR, min_lines: int = MI
     keyed = docs.where("text is not null").select(F.col("doc_id").alias("_id"), F.md5("text").alias("_th"), "text")
     rows = _chunked(keyed, F.col("text"), divisor).select("_id", "_th", F.explode("_chunks").alias("_c")).where((F.col("_c.n") >= min_lines) & F.col("_c.text").rlike(r"[^\x20\x09-\x0D]"))
     many = rows.select("_id", "_th", F.col("_c.idx").alias("_idx"), F.md5("_c.text").alias("_ch"), F.col("_c.text").alias("_text"))
-    again = many.groupBy("_ch").agg(F.count("*").alias("_n")).where("_n > 1").select("_ch")
-    found = stored(many.join(again, "_ch"))  # the texts of repeated hashes alone are read twice
+    again = stored(many.groupBy("_ch").agg(F.count("*").alias("_n")).where("_n > 1").select("_ch"))  # a table, so that the join's hot keys can be split
+    found = stored(many.join(again.hint("merge"), "_ch"))  # the texts of repeated hashes alone are read twice
     place = F.struct(F.col("_id").isNull().alias("nameless"), F.col("_id").alias("id"), F.col("_th").alias("th"), F.col("_idx").alias("idx"))
-    same = found.groupBy("_ch", "_text").agg(F.min(place).alias("_first")).withColumnsRenamed({"_ch": "_ch2", "_text": "_text2"})
-    later = found.join(same, (F.col("_ch") == F.col("_ch2")) & (F.col("_text") == F.col("_text2")))
+    same = stored(found.groupBy("_ch", "_text").agg(F.min(place).alias("_first"))).withColumnsRenamed({"_ch": "_ch2", "_text": "_text2"})
+    later = found.join(same.hint("merge"), (F.col("_ch") == F.col("_ch2")) & (F.col("_text") == F.col("_text2")))
     return later.where(~place.eqNullSafe(F.col("_first"))).select("_id", "_th", "_idx")
 
 
@@ -73,13 +75,12 @@ def line_dedup(docs: DataFrame, divisor: int = DIVISOR, min_lines: int = MIN_LIN
     gone = repeated_chunks(docs, divisor, min_lines).groupBy("_id", "_th").agg(F.collect_set("_idx").alias("_gone")).withColumnsRenamed({"_id": "_gid", "_th": "_gth"})
     columns = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     keyed = docs.select(*columns, F.md5("text").alias("_kth"))
-    joined = keyed.join(gone, keyed["doc_id"].eqNullSafe(gone["_gid"]) & (keyed["_kth"] == gone["_gth"]), "left").drop("_gid", "_gth", "_kth")
+    joined = keyed.join(gone.hint("merge"), keyed["doc_id"].eqNullSafe(gone["_gid"]) & (keyed["_kth"] == gone["_gth"]), "left").drop("_gid", "_gth", "_kth")
     cut = _chunked(joined, F.when(F.col("_gone").isNotNull(), F.col("text")), divisor)
-    kept = F.filter("_chunks", lambda c: ~F.array_contains("_gone", c["idx"]))
-    left_out = F.filter("_chunks", lambda c: F.array_contains("_gone", c["idx"]))
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda c: c["text"]), "\n"))
+    kept = F.array_except(F.sequence(F.lit(0), F.size("_chunks") - 1), "_gone")
+    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda k: F.get("_chunks", k)["text"]), "\n"))
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n", -1)))
-    n_removed = F.when(F.col("_gone").isNull(), 0).otherwise(F.aggregate(left_out, F.lit(0), lambda a, c: a + c["n"]))
+    n_removed = F.when(F.col("_gone").isNull(), 0).otherwise(F.aggregate("_gone", F.lit(0), lambda a, k: a + F.get("_chunks", k)["n"]))
     return cut.select(
         *[text.alias(c) if c == "text" else F.col(c) for c in columns], n_lines.cast("long").alias("n_lines"), n_removed.cast("long").alias("n_removed")
     )
