@@ -477,11 +477,23 @@ def encode_giants(texts: DataFrame, model: bytes, chunk: int = CHUNK, block: int
     spark = texts.sparkSession
     held = spark.sparkContext.broadcast(model)  # a vocabulary file, no larger than its model
     vocabulary = Vocabulary(model)
-    longest, prefix = vocabulary.longest, SPACE if vocabulary.prefix else ""
-    marked = F.concat(F.lit(prefix), F.translate("text", " ", SPACE))
-    cut = texts.select("key", marked.alias("m")).select("key", "m", F.explode(F.sequence(F.lit(0), F.floor((F.length("m") - 1) / chunk))).alias("c"))
-    pieces = cut.select("key", "c", F.col("m").substr((F.col("c") * chunk + 1).cast("int"), F.lit(chunk + longest - 1)).alias("t"), F.least(F.lit(chunk), F.length("m") - F.col("c") * chunk).cast("int").alias("size"))
-    pieces = stored(pieces.repartition("key", "c"))
+    longest = vocabulary.longest
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for key, text in zip(b.column(0), b.column(1), strict=True):
+                marked = mark(text.as_py())
+                starts = range(0, len(marked), chunk)
+                for at in range(0, len(starts), 64):
+                    some = starts[at : at + 64]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([key.as_py()] * len(some), pa.string()), pa.array([s // chunk for s in some], pa.int64()), pa.array([marked[s : s + chunk + longest - 1] for s in some], pa.string()), pa.array([min(chunk, len(marked) - s) for s in some], pa.int32())],
+                        ["key", "c", "t", "size"],
+                    )
+
+    dummy = vocabulary.prefix
+    mark = lambda text: (SPACE if dummy and text else "") + text.replace(" ", SPACE)
+    pieces = stored(texts.select("key", "text").mapInArrow(cut, "key string, c long, t string, size int").repartition("key", "c"))
 
     def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = _vocabulary(held)
@@ -489,7 +501,7 @@ def encode_giants(texts: DataFrame, model: bytes, chunk: int = CHUNK, block: int
             found = [_dump(v.transfer(t, n)) for t, n in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.binary())], ["key", "c", "m"])
 
-    chunks = stored(pieces.select("key", F.col("c").cast("long").alias("c"), "t", "size").mapInArrow(matrices, "key string, c long, m binary"))
+    chunks = stored(pieces.select("key", "c", "t", "size").mapInArrow(matrices, "key string, c long, m binary"))
 
     def combined(table: pa.Table) -> pa.Table:
         rows = sorted(zip(table["c"].to_pylist(), table["m"].to_pylist(), strict=True))
@@ -525,6 +537,51 @@ def encode_giants(texts: DataFrame, model: bytes, chunk: int = CHUNK, block: int
     return whole.select("key", F.flatten(F.transform("parts", lambda p: p["ids"])).alias("ids"), "score")
 
 
+def _whole(held, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text) -> (doc_id, text, ids, score), each text in one go."""
+    v = _vocabulary(held)
+    for b in slices(batches):
+        found = v.encode_all(b.column(1).to_pylist())
+        ends = np.cumsum([0, *(len(f[0]) for f in found)], dtype=np.int32)
+        flat = np.concatenate([f[0] for f in found]) if found else np.empty(0, "<i4")
+        ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int32()), mask=b.column(1).is_null())
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), ids, pa.array([float(f[1]) for f in found], pa.float64())], ["doc_id", "text", "ids", "score"])
+
+
+def _digested(held, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text, ids, score) -> the row of digests()."""
+    v = _vocabulary(held)
+    md5 = lambda raw: hashlib.md5(raw, usedforsecurity=False).hexdigest()
+    for b in slices(batches):
+        out = []
+        for text, ids in zip(b.column(1), b.column(2), strict=True):
+            if not ids.is_valid:
+                out.append((0, None, None, None))
+                continue
+            row = ids.values.to_numpy()
+            decoded = v.decode(row)
+            out.append((len(row), md5(row.astype("<i4").tobytes()), md5(decoded.encode()), decoded == text.as_py()))
+        n, i, d, r = zip(*out, strict=True) if out else ((), (), (), ())
+        yield pa.RecordBatch.from_arrays(
+            [b.column(0), pa.array(n, pa.int64()), pa.array(i, pa.string()), pa.array(d, pa.string()), pa.array(r, pa.bool_()), b.column(3)],
+            ["doc_id", "n_tokens", "ids_md5", "decoded_md5", "round_trip", "score"],
+        )
+
+
+CODED = "doc_id long, text string, ids array<int>, score double"
+DIGEST = "doc_id long, n_tokens long, ids_md5 string, decoded_md5 string, round_trip boolean, score double"
+
+
+def _split(docs: DataFrame, giant: int) -> tuple[DataFrame, DataFrame]:
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.where((F.length("text") <= giant) | F.col("text").isNull()), rows.where(F.length("text") > giant).withColumn("key", F.sha2("text", 256))
+
+
+def _coded_giants(large: DataFrame, model: bytes, chunk: int) -> DataFrame:
+    coded = encode_giants(large.select("key", "text").dropDuplicates(["key"]), model, chunk)
+    return large.join(coded, "key").select("doc_id", "text", "ids", "score")
+
+
 def encode(docs: DataFrame, model: bytes, giant: int = GIANT, chunk: int = CHUNK) -> DataFrame:
     """(doc_id, text, ids array<int>, score double) for every row of ``docs``; other columns are ignored.
 
@@ -533,23 +590,9 @@ def encode(docs: DataFrame, model: bytes, giant: int = GIANT, chunk: int = CHUNK
     that differ at a chunk boundary may be split differently by the scan.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
-
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = _vocabulary(held)
-        for b in slices(batches):
-            found = v.encode_all(b.column(1).to_pylist())
-            ends = np.cumsum([0, *(len(f[0]) for f in found)], dtype=np.int32)
-            flat = np.concatenate([f[0] for f in found]) if found else np.empty(0, "<i4")
-            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int32()), mask=b.column(1).is_null())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), ids, pa.array([float(f[1]) for f in found], pa.float64())], ["doc_id", "text", "ids", "score"])
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    large = rows.where(F.length("text") > giant).withColumn("key", F.sha2("text", 256))
-    small = rows.where((F.length("text") <= giant) | F.col("text").isNull()).mapInArrow(whole, "doc_id long, text string, ids array<int>, score double")
-    if large.isEmpty():
-        return small
-    coded = encode_giants(large.select("key", "text").dropDuplicates(["key"]), model, chunk)
-    return small.unionByName(large.join(coded, "key").select("doc_id", "text", "ids", "score"))
+    small, large = _split(docs, giant)
+    coded = small.mapInArrow(lambda batches: _whole(held, batches), CODED)
+    return coded if large.isEmpty() else coded.unionByName(_coded_giants(large, model, chunk))
 
 
 def decode(coded: DataFrame, model: bytes) -> DataFrame:
@@ -559,7 +602,8 @@ def decode(coded: DataFrame, model: bytes) -> DataFrame:
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = _vocabulary(held)
         for b in slices(batches):
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([None if i is None else v.decode(i) for i in b.column(1).to_pylist()], pa.string())], ["doc_id", "decoded"])
+            decoded = [v.decode(i.values.to_numpy()) if i.is_valid else None for i in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(decoded, pa.string())], ["doc_id", "decoded"])
 
     return coded.select("doc_id", "ids").mapInArrow(texts, "doc_id long, decoded string")
 
@@ -567,23 +611,12 @@ def decode(coded: DataFrame, model: bytes) -> DataFrame:
 def digests(coded: DataFrame, model: bytes) -> DataFrame:
     """Of each row of encode(): doc_id, n_tokens, ids_md5 (of the ids as little-endian 32-bit numbers), decoded_md5, round_trip, score."""
     held = coded.sparkSession.sparkContext.broadcast(model)
-    md5 = lambda raw: hashlib.md5(raw, usedforsecurity=False).hexdigest()
+    return coded.select("doc_id", "text", "ids", "score").mapInArrow(lambda batches: _digested(held, batches), DIGEST)
 
-    def digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = _vocabulary(held)
-        for b in slices(batches):
-            out = []
-            for text, ids in zip(b.column(1), b.column(2), strict=True):
-                if not ids.is_valid:
-                    out.append((0, None, None, None))
-                    continue
-                row = ids.values.to_numpy()
-                decoded = v.decode(row)
-                out.append((len(row), md5(row.astype("<i4").tobytes()), md5(decoded.encode()), decoded == text.as_py()))
-            n, i, d, r = zip(*out, strict=True) if out else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(n, pa.int64()), pa.array(i, pa.string()), pa.array(d, pa.string()), pa.array(r, pa.bool_()), b.column(3)],
-                ["doc_id", "n_tokens", "ids_md5", "decoded_md5", "round_trip", "score"],
-            )
-
-    return coded.select("doc_id", "text", "ids", "score").mapInArrow(digested, "doc_id long, n_tokens long, ids_md5 string, decoded_md5 string, round_trip boolean, score double")
+
+def round_trips(docs: DataFrame, model: bytes, giant: int = GIANT, chunk: int = CHUNK) -> DataFrame:
+    """digests(encode(docs)), with both steps in one worker so that ids needn't leave it."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+    small, large = _split(docs, giant)
+    rows = small.mapInArrow(lambda batches: _digested(held, _whole(held, batches)), DIGEST)
+    return rows if large.isEmpty() else rows.unionByName(digests(_coded_giants(large, model, chunk), model))
