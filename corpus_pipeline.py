@@ -39,7 +39,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document encoded and decoded again."""
     model = spm.load(spark, TOKENIZER)
-    return spm.digests(spm.encode(docs, model), model)
+    return spm.round_trips(docs, model)
 
 
 STAGES = [("language", language), ("lines", lines), ("near_copies", near_copies), ("mixture", mixture), ("tokens", tokens)]
