@@ -13,7 +13,8 @@ TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
 
 def op1_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    return bm25.top_k(docs, docs.where("doc_id % 50 = 0"))
+    found = bm25.top_k(docs, docs.where("doc_id % 50 = 0"))
+    return found.select("query_id", "rank", "doc_id", F.round("score", 6).alias("score"))
 
 
 def _first_day():
@@ -96,7 +97,7 @@ def op9_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = spm.load(spark, TOKENIZER)
-    return spm.digests(spm.encode(read(spark, sf_dir, "documents"), model), model)
+    return spm.round_trips(read(spark, sf_dir, "documents"), model)
 
 
 def queries() -> dict:
@@ -115,8 +116,22 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filter": OP2_SQL, "op5_mix": OP5_SQL, "op8_line_dedup": OP8_SQL}
-
+    return {"op1_bm25": OP1_SQL, "op2_url_filter": OP2_SQL, "op5_mix": OP5_SQL, "op8_line_dedup": OP8_SQL}
+
+
+OP1_SQL = r"""
+WITH words AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS t FROM documents
+), tf AS (SELECT doc_id, t, count(*) AS n FROM words GROUP BY ALL),
+dl AS (SELECT d.doc_id, coalesce(x.n, 0) AS n FROM documents d LEFT JOIN (SELECT doc_id, sum(n) AS n FROM tf GROUP BY 1) x USING (doc_id)),
+g AS (SELECT count(*) AS docs, greatest(1.0::DOUBLE, avg(n)) AS mean FROM dl),
+idf AS (SELECT t, ln(1 + (docs - count(*) + 0.5) / (count(*) + 0.5)) AS w FROM tf, g GROUP BY t, docs),
+scored AS (
+  SELECT q.doc_id AS query_id, d.doc_id, round(sum(w * q.n * 2.2::DOUBLE / (q.n + 1.2::DOUBLE) * d.n * 2.2::DOUBLE / (d.n + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl.n / mean))), 6) AS score
+  FROM tf q JOIN tf d USING (t) JOIN idf USING (t) JOIN dl ON dl.doc_id = d.doc_id, g WHERE q.doc_id % 50 = 0 GROUP BY ALL
+), ranked AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM scored)
+SELECT query_id, rank::INT AS rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
 
 OP2_SQL = r"""
 WITH captures AS (
