@@ -117,7 +117,7 @@ def design(rows: DataFrame, scaled: Scaled) -> tuple[np.ndarray, np.ndarray, np.
     table = rows.mapInArrow(featured, "y int, x array<int>").toArrow().combine_chunks()
     lists = table["x"].combine_chunks()
     lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-    return lists.offsets.to_numpy().astype(np.int64), lists.flatten().to_numpy().astype(np.int64), table["y"].to_numpy().astype(float)
+    return lists.offsets.to_numpy().astype(np.int64), lists.flatten().to_numpy(), table["y"].to_numpy().astype(float)
 
 
 @dataclass
@@ -158,7 +158,7 @@ def scored(docs: DataFrame, model: Linear, threshold: float = 0.7) -> DataFrame:
 
 
 def fitted(docs: DataFrame, labels: DataFrame, label: str, fit, sample: int = SAMPLE) -> Linear:
-    """Sample, count, select, and hand the scaled features to ``fit(starts, columns, values, y)`` -> weights, bias, slope, shift.
+    """Sample, count, select, and hand the features to ``fit(starts, columns, ratios, y)`` -> weights, bias, slope, shift.
 
     Without rows of both classes the model scores the only class seen, 0 if there is none.
     """
@@ -168,7 +168,7 @@ def fitted(docs: DataFrame, labels: DataFrame, label: str, fit, sample: int = SA
         if not n0 or not n1:
             return Linear(scaled, np.empty(0), 0.0, prior=float(n1 > 0))
         starts, columns, y = design(rows, scaled)
-        weights, bias, slope, shift = fit(starts, columns, scaled.ratios[columns], y, len(scaled.buckets))
+        weights, bias, slope, shift = fit(starts, columns, scaled.ratios, y)
         return Linear(scaled, weights, bias, slope, shift)
     finally:
         rows.unpersist()

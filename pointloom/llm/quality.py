@@ -8,34 +8,39 @@ from pyspark.sql import DataFrame
 from pointloom.llm import ngrams
 
 COST = 0.003
+#: Value of the constant feature: the larger, the less the bias is penalised.
+CONSTANT = 3.0
 EPOCHS = 30
 
 
-def descend(starts, columns, values, y, width: int, rows: np.ndarray, cost: float = COST) -> np.ndarray:
+def descend(starts, columns, ratios, y, rows: np.ndarray, cost: float = COST) -> np.ndarray:
     """Dual coordinate descent for the hinge loss over some rows; weights with the bias last."""
-    w = np.zeros(width + 1)
+    w = np.zeros(len(ratios) + 1)
     alpha = np.zeros(len(y))
     sign = np.where(y > 0, 1.0, -1.0)
-    norm = np.array([values[starts[i] : starts[i + 1]] @ values[starts[i] : starts[i + 1]] + 1.0 for i in range(len(y))])
+    squares = ratios * ratios
+    norm = np.array([squares[columns[starts[i] : starts[i + 1]]].sum() + CONSTANT * CONSTANT for i in range(len(y))])
     order = np.random.default_rng(7)
     for _ in range(EPOCHS):
         moved = 0.0
         for i in order.permutation(rows):
-            c, v = columns[starts[i] : starts[i + 1]], values[starts[i] : starts[i + 1]]
-            slack = sign[i] * (v @ w[c] + w[-1]) - 1.0
+            c = columns[starts[i] : starts[i + 1]]
+            v = ratios[c]
+            slack = sign[i] * (v @ w[c] + CONSTANT * w[-1]) - 1.0
             new = min(max(alpha[i] - slack / norm[i], 0.0), cost)
             if change := (new - alpha[i]) * sign[i]:
                 alpha[i] = new
                 w[c] += change * v
-                w[-1] += change
+                w[-1] += CONSTANT * change
                 moved = max(moved, abs(change))
         if moved < 1e-4 * cost:
             break
     return w
 
 
-def margins(starts, columns, values, w: np.ndarray, n: int) -> np.ndarray:
-    return np.bincount(np.repeat(np.arange(n), np.diff(starts)), values * w[columns], n) + w[-1]
+def margins(starts, columns, ratios, w: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    scaled = w[:-1] * ratios
+    return np.array([scaled[columns[starts[i] : starts[i + 1]]].sum() for i in rows]) + CONSTANT * w[-1]
 
 
 def calibrated(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -54,16 +59,17 @@ def calibrated(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(max(ab[0], 1e-3)), float(ab[1])
 
 
-def hinge(starts, columns, values, y, width: int):
+def hinge(starts, columns, ratios, y):
     """Weights from all rows; the map from margin to score from fifths that their own model didn't see."""
     n = len(y)
     fold = np.random.default_rng(11).permutation(n) % 5
     out = np.zeros(n)
     for k in range(5):
-        out[fold == k] = margins(starts, columns, values, descend(starts, columns, values, y, width, np.flatnonzero(fold != k)), n)[fold == k]
+        w = descend(starts, columns, ratios, y, np.flatnonzero(fold != k))
+        out[fold == k] = margins(starts, columns, ratios, w, np.flatnonzero(fold == k))
     slope, shift = calibrated(out, y)
-    w = descend(starts, columns, values, y, width, np.arange(n))
-    return w[:-1], float(w[-1]), slope, shift
+    w = descend(starts, columns, ratios, y, np.arange(n))
+    return w[:-1], float(CONSTANT * w[-1]), slope, shift
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = ngrams.SAMPLE) -> ngrams.Linear:

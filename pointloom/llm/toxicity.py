@@ -11,12 +11,12 @@ RIDGE = 3.0
 STEPS = 30
 
 
-def newton(starts: np.ndarray, columns: np.ndarray, values: np.ndarray, y: np.ndarray, width: int, ridge: float = RIDGE):
+def newton(starts: np.ndarray, columns: np.ndarray, ratios: np.ndarray, y: np.ndarray, ridge: float = RIDGE):
     """Weights and bias of ridge logistic regression by Newton steps with conjugate gradients.
 
     The bias is the last weight and is hardly penalised. Returned with slope 1 and shift 0.
     """
-    n = len(y)
+    n, width, values = len(y), len(ratios), ratios[columns]
     row = np.repeat(np.arange(n), np.diff(starts))
     penalty = np.append(np.full(width, ridge), 1e-6)
     times = lambda w: np.bincount(row, values * w[columns], n) + w[-1]
