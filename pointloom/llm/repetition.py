@@ -24,9 +24,10 @@ from pointloom.llm.common import slices
 
 MIN_WORDS = 5
 MAX_COVERED = 0.2
-#: Longest repeat that is let pass: so many words, or so large a share of the text if that is more.
+#: Longest repeat that is let pass, in words. A share of the text may be let pass if that is more; none is by default,
+#: as the base rule already bounds a repeat to half of MAX_REPEAT_PERCENT of the text.
 MAX_LONGEST = 50
-MAX_LONGEST_SHARE = 0.1
+MAX_LONGEST_SHARE = 0.0
 #: Rules on the text itself: fewest words, most percent of words in repeated windows.
 LEAST_WORDS = 10
 MAX_REPEAT_PERCENT = 20
@@ -171,7 +172,7 @@ def repetition(docs: DataFrame, max_covered: float = MAX_COVERED, max_longest: i
     covered is the share of word characters in repeats of MIN_WORDS words and more,
     longest_repeat the words of the longest repeat. A text is kept if it passes the base
     rules, covered is at most ``max_covered`` and longest_repeat at most ``max_longest``
-    words or ``max_share`` of the text. Null and empty texts have no words and fail.
+    words, whatever the length of the text, or ``max_share`` of it if that is more. Null and empty texts have no words and fail.
     """
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_measure, FIELDS)
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))

@@ -397,6 +397,15 @@ def test_repetition_is_brute_force(spark, sf_dir, odd, none):
     assert repetition.repetition(none).count() == 0
 
 
+def test_one_long_repeat_in_a_long_text(spark):
+    """Repeats of 50 words pass in a text of any length, longer ones that pass the base rules do not."""
+    fresh = lambda name, n: [f"{name}{i}" for i in range(n)]
+    texts = {n: " ".join([*fresh("a", 9000), *fresh("p", n), *fresh("b", 9000 - 2 * n), *fresh("p", n), *fresh("c", 2000)]) for n in (50, 51, 1900)}
+    got = {r.doc_id: r for r in repetition.repetition(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert all(not r.base_failed and r.covered <= repetition.MAX_COVERED and r.longest_repeat == n for n, r in got.items())
+    assert {n: r.kept for n, r in got.items()} == {50: True, 51: False, 1900: False}
+
+
 def test_suffix_repeats_random():
     r = random.Random(3)
     for _ in range(150):
