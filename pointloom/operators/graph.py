@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import math
+import tempfile
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -35,12 +38,24 @@ def short(a: DataFrame, found: DataFrame, k: int) -> DataFrame:
     return a.join(full, "id", "left_anti")
 
 
+def _cut(df: DataFrame) -> DataFrame:
+    """``df`` computed once, at most k rows a point, and without its plan, which would double with each radius; in a local folder only where none is named, as in tests."""
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pointloom-"))
+    return df.checkpoint()
+
+
 def k_nearest(a: DataFrame, b: DataFrame, k: int, radius: float, limit: float, axes: Sequence[str] = AXES, keep: Sequence[str] = ("id",), same: bool = False) -> DataFrame:
-    """nearest() with the radius doubled, up to ``limit``, for the points that lack neighbours."""
+    """nearest() with the radius doubled, up to ``limit``, for the points that lack neighbours, as long as there are any."""
     left, out = a, None
     while True:
         found = nearest(left, b, k, radius, axes, keep, same)
+        if radius < limit:
+            found = _cut(found)
         rest = short(left, found, k)
+        if radius < limit and rest.isEmpty():
+            radius = limit
         done = found if radius >= limit else found.join(rest.select(F.col("id").alias("a_id")), "a_id", "left_anti")
         out = done if out is None else out.unionByName(done)
         if radius >= limit:
@@ -48,12 +63,24 @@ def k_nearest(a: DataFrame, b: DataFrame, k: int, radius: float, limit: float, a
         left, radius = rest, min(2 * radius, limit)
 
 
+def _span(axes: Sequence[str], *catalogs: DataFrame) -> float:
+    """A length above all distances between points of the catalogs, from one row of extents; 0 if there are no points."""
+    x = [F.when(F.abs(c) < float("inf"), c).alias(a) for a in axes for c in [F.col(a).cast("double")]]
+    every = reduce(DataFrame.unionAll, [df.select(*x) for df in catalogs])
+    sides = every.agg(*[(F.max(a) - F.min(a)).alias(a) for a in axes]).first()
+    return 1.001 * math.hypot(*[s or 0.0 for s in sides])
+
+
 def conditional_mean(new: DataFrame, known: DataFrame, covariance: Callable[[np.ndarray], np.ndarray], k: int, radius: float, noise: float = 1e-6, axes: Sequence[str] = AXES) -> DataFrame:
     """(id, mean): Gaussian conditional mean at new points given ``value`` of their k nearest known points.
 
-    A covariance of distances is solved for each point in an Arrow group of k rows.
+    The search starts at ``radius`` and widens to the whole catalog for points that lack
+    neighbours. A covariance of distances is solved for each point in an Arrow group of k
+    rows (all known points if they are fewer). Each id of ``new`` has a row: where no known
+    point has a distance, as with none or without coordinates, the mean is that of the prior, 0.
     """
-    n = nearest(new.withColumn("value", F.lit(0.0)), known, k, radius, axes, ("id", "value"))
+    limit = max(radius, _span(axes, new, known))
+    n = k_nearest(new.withColumn("value", F.lit(0.0)), known, k, radius, limit, axes, ("id", "value"))
     columns = [f"b_{x}" for x in axes]
 
     def solve(table: pa.Table) -> pa.Table:
@@ -63,7 +90,8 @@ def conditional_mean(new: DataFrame, known: DataFrame, covariance: Callable[[np.
         mean = covariance(np.sqrt(((x - at) ** 2).sum(-1))) @ np.linalg.solve(c, table["b_value"].to_numpy())
         return pa.table({"id": table["a_id"][:1], "mean": pa.array([float(mean)])})
 
-    return n.groupBy("a_id").applyInArrow(solve, "id long, mean double")
+    solved = n.groupBy("a_id").applyInArrow(solve, "id long, mean double")
+    return new.select(F.col("id").cast("long").alias("id")).distinct().join(solved, "id", "left").select("id", F.coalesce("mean", F.lit(0.0)).alias("mean"))
 
 
 def three_point(data: DataFrame, randoms: DataFrame, sides: Sequence[float], width: float, axes: Sequence[str] = AXES) -> DataFrame:

@@ -278,6 +278,29 @@ def test_conditional_mean_passes_through_known_points(spark):
     assert got == pytest.approx({r[0]: r[4] for r in rows}, abs=1e-2)
 
 
+def test_conditional_mean_in_voids(spark):
+    """Points with few or no known points within the radius take the k nearest of the whole catalog; none vanishes."""
+    import numpy as np
+
+    from pointloom.operators import graph
+
+    rows = [(i, (i * 37) % 11 * 1.0, (i * 53) % 13 * 1.0, (i * 71) % 17 * 1.0, float(i % 5)) for i in range(30)] + [(30, 400.0, 0.0, 0.0, 7.0)]
+    points = [(1, 5.0, 5.0, 5.0), (2, 100.0, 90.0, -80.0), (3, 399.0, 0.0, 0.0), (4, -3000.0, 0.0, 0.0), (5, None, 0.0, 0.0)]
+    known = spark.createDataFrame(rows, "id long, c0 double, c1 double, c2 double, value double")
+    new = spark.createDataFrame(points, "id long, c0 double, c1 double, c2 double")
+    covariance = lambda r: np.exp(-r / 500.0)
+
+    def brute(at, k):
+        x = np.array(sorted(rows, key=lambda r: (d2((0, *at), r), r[0]))[:k])
+        c = covariance(np.sqrt(((x[:, None, 1:4] - x[None, :, 1:4]) ** 2).sum(-1))) + 1e-6 * np.eye(len(x))
+        return covariance(np.sqrt(((x[:, 1:4] - at) ** 2).sum(-1))) @ np.linalg.solve(c, x[:, 4])
+
+    for k in (6, 50):
+        got = {r.id: r["mean"] for r in graph.conditional_mean(new, known, covariance, k, 8.0).collect()}
+        assert got == pytest.approx({p[0]: 0.0 if p[1] is None else brute(p[1:], k) for p in points}, abs=1e-6)
+    assert {r.id: r["mean"] for r in graph.conditional_mean(new, known.limit(0), covariance, 6, 8.0).collect()} == {p[0]: 0.0 for p in points}
+
+
 def test_regions_are_balanced(spark):
     from pointloom.operators import fields
 
