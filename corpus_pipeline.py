@@ -37,9 +37,9 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document encoded and decoded again."""
+    """The token ids of each document, and whether they decode to its text."""
     model = spm.load(spark, TOKENIZER)
-    return spm.round_trips(docs, model)
+    return spm.tokenised(docs, model)
 
 
 STAGES = [("language", language), ("lines", lines), ("near_copies", near_copies), ("mixture", mixture), ("tokens", tokens)]

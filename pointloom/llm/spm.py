@@ -568,8 +568,18 @@ def _digested(held, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         )
 
 
+def _verified(held, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text, ids, score) -> the row of tokenised()."""
+    v = _vocabulary(held)
+    for b in slices(batches):
+        coded = [(len(ids.values), v.decode(ids.values.to_numpy()) == text.as_py()) if ids.is_valid else (0, None) for text, ids in zip(b.column(1), b.column(2), strict=True)]
+        n, r = zip(*coded, strict=True) if coded else ((), ())
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n, pa.int64()), pa.array(r, pa.bool_()), b.column(3)], ["doc_id", "ids", "n_tokens", "round_trip", "score"])
+
+
 CODED = "doc_id long, text string, ids array<int>, score double"
 DIGEST = "doc_id long, n_tokens long, ids_md5 string, decoded_md5 string, round_trip boolean, score double"
+TOKENISED = "doc_id long, ids array<int>, n_tokens long, round_trip boolean, score double"
 
 
 def _split(docs: DataFrame, giant: int) -> tuple[DataFrame, DataFrame]:
@@ -614,9 +624,19 @@ def digests(coded: DataFrame, model: bytes) -> DataFrame:
     return coded.select("doc_id", "text", "ids", "score").mapInArrow(lambda batches: _digested(held, batches), DIGEST)
 
 
-def round_trips(docs: DataFrame, model: bytes, giant: int = GIANT, chunk: int = CHUNK) -> DataFrame:
-    """digests(encode(docs)), with both steps in one worker so that ids needn't leave it."""
+def _tripped(docs: DataFrame, model: bytes, giant: int, chunk: int, rows, schema: str) -> DataFrame:
+    """``rows`` of encode(docs), with both steps in one worker so that texts needn't leave it."""
     held = docs.sparkSession.sparkContext.broadcast(model)
     small, large = _split(docs, giant)
-    rows = small.mapInArrow(lambda batches: _digested(held, _whole(held, batches)), DIGEST)
-    return rows if large.isEmpty() else rows.unionByName(digests(_coded_giants(large, model, chunk), model))
+    found = small.mapInArrow(lambda batches: rows(held, _whole(held, batches)), schema)
+    return found if large.isEmpty() else found.unionByName(_coded_giants(large, model, chunk).mapInArrow(lambda batches: rows(held, batches), schema))
+
+
+def round_trips(docs: DataFrame, model: bytes, giant: int = GIANT, chunk: int = CHUNK) -> DataFrame:
+    """digests(encode(docs))."""
+    return _tripped(docs, model, giant, chunk, _digested, DIGEST)
+
+
+def tokenised(docs: DataFrame, model: bytes, giant: int = GIANT, chunk: int = CHUNK) -> DataFrame:
+    """Of each row of encode(): doc_id, ids, n_tokens, round_trip (whether the decoded ids are the text) and score; a null text has null ids and round_trip."""
+    return _tripped(docs, model, giant, chunk, _verified, TOKENISED)

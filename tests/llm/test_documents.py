@@ -525,6 +525,20 @@ def test_sentencepiece_odd_rows(odd, none, model):
     assert spm.round_trips(none, model).count() == 0
 
 
+def test_tokens_stage_returns_the_ids(spark, odd, none, model):
+    import corpus_pipeline
+
+    v = spm.Vocabulary(model)
+    rows = corpus_pipeline.tokens(spark, odd[1], None).collect()
+    assert len(rows) == len(odd[0]) and all(r.n_tokens == len(r.ids or []) for r in rows)
+    texts = sorted((str(r.doc_id), str(None if r.ids is None else v.decode(np.array(r.ids, np.int32)))) for r in rows)
+    assert texts == sorted((str(r[0]), str(r[1])) for r in odd[0])
+    assert all(r.round_trip is (None if r.ids is None else True) for r in rows)
+    for giant in (1000, spm.GIANT):  # the parallel scan and the whole search
+        assert all(r.round_trip for r in spm.tokenised(odd[1], model, giant, 300).where("ids is not null").collect())
+    assert spm.tokenised(none, model).count() == 0
+
+
 # -- pipeline ---------------------------------------------------------------------------
 
 
