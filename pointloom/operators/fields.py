@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pointloom.functions.coords import ACCURACY
 from pointloom.functions.healpix import pixel
 from pointloom.operators.cells import ratio
 
@@ -26,7 +27,7 @@ def count_map(points: DataFrame, nside: int, ra: str = "ra", sin_dec: str = "u",
 def completeness_map(randoms: DataFrame, nside: int, weight: str | None = None, **columns: str) -> DataFrame:
     """(pix, completeness): weighted counts over the median of the populated pixels, at most 1."""
     m = count_map(randoms, nside, weight=weight, **columns)
-    middle = m.where("n > 0").agg(F.median("n").alias("middle"))
+    middle = m.where("n > 0").agg(F.percentile_approx("n", 0.5, ACCURACY).alias("middle"))
     return m.crossJoin(F.broadcast(middle)).select("pix", F.least(F.lit(1.0), F.coalesce(ratio(F.col("n"), F.col("middle")), F.lit(0.0))).alias("completeness"))
 
 
@@ -93,8 +94,8 @@ def environment_means(df: DataFrame, by: str, labels: Sequence[str]) -> DataFram
 
 
 def median_split(df: DataFrame, label: str) -> DataFrame:
-    """``df`` with half: 1 above the median of a label, else 0; a null label has none."""
-    return df.crossJoin(F.broadcast(df.agg(F.median(label).alias("_m")))).withColumn("half", F.when(F.col(label).isNotNull(), (F.col(label) > F.col("_m")).cast("int"))).drop("_m")
+    """``df`` with half: 1 above the median of a label (the lower of two in the middle), else 0; a null label has none."""
+    return df.crossJoin(F.broadcast(df.agg(F.percentile_approx(label, 0.5, ACCURACY).alias("_m")))).withColumn("half", F.when(F.col(label).isNotNull(), (F.col(label) > F.col("_m")).cast("int"))).drop("_m")
 
 
 def tidal_split(df: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 import tempfile
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
 import numpy as np
@@ -39,10 +39,13 @@ def short(a: DataFrame, found: DataFrame, k: int) -> DataFrame:
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once, at most k rows a point, and without its plan, which would double with each radius; in a local folder only where none is named, as in tests."""
+    """``df`` computed once, at most k rows a point, and without its plan, which would double with each radius; in a local folder only in local mode, where none is named."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pointloom-"))
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="pointloom-"))
     return df.checkpoint()
 
 
@@ -75,22 +78,33 @@ def conditional_mean(new: DataFrame, known: DataFrame, covariance: Callable[[np.
     """(id, mean): Gaussian conditional mean at new points given ``value`` of their k nearest known points.
 
     The search starts at ``radius`` and widens to the whole catalog for points that lack
-    neighbours. A covariance of distances is solved for each point in an Arrow group of k
-    rows (all known points if they are fewer). Each id of ``new`` has a row: where no known
+    neighbours. A covariance of distances is solved for batches of points with as many
+    neighbours (k, or all known points if they are fewer). Each id of ``new`` has a row: where no known
     point has a distance, as with none or without coordinates, the mean is that of the prior, 0.
     """
     limit = max(radius, _span(axes, new, known))
     n = k_nearest(new.withColumn("value", F.lit(0.0)), known, k, radius, limit, axes, ("id", "value"))
-    columns = [f"b_{x}" for x in axes]
-
-    def solve(table: pa.Table) -> pa.Table:
-        x = np.stack([table[c].to_numpy().astype(float) for c in columns], axis=1)
-        at = np.array([table[f"a_{x}"][0].as_py() for x in axes], float)
-        c = covariance(np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))) + noise * np.eye(len(x))
-        mean = covariance(np.sqrt(((x - at) ** 2).sum(-1))) @ np.linalg.solve(c, table["b_value"].to_numpy())
-        return pa.table({"id": table["a_id"][:1], "mean": pa.array([float(mean)])})
-
-    solved = n.groupBy("a_id").applyInArrow(solve, "id long, mean double")
+    mine = F.first(F.array(*[F.col(f"a_{x}").cast("double") for x in axes])).alias("at")
+    near = n.groupBy("a_id").agg(mine, F.collect_list(F.struct(F.array(*[F.col(f"b_{x}").cast("double") for x in axes]).alias("x"), F.col("b_value").cast("double").alias("v"))).alias("near"))  # k rows a point
+    d = len(axes)
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(2)
+            sizes, rows = lists.value_lengths().to_numpy(), lists.flatten()
+            x, v = rows.field(0).flatten().to_numpy().reshape(-1, d), rows.field(1).to_numpy()
+            at, starts = batch.column(1).flatten().to_numpy().reshape(-1, d), np.cumsum(sizes) - sizes
+            mean = np.empty(len(sizes))
+            for m in np.unique(sizes):  # points with as many neighbours are solved together
+                of = np.flatnonzero(sizes == m)
+                rows_of = starts[of][:, None] + np.arange(m)
+                xs = x[rows_of]
+                c = covariance(np.sqrt(((xs[:, :, None] - xs[:, None]) ** 2).sum(-1))) + noise * np.eye(m)
+                own = covariance(np.sqrt(((xs - at[of][:, None]) ** 2).sum(-1)))
+                mean[of] = (own * np.linalg.solve(c, v[rows_of][..., None])[..., 0]).sum(-1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(mean)], ["id", "mean"])
+
+    solved = near.select(F.col("a_id").cast("long").alias("id"), "at", "near").mapInArrow(solve, "id long, mean double")
     return new.select(F.col("id").cast("long").alias("id")).distinct().join(solved, "id", "left").select("id", F.coalesce("mean", F.lit(0.0)).alias("mean"))
 
 

@@ -111,10 +111,15 @@ def pair_tensor(data: DataFrame, edges: Sequence[float], axes: Sequence[str] = A
 def triangles(data: DataFrame, target: float, width: float, axes: Sequence[str] = AXES, box: float | None = None) -> DataFrame:
     """(id, n): triangles at each vertex all of whose sides lie within ``width`` of ``target``."""
     low, high = (target - width) ** 2, (target + width) ** 2
-    e = self_pairs(data, target + width, axes, ("id",), box, closed=True).where((F.col("d2") >= F.lit(low)) & (F.col("d2") <= F.lit(high))).select(F.col("a_id").alias("i"), F.col("b_id").alias("j"))
-    second = e.select(F.col("i").alias("j"), F.col("j").alias("k"))
-    third = e.select("i", F.col("j").alias("k"))
-    found = e.join(second, "j").join(third, ["i", "k"])
+    near = self_pairs(data, target + width, axes, ("id",), box, closed=True).where((F.col("d2") >= F.lit(low)) & (F.col("d2") <= F.lit(high))).select("a_id", "b_id")
+    degree = near.select(F.explode(F.array("a_id", "b_id")).alias("id")).groupBy("id").agg(F.count("*").alias("n"))
+    ends = near.join(degree.select(F.col("id").alias("a_id"), F.col("n").alias("a_n")), "a_id").join(degree.select(F.col("id").alias("b_id"), F.col("n").alias("b_n")), "b_id")
+    # edges point to the end with more of them, ties by id, so that a hub's edges do not meet each other
+    up = F.struct("a_n", "a_id") < F.struct(F.col("b_n").alias("a_n"), F.col("b_id").alias("a_id"))
+    e = ends.select(F.when(up, F.col("a_id")).otherwise(F.col("b_id")).alias("i"), F.when(up, F.col("b_id")).otherwise(F.col("a_id")).alias("j"))
+    one, two = e.select("i", "j"), e.select("i", F.col("j").alias("k"))
+    wedges = one.join(two, "i").where("j <> k")  # of the two orders of a wedge the one that is an edge meets it
+    found = wedges.join(e.select(F.col("i").alias("j"), F.col("j").alias("k")), ["j", "k"])
     return found.select(F.explode(F.array("i", "j", "k")).alias("id")).groupBy("id").agg(F.count("*").alias("n"))
 
 
@@ -124,12 +129,13 @@ def rp_pi_counts(a: DataFrame, b: DataFrame | None, rp_edges: Sequence[float], p
     keep = tuple(dict.fromkeys(x for x in ("id", weight, z) if x))
     p = self_pairs(a, reach, axes, keep) if b is None else pairs(a, b, reach, axes, keep)
     rp, pi = bisector([F.col(f"a_{x}") for x in axes], [F.col(f"b_{x}") for x in axes])
-    by = ["rp_bin", "pi_bin"]
-    q = p.withColumn("_rp", rp).withColumn("_pi", pi).withColumn("rp_bin", bin_of(F.col("_rp"), rp_edges)).withColumn("pi_bin", bin_of(F.col("_pi"), pi_edges))
-    if z:
-        q, by = q.withColumn("z_bin", bin_of((F.col(f"a_{z}") + F.col(f"b_{z}")) / 2, z_edges)), [*by, "z_bin"]
     product = F.col(f"a_{weight}") * F.col(f"b_{weight}") if weight else F.lit(1.0)
-    return q.where(reduce(lambda x, y: x & y, [F.col(c).isNotNull() for c in by])).groupBy(*by).agg(F.count("*").alias("npairs"), F.sum(product).cast("double").alias("wpairs"))
+    q = p.select(rp.alias("rp"), pi.alias("pi"), product.alias("product"), *([((F.col(f"a_{z}") + F.col(f"b_{z}")) / 2).alias("z")] if z else []))
+    by = {"rp_bin": bin_of(F.col("rp"), rp_edges), "pi_bin": bin_of(F.col("pi"), pi_edges), **({"z_bin": bin_of(F.col("z"), z_edges)} if z else {})}
+    # pairs outside are dropped as groups, by an aggregate: a filter on bins would go into the join's condition, with all of bisector() in it
+    sums = q.select("product", *[F.coalesce(c, F.lit(-1)).alias(k) for k, c in by.items()]).groupBy(*by).agg(
+        F.count("*").alias("npairs"), F.sum("product").cast("double").alias("wpairs"), F.max(F.least(*by)).alias("least"))
+    return sums.where("least >= 0").drop("least")
 
 
 def _ls_grid(data: DataFrame, randoms: DataFrame, counts: Sequence[DataFrame], by: Sequence[str], every: DataFrame) -> DataFrame:

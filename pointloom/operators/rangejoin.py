@@ -21,11 +21,12 @@ def _cell(axis: str, size: float) -> Column:
     return F.floor(F.col(axis) / F.lit(size)).cast("long")
 
 
-def pairs(a: DataFrame, b: DataFrame, radius: float, axes: Sequence[str] = AXES, keep: Sequence[str] = ("id",), box: float | None = None, closed: bool = False) -> DataFrame:
+def pairs(a: DataFrame, b: DataFrame, radius: float, axes: Sequence[str] = AXES, keep: Sequence[str] = ("id",), box: float | None = None, closed: bool = False, once: bool = False) -> DataFrame:
     """All (a, b) pairs with d2 < radius^2 (<= if ``closed``): columns a_*, b_* of ``keep`` and the axes, and d2.
 
     With ``box`` axes lie in [0, box) and the shortest image counts; 2 * radius may not exceed
-    it. Points without coordinates meet nothing.
+    it. Points without coordinates meet nothing. With ``once`` a and b are one catalog and each
+    pair of ids comes once, either way round: one of each two opposite neighbour cells is asked.
     """
     if box is not None and 2 * radius > box:
         raise ValueError("the radius is larger than half the box")
@@ -35,13 +36,17 @@ def pairs(a: DataFrame, b: DataFrame, radius: float, axes: Sequence[str] = AXES,
     cells = [_cell(x, size) for x in axes]
     if n is not None:
         cells = [F.least(c, F.lit(n - 1)) for c in cells]
-    shifts = sorted({tuple(s if n is None else s % n for s in o) for o in product((-1, 0, 1), repeat=len(axes))})
+    halved = once and (n is None or n > 2)  # in one or two cells a side opposite neighbours are one cell
+    offsets = [o for o in product((-1, 0, 1), repeat=len(axes)) if not halved or o >= (0,) * len(axes)]
+    shifts = sorted({tuple(s if n is None else s % n for s in o) for o in offsets})
     left = a.select(*[F.col(c).alias(f"a_{c}") for c in columns], *[c.alias(f"_g{i}") for i, c in enumerate(cells)])
-    around = F.inline(F.array(*[F.struct(*[F.lit(s).alias(f"_s{i}") for i, s in enumerate(o)]) for o in shifts]))
+    around = F.inline(F.array(*[F.struct(*[F.lit(s).alias(f"_s{i}") for i, s in enumerate(o)], F.lit(not any(o)).alias("_own")) for o in shifts]))
     spread = b.select(*[F.col(c).alias(f"b_{c}") for c in columns], *[c.alias(f"_c{i}") for i, c in enumerate(cells)], around)
     moved = [F.col(f"_c{i}") + F.col(f"_s{i}") for i in range(len(axes))]
-    right = spread.select(*[f"b_{c}" for c in columns], *[(m if n is None else F.pmod(m, F.lit(n))).alias(f"_g{i}") for i, m in enumerate(moved)])
+    right = spread.select(*[f"b_{c}" for c in columns], *([F.col("_own")] if once else []), *[(m if n is None else F.pmod(m, F.lit(n))).alias(f"_g{i}") for i, m in enumerate(moved)])
     met = left.join(right, [f"_g{i}" for i in range(len(axes))])
+    if once:
+        met = met.where((F.col("a_id") < F.col("b_id")) | ~F.col("_own") if halved else F.col("a_id") < F.col("b_id"))
     gaps = [F.col(f"b_{x}") - F.col(f"a_{x}") for x in axes]
     if box is not None:
         gaps = [F.least(F.abs(g), F.lit(box) - F.abs(g)) for g in gaps]
@@ -52,8 +57,8 @@ def pairs(a: DataFrame, b: DataFrame, radius: float, axes: Sequence[str] = AXES,
 
 
 def self_pairs(points: DataFrame, radius: float, axes: Sequence[str] = AXES, keep: Sequence[str] = ("id",), box: float | None = None, closed: bool = False) -> DataFrame:
-    """Unordered pairs of one catalog (a_id < b_id); see pairs()."""
-    return pairs(points, points, radius, axes, keep, box, closed).where("a_id < b_id")
+    """Unordered pairs of different ids of one catalog, either end as a; see pairs()."""
+    return pairs(points, points, radius, axes, keep, box, closed, once=True)
 
 
 def grid_pairs_d(a: DataFrame, b: DataFrame, radius: float, vector: str, dims: Sequence[int]) -> DataFrame:

@@ -30,11 +30,11 @@ def random_offsets(n: int, magnitude: float, d: int, seed: int = 0) -> list[tupl
 
 
 def log_resizings(low: float, high: float, per_decade: float, d: int) -> list[tuple]:
-    """Runs at scales from low to high, ``per_decade`` a decade of volume, 1 always among them; equal within 1e-6 once."""
+    """Runs at scales from low to high, ``per_decade`` a decade of volume; both ends, and 1 where it lies between, are among them. Scales within 1e-6 come once."""
     step = 1 / (d * per_decade)
-    n = max(0, math.floor((math.log10(high) - math.log10(low)) / step + 1e-9))
-    scales = sorted({round(10 ** (math.log10(low) + k * step), 12) for k in range(n + 1)} | {1.0})
-    kept = [s for i, s in enumerate(scales) if i == 0 or s - scales[i - 1] > 1e-6]
+    n = max(0, math.ceil((math.log10(high) - math.log10(low)) / step - 1e-9))
+    scales = sorted([min(high, low * 10 ** (k * step)) for k in range(n + 1)] + [s for s in (1.0,) if low <= s <= high])
+    kept = [s for i, s in enumerate(scales) if i == 0 or s - scales[i - 1] >= 1e-6]
     return [(f"scale_{s:.6g}", s, *[0.0] * d) for s in kept]
 
 

@@ -423,7 +423,7 @@ def knn_cross_dr(spark, d):
 
 @query("count_pmf", sql(caps_sql("c", "sky_d", "sky_d", True) + f" SELECT t::INT AS t, iq, jn::INT AS jn, k::INT AS k, round(avg((least(n, {KMAX}) = k)::INT), 6) AS p FROM c, range({KMAX + 1}) k(k) GROUP BY ALL", "sky_d"))
 def count_pmf(spark, d):
-    c = _counts(spark, d, "dd").persist()
+    c = _counts(spark, d, "dd")
     return knn.count_pmf(knn.knn_ladder(c, KMAX), knn.knn_moments(c)).select("t", "iq", "jn", "k", *r6("p"))
 
 
@@ -646,7 +646,7 @@ def partial_corr(spark, d):
 
 
 @query("environment_means", sql("""
-, m AS (SELECT median(c0) AS m FROM pts_d) SELECT half, count(*) AS n, round(avg(w), 6) AS mean_w, round(avg(c1), 6) AS mean_c1 FROM (SELECT *, (c0 > m)::INT AS half FROM pts_d, m) GROUP BY half""", "pts_d"))
+, m AS (SELECT quantile_disc(c0, 0.5) AS m FROM pts_d) SELECT half, count(*) AS n, round(avg(w), 6) AS mean_w, round(avg(c1), 6) AS mean_c1 FROM (SELECT *, (c0 > m)::INT AS half FROM pts_d, m) GROUP BY half""", "pts_d"))
 def environment_means(spark, d):
     return fields.environment_means(fields.median_split(view(spark, d, "pts_d"), "c0"), "half", ["w", "c1"]).select("half", "n", *r6("mean_w", "mean_c1"))
 

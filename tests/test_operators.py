@@ -2,6 +2,7 @@
 
 import math
 import random
+from collections import Counter
 from itertools import combinations
 
 import pytest
@@ -337,3 +338,20 @@ def test_basis_fit_of_shells(spark):
     shells = spark.createDataFrame([(10.0, 2.0, 0.1), (100.0, 1.0, 0.1), (1000.0, 0.5, 0.1), (50.0, None, 0.1)], "r double, xi double, var double")
     c, chi2 = multirun.fit_xi_continuous(shells, [10.0, 100.0, 1000.0])
     assert c == pytest.approx([2.0, 1.0, 0.5], abs=1e-6) and chi2 == pytest.approx(0, abs=1e-9)
+
+
+def test_resizings_reach_both_ends():
+    scales = lambda *a: [r[1] for r in multirun.log_resizings(*a, 3)]
+    assert scales(0.5, 1.0, 1) == pytest.approx([0.5, 1.0])
+    assert scales(0.2, 0.7, 1) == pytest.approx([0.2, 0.2 * 10 ** (1 / 3), 0.7])  # 0.7 off the grid, 1 outside
+    assert scales(0.5, 2.0, 1) == pytest.approx([0.5, 1.0, 0.5 * 10 ** (1 / 3), 2.0])
+
+
+def test_triangles_of_a_hub(spark):
+    """A point with many partners: each triangle once at each of its corners."""
+    r = random.Random(5)
+    at = [(0, 0.0, 0.0, 0.0)] + [(i, *(r.uniform(-12, 12) for _ in range(3))) for i in range(1, 60)]
+    near = lambda a, b: 8 <= math.dist(a[1:], b[1:]) <= 12
+    want = Counter(p[0] for i, a in enumerate(at) for j, b in enumerate(at[:i]) for c in at[:j] if near(a, b) and near(b, c) and near(a, c) for p in (a, b, c))
+    got = pairs.triangles(spark.createDataFrame(at, "id long, c0 double, c1 double, c2 double"), 10.0, 2.0).collect()
+    assert {r.id: r.n for r in got} == want
