@@ -1,19 +1,25 @@
-"""SentencePiece encoding and decoding, with a max-plus parallel scan for giant documents.
-
-The encoder finds the segmentation into vocabulary pieces with the largest sum of scores
-(the lattice of the library's unigram type; the vocabulary file is only read). Scores are
-summed as whole numbers where the file has whole numbers, so long texts lose no precision.
-
-A giant document is split into chunks. Pieces may cross a chunk's end by up to S - 1
-characters, so the state at a boundary is how many characters of the next chunk are
-already used. A chunk's transfer matrix holds, for each state on entry and each state on
-exit, the best score in between. Matrices are combined in the max-plus semiring, which is
-associative: entry states of all chunks follow from a scan over the matrices, without any
-text. Each chunk then backtraces by itself from its own two states.
-
-Where no piece of the vocabulary holds the two characters next to a position, every path
-passes through it, so a matrix is a column and a row around the text between its first and
-last such cuts. Between cuts best paths are independent, and words seen before are looked up.
+"""SentencePiece encoding and decoding with byte pairs, with a max-plus parallel scan for giant documents.
+
+The model file is only read. Its encoder joins neighbouring symbols, those whose joined piece
+has the highest score first and of equals the leftmost, until no two neighbours join to a
+piece. Two neighbours a, b of the result fit: encoded by themselves, a + b gives a and b
+again, as joins within them never looked beyond. The other way round a row of pieces whose
+neighbours all fit is the encoding: the first join across two of them would also come first
+in those two by themselves. So in the lattice of all pieces in a text, where a path may go
+from a piece to those that fit it, one path leads from end to end, and it is the encoding.
+
+A giant document is split into chunks. The state at a boundary is the piece that ends there
+or crosses it, told by its length and how far it reaches into the next chunk. A chunk's
+transfer matrix holds, for each state on entry and each on exit, the largest sum of scores
+of fitting pieces that begin in the chunk, and nothing where no path leads. Matrices are
+combined in the max-plus semiring, which is associative: the states of all chunks follow
+from a scan over the matrices, without any text. Each chunk then backtraces by itself from
+its own two states. As the path is one, the ids are those of the whole text in one go.
+
+Where no piece holds the two characters next to a position, every path passes through it,
+so a matrix is a column and a row around the text between its first and last such cuts. A
+boundary at a cut has one state. Parts between cuts are encoded by joining, words seen
+before are looked up.
 """
 
 from __future__ import annotations
@@ -23,10 +29,9 @@ import os
 import pickle
 import re
 from array import array
-from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
-from itertools import pairwise
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -36,29 +41,37 @@ from pyspark.sql import functions as F
 from pointloom.llm.common import slices, stored
 
 SPACE = "▁"
-NONE = -(1 << 62)
 #: Texts of more characters are encoded by the parallel scan, in chunks of so many.
 GIANT = 1 << 16
 CHUNK = 1 << 14
 MEMO = 100_000
-#: Characters of text whose words are looked up together; characters that the tables of the tree have.
+#: Characters of text whose words are looked up together.
 TOGETHER = 1_000_000
-COMMON = 160
-#: Parts of up to so many characters are remembered.
+#: Parts of up to so many characters are joined together and remembered.
 SHORT = 64
-#: The library's penalty of an unknown character, below the smallest score.
+#: The score of an unknown character lies so far below the smallest score.
 UNKNOWN_BELOW = 10
+#: The state of a boundary that is a cut; others are characters beyond the boundary * SPAN + length of the piece.
+CUT = 0
+SPAN = 1 << 12
+#: Rank of a pair that joins to no piece, and the key of an empty place in the table of pairs.
+NEVER = np.iinfo(np.int32).max
+EMPTY = -(1 << 62)
+PLACES = 20
+
+State = int
+Matrix = dict[State, dict[State, float]]
 
 
 class _Words(dict):
-    """Best paths of words behind a given mark; forgets all when full."""
+    """Encoded words behind a given mark; forgets all when full."""
 
     def __init__(self, vocabulary: Vocabulary, mark: str):
         super().__init__()
         self.vocabulary, self.mark = vocabulary, mark
 
     def __missing__(self, word: str) -> tuple[float, bytes]:
-        found = self.vocabulary._search(self.mark + word)
+        found = self.vocabulary.joined_part(self.mark + word)
         if len(word) < SHORT:
             if len(self) > MEMO:
                 self.clear()
@@ -66,42 +79,81 @@ class _Words(dict):
         return found
 
 
+class _Pairs:
+    """Symbol pairs that join, in an open table: (left, right) -> the symbol of the joined piece, -1 if there is none."""
+
+    def __init__(self, left: np.ndarray, right: np.ndarray, joined: np.ndarray, symbols: int):
+        self.symbols = symbols
+        bits = max(PLACES, int(len(left)).bit_length() + 1)
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.values = np.full(1 << bits, EMPTY, np.int64), np.full(1 << bits, -1, np.int32)
+        keys = left.astype(np.int64) * symbols + right
+        at = self._place(keys)
+        while len(keys):
+            free = np.flatnonzero(self.keys[at] == EMPTY)
+            _, one = np.unique(at[free], return_index=True)
+            took = free[one]
+            self.keys[at[took]], self.values[at[took]] = keys[took], joined[took]
+            rest = np.setdiff1d(np.arange(len(keys)), took)
+            keys, joined, at = keys[rest], joined[rest], (at[rest] + 1) & self.mask
+
+    def _place(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def find(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        keys = left.astype(np.int64) * self.symbols + right
+        at = self._place(keys)
+        there = self.keys[at]
+        out = np.where(there == keys, self.values[at], -1)
+        far = np.flatnonzero((there != keys) & (there != EMPTY))
+        keys, at = keys.ravel(), at.ravel()
+        while len(far):
+            at[far] = (at[far] + 1) & self.mask
+            there = self.keys[at[far]]
+            hit = far[there == keys[far]]
+            out.ravel()[hit] = self.values[at[hit]]
+            far = far[(there != keys[far]) & (there != EMPTY)]
+        return out
+
+
 class Vocabulary:
-    """The pieces of a model file, their scores, and which neighbours no piece holds."""
+    """The pieces of a model file, how they join, and which neighbours no piece holds.
+
+    The file must be of the byte-pair type, without user-defined pieces, and leave texts as
+    they are but for spaces; others raise a ValueError.
+    """
 
     def __init__(self, model: bytes):
         from sentencepiece import sentencepiece_model_pb2 as pb
 
         proto = pb.ModelProto()
         proto.ParseFromString(model)
+        spec = proto.normalizer_spec
+        if proto.trainer_spec.model_type != 2 or any(p.type == 4 for p in proto.pieces):
+            raise ValueError("not a byte-pair model without user-defined pieces")
+        if spec.precompiled_charsmap or spec.remove_extra_whitespaces or not spec.escape_whitespaces or proto.trainer_spec.treat_whitespace_as_suffix:
+            raise ValueError("the model changes texts before it encodes them")
         self.pieces = [p.piece for p in proto.pieces]
         self.kinds = [p.type for p in proto.pieces]  # 1 normal, 2 unknown, 3 control, 6 byte
-        self.normal = {p.piece: (i, int(p.score) if p.score == int(p.score) else p.score) for i, p in enumerate(proto.pieces) if p.type == 1}
-        self.numbers = {p: i for p, (i, _) in self.normal.items()}
+        self.numbers = {p.piece: i for i, p in enumerate(proto.pieces) if p.type == 1}
+        self.scores = [p.score for p in proto.pieces]
+        self.ranks = {p: -self.scores[i] for p, i in self.numbers.items()}
         self.bytes_ = {int(p.piece[3:5], 16): i for i, p in enumerate(proto.pieces) if p.type == 6}
-        self.unknown = min(s for _, s in self.normal.values()) - UNKNOWN_BELOW
-        self.longest = max(map(len, self.normal))
-        joined = {p[i : i + 2] for p in self.normal for i in range(len(p) - 1)}
-        self.joined = joined
-        self.prefix = proto.normalizer_spec.add_dummy_prefix
+        self.unknown = min(self.scores[i] for i in self.numbers.values()) - UNKNOWN_BELOW
+        self.longest = max(map(len, self.numbers))
+        self.joined = {p[i : i + 2] for p in self.numbers for i in range(len(p) - 1)}
+        self.prefix = spec.add_dummy_prefix
         #: Whether every change from another character to a space mark is a cut.
-        self.word_cuts = not any(p[1] == SPACE and p[0] != SPACE for p in joined)
+        self.word_cuts = not any(p[1] == SPACE and p[0] != SPACE for p in self.joined)
         #: A part lies between cuts: a word with the marks before it, marks alone, or one character that no piece holds.
-        known = "".join(map(re.escape, sorted({c for p in self.normal for c in p} - {SPACE})))
+        known = "".join(map(re.escape, sorted({c for p in self.numbers for c in p} - {SPACE})))
         self._part = re.compile(f"{SPACE}*[{known}]+|{SPACE}+|[^{known}{SPACE}]", re.DOTALL) if self.word_cuts else None
-        self.scores = [int(p.score) if p.score == int(p.score) else p.score for p in proto.pieces]
-        self.memo: dict[str, tuple[float, bytes]] = {}
         #: Whether a line end is a character that no piece holds, and so a part by itself.
-        self.next: np.ndarray | None = None
-        self.line_cuts = self.word_cuts and not any("\n" in p for p in self.normal)
+        self.line_cuts = self.word_cuts and not any("\n" in p for p in self.numbers)
+        self.memo: dict[str, tuple[float, bytes]] = {}
         self._words = (_Words(self, SPACE), _Words(self, ""))
-        #: Tree of the pieces: character -> (tree of what follows, score if a piece ends here).
-        self.tree: dict[str, tuple[dict, float | None]] = {}
-        for p, (_, score) in self.normal.items():
-            at = self.tree
-            for c in p[:-1]:
-                at = at.setdefault(c, ({}, None))[0]
-            at[p[-1]] = (at.get(p[-1], ({},))[0], score)
+        self._pairs: _Pairs | None = None
+        self._fits: dict[tuple[str, str], bool] = {}
         code = lambda b: chr(b) if b < 128 else chr(0xDC00 + b)
         self.shown = np.array([p.piece if p.type == 1 else code(int(p.piece[3:5], 16)) if p.type == 6 else "" for p in proto.pieces], object)
         self._escaped = re.compile("[\udc80-\udcff]")
@@ -110,136 +162,129 @@ class Vocabulary:
         marked = text.replace(" ", SPACE)
         return SPACE + marked if self.prefix and marked else marked
 
-    def ends(self, text: str, at: int) -> list[tuple[int, float]]:
-        """(end, score) of the pieces that begin at a place, or of one unknown character if none is that short."""
-        found, tree = [], self.tree
-        for end in range(at, len(text)):
-            step = tree.get(text[end])
-            if step is None:
-                break
-            tree, s = step
-            if s is not None:
-                found.append((end + 1, s))
-        if not found or found[0][0] != at + 1:
-            found.insert(0, (at + 1, self.unknown))
-        return found
-
-    def _search(self, text: str) -> tuple[float, bytes]:
-        n, root, unknown = len(text), self.tree, self.unknown
-        score, back = [0, *[NONE] * n], [0] * (n + 1)
-        for at in range(n):
-            base, tree, end = score[at], root, at
-            while end < n:
-                step = tree.get(text[end])
-                if step is None:
-                    break
-                tree, s = step
-                end += 1
-                if s is not None:
-                    if base + s > score[end]:
-                        score[end] = base + s
-                        back[end] = at
-                elif end == at + 1 and base + unknown > score[end]:
-                    score[end] = base + unknown
-                    back[end] = at
-            if end == at and base + unknown > score[at + 1]:
-                score[at + 1] = base + unknown
-                back[at + 1] = at
-        steps, at = [n], n
-        while at:
-            at = back[at]
-            steps.append(at)
-        steps.reverse()
-        ids: list[int] = []
-        self.emit(text, steps, ids)
-        return score[n], array("i", ids).tobytes()
+    # -- joining -------------------------------------------------------------------------
+
+    def join(self, text: str) -> list[str]:
+        """The pieces, and characters that are none, of a text: joins by score, of equals the leftmost, from a heap."""
+        n, ranks, heap = len(text), self.ranks, []
+        part, after, before = list(text), list(range(1, n + 1)), list(range(-1, n - 1))
+
+        def offer(a: int) -> None:
+            if after[a] < n:
+                rank = ranks.get(part[a] + part[after[a]])
+                if rank is not None:
+                    heappush(heap, (rank, a, part[a], part[after[a]]))
+
+        for a in range(n - 1):
+            offer(a)
+        while heap:
+            _, a, left, right = heappop(heap)
+            b = after[a]
+            if part[a] != left or b >= n or part[b] != right:
+                continue  # one of them has joined another since
+            part[a], part[b] = left + right, ""
+            after[a] = after[b]
+            if after[b] < n:
+                before[after[b]] = a
+            if before[a] >= 0:
+                offer(before[a])
+            offer(a)
+        return [p for p in part if p]
+
+    def joined_part(self, text: str) -> tuple[float, bytes]:
+        """Score and ids (32-bit numbers) of a text, joined by itself."""
+        parts = self.join(text)
+        return self.score(parts), array("i", self.emit(parts)).tobytes()
+
+    def score(self, parts: list[str]) -> float:
+        scores, numbers = self.scores, self.numbers
+        return sum(scores[numbers[p]] if p in numbers else self.unknown for p in parts)
+
+    def emit(self, parts: list[str]) -> list[int]:
+        """Ids of pieces; a character that is none becomes its bytes, or the unknown id."""
+        out: list[int] = []
+        for p in parts:
+            i = self.numbers.get(p)
+            if i is not None:
+                out.append(i)
+            elif self.bytes_:
+                out.extend(self.bytes_[b] for b in p.encode("utf-8", "replace"))
+            else:
+                out.append(self.kinds.index(2))
+        return out
 
     def _layout(self) -> None:
-        """The tree as tables: next state by state and character number (0: none), score and id of each state."""
-        seen = Counter(c for p in self.normal for c in p)
-        common = [c for c, _ in seen.most_common(COMMON - 1)]
-        self.number = np.zeros(0x110000, np.uint8)
-        self.number[[ord(c) for c in common]] = np.arange(1, len(common) + 1)
-        states, known = [self.tree], set(common)
-        rows, values, pids = [(0, 0, 0)], [NONE, NONE], [-1, -1]
-        at = 0
-        while at < len(states):  # state of states[at] is at + 1
-            for c, (below, score) in states[at].items():
-                if c in known:
-                    rows.append((at + 1, int(self.number[ord(c)]), len(states) + 1))
-                    states.append(below)
-                    values.append(NONE if score is None else score)
-            at += 1
-        self.next = np.zeros((len(states) + 1, COMMON), np.int32)
-        a, c, b = np.array(rows[1:]).T
-        self.next[a, c] = b
-        self.value = np.array(values, np.int64 if all(isinstance(v, int) for v in values) else np.float64)
-        self.pid = np.full(len(states) + 1, -1, np.int32)
-        for p, (i, _) in self.normal.items():
-            if known.issuperset(p):
-                state = 1
-                for c in p:
-                    state = self.next[state, self.number[ord(c)]]
-                self.pid[state] = i
-
-    def _search_many(self, words: list[str]) -> list[tuple[float, bytes]]:
-        """_search for many words at once: those of one length advance together, character by character."""
-        if self.next is None:
+        """Symbols as numbers: a piece's id, more for characters that only stand within pieces, -1 for all others."""
+        size = len(self.pieces)
+        symbols = dict(self.numbers)
+        for c in sorted({c for p in self.numbers for c in p} - symbols.keys()):
+            symbols[c] = size + len(symbols) - len(self.numbers)
+        self.symbol = np.full(0x110000, -1, np.int32)
+        for c, i in symbols.items():
+            if len(c) == 1:
+                self.symbol[ord(c)] = i
+        splits = [(symbols[p[:k]], symbols[p[k:]], i) for p, i in self.numbers.items() for k in range(1, len(p)) if p[:k] in symbols and p[k:] in symbols]
+        left, right, joined = np.array(splits, np.int32).reshape(-1, 3).T
+        order = {r: k for k, r in enumerate(sorted(set(self.ranks.values())))}
+        self.rank_of = np.full(size, NEVER, np.int32)
+        for p, i in self.numbers.items():
+            self.rank_of[i] = order[self.ranks[p]]
+        self.score_of = np.array(self.scores)
+        self._pairs = _Pairs(left, right, joined, size + len(symbols))
+
+    def join_many(self, parts: list[str]) -> list[tuple[float, bytes]]:
+        """joined_part() of many parts: those of one length join together, one pair of each at a time."""
+        if self._pairs is None:
             self._layout()
-        out: list = [None] * len(words)
+        out: list = [None] * len(parts)
         by_length: dict[int, list[int]] = {}
-        for k, w in enumerate(words):
-            by_length.setdefault(len(w), []).append(k)
+        for k, p in enumerate(parts):
+            by_length.setdefault(len(p), []).append(k)
         for length, members in by_length.items():
-            if length > SHORT or not length:
+            if not 0 < length <= SHORT:
                 for k in members:
-                    out[k] = self._search(words[k])
+                    out[k] = self.joined_part(parts[k])
                 continue
-            n = len(members)
-            raw = np.frombuffer("".join(words[k] for k in members).encode("utf-32-le", "surrogatepass"), "<u4").reshape(n, length)
-            codes = np.ascontiguousarray(self.number[raw].T)
-            score = np.full((length + 1, n), NONE, self.value.dtype)
-            score[0] = 0
-            back, pid = np.zeros((length + 1, n), np.int16), np.full((length + 1, n), -1, np.int32)
-            for at in range(length):
-                base, chosen, state = score[at], np.arange(n), np.ones(n, np.int32)
-                for end in range(at, min(length, at + self.longest)):
-                    state = self.next[state, codes[end][chosen]]
-                    if end == at:
-                        lone = np.flatnonzero(self.value[state] == NONE)
-                        lone = lone[base[lone] + self.unknown > score[end + 1][lone]]
-                        score[end + 1][lone], back[end + 1][lone], pid[end + 1][lone] = base[lone] + self.unknown, at, -1
-                    live = np.flatnonzero(state)
-                    if len(live) < len(state):
-                        chosen, state = chosen[live], state[live]
-                        if not len(chosen):
-                            break
-                    value = self.value[state]
-                    hit = np.flatnonzero(value != NONE)
-                    to = chosen[hit]
-                    new = base[to] + value[hit]
-                    better = np.flatnonzero(new > score[end + 1][to])
-                    to = to[better]
-                    score[end + 1][to], back[end + 1][to], pid[end + 1][to] = new[better], at, self.pid[state[hit[better]]]
-            every, at = np.arange(n), np.full(n, length, np.int16)
-            pieces = np.full((length, n), -2, np.int32)
-            for step in range(length - 1, -1, -1):
-                open_ = at > 0
-                if not open_.any():
+            raw = np.frombuffer("".join(parts[k] for k in members).encode("utf-32-le", "surrogatepass"), "<u4").reshape(len(members), length)
+            symbols, rows = self.symbol[raw], np.array(members)
+            joined, ranks = self._offers(symbols[:, :-1], symbols[:, 1:])
+            while len(rows):
+                every, width = np.arange(len(rows)), symbols.shape[1]
+                at = ranks.argmin(axis=1) if width > 1 else np.zeros(len(rows), np.int64)
+                going = ranks[every, at] < NEVER if width > 1 else np.zeros(len(rows), bool)
+                done = np.flatnonzero(~going)
+                if len(done):
+                    self._finish(parts, rows[done], symbols[done], out)
+                    rows, symbols, joined, ranks, at = rows[going], symbols[going], joined[going], ranks[going], at[going]
+                    every = np.arange(len(rows))
+                if not len(rows):
                     break
-                pieces[step] = np.where(open_, pid[at, every], -2)
-                at = np.where(open_, back[at, every], 0)
-            strange = (codes == 0).any(axis=0) | (pieces == -1).any(axis=0)
-            rows = pieces.T
-            there = rows > -2
-            ids = rows[there].astype("<i4").tobytes()
-            ends = np.concatenate([[0], np.cumsum(there.sum(axis=1)) * 4]).tolist()
-            for k, total, a, b, odd in zip(members, score[length].tolist(), ends[:-1], ends[1:], strange.tolist(), strict=True):
-                out[k] = self._search(words[k]) if odd else (total, ids[a:b])
+                new = joined[every, at]
+                behind = np.arange(width - 1) + (np.arange(width - 1) > at[:, None])
+                symbols = np.take_along_axis(symbols, behind, 1)
+                symbols[every, at] = new
+                joined, ranks = np.take_along_axis(joined, behind[:, : width - 2], 1), np.take_along_axis(ranks, behind[:, : width - 2], 1)
+                for k in (at - 1, at):  # the two pairs that the new symbol is in
+                    of = np.flatnonzero((k >= 0) & (k < width - 2))
+                    joined[of, k[of]], ranks[of, k[of]] = self._offers(symbols[of, k[of]], symbols[of, k[of] + 1])
         return out
 
+    def _offers(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        found = self._pairs.find(left, right)
+        return found, np.where(found >= 0, self.rank_of[found], NEVER)
+
+    def _finish(self, parts: list[str], rows: np.ndarray, symbols: np.ndarray, out: list) -> None:
+        """Score and ids of rows of as many symbols each, into ``out``."""
+        strange = ((symbols < 0) | (symbols >= len(self.pieces))).any(axis=1)
+        scores = self.score_of[np.where(strange[:, None], 0, symbols)].sum(axis=1).tolist()
+        raw, step = symbols.astype("<i4").tobytes(), 4 * symbols.shape[1]
+        for n, (k, odd) in enumerate(zip(rows.tolist(), strange.tolist(), strict=True)):
+            out[k] = self.joined_part(parts[k]) if odd else (scores[n], raw[n * step : (n + 1) * step])
+
+    # -- whole texts ---------------------------------------------------------------------
+
     def prepare(self, texts: list[str | None]) -> None:
-        """Look for the best paths of all new words of some texts together."""
+        """Join all new words of some texts together."""
         if not self.line_cuts or not self.prefix:
             return
         met: tuple[set[str], set[str]] = (set(), set())
@@ -254,7 +299,7 @@ class Vocabulary:
             if len(memo) + len(new) > MEMO:
                 memo.clear()
                 new = list(words)
-            memo.update(zip(new, self._search_many([memo.mark + w for w in new]), strict=True))
+            memo.update(zip(new, self.join_many([memo.mark + w for w in new]), strict=True))
 
     def encode_all(self, texts: list[str | None]) -> list[tuple[np.ndarray, float]]:
         """encode() of many texts; words are looked up for some millions of characters at a time."""
@@ -269,37 +314,20 @@ class Vocabulary:
         self.prepare(held)
         return [*out, *map(self.encode, held)]
 
-    def best(self, text: str) -> tuple[float, bytes]:
-        """Score and ids (32-bit numbers) of the best path over a whole text; of equals, the path whose last pieces begin first."""
-        hit = self.memo.get(text)
-        if hit is not None:
-            return hit
-        found = self._search(text)
-        if len(text) <= SHORT:
-            if len(self.memo) > MEMO // 4:
-                self.memo.clear()
-            self.memo[text] = found
+    def best(self, part: str) -> tuple[float, bytes]:
+        """joined_part(), remembered if the part is short."""
+        found = self.memo.get(part)
+        if found is None:
+            found = self.joined_part(part)
+            if len(part) <= SHORT:
+                if len(self.memo) > MEMO // 4:
+                    self.memo.clear()
+                self.memo[part] = found
         return found
 
-    def parts(self, text: str) -> list[str]:
-        return self._part.findall(text) if self._part else [text]
-
     def paths(self, text: str) -> list[tuple[float, bytes]]:
         """Score and ids of each part between cuts."""
-        memo, best = self.memo, self.best
-        return [memo.get(p) or best(p) for p in self.parts(text)]
-
-    def emit(self, text: str, ends: list[int], out: list[int]) -> None:
-        """Ids of the pieces between places; an unknown character becomes its bytes, or the unknown id."""
-        numbers = self.numbers
-        for start, end in pairwise(ends):
-            i = numbers.get(text[start:end])
-            if i is not None:
-                out.append(i)
-            elif self.bytes_:
-                out.extend(self.bytes_[b] for b in text[start:end].encode("utf-8", "replace"))
-            else:
-                out.append(self.kinds.index(2))
+        return list(map(self.best, self._part.findall(text) if self._part else [text]))
 
     def encode(self, text: str | None) -> tuple[np.ndarray, float]:
         """Ids and score of a text in one go; none for null."""
@@ -336,95 +364,149 @@ class Vocabulary:
 
     # -- the parallel scan ---------------------------------------------------------------
 
-    def transfer(self, text: str, size: int) -> np.ndarray:
-        """Transfer matrix of a chunk. ``text`` is the chunk and what follows, up to longest - 1 characters; ``size`` the chunk's.
+    def cut(self, text: str, at: int) -> bool:
+        """Whether no piece holds the characters on both sides of a place, or there are none."""
+        return at <= 0 or at >= len(text) or text[at - 1 : at + 1] not in self.joined
+
+    def fit(self, left: str, right: str) -> bool:
+        """Whether two pieces, encoded by themselves, stay as they are; a left one of '' asks for the right one alone."""
+        found = self._fits.get((left, right))
+        if found is None:
+            found = self.join(left + right) == ([left, right] if left else [right])
+            if len(self._fits) > MEMO:
+                self._fits.clear()
+            self._fits[left, right] = found
+        return found
+
+    def starts(self, text: str, at: int) -> Iterator[tuple[int, float]]:
+        """(length, score) of the pieces, or of the lone character, that begin at a place."""
+        for size in range(1, min(self.longest, len(text) - at) + 1):
+            i = self.numbers.get(text[at : at + size])
+            if i is not None:
+                yield size, self.scores[i]
+            elif size == 1:
+                yield size, self.unknown
+
+    def reach(self, text: str, start: int, before: int, end: int) -> dict[tuple[int, int], tuple[float, tuple[int, int] | None]]:
+        """(place, length of the piece that ends there) -> (best score, the one before), over fitting paths from a place to ``end`` and beyond it.
 
-        Entry (a, b): the best score of pieces that begin in the chunk, the first at its
-        a-th character, the last ending b characters behind the chunk; NONE if there is none.
+        ``before`` is the length of the piece that ends at the start, 0 if any may follow.
+        Pieces begin before ``end``.
         """
-        states = self.longest
-        out = np.full((states, states), NONE, object)
-        first, last = self._cuts(text, size)
-        if first is None:
-            for a in range(states):
-                self._row(text, size, a, out[a])
-            return out
-        middle = sum(p[0] for p in self.paths(text[first:last]))
-        right = np.full(states, NONE, object)
-        self._row(text, size, last, right)
-        for a in range(states):
-            left = self.best(text[a:first])[0]
-            for b in range(states):
-                if right[b] > NONE:
-                    out[a, b] = left + middle + right[b]
-        return out
+        found: dict[tuple[int, int], tuple[float, tuple[int, int] | None]] = {(start, before): (0.0, None)}
+        lengths = {start: [before]}
+        for at in range(start, end):
+            if at not in lengths:
+                continue
+            free = self.cut(text, at)
+            for size, score in self.starts(text, at):
+                piece, to = text[at : at + size], (at + size, size)
+                if not self.fit("", piece):
+                    continue
+                for last in lengths[at]:
+                    if free or not last or self.fit(text[at - last : at], piece):
+                        total = found[at, last][0] + score
+                        if to not in found:
+                            lengths.setdefault(at + size, []).append(size)
+                        if to not in found or total > found[to][0]:
+                            found[to] = (total, (at, last))
+        return found
 
-    def _cuts(self, text: str, size: int) -> tuple[int | None, int]:
-        """The first cut of a chunk that lies behind all entry states, and the last cut; None if there is none."""
-        cut = lambda at: text[at - 1 : at + 1] not in self.joined
-        end = min(size, len(text))
-        first = next((at for at in range(self.longest, end) if cut(at)), None)
-        return first, 0 if first is None else next((at for at in range(end - 1, first, -1) if cut(at)), first)
-
-    def _row(self, text: str, size: int, start: int, row: np.ndarray) -> None:
-        """Best scores from a place to each state behind the chunk, into ``row``."""
-        for b, (score, _) in enumerate(self._reach(text, size, start)):
-            row[b] = score
-
-    def _reach(self, text: str, size: int, start: int) -> list[tuple[float, list[int]]]:
-        """For each state b: score and places of the best path from a place to b characters behind the chunk whose last piece begins in it."""
-        score, back = {start: 0}, {}
-        for at in range(start, size):
-            if at in score:
-                for end, s in self.ends(text, at):
-                    if score[at] + s > score.get(end, NONE):
-                        score[end], back[end] = score[at] + s, at
+    def entries(self, text: str, at: int) -> list[tuple[State, int, int]]:
+        """The states of a boundary: (state, place where the piece ends, its length); a cut has one, of length 0."""
+        if self.cut(text, at):
+            return [(CUT, at, 0)]
         found = []
-        for at in range(size, size + self.longest):
-            if at not in score:
-                found.append((NONE, []))
-                continue
-            best, steps = score[at], [at]
-            while at > start:
-                at = back[at]
-                steps.append(at)
-            found.append((best, steps[::-1]))
+        for over in range(min(self.longest, len(text) - at + 1)):
+            for size in range(over + 1, min(self.longest, at + over) + 1):
+                piece = text[at + over - size : at + over]
+                if (size == 1 or piece in self.numbers) and self.fit("", piece):
+                    found.append((over * SPAN + size, at + over, size))
         return found
 
-    def backtrace(self, text: str, size: int, a: int, b: int) -> list[int]:
-        """Ids of a chunk's best path from state a on entry to state b on exit."""
-        ids: list[int] = []
-        first, last = self._cuts(text, size)
+    def exits(self, text: str, end: int, found: dict) -> Iterator[tuple[State, float, tuple[int, int]]]:
+        """(state, score, key) of what reach() found at a boundary or beyond it."""
+        cut = self.cut(text, end)
+        for (at, size), (score, _) in found.items():
+            if at >= end and size > at - end and not (cut and at > end):
+                yield CUT if cut else (at - end) * SPAN + size, score, (at, size)
+
+    def inner(self, text: str, before: int, size: int) -> tuple[int | None, int]:
+        """The first and the last cut within a chunk that begins at ``before``; None if there is none."""
+        end = before + size
+        first = next((at for at in range(before, end + 1) if self.cut(text, at)), None)
+        return first, 0 if first is None else next(at for at in range(end, first - 1, -1) if self.cut(text, at))
+
+    def transfer(self, text: str, before: int, size: int) -> Matrix:
+        """Transfer matrix of a chunk: state on entry -> state on exit -> best score of fitting pieces that begin in the chunk.
+
+        ``text`` is the chunk of ``size`` characters with ``before`` characters in front of it
+        and some behind it: longest and longest - 1, or as many as there are.
+        """
+        end = before + size
+        first, last = self.inner(text, before, size)
         if first is None:
-            self.emit(text, self._reach(text, size, a)[b][1], ids)
-            return ids
-        self.emit(text, self._reach(text, size, last)[b][1], ids)
-        before = [self.best(text[a:first])[1], *(part for _, part in self.paths(text[first:last]))]
-        return np.frombuffer(b"".join(before), "<i4").tolist() + ids
+            return {state: row for state, at, length in self.entries(text, before) if (row := {s: score for s, score, _ in self.exits(text, end, self.reach(text, at, length, end))})}
+        middle = sum(p[0] for p in self.paths(text[first:last]))
+        right = {s: middle + score for s, score, _ in self.exits(text, end, self.reach(text, last, 0, end))} if last < end else {CUT: middle}
+        out = {}
+        for state, at, length in self.entries(text, before):
+            left = max((score for (to, _), (score, _) in self.reach(text, at, length, first).items() if to == first), default=None) if at < first else 0.0
+            if left is not None:
+                out[state] = {s: left + score for s, score in right.items()}
+        return out
 
+    def _trace(self, text: str, found: dict, key: tuple[int, int] | None) -> list[int]:
+        """Ids along a path of reach(), but for the piece that it began behind."""
+        parts = []
+        while key is not None and found[key][1] is not None:
+            at, size = key
+            parts.append(text[at - size : at])
+            key = found[key][1]
+        return self.emit(parts[::-1])
+
+    def backtrace(self, text: str, before: int, size: int, entry: State, exit_: State) -> list[int]:
+        """Ids of a chunk's best path from one state to the other; ``text`` as for transfer()."""
+        end = before + size
+        first, last = self.inner(text, before, size)
+        at, length = next((at, length) for state, at, length in self.entries(text, before) if state == entry)
+        if first is None:
+            found = self.reach(text, at, length, end)
+            return self._trace(text, found, next(key for s, _, key in self.exits(text, end, found) if s == exit_))
+        ids: list[int] = []
+        if at < first:
+            found = self.reach(text, at, length, first)
+            ids = self._trace(text, found, max((k for k in found if k[0] == first), key=lambda k: found[k][0]))
+        ids += np.frombuffer(b"".join(part for _, part in self.paths(text[first:last])), "<i4").tolist()
+        if last < end:
+            found = self.reach(text, last, 0, end)
+            ids += self._trace(text, found, next(key for s, _, key in self.exits(text, end, found) if s == exit_))
+        return ids
 
-def max_plus(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+
+def max_plus(left: Matrix, right: Matrix) -> Matrix:
     """The product of two transfer matrices: best score over the state between them."""
-    out = np.full((left.shape[0], right.shape[1]), NONE, object)
-    for a in range(left.shape[0]):
-        for k in range(left.shape[1]):
-            if left[a, k] > NONE:
-                for b in range(right.shape[1]):
-                    if right[k, b] > NONE and left[a, k] + right[k, b] > out[a, b]:
-                        out[a, b] = left[a, k] + right[k, b]
+    out: Matrix = {}
+    for a, row in left.items():
+        best: dict[State, float] = {}
+        for k, score in row.items():
+            for b, more in right.get(k, {}).items():
+                best[b] = max(best.get(b, score + more), score + more)
+        if best:
+            out[a] = best
     return out
 
 
-def states(matrices: list[np.ndarray], entry: int, exit_: int) -> list[int]:
+def states(matrices: list[Matrix], entry: State, exit_: State) -> list[State]:
     """The states at the boundaries of neighbouring chunks, both ends included, on a best path."""
-    reach, back = {entry: 0}, []
+    reach, back = {entry: 0.0}, []
     for m in matrices:
-        after: dict[int, float] = {}
-        came: dict[int, int] = {}
+        after: dict[State, float] = {}
+        came: dict[State, State] = {}
         for a, score in reach.items():
-            for b in range(m.shape[1]):
-                if m[a, b] > NONE and score + m[a, b] > after.get(b, NONE):
-                    after[b], came[b] = score + m[a, b], a
+            for b, more in m.get(a, {}).items():
+                if b not in after or score + more > after[b]:
+                    after[b], came[b] = score + more, a
         reach, back = after, [*back, came]
     found = [exit_]
     for came in reversed(back):
@@ -454,18 +536,6 @@ def _vocabulary(held) -> Vocabulary:
     return _VOCABULARIES[key]
 
 
-def _dump(m: np.ndarray) -> bytes:
-    return pickle.dumps(m.tolist())
-
-
-def _load(raw: bytes) -> np.ndarray:
-    rows = pickle.loads(raw)
-    out = np.full((len(rows), len(rows[0])), NONE, object)
-    for a, row in enumerate(rows):
-        out[a, :] = row
-    return out
-
-
 def encode_giants(texts: DataFrame, model: bytes, chunk: int = CHUNK, block: int = 64) -> DataFrame:
     """(key, text) of distinct keys -> (key, ids array<int>, score double), by the parallel scan.
 
@@ -487,41 +557,44 @@ def encode_giants(texts: DataFrame, model: bytes, chunk: int = CHUNK, block: int
                 for at in range(0, len(starts), 64):
                     some = starts[at : at + 64]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([key.as_py()] * len(some), pa.string()), pa.array([s // chunk for s in some], pa.int64()), pa.array([marked[s : s + chunk + longest - 1] for s in some], pa.string()), pa.array([min(chunk, len(marked) - s) for s in some], pa.int32())],
-                        ["key", "c", "t", "size"],
+                        [
+                            pa.array([key.as_py()] * len(some), pa.string()), pa.array([s // chunk for s in some], pa.int64()), pa.array([marked[max(0, s - longest) : s + chunk + longest - 1] for s in some], pa.string()),
+                            pa.array([min(s, longest) for s in some], pa.int32()), pa.array([min(chunk, len(marked) - s) for s in some], pa.int32()),
+                        ],
+                        ["key", "c", "t", "before", "size"],
                     )
 
     dummy = vocabulary.prefix
     mark = lambda text: (SPACE if dummy and text else "") + text.replace(" ", SPACE)
-    pieces = stored(texts.select("key", "text").mapInArrow(cut, "key string, c long, t string, size int").repartition("key", "c"))
+    pieces = stored(texts.select("key", "text").mapInArrow(cut, "key string, c long, t string, before int, size int").repartition("key", "c"))
 
     def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = _vocabulary(held)
         for b in slices(batches):
-            found = [_dump(v.transfer(t, n)) for t, n in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+            found = [pickle.dumps(v.transfer(*row)) for row in zip(*(b.column(k).to_pylist() for k in (2, 3, 4)), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.binary())], ["key", "c", "m"])
 
-    chunks = stored(pieces.select("key", "c", "t", "size").mapInArrow(matrices, "key string, c long, m binary"))
+    chunks = stored(pieces.select("key", "c", "t", "before", "size").mapInArrow(matrices, "key string, c long, m binary"))
 
     def combined(table: pa.Table) -> pa.Table:
         rows = sorted(zip(table["c"].to_pylist(), table["m"].to_pylist(), strict=True))
-        whole = reduce(max_plus, (_load(m) for _, m in rows))
-        return pa.table({"key": table["key"][:1], "b": pa.array([rows[0][0] // block], pa.int64()), "m": pa.array([_dump(whole)], pa.binary())})
+        whole = reduce(max_plus, (pickle.loads(m) for _, m in rows))
+        return pa.table({"key": table["key"][:1], "b": pa.array([rows[0][0] // block], pa.int64()), "m": pa.array([pickle.dumps(whole)], pa.binary())})
 
     blocks = chunks.withColumn("b", F.floor(F.col("c") / block)).groupBy("key", "b").applyInArrow(combined, "key string, b long, m binary")
 
     def over_blocks(table: pa.Table) -> pa.Table:
         rows = sorted(zip(table["b"].to_pylist(), table["m"].to_pylist(), strict=True))
-        found = states([_load(m) for _, m in rows], 0, 0)
+        found = states([pickle.loads(m) for _, m in rows], CUT, CUT)
         return pa.table({"key": pa.array([table["key"][0].as_py()] * len(rows)), "b": pa.array([b for b, _ in rows], pa.int64()), "s": pa.array(found[:-1], pa.int32()), "e": pa.array(found[1:], pa.int32())})
 
     ends = blocks.groupBy("key").applyInArrow(over_blocks, "key string, b long, s int, e int")
 
     def within(left: pa.Table, right: pa.Table) -> pa.Table:
         rows = sorted(zip(left["c"].to_pylist(), left["m"].to_pylist(), strict=True))
-        loaded = [_load(m) for _, m in rows]
+        loaded = [pickle.loads(m) for _, m in rows]
         found = states(loaded, right["s"][0].as_py(), right["e"][0].as_py())
-        score = [float(m[a, b]) for m, a, b in zip(loaded, found[:-1], found[1:], strict=True)]
+        score = [float(m[a][b]) for m, a, b in zip(loaded, found[:-1], found[1:], strict=True)]
         return pa.table({"key": pa.array([left["key"][0].as_py()] * len(rows)), "c": pa.array([c for c, _ in rows], pa.int64()), "s": pa.array(found[:-1], pa.int32()), "e": pa.array(found[1:], pa.int32()), "score": pa.array(score, pa.float64())})
 
     known = chunks.withColumn("b", F.floor(F.col("c") / block)).groupBy("key", "b").cogroup(ends.groupBy("key", "b")).applyInArrow(within, "key string, c long, s int, e int, score double")
@@ -529,10 +602,10 @@ def encode_giants(texts: DataFrame, model: bytes, chunk: int = CHUNK, block: int
     def backtraced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = _vocabulary(held)
         for b in slices(batches):
-            ids = [v.backtrace(*row) for row in zip(*(b.column(k).to_pylist() for k in (2, 3, 4, 5)), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids, pa.list_(pa.int32())), b.column(6)], ["key", "c", "ids", "score"])
+            ids = [v.backtrace(*row) for row in zip(*(b.column(k).to_pylist() for k in (2, 3, 4, 5, 6)), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids, pa.list_(pa.int32())), b.column(7)], ["key", "c", "ids", "score"])
 
-    traced = pieces.join(known, ["key", "c"]).select("key", "c", "t", "size", "s", "e", "score").mapInArrow(backtraced, "key string, c long, ids array<int>, score double")
+    traced = pieces.join(known, ["key", "c"]).select("key", "c", "t", "before", "size", "s", "e", "score").mapInArrow(backtraced, "key string, c long, ids array<int>, score double")
     whole = traced.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("c", "ids"))).alias("parts"), F.sum("score").alias("score"))
     return whole.select("key", F.flatten(F.transform("parts", lambda p: p["ids"])).alias("ids"), "score")
 
@@ -596,8 +669,8 @@ def encode(docs: DataFrame, model: bytes, giant: int = GIANT, chunk: int = CHUNK
     """(doc_id, text, ids array<int>, score double) for every row of ``docs``; other columns are ignored.
 
     Texts of more than ``giant`` characters take the parallel scan, each distinct text
-    once. A null text has null ids, an empty one none; both score 0. Paths of equal score
-    that differ at a chunk boundary may be split differently by the scan.
+    once. A null text has null ids, an empty one none; both score 0. The ids do not depend on
+    ``giant`` or ``chunk``. Repeated rows and ids give repeated rows; an empty table gives none.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
     small, large = _split(docs, giant)

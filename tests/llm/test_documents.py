@@ -446,69 +446,81 @@ def model():
 AWKWARD = ["", " ", "  a", " a", "a ", "a  b\n\n c", "\n", "x\n", " \n a", "héé 漢字 a\x00b", "😀" * 3, "word" * 40, "\t\t x", "no space" * 9]
 
 
-def lattice_brute(v, text):
-    text = v.marked(text)
-    score = [0] + [None] * len(text)
-    for end in range(1, len(text) + 1):
-        for start in range(max(0, end - v.longest), end):
-            s = v.normal.get(text[start:end], (0, None))[1]
-            if s is None and end == start + 1:
-                s = v.unknown
-            if s is not None and (score[end] is None or score[start] + s > score[end]):
-                score[end] = score[start] + s
-    return score[-1]
-
-
-def test_lattice_is_brute_force(spark, sf_dir, model):
-    v = spm.Vocabulary(model)
-    texts = [r.text[:400] for r in documents(spark, sf_dir).collect()] + AWKWARD
-    for text, (ids, score) in zip(texts, v.encode_all(texts)):
-        assert score == lattice_brute(v, text)
-        assert v.decode(ids) == text
-        assert v.encode(text)[0].tolist() == ids.tolist()
+@pytest.fixture(scope="module")
+def library(model):
+    import sentencepiece
 
+    return sentencepiece.SentencePieceProcessor(model_proto=model)
 
-def test_library_agrees_on_words(model):
-    import sentencepiece
-    from sentencepiece import sentencepiece_model_pb2 as pb
 
-    proto = pb.ModelProto()
-    proto.ParseFromString(model)
-    proto.trainer_spec.model_type = 1
-    sp = sentencepiece.SentencePieceProcessor(model_proto=proto.SerializeToString())
-    plain = sentencepiece.SentencePieceProcessor(model_proto=model)
+def random_texts(n=300):
+    r = random.Random(10)
+    return ["".join(r.choices("abcdehinorst▁ \né漢.,", k=r.randrange(1, 80))) for _ in range(n)]
+
+
+def test_ids_are_the_librarys(spark, sf_dir, model, library):
     v = spm.Vocabulary(model)
-    for word in ("and", "house", "licht", "zonk"):
-        ids, score = v.encode(word)
-        assert plain.decode(ids.tolist()) == word  # the file's own decoder reads the ids
-        assert score >= sum(int(sp.get_score(i)) for i in sp.encode(word))
+    texts = [r.text for r in documents(spark, sf_dir).collect()] + AWKWARD + random_texts()
+    for text, (ids, _) in zip(texts, v.encode_all(texts)):
+        assert ids.tolist() == library.encode(text) == v.encode(text)[0].tolist()
+        assert "▁" in text or v.decode(ids) == text
 
 
-@pytest.mark.parametrize("chunk", [17, 40, 1000])
-def test_parallel_scan_finds_the_best_score(spark, sf_dir, model, chunk):
-    docs = documents(spark, sf_dir).where("length(text) < 1500").limit(25)
-    rows = docs.select("doc_id", "text").collect()
+def test_one_path_of_fitting_pieces(model, library):
+    """Of all ways to cut a text into pieces one has neighbours that all fit, and it is the encoding."""
     v = spm.Vocabulary(model)
-    got = spm.encode(docs, model, giant=30, chunk=chunk).collect()
-    want = {r.doc_id: v.encode(r.text)[1] for r in rows}
-    assert {r.doc_id: r.score for r in got} == {k: float(s) for k, s in want.items()}
-    assert all(v.decode(np.array(r.ids)) == r.text for r in got)
+    for text in ("thethere", "ainationer", "xaaaaaab", "  in  er", "nicht漢é"):
+        marked = v.marked(text)
+        ways = [[]]
+        for _ in range(len(marked)):  # one piece more at a time
+            ways = [w if sum(map(len, w)) == len(marked) else [*w, marked[at : at + n]] for w in ways for at in [sum(map(len, w))] for n in ([n for n, _ in v.starts(marked, at)] if at < len(marked) else [0])]
+        fitting = [w for w in map(list, set(map(tuple, ways))) if all(v.fit(a, b) for a, b in zip(["", *w[:-1]] if len(w) == 1 else w[:-1], w if len(w) == 1 else w[1:]))]
+        assert len(fitting) == 1 and v.emit(fitting[0]) == library.encode(text)
+
+
+@pytest.mark.parametrize("chunk", [1, 3, 17, 40])
+def test_scan_gives_the_ids_of_the_whole(model, library, chunk):
+    v = spm.Vocabulary(model)
+    for text in [x for x in AWKWARD if x] + random_texts(60) + ["a" * 700, "aaaab" * 200, "1234567890" * 20]:
+        marked = v.marked(text)
+        rows = [(marked[max(0, s - v.longest) : s + chunk + v.longest - 1], min(s, v.longest), min(chunk, len(marked) - s)) for s in range(0, len(marked), chunk)]
+        m = [v.transfer(*r) for r in rows]
+        at = spm.states(m, spm.CUT, spm.CUT)
+        assert [i for r, a, b in zip(rows, at[:-1], at[1:]) for i in v.backtrace(*r, a, b)] == library.encode(text)
+        assert sum(x[a][b] for x, a, b in zip(m, at[:-1], at[1:])) == v.encode(text)[1]
+
+
+@pytest.mark.parametrize("chunk", [17, 1000])
+def test_parallel_scan_on_tables(spark, sf_dir, model, library, chunk):
+    docs = documents(spark, sf_dir).where("length(text) < 1500").limit(25).unionByName(spark.createDataFrame([(-1, "aaaa" * 1000, None, None, 0)], SCHEMA))
+    rows = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
+    v = spm.Vocabulary(model)
+    for r in spm.encode(docs, model, giant=30, chunk=chunk).collect():
+        assert r.ids == library.encode(rows[r.doc_id]) and r.score == float(v.encode(rows[r.doc_id])[1])
 
 
 def test_max_plus_is_associative(model):
     v = spm.Vocabulary(model)
     text = v.marked("the parallel scan of a giant document without\nany break " * 3)
-    parts = [(text[k : k + 20 + v.longest - 1], min(20, len(text) - k)) for k in range(0, len(text), 20)]
-    m = [v.transfer(*p) for p in parts[:3]]
-    assert (spm.max_plus(spm.max_plus(m[0], m[1]), m[2]) == spm.max_plus(m[0], spm.max_plus(m[1], m[2]))).all()
+    m = [v.transfer(text[max(0, k - v.longest) : k + 20 + v.longest - 1], min(k, v.longest), min(20, len(text) - k)) for k in range(0, len(text), 20)]
+    assert spm.max_plus(spm.max_plus(m[0], m[1]), m[2]) == spm.max_plus(m[0], spm.max_plus(m[1], m[2]))
 
 
-def test_vocabulary_without_word_cuts(model):
+def test_vocabulary_without_word_cuts(model, library):
     v = spm.Vocabulary(model)
-    w = spm.Vocabulary(model)
-    w._part, w.line_cuts = None, False
+    v._part, v.line_cuts = None, False
     for text in (*AWKWARD, "a plain text of some words"):
-        assert v.encode(text)[1] == w.encode(text)[1]
+        assert v.encode(text)[0].tolist() == library.encode(text)
+
+
+def test_other_models_are_refused(model):
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    proto = pb.ModelProto()
+    proto.ParseFromString(model)
+    proto.trainer_spec.model_type = 1
+    with pytest.raises(ValueError):
+        spm.Vocabulary(proto.SerializeToString())
 
 
 def test_sentencepiece_odd_rows(odd, none, model):
