@@ -10,34 +10,53 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pointloom.llm import langid, linededup, mixing, simhash, spm
-from pointloom.llm.common import crc_rest, read, stored
+from pointloom.llm.common import crc_rest, own, read, stored
 from pointloom.llm.queries import TOKENIZER
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language that the model knows, or without one that prevails, go."""
+    """Documents without a language that the model knows, or without one that prevails, go.
+
+    Null, empty and blank texts have none. Repeated rows stay or go together. An empty table gives no row.
+    """
     model = langid.train(docs.where(crc_rest(F.col("doc_id"), 3) != 1).select("doc_id", "text", "lang"))
     return langid.keep_identified(docs, model)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Chunks of lines seen before go; n_chars follows the text."""
+    """Chunks of lines seen before go; n_chars follows the text, null for a null text.
+
+    Every row stays, with an empty text if all its lines go; rows that repeat id and text lose
+    the same lines. See linededup.line_dedup(). An empty table gives no row.
+    """
     cut = linededup.line_dedup(docs)
-    return cut.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    return cut.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else own(cut, c) for c in docs.columns])
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
+    """One document of each group of near copies stays, the smallest id.
+
+    Null, empty and blank texts are one group; of rows that repeat the id one stays; rows
+    without an id stay. See simhash.one_of_each(). An empty table gives no row.
+    """
     return simhash.one_of_each(docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources come to their target weights; a document is repeated as often as its rate says."""
+    """Sources come to their target weights; a document is repeated as often as its rate says.
+
+    A null source is a source. Rows that repeat an id, or have none, share a coin. Sources
+    without a word give no row. See mixing.mix(). An empty table gives no row.
+    """
     return mixing.mix(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token ids of each document, and whether they decode to its text."""
+    """The token ids of each document, and whether they decode to its text.
+
+    Every row has a row: of a null text with null ids, of an empty one with none. Texts of any
+    length have the ids of the whole text. An empty table gives no row.
+    """
     model = spm.load(spark, TOKENIZER)
     return spm.tokenised(docs, model)
 

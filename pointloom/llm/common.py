@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The word of every contract: a run of anything but the six ASCII white-space characters.
@@ -19,10 +19,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def _folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; a local one only where none is named, as in tests."""
+    """The folder that spark.checkpoint.dir names; a local one only in local mode, where none is named, as in tests."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not named:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="pointloom-"))
         named = sc.getCheckpointDir()
     return f"{named.rstrip('/')}/pointloom-{sc.applicationId}"
@@ -46,6 +48,16 @@ def drop_stored(df: DataFrame) -> None:
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def own(df: DataFrame, name: str) -> Column:
+    """A column of ``df`` by its exact name, dots and all."""
+    return df["`" + name.replace("`", "``") + "`"]
+
+
+def nested(df: DataFrame, *needed: str) -> DataFrame:
+    """``df`` with all its columns in one, ``row``, and beside it those that are needed, so that no name clashes with a helper's; ``row.*`` brings them back."""
+    return df.select(F.struct(*[own(df, c) for c in df.columns]).alias("row"), *[own(df, c) for c in needed])
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
     """Arrow batches cut to so many rows, so that a worker's results stay small."""
     for b in batches:

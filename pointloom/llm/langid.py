@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pointloom.llm.common import slices
+from pointloom.llm.common import nested, slices
 
 BITS = 15
 #: Labelled rows of each language that are counted, about: the bound of the training sample.
@@ -116,19 +116,21 @@ def em(p: np.ndarray, n: np.ndarray) -> tuple[float, np.ndarray]:
 def train(labelled: DataFrame, sample: int = SAMPLE) -> Model:
     """Model from (doc_id, text, lang) rows: of each language about ``sample`` rows, those with hashed ids below a share of all hashes.
 
-    Rows without text or lang are left out. The counts are summed by language and trigram
-    on the executors, so the driver gets 2^BITS rows a language at most.
+    Rows without an id are told apart by their texts. Rows without text or lang are left out.
+    The counts are summed by language and trigram on the executors, so the driver gets 2^BITS
+    rows a language at most.
     """
-    known = labelled.where("lang is not null and text is not null")
+    known = labelled.where("lang is not null and text is not null").select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     sizes = known.groupBy("lang").agg(F.count("*").alias("rows")).limit(MAX_LANGUAGES + 1).collect()
     languages = sorted(r["lang"] for r in sizes)
     if len(languages) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     if not languages:
         return Model([], np.zeros((0, 1 << BITS)))
-    shares = known.sparkSession.createDataFrame([(r["lang"], int(min(1.0, sample / r["rows"]) * (1 << 31))) for r in sizes], "_lang string, _below long")
-    picked = known.join(F.broadcast(shares), known["lang"] == shares["_lang"]).where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31)) < F.col("_below"))  # MAX_LANGUAGES rows
-    texts = picked.select(F.col("text").cast("string").alias("text"), "lang")
+    shares = known.sparkSession.createDataFrame([(r["lang"], int(min(1.0, sample / r["rows"]) * (1 << 31))) for r in sizes], "of string, below long")
+    named = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id"))
+    picked = known.join(F.broadcast(shares), F.col("lang") == F.col("of")).where(F.pmod(named, F.lit(1 << 31)) < F.col("below"))  # MAX_LANGUAGES rows
+    texts = picked.select("text", "lang")
     rows = texts.mapInArrow(_count, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros((len(languages), 1 << BITS))
     place = {k: i for i, k in enumerate(languages)}
@@ -153,13 +155,17 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` with a known language of share ``least`` or more; the columns of ``docs``, order kept within batches."""
+    """The rows of ``docs`` with a known language of share ``least`` or more; the columns of ``docs``, whatever their names, order kept within batches.
+
+    Null texts and texts without a letter go, as nothing tells their language; of repeated
+    rows all stay or all go. An empty table, or a model without a language, gives no row.
+    """
     held = docs.sparkSession.sparkContext.broadcast(model)
-    at = docs.columns.index("text")
+    rows = nested(docs, "text").select("row", F.col("text").cast("string").alias("text"))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            found = [held.value.predict(t.as_py()) for t in batch.column(at)]
+            found = [held.value.predict(t.as_py()) for t in batch.column(1)]
             yield batch.filter(pa.array([lang != UNKNOWN and score >= least for lang, score in found], pa.bool_()))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return rows.mapInArrow(keep, rows.schema).select("row.*")

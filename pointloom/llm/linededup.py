@@ -1,11 +1,18 @@
 """Line dedup with content-defined chunks of lines, by DataFrame functions only.
 
-Each line has a 48-bit hash. A rolling polynomial over the last three line hashes ends a
-chunk after the lines where it is divisible by ``DIVISOR``; as the cut looks at content
-alone, an inserted or missing line moves the boundaries near it and no others. Chunks of
-two lines and more that occur again anywhere in the corpus are compared byte by byte, and
-all but the first occurrence (smallest doc_id, then place) are taken out. Joins that carry
-texts are merge joins at every size: what repeats grows with the corpus.
+Lines without a word aside, a rolling window over the hashes of two neighbouring lines tells
+whether the gap between them is a boundary, in each of ``CHUNKINGS`` chunkings at once. A
+line's hash gives it a code of as many bits, half of them set; chunking k holds two lines
+together if bit k is unset in the first one's code and set in the second's, and has a
+boundary in every other gap. So a chunk has one line or two, and as the window looks at the
+lines of the chunk alone, it is found wherever they stand: an inserted or missing line moves
+the boundaries next to it and no others. No code holds another, so two neighbours with
+different codes are a chunk in some chunking; only equal codes, one pair in 70, are not.
+
+Chunks of two lines that occur again anywhere in the corpus are compared byte by byte, and
+the lines of all but the first occurrence (smallest doc_id, then place) are taken out. What
+a line loses its place to comes strictly before it, so of equal lines one always stays.
+Joins are merge joins at every size, as what repeats grows with the corpus.
 """
 
 from __future__ import annotations
@@ -13,16 +20,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pointloom.llm.common import stored
+from pointloom.llm.common import WORD, drop_stored, nested, own, stored
 
-DIVISOR = 4
-MIN_LINES = 2
-#: The factor of the rolling polynomial over line hashes.
-FACTOR = 31
+CHUNKINGS = 8
+#: The codes: numbers of so many bits, half of them set.
+CODES = [c for c in range(1 << CHUNKINGS) if c.bit_count() * 2 == CHUNKINGS]
+HEX = "0123456789abcdef"
 
 
-def line_hash(line: Column) -> Column:
-    return F.conv(F.substring(F.md5(line), 1, 12), 16, 10).cast("long")
+def code(line: Column) -> Column:
+    """The code of a line, from the first two digits of its md5."""
+    digit = lambda k: F.instr(F.lit(HEX), F.substring(F.md5(line), k, 1)) - 1
+    return F.get(F.array(*[F.lit(c) for c in CODES]), (digit(1) * 16 + digit(2)) % len(CODES))
 
 
 def _fixed(df: DataFrame, name: str, value: Column) -> DataFrame:
@@ -30,57 +39,63 @@ def _fixed(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.select("*", F.explode(F.array(value)).alias(name))
 
 
-def _chunked(df: DataFrame, text: Column, divisor: int) -> DataFrame:
-    """``df`` with _chunks: array of struct(idx, n, text); no chunk where ``text`` is null.
+def chunks(docs: DataFrame) -> DataFrame:
+    """(id, th, a, b, ch) of the two-line chunks of all chunkings, each once: numbers of the two lines and the md5 of their text. Null texts have none."""
+    texts = docs.where("text is not null").select(F.col("doc_id").alias("id"), F.md5("text").alias("th"), F.split("text", "\n", -1).alias("lines"))
+    full = _fixed(texts, "full", F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: F.get("lines", i).rlike(WORD)))
+    coded = _fixed(full, "codes", F.transform("full", lambda i: code(F.get("lines", i))))
+    gaps = F.when(F.size("full") > 1, F.sequence(F.lit(0), F.size("full") - 2)).otherwise(F.array().cast("array<int>"))
+    held = F.filter(gaps, lambda k: F.bitwise_not(F.get("codes", k)).bitwiseAND(F.get("codes", k + 1)) != 0)  # the chunkings without a boundary there
+    chunk = lambda k: F.struct(F.get("full", k).alias("a"), F.get("full", k + 1).alias("b"))
+    rows = coded.select("id", "th", "lines", F.inline(F.transform(held, chunk)))
+    return rows.select("id", "th", "a", "b", F.md5(_text()).alias("ch"))
 
-    The work is linear in the text: each line end is given a flag, 1 behind the last line
-    of a chunk and 0 behind others, and the joined lines are split again at the ones.
-    """
-    lined = _fixed(df, "_lines", F.coalesce(F.split(text, "\n", -1), F.array().cast("array<string>")))
-    hashed = _fixed(lined, "_h", F.transform("_lines", line_hash))
-
-    def rolled(i: Column) -> Column:
-        before = lambda k: F.when(i >= k, F.get("_h", i - k)).otherwise(0)
-        return F.get("_h", i) + before(1) * FACTOR + before(2) * (FACTOR * FACTOR)
-
-    last = F.size("_lines") - 1
-    flagged = F.transform("_lines", lambda x, i: F.when(i == last, x).when(rolled(i) % divisor == 0, F.concat(x, F.lit("\n1"))).otherwise(F.concat(x, F.lit("\n0"))))
-    parts = F.split(F.array_join(flagged, ""), "\n1", -1)
-    chunk = lambda c, k: F.struct(k.alias("idx"), F.size(F.split(c, "\n0", -1)).alias("n"), F.replace(c, F.lit("\n0"), F.lit("\n")).alias("text"))
-    none = F.array().cast("array<struct<idx:int,n:int,text:string>>")
-    return _fixed(hashed, "_chunks", F.when(last >= 0, F.transform(parts, chunk)).otherwise(none)).drop("_lines", "_h")
-
-
-def repeated_chunks(docs: DataFrame, divisor: int = DIVISOR, min_lines: int = MIN_LINES) -> DataFrame:
-    """(doc_id, th, idx) of the chunks to take out: occurrences other than the first of multi-line chunks."""
-    keyed = docs.where("text is not null").select(F.col("doc_id").alias("_id"), F.md5("text").alias("_th"), "text")
-    rows = _chunked(keyed, F.col("text"), divisor).select("_id", "_th", F.explode("_chunks").alias("_c")).where((F.col("_c.n") >= min_lines) & F.col("_c.text").rlike(r"[^\x20\x09-\x0D]"))
-    many = rows.select("_id", "_th", F.col("_c.idx").alias("_idx"), F.md5("_c.text").alias("_ch"), F.col("_c.text").alias("_text"))
-    again = stored(many.groupBy("_ch").agg(F.count("*").alias("_n")).where("_n > 1").select("_ch"))  # a table, so that the join's hot keys can be split
-    found = stored(many.join(again.hint("merge"), "_ch"))  # the texts of repeated hashes alone are read twice
-    place = F.struct(F.col("_id").isNull().alias("nameless"), F.col("_id").alias("id"), F.col("_th").alias("th"), F.col("_idx").alias("idx"))
-    same = stored(found.groupBy("_ch", "_text").agg(F.min(place).alias("_first"))).withColumnsRenamed({"_ch": "_ch2", "_text": "_text2"})
-    later = found.join(same.hint("merge"), (F.col("_ch") == F.col("_ch2")) & (F.col("_text") == F.col("_text2")))
-    return later.where(~place.eqNullSafe(F.col("_first"))).select("_id", "_th", "_idx")
-
-
-def line_dedup(docs: DataFrame, divisor: int = DIVISOR, min_lines: int = MIN_LINES) -> DataFrame:
-    """The rows of ``docs`` with repeated chunks taken out of text, and n_lines and n_removed (long) added.
-
-    A null text stays null with n_lines 0; a text all of whose chunks are repeats becomes
-    empty. Chunks of white space only are left alone. Rows that repeat both doc_id and text
-    share one place, so that both keep or both lose a chunk; a null doc_id comes after all
-    others. n_lines and n_removed of ``docs`` itself, if there, are replaced.
+
+def _text() -> Column:
+    """The two lines of a chunk, from lines, a and b."""
+    return F.concat(F.get("lines", F.col("a")), F.lit("\n"), F.get("lines", F.col("b")))
+
+
+def _place() -> Column:
+    return F.struct(F.col("id").isNull().alias("nameless"), F.col("id").alias("id"), F.col("th").alias("th"), F.col("a").alias("a"))
+
+
+def repeated_chunks(docs: DataFrame) -> DataFrame:
+    """(id, th, a, b) of the chunks to take out: occurrences other than the first. Chunks of one md5 whose bytes differ all stay."""
+    every = stored(chunks(docs))
+    again = stored(every.groupBy("ch").agg(F.count("*").alias("n")).where("n > 1").select("ch"))  # a table, so that the join's hot keys can be split
+    found = stored(every.join(again.hint("merge"), "ch"))
+    drop_stored(every)
+    of = found.groupBy("id", "th").agg(F.collect_list(F.struct("a", "b", "ch")).alias("of")).withColumnsRenamed({"id": "of_id", "th": "of_th"})
+    texts = docs.where("text is not null").select(F.col("doc_id").alias("id"), F.md5("text").alias("th"), "text")
+    read = texts.join(of.hint("merge"), F.col("id").eqNullSafe(F.col("of_id")) & (F.col("th") == F.col("of_th")))
+    again_read = read.select("id", "th", F.split("text", "\n", -1).alias("lines"), F.inline("of")).select(_place().alias("place"), "ch", _text().alias("text"))
+    same = stored(again_read.groupBy("ch").agg(F.min("place").alias("first"), F.min("text").alias("least"), F.max("text").alias("most")).where("least = most").select("ch", "first"))
+    return found.join(same.hint("merge"), "ch").where(~_place().eqNullSafe(F.col("first"))).select("id", "th", "a", "b")
+
+
+def line_dedup(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` with the lines of repeated chunks taken out of text, and n_lines and n_removed (long) added.
+
+    Lines without a word between the two lines of a chunk go with them; others stay, as does a
+    line that repeats alone. A null text stays null with n_lines 0; a text all of whose lines
+    are taken becomes empty. Rows that repeat both doc_id and text share one place, so that
+    all keep or all lose a chunk; a null doc_id comes after all others. An empty table gives
+    an empty result. n_lines and n_removed of ``docs`` itself, if there, are replaced; other
+    columns may have any name.
     """
-    gone = repeated_chunks(docs, divisor, min_lines).groupBy("_id", "_th").agg(F.collect_set("_idx").alias("_gone")).withColumnsRenamed({"_id": "_gid", "_th": "_gth"})
-    columns = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    keyed = docs.select(*columns, F.md5("text").alias("_kth"))
-    joined = keyed.join(gone.hint("merge"), keyed["doc_id"].eqNullSafe(gone["_gid"]) & (keyed["_kth"] == gone["_gth"]), "left").drop("_gid", "_gth", "_kth")
-    cut = _chunked(joined, F.when(F.col("_gone").isNotNull(), F.col("text")), divisor)
-    kept = F.array_except(F.sequence(F.lit(0), F.size("_chunks") - 1), "_gone")
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda k: F.get("_chunks", k)["text"]), "\n"))
+    gone = repeated_chunks(docs).groupBy("id", "th").agg(F.array_distinct(F.flatten(F.collect_list(F.sequence("a", "b")))).alias("gone"))
+    kept = docs.select(*[own(docs, c) for c in docs.columns if c.lower() not in ("n_lines", "n_removed")])
+    rows = nested(kept, "doc_id", "text").select("row", "doc_id", "text", F.md5("text").alias("row_th"))
+    joined = rows.join(gone.hint("merge"), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("row_th") == F.col("th")), "left")
+    cut = _fixed(joined, "lines", F.when(F.col("gone").isNotNull(), F.split("text", "\n", -1)).otherwise(F.array().cast("array<string>")))
+    left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "gone")
+    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda k: F.get("lines", k)), "\n"))
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n", -1)))
-    n_removed = F.when(F.col("_gone").isNull(), 0).otherwise(F.aggregate("_gone", F.lit(0), lambda a, k: a + F.get("_chunks", k)["n"]))
-    return cut.select(
-        *[text.alias(c) if c == "text" else F.col(c) for c in columns], n_lines.cast("long").alias("n_lines"), n_removed.cast("long").alias("n_removed")
-    )
+    out = cut.select("row", text.alias("cut"), n_lines.cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"))
+    return out.select(*[F.col("cut").alias(c) if c == "text" else own_of(c) for c in kept.columns], "n_lines", "n_removed")
+
+
+def own_of(name: str) -> Column:
+    """A column of the nested row."""
+    return F.col("row").getField(name).alias(name)

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pointloom.llm.common import word_count
+from pointloom.llm.common import nested, word_count
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -60,24 +60,29 @@ def copies(rate: Column, doc_id: Column, seed: str = SEED) -> Column:
     return (whole + (uniform(doc_id, seed) < rate - whole).cast("long")).cast("long")
 
 
+def _rated(sized: DataFrame, weights: Sequence[int], share: float, most: float) -> DataFrame:
+    """``sized`` (any columns with source and size) with its source's source_size, target and rate. The rates have one row a source."""
+    rates = targets(sized.select("source", "size"), weights, share, most).withColumnRenamed("source", "of")
+    return sized.join(rates, F.col("source").eqNullSafe(F.col("of"))).drop("of")
+
+
 def mix_plan(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: str = SEED) -> DataFrame:
     """(doc_id, source, size, source_size, target, copies) for every row of ``docs``.
 
-    Size is the number of words, 0 for a null text. Rows that repeat a doc_id share its
-    coin, as do rows without one. A null source is a source of its own. Other columns are
-    ignored. An empty table gives an empty result.
+    Size is the number of words, 0 for a null, empty or blank text. Rows that repeat a doc_id
+    share its coin, as do rows without one. A null source is a source of its own, the last.
+    Other columns, whatever their names, are ignored. An empty table gives an empty result.
     """
     sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
-    rates = targets(sized, weights, share, most).withColumnRenamed("source", "_source")
-    joined = sized.join(rates, sized["source"].eqNullSafe(rates["_source"]))
-    return joined.select("doc_id", "source", "size", "source_size", "target", copies(F.col("rate"), F.col("doc_id"), seed).alias("copies"))
+    return _rated(sized, weights, share, most).select("doc_id", "source", "size", "source_size", "target", copies(F.col("rate"), F.col("doc_id"), seed).alias("copies"))
 
 
 def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: str = SEED) -> DataFrame:
-    """The mix itself: every row of ``docs`` as often as the plan says; the columns of ``docs``."""
-    sized = docs.select("source", word_count(F.col("text")).alias("size"))
-    rates = targets(sized, weights, share, most).select(F.col("source").alias("_source"), F.col("rate").alias("_rate"))
-    joined = docs.join(rates, docs["source"].eqNullSafe(rates["_source"]))
-    times = F.sequence(F.lit(1), copies(F.col("_rate"), docs["doc_id"], seed).cast("int"))
-    some = joined.where(copies(F.col("_rate"), docs["doc_id"], seed) > 0)
-    return some.select(*[docs[c] for c in docs.columns], F.explode(times).alias("_copy")).drop("_copy")
+    """The mix itself: every row of ``docs`` as often as the plan says; the columns of ``docs``, whatever their names.
+
+    Nulls, empty texts, repeated rows and ids: see mix_plan(). A source without a word has rate
+    0, so none of its rows comes. An empty table gives an empty result.
+    """
+    rated = _rated(nested(docs, "doc_id", "source").select("*", word_count(F.col("row.text")).alias("size")), weights, share, most)
+    counted = rated.select("row", copies(F.col("rate"), F.col("doc_id"), seed).alias("copies")).where("copies > 0")
+    return counted.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")

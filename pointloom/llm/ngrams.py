@@ -21,7 +21,7 @@ from pointloom.llm.common import slices
 
 BITS = 20
 ORDERS = (3, 4, 5)
-#: Labelled rows that a model is fitted on at most: those with the smallest hashed ids.
+#: Labelled ids that a model is fitted on, about, if there are more.
 SAMPLE = 12_000
 #: Buckets kept, the labelled rows that one must be in, and the standard errors its shares must differ by.
 FEATURES = 16_384
@@ -66,11 +66,17 @@ class Scaled:
 
 
 def sampled(docs: DataFrame, labels: DataFrame, label: str, sample: int = SAMPLE) -> DataFrame:
-    """(text, y) of labelled rows, ``sample`` of them at most. Rows without a label are left out; a doc_id has one label, the largest given; of equal texts with equal labels one is taken, lest copies be learnt by heart."""
+    """(text, y) of labelled rows: all of them, or of more than ``sample`` ids about so many, those whose hash is below a share of all hashes.
+
+    Rows without a label are left out; a doc_id has one label, the largest given; of equal
+    texts with equal labels one is taken, lest copies be learnt by heart.
+    """
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
-    ids = docs.select("doc_id").join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).distinct()
-    rows = docs.join(F.broadcast(ids), "doc_id")  # ``sample`` ids at most
-    return rows.select(F.col("text").cast("string").alias("text"), (F.col("y") > 0).cast("int").alias("y")).distinct()
+    labelled = docs.select("doc_id").distinct().join(known, "doc_id")
+    below = int(min(1.0, sample / max(1, labelled.count())) * (1 << 31))
+    picked = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31)) < below)
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id")  # ``sample`` ids, about
+    return rows.select("text", (F.col("y") > 0).cast("int").alias("y")).distinct()
 
 
 def counted(rows: DataFrame) -> tuple[Scaled, int, int]:

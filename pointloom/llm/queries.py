@@ -136,7 +136,7 @@ SELECT query_id, rank::INT AS rank, doc_id, score FROM ranked WHERE rank <= 10
 OP2_SQL = r"""
 WITH captures AS (
   SELECT page_id, url, CAST(DATE '2024-01-01' + CAST((page_id * 7919) % 730 AS INTEGER) AS DATE) AS day,
-         regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:@]*)', 1)), '\.$', '') AS h,
+         regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?(\[[^\]/?#@]*\]|[^/?#:@]*)', 1)), '\.$', '') AS h,
          regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*([^?#]*)', 1) AS p
   FROM pages
 ), entries AS (
@@ -190,22 +190,22 @@ FROM sized s JOIN final f ON s.source IS NOT DISTINCT FROM f.source
 OP8_SQL = r"""
 WITH lined AS (
   SELECT doc_id, text, md5(text) AS th, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos
-  FROM documents WHERE text IS NOT NULL
-), hashed AS (
-  SELECT doc_id, th, pos, line, ('0x' || substr(md5(line), 1, 12))::BIGINT AS h FROM lined
-), cut AS (
-  SELECT *, CASE WHEN (h + 31 * coalesce(lag(h) OVER w, 0) + 961 * coalesce(lag(h, 2) OVER w, 0)) % 4 = 0 THEN 1 ELSE 0 END AS ends
-  FROM hashed WINDOW w AS (PARTITION BY doc_id, th ORDER BY pos)
-), numbered AS (
-  SELECT *, coalesce(sum(ends) OVER (PARTITION BY doc_id, th ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS idx FROM cut
-), chunks AS (
-  SELECT doc_id, th, idx, count(*) AS n, string_agg(line, chr(10) ORDER BY pos) AS chunk FROM numbered GROUP BY ALL
+  FROM (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL)
+), codes AS (
+  -- the numbers of 8 bits of which 4 are set, in order
+  SELECT row_number() OVER (ORDER BY c) - 1 AS k, c::INT AS code FROM range(256) t(c) WHERE bit_count(c) = 4
+), full_ AS (
+  SELECT l.*, code, lead(pos) OVER w AS next_pos, lead(line) OVER w AS next_line, lead(code) OVER w AS next_code
+  FROM lined l JOIN codes ON k = ('0x' || substr(md5(line), 1, 2))::INT % 70 WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
+  WINDOW w AS (PARTITION BY doc_id, th ORDER BY pos)
 ), ranked AS (
-  SELECT *, n >= 2 AND regexp_matches(chunk, '[^\x20\x09-\x0D]')
-            AND row_number() OVER (PARTITION BY chunk ORDER BY doc_id NULLS LAST, th, idx) > 1 AS gone FROM chunks
+  -- chunkings that hold the two lines together: bits unset in the first code and set in the second
+  SELECT doc_id, th, pos, next_pos, row_number() OVER (PARTITION BY line, next_line ORDER BY doc_id NULLS LAST, th, pos) > 1 AS gone
+  FROM full_ WHERE next_line IS NOT NULL AND (255 - code) & next_code <> 0
+), marked AS (
+  SELECT l.*, EXISTS (FROM ranked r WHERE r.gone AND r.doc_id IS NOT DISTINCT FROM l.doc_id AND r.th = l.th AND l.pos BETWEEN r.pos AND r.next_pos) AS gone FROM lined l
 ), docs AS (
-  SELECT doc_id, th, sum(n)::BIGINT AS n_lines, coalesce(sum(n) FILTER (gone), 0)::BIGINT AS n_removed,
-         coalesce(string_agg(chunk, chr(10) ORDER BY idx) FILTER (NOT gone), '') AS text FROM ranked GROUP BY ALL
+  SELECT doc_id, th, count(*)::BIGINT AS n_lines, count(*) FILTER (gone)::BIGINT AS n_removed, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS text FROM marked GROUP BY ALL
 )
 SELECT d.doc_id, coalesce(c.n_lines, 0)::BIGINT AS n_lines, coalesce(c.n_removed, 0)::BIGINT AS n_removed, md5(c.text) AS text_md5
 FROM documents d LEFT JOIN docs c ON d.doc_id IS NOT DISTINCT FROM c.doc_id AND md5(d.text) = c.th

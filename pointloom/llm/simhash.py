@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pointloom.llm.common import slices, stored
+from pointloom.llm.common import nested, slices, stored
 from pointloom.llm.components import connected_components
 
 SEED = 42
@@ -113,13 +113,14 @@ def simhash_groups(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """Of each near-duplicate group the row with the smallest doc_id; the columns of ``docs``.
+    """Of each near-duplicate group the row with the smallest doc_id; the columns of ``docs``, whatever their names.
 
+    Null, empty and blank texts are one group. An empty table gives an empty result.
     Rows that repeat the kept doc_id are kept once (the one with the smallest text, nulls
     first). Rows without a doc_id all stay: nothing names them as a copy.
     """
     kept = simhash_groups(docs).where("doc_id = component_id").select("doc_id").distinct()
-    rows = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").select(docs.columns)
+    rows = nested(docs.where("doc_id is not null"), "doc_id", "text").join(kept, "doc_id", "left_semi")
     first = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_first())
-    once = rows.select("*", F.row_number().over(first).alias("_rank")).where("_rank = 1").select(docs.columns)
+    once = rows.select("row", F.row_number().over(first).alias("rank")).where("rank = 1").select("row.*")
     return once.unionByName(docs.where("doc_id is null"))

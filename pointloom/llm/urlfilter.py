@@ -13,12 +13,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pointloom.llm.common import nested, own
+
 SCHEME = r"^[A-Za-z][A-Za-z0-9+.\-]*://"
+#: An address in brackets keeps its colons.
+HOST = r"(?:[^/?#@]*@)?(\[[^\]/?#@]*\]|[^/?#:@]*)"
 
 
 def host(url: Column) -> Column:
     """Lower-case host without user, port and trailing dot; '' if there is none."""
-    found = F.lower(F.regexp_extract(url, SCHEME + r"(?:[^/?#@]*@)?([^/?#:@]*)", 1))
+    found = F.lower(F.regexp_extract(url, SCHEME + HOST, 1))
     return F.regexp_replace(found, r"\.$", "")
 
 
@@ -60,7 +64,7 @@ def evaluate(captures: DataFrame, entries: DataFrame) -> DataFrame:
     kept. Columns of captures named like the added ones are replaced.
     """
     added = ("blocked", "n_matches", "categories")
-    own = [c for c in captures.columns if c not in added]
-    found = matches(captures, entries).withColumnsRenamed({"url": "_url", "fetched_on": "_on"})
-    joined = captures.select(own).join(found, (F.col("url") == F.col("_url")) & (F.col("fetched_on") == F.col("_on")), "left")
-    return joined.select(*own, F.col("n_matches").isNotNull().alias("blocked"), F.coalesce("n_matches", F.lit(0)).cast("long").alias("n_matches"), F.coalesce("categories", F.lit("")).alias("categories"))
+    kept = captures.select(*[own(captures, c) for c in captures.columns if c.lower() not in added])
+    found = matches(captures, entries).withColumnsRenamed({"url": "of", "fetched_on": "on"})
+    joined = nested(kept, "url", "fetched_on").join(found, (F.col("url") == F.col("of")) & (F.col("fetched_on") == F.col("on")), "left")
+    return joined.select("row.*", F.col("n_matches").isNotNull().alias("blocked"), F.coalesce("n_matches", F.lit(0)).cast("long").alias("n_matches"), F.coalesce("categories", F.lit("")).alias("categories"))
