@@ -28,3 +28,21 @@ def pixel(ra_deg: Column, sin_dec: Column, nside: int) -> Column:
     at = F.pmod(F.floor(tt * r), 4 * r)
     cap = F.when(z > 0, 2 * r * (r - 1) + at).otherwise(12 * n * n - 2 * r * (r + 1) + at)
     return F.when(za <= 2 / 3, belt).otherwise(cap).cast("long")
+
+
+def centre(pix: Column, nside: int) -> tuple[Column, Column]:
+    """(right ascension in degrees, sin dec) of a pixel's middle."""
+    n, north, p = nside, 2 * nside * (nside - 1), pix.cast("double")
+    whole = 12 * n * n
+
+    def rings(k: Column) -> Column:
+        """Ring of the k-th pixel, from 1, of a cap counted from its pole."""
+        return F.floor(F.sqrt(k / 2 - F.sqrt(F.floor(k / 2)))) + 1
+
+    top, bottom = rings(p + 1), rings(F.lit(float(whole)) - p)
+    ring = F.when(pix < north, top).when(pix < whole - north, F.floor((p - north) / (4 * n)) + n).otherwise(bottom)
+    place = F.when(pix < north, p + 1 - 2 * top * (top - 1)).when(pix < whole - north, (p - north) % (4 * n) + 1).otherwise(4 * bottom + 1 - (whole - p - 2 * bottom * (bottom - 1)))
+    shift = F.when((pix >= north) & (pix < whole - north) & ((ring + n) % 2 == 1), 1.0).otherwise(0.5)
+    step = F.when((pix < north) | (pix >= whole - north), 90 / ring).otherwise(90.0 / n)
+    height = F.when(pix < north, 1 - ring * ring / (3.0 * n * n)).when(pix < whole - north, (2 * n - ring) * 2 / (3.0 * n)).otherwise(ring * ring / (3.0 * n * n) - 1)
+    return (place - shift) * step, height

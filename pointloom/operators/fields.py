@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pointloom.functions.coords import ACCURACY
-from pointloom.functions.healpix import pixel
+from pointloom.functions.coords import ACCURACY, chord, unit_vector
+from pointloom.functions.healpix import centre, pixel
 from pointloom.operators.cells import ratio
+from pointloom.operators.rangejoin import pairs
 
 #: Rows that a step on the driver takes at most: pixels of a coarse map, bins, templates.
 DRIVER_ROWS = 1 << 20
@@ -110,3 +112,42 @@ def clustering_weights(df: DataFrame, bias: Column, growth: Column, density: Col
     """``df`` with weight b D / (1 + n P), scaled to mean 1."""
     raw = df.withColumn("_w", bias * growth / (1 + density * F.lit(power)))
     return raw.crossJoin(F.broadcast(raw.agg(F.avg("_w").alias("_m")))).withColumn("weight", F.col("_w") / F.col("_m")).drop("_w", "_m")
+
+
+def cap_centre_grid(mask: DataFrame, nside: int, nside_centres: int, theta_max: float, buffer: float = 1.0, threshold: float = 0.5) -> DataFrame:
+    """(id, ra, u, covered): pixel centres in the footprint whose disc of ``buffer`` * ``theta_max`` degrees has no mask pixel below the threshold, and the mean completeness of the disc.
+
+    ``mask`` is (pix, completeness) of all pixels at ``nside``; a disc without a pixel centre keeps no centre.
+    """
+    ra, u = centre(F.col("pix"), nside)
+    x, y, z = unit_vector(ra, u)
+    spots = mask.select(F.col("pix").alias("id"), x.alias("c0"), y.alias("c1"), z.alias("c2"), "completeness")
+    ra, u = centre(F.col("id"), nside_centres)
+    x, y, z = unit_vector(F.col("ra"), F.col("u"))
+    grid = mask.sparkSession.range(12 * nside_centres * nside_centres).select("id", ra.alias("ra"), u.alias("u")).select("*", pixel(F.col("ra"), F.col("u"), nside).alias("pix"), x.alias("c0"), y.alias("c1"), z.alias("c2"))
+    inside = grid.join(mask.where(F.col("completeness") >= threshold).select("pix"), "pix", "left_semi").withColumn("completeness", F.lit(0.0))
+    met = pairs(inside, spots, chord(buffer * theta_max), keep=("id", "completeness"), closed=True)
+    kept = met.groupBy(F.col("a_id").alias("id")).agg(F.avg("b_completeness").alias("covered"), F.min("b_completeness").alias("least")).where(F.col("least") >= threshold)
+    return inside.select("id", "ra", "u").join(kept.select("id", "covered"), "id")
+
+
+def eigenvalues(df: DataFrame) -> DataFrame:
+    """``df`` with e0 <= e1 <= e2, the eigenvalues of the symmetric 3 x 3 tensor in txx..tyz, by the trigonometric solution of the cubic."""
+    c = lambda name: F.col(name).cast("double")
+    q = (c("txx") + c("tyy") + c("tzz")) / 3
+    off = c("txy") * c("txy") + c("txz") * c("txz") + c("tyz") * c("tyz")
+    a, b, d = c("txx") - q, c("tyy") - q, c("tzz") - q
+    p = F.sqrt((a * a + b * b + d * d + 2 * off) / 6)
+    half_det = (a * b * d + 2 * c("txy") * c("tyz") * c("txz") - a * c("tyz") * c("tyz") - b * c("txz") * c("txz") - d * c("txy") * c("txy")) / 2
+    angle = F.when(p > 0, F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), half_det / (p * p * p)))) / 3).otherwise(0.0)
+    held = df.select("*", q.alias("mid"), p.alias("spread"), angle.alias("angle"))
+    e2, e0 = F.col("mid") + 2 * F.col("spread") * F.cos("angle"), F.col("mid") + 2 * F.col("spread") * F.cos(F.col("angle") + F.lit(2 * math.pi / 3))
+    return held.select(*df.columns, e0.alias("e0"), (3 * F.col("mid") - e0 - e2).alias("e1"), e2.alias("e2"))
+
+
+def shape_class(df: DataFrame, eps: float = 0.02) -> DataFrame:
+    """``df`` with shape, from eigenvalues() of a tensor without trace: isotropic, filament (one large, two alike below 0), sheet (one below 0, two alike above) or triaxial."""
+    e0, e1, e2 = F.col("e0"), F.col("e1"), F.col("e2")
+    apart = (e0 < 0) & (e2 > 0)
+    shape = F.when(F.greatest(F.abs(e0), F.abs(e1), F.abs(e2)) < eps, "isotropic").when(apart & (e1 - e0 < eps), "filament").when(apart & (e2 - e1 < eps), "sheet").otherwise("triaxial")
+    return df.withColumn("shape", shape)

@@ -74,22 +74,29 @@ def raw_sum_gradient(data: DataFrame, randoms: DataFrame, of: str = "d", axes: S
     return _joined(data if of == "d" else randoms, c.select("level", *_keys(axes), dt.alias("dt"), *out), axes, bits, levels).select("id", "level", *names)
 
 
-def haar_gradient(data: DataFrame, randoms: DataFrame, axes: Sequence[str] = AXES, bits: int = 16, levels: Sequence[int] = range(1, 4), weight: str | None = "w", footprint: float = 0.0) -> DataFrame:
-    """(id, level, pattern, value): derivative of the mean square Haar coefficient with respect to each data weight."""
+def haar_gradient(data: DataFrame, randoms: DataFrame, axes: Sequence[str] = AXES, bits: int = 16, levels: Sequence[int] = range(1, 4), weight: str | None = "w", footprint: float = 0.0, of: str = "d") -> DataFrame:
+    """(id, level, pattern, value): derivative of the mean square Haar coefficient with respect to each data ('d') or random ('r') weight."""
     keys, d = _keys(axes), len(axes)
     h = haar(data, randoms, axes, bits, levels, weight, footprint)
     totals = h.groupBy("level", "pattern").agg(F.sum("w_p").alias("t"), (F.sum(F.col("w_p") * F.col("we") * F.col("we")) / F.sum("w_p")).alias("q"))
     c = with_delta(cells(data, randoms, axes, bits, [x + 1 for x in levels], weight), footprint)
     corner = sum(F.col(k).bitwiseAND(F.lit(1)).cast("int") * (1 << i) for i, k in enumerate(keys))
-    child = c.select((F.col("level") - 1).alias("level"), *[F.shiftright(k, 1).alias(k) for k in keys], corner.alias("corner"), "sw_r", "alpha", "all_r")
-    fine = membership(data, axes, bits, [x + 1 for x in levels]).select("id", (F.col("level") - 1).alias("level"), *[F.shiftright(k, 1).alias(k) for k in keys], corner.alias("corner"))
+    child = c.select((F.col("level") - 1).alias("level"), *[F.shiftright(k, 1).alias(k) for k in keys], corner.alias("corner"), "sw_r", "delta", "alpha", "all_r")
+    own = data if of == "d" else randoms
+    fine = membership(own, axes, bits, [x + 1 for x in levels]).select("id", (F.col("level") - 1).alias("level"), *[F.shiftright(k, 1).alias(k) for k in keys], corner.alias("corner"))
     globals_ = c.select("alpha", "all_r").limit(1)
     at = fine.join(child.drop("alpha", "all_r"), ["level", *keys, "corner"]).join(h, ["level", *keys], "inner")
     sign = F.when(F.bit_count(F.col("corner").bitwiseAND(F.col("pattern"))) % 2 == 0, 1.0).otherwise(-1.0)
-    local = at.select("id", "level", "pattern", (2 * F.col("we") * F.col("w_p") * sign / ((1 << d) * F.col("sw_r"))).alias("g"))
-    every = membership(data, axes, bits, levels).select("id", "level").join(F.broadcast(totals), "level")
+    moved = 2 * F.col("we") * F.col("w_p") * sign / ((1 << d) * F.col("sw_r"))
+    local = at.select("id", "level", "pattern", (moved if of == "d" else F.col("we") * F.col("we") - moved * (1 + F.col("delta"))).alias("g"))
+    every = membership(own, axes, bits, levels).select("id", "level").join(F.broadcast(totals), "level")
     j = every.join(local, ["id", "level", "pattern"], "left").crossJoin(F.broadcast(globals_))  # one row
-    return j.select("id", "level", "pattern", (F.coalesce("g", F.lit(0.0)) / (F.col("alpha") * F.col("t")) - 2 * F.col("q") / (F.col("alpha") * F.col("all_r"))).alias("value"))
+    q = F.col("q")
+    if of == "d":
+        value = F.coalesce("g", F.lit(0.0)) / (F.col("alpha") * F.col("t")) - 2 * q / (F.col("alpha") * F.col("all_r"))
+    else:  # a random also weighs its parent cell
+        value = F.coalesce(F.col("g") - q, F.lit(0.0)) / F.col("t") + 2 * q / F.col("all_r")
+    return j.select("id", "level", "pattern", value.alias("value"))
 
 
 def xi_gradient(data: DataFrame, randoms: DataFrame, of: str = "d", axes: Sequence[str] = AXES, bits: int = 16, levels: Sequence[int] = range(5), weight: str | None = "w") -> DataFrame:

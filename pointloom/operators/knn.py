@@ -7,12 +7,16 @@ vectors x, y, z with redshift ``red``; caps are closed and decided on squared ch
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+import numpy as np
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pointloom.functions.coords import bin_of, cap_of, chord
+from pointloom.functions.cosmology import C_OVER_H100, Cosmology
 from pointloom.operators.cells import ratio
 from pointloom.operators.rangejoin import pairs
 
@@ -100,6 +104,62 @@ def cap_means(m: DataFrame, sizes: DataFrame, name: str, power: int = 1) -> Data
     return m.join(F.broadcast(sizes), "jn").select("t", "iq", "jn", (F.col(f"s{power}") / F.col("n_q") / F.pow(F.col("size").cast("double"), power)).alias(name))  # one row a shell
 
 
+def cap_moments(m: DataFrame, sizes: DataFrame, name: str, power: int) -> DataFrame:
+    """(t, iq, jn, name): mean of N^power over the shell's size, the norm of the four-term moment estimates."""
+    return m.join(F.broadcast(sizes), "jn").select("t", "iq", "jn", (F.col(f"s{power}") / F.col("n_q") / F.col("size")).alias(name))  # one row a shell
+
+
+def _all_four(dd: DataFrame, dr: DataFrame, rd: DataFrame, rr: DataFrame) -> DataFrame:
+    """Cap means or moments side by side; a cap or shell that one of them lacks raises no row."""
+    return dd.join(dr, ["t", "iq", "jn"]).join(rd, ["t", "iq", "jn"]).join(rr, ["t", "iq", "jn"])
+
+
+def moment_ls(dd: DataFrame, dr: DataFrame, rd: DataFrame, rr: DataFrame) -> DataFrame:
+    """(t, iq, jn, moment): (dd - dr - rd + rr) / rr of cap_moments(), 0 where rr is 0."""
+    four = F.col("dd") - F.col("dr") - F.col("rd") + F.col("rr")
+    return _all_four(dd, dr, rd, rr).select("t", "iq", "jn", F.when(F.col("rr") > 0, four / F.col("rr")).otherwise(0.0).alias("moment"))
+
+
+def moment_hamilton(dd: DataFrame, dr: DataFrame, rd: DataFrame, rr: DataFrame) -> DataFrame:
+    """(t, iq, jn, moment): dd rr / (dr rd) - 1 of cap_moments(), -1 where the divisor is 0."""
+    below = F.col("dr") * F.col("rd")
+    return _all_four(dd, dr, rd, rr).select("t", "iq", "jn", (F.when(below > 0, F.col("dd") * F.col("rr") / below).otherwise(0.0) - 1).alias("moment"))
+
+
+def sigma2_ls(first: DataFrame, second: DataFrame) -> DataFrame:
+    """(t, iq, jn, sigma2): (m2 - m1^2) / m1^2 - 1 / m1 of moment_ls() for powers 1 and 2; null where m1 is not positive."""
+    j = first.select("t", "iq", "jn", F.col("moment").alias("m1")).join(second.select("t", "iq", "jn", F.col("moment").alias("m2")), ["t", "iq", "jn"])
+    m1, m2 = F.col("m1"), F.col("m2")
+    return j.select("t", "iq", "jn", F.when(m1 > 0, (m2 - m1 * m1) / (m1 * m1) - 1 / m1).alias("sigma2"))
+
+
+def xi_diag(xi: DataFrame) -> DataFrame:
+    """The rows of equal query and neighbour shell."""
+    return xi.where("iq = jn").drop("jn").withColumnRenamed("iq", "z_bin")
+
+
+def xi_multipole(xi: DataFrame, thetas: Sequence[float], q_centres: Sequence[float], n_centres: Sequence[float], order: int, s_edges: Sequence[float], cosmology: Cosmology = Cosmology()) -> DataFrame:  # noqa: B008
+    """(s_bin, xi): multipole of a (t, iq, jn, xi) cube, its cells put at (s, mu) by the mean redshift; sum of xi L over sum of L^2 in each bin of s.
+
+    The geometry has one row a cell of the cube.
+    """
+    zs, ds = cosmology.table()
+    rows = []
+    for t, theta in enumerate(thetas):
+        for i, a in enumerate(q_centres):
+            for j, b in enumerate(n_centres):
+                z = 0.5 * (a + b)
+                across, along = float(np.interp(z, zs, ds)) * math.radians(theta), C_OVER_H100 * (b - a) / float(cosmology.e(z))
+                s = math.hypot(across, along)
+                mu = along / s if s > 0 else 0.0
+                k = next((k for k, (low, high) in enumerate(zip(s_edges[:-1], s_edges[1:], strict=True)) if low <= s < high), None)
+                if k is not None:
+                    rows.append((t, i, j, k, {0: 1.0, 2: 1.5 * mu * mu - 0.5, 4: (35 * mu**4 - 30 * mu * mu + 3) / 8}[order]))
+    at = xi.sparkSession.createDataFrame(rows, "t int, iq int, jn int, s_bin int, l double")
+    joined = xi.select("t", "iq", "jn", "xi").join(F.broadcast(at), ["t", "iq", "jn"])
+    return joined.groupBy("s_bin").agg(F.sum(F.col("xi") * F.col("l")).alias("a"), F.sum(F.col("l") * F.col("l")).alias("b")).select("s_bin", (ratio(F.col("a"), F.col("b"))).alias("xi"))
+
+
 def xi_ls(dd: DataFrame, dr: DataFrame, rr: DataFrame) -> DataFrame:
     """Landy-Szalay of cap means (columns dd, dr, rr); null where rr is 0."""
     j = dd.join(dr, ["t", "iq", "jn"]).join(rr, ["t", "iq", "jn"])
@@ -183,6 +243,45 @@ def sigma2_cone_shell(counts: DataFrame) -> DataFrame:
     return s.select("t", "jn", F.when(F.col("mean") > 0, F.col("var") / (F.col("mean") * F.col("mean")) - 1 / F.col("mean")).alias("sigma2"))
 
 
+def cone_shell_jackknife(centres: DataFrame, points: DataFrame, thetas: Sequence[float], n_edges: Sequence[float], region: str = "region") -> DataFrame:
+    """(t, jn, region, sigma2): sigma2_cone_shell() without the points and the centres of each region, and region null for all of them.
+
+    Counts are made once, by centre and region of the points; what a fold lacks is taken off.
+    A fold without two centres, or without a point in the caps, has null.
+    """
+    shells = range(len(n_edges) - 1)
+    c = centres.select("id", *XYZ, F.col(region).alias("own"))
+    kept = points.select("id", *XYZ, bin_of(F.col("red"), n_edges).alias("jn"), F.col(region).alias("of")).where("jn is not null")
+    met = pairs(c.withColumns({"jn": F.lit(0), "of": F.lit(0)}), kept, chord(thetas[-1]), XYZ, ("id", "jn", "of"), closed=True)
+    ring = met.groupBy(F.col("a_id").alias("id"), F.col("b_jn").alias("jn"), F.col("b_of").alias("of"), cap_of(F.col("d2"), [chord(t) ** 2 for t in thetas]).alias("ring")).agg(F.count("*").alias("m")).where("ring is not null")
+    part = ring.select("id", "jn", "of", "m", F.explode(F.sequence(F.col("ring"), F.lit(len(thetas) - 1))).alias("t")).groupBy("id", "t", "jn", "of").agg(F.sum("m").alias("m"))
+    whole = part.groupBy("id", "t", "jn").agg(F.sum("m").alias("n"))
+    grid = F.inline(F.array(*[F.struct(F.lit(t).alias("t"), F.lit(j).alias("jn")) for t in range(len(thetas)) for j in shells]))
+    every = c.select("id", "own", grid).join(whole, ["id", "t", "jn"], "left").select("id", "own", "t", "jn", F.coalesce("n", F.lit(0)).alias("n"))
+    regions = F.broadcast(c.select(F.col("own").alias("region")).union(kept.select("of")).where("region is not null").distinct())  # few by design
+    # sums over all centres, less those of a fold's own centres, less what its points add to the others
+    power = lambda x, k: F.sum(F.pow(x.cast("double"), k))
+    total = every.groupBy("t", "jn").agg(F.count("*").alias("k0"), *[power(F.col("n"), k).alias(f"k{k}") for k in (1, 2)])
+    mine = every.groupBy("t", "jn", F.col("own").alias("region")).agg(F.count("*").alias("o0"), *[power(F.col("n"), k).alias(f"o{k}") for k in (1, 2)])
+    touched = part.join(every, ["id", "t", "jn"]).where(~F.col("own").eqNullSafe(F.col("of"))).groupBy("t", "jn", F.col("of").alias("region")).agg(
+        F.sum("m").cast("double").alias("d1"), F.sum((2 * F.col("n") - F.col("m")) * F.col("m")).cast("double").alias("d2"))
+    folds = total.crossJoin(regions).join(mine, ["t", "jn", "region"], "left").join(touched, ["t", "jn", "region"], "left").na.fill(0, ["o0", "o1", "o2", "d1", "d2"])
+    left = folds.select("t", "jn", "region", (F.col("k0") - F.col("o0")).alias("k0"), (F.col("k1") - F.col("o1") - F.col("d1")).alias("k1"), (F.col("k2") - F.col("o2") - F.col("d2")).alias("k2"))
+    rows = left.unionByName(total.select("t", "jn", F.lit(None).cast(regions.schema["region"].dataType).alias("region"), "k0", "k1", "k2"))
+    mean = F.col("k1") / F.col("k0")
+    var = (F.col("k2") - F.col("k0") * mean * mean) / (F.col("k0") - 1)
+    return rows.select("t", "jn", "region", F.when((F.col("k0") > 1) & (F.col("k1") > 0), var / (mean * mean) - 1 / mean).alias("sigma2"))
+
+
+def slope_between(sigma2: DataFrame, centres: Sequence[float], log: bool = True) -> DataFrame:
+    """(t, jn, slope): change of sigma2 between the two neighbouring shells over that of ln(1 + z), or of z; inner shells only."""
+    x = F.element_at(F.array(*[F.lit(math.log1p(c) if log else float(c)) for c in centres]), F.col("jn") + 1)
+    order = Window.partitionBy("t").orderBy("jn")  # one row a shell
+    rows = sigma2.select("t", "jn", x.alias("x"), "sigma2")
+    at = rows.select("t", "jn", ((F.lead("sigma2").over(order) - F.lag("sigma2").over(order)) / (F.lead("x").over(order) - F.lag("x").over(order))).alias("slope"))
+    return at.where((F.col("jn") > 0) & (F.col("jn") < len(centres) - 1))
+
+
 def pip_counts(points: DataFrame, thetas: Sequence[float], q_edges: Sequence[float], n_edges: Sequence[float], realisations: int) -> DataFrame:
     """(t, iq, jn, s1, s2): as knn_moments, each pair weighted by realisations / common bits of the two ``bits`` arrays; pairs with none are dropped."""
     q = points.select("id", *XYZ, "bits", bin_of(F.col("red"), q_edges).alias("iq"), bin_of(F.col("red"), n_edges).alias("jn"))

@@ -229,3 +229,37 @@ def sigma2_from_xi(xi: DataFrame, radii: Sequence[float], kernel: str = "top_hat
     after = Window.partitionBy("radius").orderBy("r")  # as many rows as xi has bins
     parts = rows.select("radius", ((F.lead("f").over(after) + F.col("f")) / 2 * (F.lead("r").over(after) - F.col("r"))).alias("area"))
     return parts.groupBy("radius").agg(F.sum("area").alias("sigma2"))
+
+
+def overdensity_windowed(data: DataFrame, randoms: DataFrame, edges: Sequence[float], axes: Sequence[str] = AXES, box: float | None = None) -> DataFrame:
+    """(id, bin, delta): each point's partners over those among the randoms, brought to one catalog size, less 1; null in bins without a random partner."""
+    sizes = data.agg(F.count("*").cast("double").alias("nd")).crossJoin(randoms.agg(F.count("*").cast("double").alias("nr")))
+    every = data.select("id").crossJoin(F.broadcast(_numbers(data.sparkSession, len(edges) - 1)))  # the bins
+    j = every.join(per_point_counts(data, None, edges, axes, box).withColumnRenamed("n", "b_d"), ["id", "bin"], "left").join(per_point_counts(data, randoms, edges, axes, box).withColumnRenamed("n", "b_r"), ["id", "bin"], "left")
+    return j.crossJoin(F.broadcast(sizes)).select("id", "bin", (ratio(F.coalesce("b_d", F.lit(0)) * F.col("nr"), F.col("b_r") * F.col("nd")) - 1).alias("delta"))
+
+
+def weighted_xi(points: DataFrame, edges: Sequence[float], box: float, axes: Sequence[str] = AXES, weight: str = "w") -> DataFrame:
+    """(bin, xi): weighted pairs of a periodic box over those that as many random points would have, less 1; 0 for a bin without volume."""
+    n = points.agg(F.count("*").cast("double").alias("n"))
+    volume = F.element_at(F.array(*[F.lit(v) for v in shell_volumes(edges)]), F.col("bin") + 1)
+    rr = F.col("n") * (F.col("n") - 1) * volume / F.lit(box**3)
+    h = pair_histogram(points, None, edges, axes, weight, box).crossJoin(F.broadcast(n))  # one row
+    return h.select("bin", F.when(rr > 0, F.col("wpairs") / rr - 1).otherwise(0.0).alias("xi"))
+
+
+def recovery(found: DataFrame, target: DataFrame, rtol: float = 0.1) -> DataFrame:
+    """(bin, error, ok): difference of two xi over the target's size, at least 0.001, and whether it stays within ``rtol``."""
+    j = found.join(target.select("bin", F.col("xi").alias("target")), "bin")
+    error = F.abs(F.col("xi") - F.col("target")) / F.greatest(F.abs(F.col("target")), F.lit(1e-3))
+    return j.select("bin", error.alias("error")).withColumn("ok", F.col("error") <= rtol)
+
+
+def sigma2_from_rp_pi(xi: DataFrame, rp_edges: Sequence[float], pi_edges: Sequence[float], radii: Sequence[float], kernel: str = "top_hat") -> DataFrame:
+    """(radius, sigma2): as sigma2_from_counts() from columns fdd, fdr, frr by (rp_bin, pi_bin), each bin at the separation of its middle; 0 where the sum of RR is 0."""
+    spark = xi.sparkSession
+    mids = lambda edges: [(i, 0.5 * (a + b)) for i, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True))]
+    grid = spark.createDataFrame([(float(r), i, j, math.hypot(a, b)) for r in radii for i, a in mids(rp_edges) for j, b in mids(pi_edges)], "radius double, rp_bin int, pi_bin int, r double")
+    k = reduce(lambda other, r: F.when(F.col("radius") == F.lit(float(r)), KERNELS[kernel](F.col("r"), float(r))).otherwise(other), radii, F.lit(0.0))
+    s = xi.join(F.broadcast(grid.withColumn("k", k)), ["rp_bin", "pi_bin"]).groupBy("radius").agg(*[F.sum(F.col(c) * F.col("k")).alias(c) for c in ("fdd", "fdr", "frr")])
+    return s.select("radius", F.coalesce(ratio(F.col("fdd") - 2 * F.col("fdr") + F.col("frr"), F.col("frr")), F.lit(0.0)).alias("sigma2"))

@@ -97,7 +97,7 @@ def _side() -> Column:
 
 def _contrast(cells: DataFrame, footprint: float) -> DataFrame:
     totals = cells.groupBy("run", "level").agg(ratio(F.sum("sw_d"), F.sum("sw_r")).alias("alpha"))
-    return cells.join(totals, ["run", "level"]).where(F.col("sw_r") > footprint).withColumn("delta", ratio(F.col("sw_d"), F.col("alpha") * F.col("sw_r")) - 1)
+    return cells.join(totals, ["run", "level"]).where(F.col("sw_r") > footprint).withColumn("delta", ratio(F.col("sw_d"), F.col("alpha") * F.col("sw_r")) - 1).where("delta is not null")  # none in a run without data
 
 
 def run_raw_sums(data: DataFrame, randoms: DataFrame, runs: DataFrame, axes: Sequence[str] = AXES, bits: int = 16, levels: Sequence[int] = range(1, 5), periodic: bool = True, footprint: float = 0.0) -> DataFrame:

@@ -375,11 +375,6 @@ def density_weights(spark, d):
     return pairs.density_weights(view(spark, d, "pts_d"), view(spark, d, "pts_r"), 5000.0).select("id", *r6("weight"))
 
 
-@query("wp_kernel_z")
-def wp_kernel_z(spark, d):
-    return pairs.wp_kernel_z(view(spark, d, "pts_d"), view(spark, d, "pts_r"), RP, PI, [0.5, 1.0, 1.5, 2.0], 1.2, 0.4)
-
-
 @query("embedding_neighbours", """
 SELECT a.vec_id AS id, count(*) AS n FROM embeddings a, embeddings b WHERE a.vec_id <> b.vec_id
 AND list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: (p[1]::DOUBLE - p[2]::DOUBLE) * (p[1]::DOUBLE - p[2]::DOUBLE))) < 1.69 GROUP BY a.vec_id""")
@@ -493,18 +488,6 @@ def cone_shell(spark, d):
     return knn.sigma2_cone_shell(knn.cone_counts(view(spark, d, "sky_r"), view(spark, d, "sky_d"), THETA, ZN)).select("t", "jn", *r6("sigma2"))
 
 
-@query("pixel_counts")
-def pixel_counts(spark, d):
-    s = view(spark, d, "sky_d")
-    counted = s.groupBy(healpix.pixel(F.col("ra"), F.col("u"), 4).alias("pix")).agg(F.count("*").alias("n"))
-    return spark.range(12 * 16).select(F.col("id").alias("pix")).join(counted, "pix", "left").select("pix", F.coalesce("n", F.lit(0)).alias("n"))
-
-
-@query("distances")
-def distances(spark, d):
-    return cosmology.with_distance(view(spark, d, "sky_d").select("id", "red"), z="red").select("id", *r6("chi"))
-
-
 # -- gradients --------------------------------------------------------------------------
 
 GRAD_LEVELS = [1, 2]
@@ -547,33 +530,9 @@ def jvp_var(spark, d):
     return gradients.jvp(g, p.select("id", (F.col("id") % 7).cast("double").alias("v"))).select("level", *r6("jvp"))
 
 
-@query("gradient_var_random")
-def gradient_var_random(spark, d):
-    return gradients.field_gradient(view(spark, d, "pts_d"), view(spark, d, "pts_r"), "var", "r", levels=GRAD_LEVELS)
-
-
-@query("gradient_haar")
-def gradient_haar(spark, d):
-    return gradients.haar_gradient(view(spark, d, "pts_d"), view(spark, d, "pts_r"), levels=[0, 1])
-
-
-@query("hvp_var")
-def hvp_var(spark, d):
-    p, r = view(spark, d, "pts_d"), view(spark, d, "pts_r")
-    f = lambda x: gradients.field_gradient(x, r, "var", levels=[1])
-    return gradients.hvp(f, p, p.select("id", F.lit(1.0).alias("v")))
-
-
 # -- run plans --------------------------------------------------------------------------
 
 
-@query("multi_run_pooled")
-def multi_run_pooled(spark, d):
-    runs = multirun.plan(spark, multirun.compose(multirun.shifted_grid(2, 3), multirun.log_resizings(0.5, 1.0, 1, 3)))
-    rows = multirun.run_raw_sums(view(spark, d, "box_d"), view(spark, d, "box_r"), runs, levels=[1, 2])
-    return multirun.pooled(rows, 0.02)
-
-
 @query("run_coverage", sql("""
 , runs AS (SELECT 'a' AS run, 1.0 AS scale, 0.5 AS o UNION ALL SELECT 'b', 0.5, 0.25), m AS (SELECT run, scale, w, (c0 - o * 65536 + 65536) % 65536 AS x, (c1 - o * 65536 + 65536) % 65536 AS y, (c2 - o * 65536 + 65536) % 65536 AS z FROM box_r, runs)
 SELECT run, round(sum(w) FILTER (x < scale * 65536 AND y < scale * 65536 AND z < scale * 65536) / sum(w), 6) AS coverage FROM m GROUP BY run""", "box_r"))
@@ -582,18 +541,6 @@ def run_coverage(spark, d):
     return multirun.coverage(view(spark, d, "box_r"), runs).select("run", *r6("coverage"))
 
 
-@query("pooled_haar")
-def pooled_haar(spark, d):
-    runs = multirun.plan(spark, multirun.shifted_grid(2, 3))
-    return multirun.pooled_haar(multirun.run_haar_sums(view(spark, d, "box_d"), view(spark, d, "box_r"), runs, levels=[1]), 0.02)
-
-
-@query("pooled_counts")
-def pooled_counts(spark, d):
-    runs = multirun.plan(spark, multirun.shifted_grid(2, 3))
-    return multirun.pooled_counts(multirun.run_counts(view(spark, d, "box_d"), view(spark, d, "box_r"), runs, levels=[2, 3]), 0.02)
-
-
 @query("pooled_xi", sql(cells_sql("box_d", "box_r", list(range(5))) + XI_SQL + " SELECT 1.0::DOUBLE AS scale, level, round(CASE WHEN frr <> 0 THEN (fdd - 2 * fdr + frr) / frr END, 6) AS xi FROM f", "box_d", "box_r"))
 def pooled_xi(spark, d):
     runs = multirun.plan(spark, [("a", 1.0, 0.0, 0.0, 0.0), ("b", 1.0, 0.0, 0.0, 0.0)])  # equal runs pool to the single estimate
@@ -614,16 +561,6 @@ def paired_windows(spark, d):
     return m.select("width", "t", *r6("var_delta"))
 
 
-@query("completeness_map")
-def completeness_map(spark, d):
-    return fields.completeness_map(view(spark, d, "sky_r"), 2)
-
-
-@query("overdensity_map")
-def overdensity_map(spark, d):
-    return fields.overdensity_map(view(spark, d, "sky_d"), fields.completeness_map(view(spark, d, "sky_r"), 2), 2, 0.3)
-
-
 @query("template_weights")
 def template_weights(spark, d):
     s = view(spark, d, "sky_d").withColumn("pix", healpix.pixel(F.col("ra"), F.col("u"), 2))
@@ -694,30 +631,13 @@ def wp_chebyshev(spark, d):
     return spark.createDataFrame(list(enumerate(c)), "k int, coefficient double")
 
 
-@query("sigma2_from_counts")
-def sigma2_from_counts(spark, d):
-    x = pairs.xi_estimators(view(spark, d, "pts_d"), view(spark, d, "pts_r"), EDGES)
-    n = {k: float(view(spark, d, f"pts_{k}").count()) for k in "dr"}
-    f = x.select("bin", (F.col("dd") / F.lit(n["d"] ** 2)).alias("fdd"), (F.col("dr") / F.lit(n["d"] * n["r"])).alias("fdr"), (F.col("rr") / F.lit(n["r"] ** 2)).alias("frr"))
-    return pairs.sigma2_from_counts(f, EDGES, [2000.0, 3000.0])
-
-
-@query("sigma2_from_xi")
-def sigma2_from_xi(spark, d):
-    mid = F.element_at(F.array(*[F.lit((a + b) / 2) for a, b in zip(EDGES[:-1], EDGES[1:], strict=True)]), F.col("bin") + 1)
-    x = pairs.xi_estimators(view(spark, d, "pts_d"), view(spark, d, "pts_r"), EDGES).select(mid.alias("r"), F.col("xi_ls").alias("xi"))
-    return pairs.sigma2_from_xi(x, [2000.0, 3000.0])
-
-
-@query("knn_log_slope")
-def knn_log_slope(spark, d):
-    s = knn.sigma2_cone_shell(knn.cone_counts(view(spark, d, "sky_r"), view(spark, d, "sky_d"), THETA, [0.5, 1.0, 1.5, 2.0]))
-    return knn.log_slope(s, [0.75, 1.25, 1.75])
-
-
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from pointloom import derived_queries  # noqa: F401  registers its own
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from pointloom import derived_queries  # noqa: F401
+
     return dict(_SQL)
