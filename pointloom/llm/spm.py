@@ -44,7 +44,7 @@ SPACE = "▁"
 #: Texts of more characters are encoded by the parallel scan, in chunks of so many.
 GIANT = 1 << 16
 CHUNK = 1 << 14
-MEMO = 100_000
+MEMO = 400_000
 #: Characters of text whose words are looked up together.
 TOGETHER = 1_000_000
 #: Parts of up to so many characters are joined together and remembered.
