@@ -98,6 +98,12 @@ def test_bm25_odd_rows(odd, none):
 # -- 2 ----------------------------------------------------------------------------------
 
 
+def test_hosts_of_awkward_urls(spark):
+    want = {"http://[2001:DB8::1]:80/p": "[2001:db8::1]", "http://u:p@[::1]/": "[::1]", "ftp://A.b.": "a.b", "http://a:1@b:2/c@d": "b", "mailto:x@y": "", "": ""}
+    df = spark.createDataFrame([(u,) for u in want], "u string")
+    assert {r.u: r.h for r in df.select("u", urlfilter.host(F.col("u")).alias("h")).collect()} == want
+
+
 def test_url_intervals_and_ties(spark):
     log = [
         ("host", "a.com", "x", "add", "2024-01-10"), ("host", "a.com", "x", "add", "2024-01-10"), ("host", "a.com", "x", "remove", "2024-02-01"), ("domain", "b.org", None, "add", "2024-01-05"),
@@ -147,11 +153,89 @@ def test_classifiers_on_odd_rows(spark, odd, none, operator, column):
     assert len(got) == len(odd[0]) and all(0 <= x.score <= 1 for x in got)
     assert len({x.score for x in got if x.doc_id in (3, 4, 5)}) == 1
     assert operator.score(none, model).count() == 0
+    clashing = odd[1].select("doc_id", "text", "y", "label", "below")
+    assert operator.score(clashing, operator.train(clashing, spark.createDataFrame([(1, 1), (6, 0)], f"doc_id long, {column} int"))).count() == len(odd[0])
     one = operator.train(train, labels.where(f"{column} = 1"))
     assert {x.score for x in operator.score(train, one).collect()} == {1.0}
     assert {x.score for x in operator.score(train, operator.train(train, labels.limit(0))).collect()} == {0.0}
 
 
+def buckets_brute(text):
+    """Buckets of all byte n-grams of 3 to 5, one at a time, in plain whole numbers."""
+    raw = b" " + b" ".join((text or "").lower().encode().split()) + b" "
+    out = set()
+    for n in (3, 4, 5):
+        for k in range(len(raw) - n + 1):
+            out.add(((int.from_bytes(raw[k : k + n], "big") + (n << 56)) * 0x9E3779B97F4A7C15 % (1 << 64)) >> 44)
+    return out
+
+
+def features_brute(rows):
+    """(text, y) -> kept buckets in order, their ratios, and the design matrix of ratios where a bucket is present."""
+    sets, y = [buckets_brute(t) for t, _ in rows], np.array([y for _, y in rows], float)
+    n0, n1 = Counter(b for s, v in zip(sets, y) if not v for b in s), Counter(b for s, v in zip(sets, y) if v for b in s)
+    p, q = y.sum(), len(y) - y.sum()
+    found = []
+    for b in {*n0, *n1}:
+        share = (n0[b] + n1[b]) / len(y)
+        z = abs(n1[b] / p - n0[b] / q) / math.sqrt(max(share * (1 - share), 1e-9) * (1 / p + 1 / q))
+        if n0[b] + n1[b] >= 3 and z >= 5:
+            found.append((-z, b))
+    kept = sorted(b for _, b in sorted(found)[: ngrams.FEATURES])
+    ratio = np.array([math.log((n1[b] + 1) / (p + 2)) - math.log((n0[b] + 1) / (q + 2)) for b in kept])
+    return kept, ratio, np.array([[r if b in s else 0.0 for b, r in zip(kept, ratio)] for s in sets]), y
+
+
+def labelled(spark, d, column, modulus, held):
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    rows = docs.select("doc_id", "text").join(labels, "doc_id").select("doc_id", "text", column).collect()
+    return sorted({(r.text, r[column]) for r in rows if zlib.crc32(str(r.doc_id).encode()) % modulus != held and r[column] is not None}, key=str), docs.select("doc_id", "text").collect()
+
+
+def test_toxicity_is_brute_force(spark):
+    """Scores of all rows against a dense logistic regression by plain Newton steps."""
+    rows, every = labelled(spark, "/root/testdata/sf0.01", "toxic", 3, 1)
+    kept, ratio, x, y = features_brute(rows)
+    x = np.hstack([x, np.ones((len(y), 1))])
+    penalty = np.append(np.full(len(kept), toxicity.RIDGE), 1e-6)
+    w = np.zeros(x.shape[1])
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-x @ w))
+        w = w - np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty), x.T @ (p - y) + penalty * w)
+    got = {r.doc_id: r.score for r in queries.op3_toxicity(spark, "/root/testdata/sf0.01").collect()}
+    for r in every[::5]:
+        s = buckets_brute(r.text)
+        want = 1 / (1 + math.exp(-(sum(v * q for b, v, q in zip(kept, w, ratio) if b in s) + w[-1])))
+        assert got[r.doc_id] == pytest.approx(want, abs=0.01)
+
+
+def test_quality_is_brute_force(spark):
+    """Scores of all rows against a dense dual of the hinge loss, solved to the end by sweeps in order, with the sigmoid fitted by bisection."""
+    rows, every = labelled(spark, "/root/testdata/sf0.01", "quality", 4, 2)
+    kept, ratio, x, y = features_brute(rows)
+    model = quality.train(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string"), spark.createDataFrame([(i, int(v)) for i, (_, v) in enumerate(rows)], "doc_id long, quality int"))
+    assert model.scaled.buckets.tolist() == kept and model.scaled.ratios.tolist() == pytest.approx(ratio.tolist())
+    x = np.hstack([x, np.full((len(y), 1), quality.CONSTANT)])
+    sign, gram = np.where(y > 0, 1.0, -1.0), x @ x.T
+    alpha, f = np.zeros(len(y)), np.zeros(len(y))
+    for _ in range(400):
+        for i in range(len(y)):
+            new = min(max(alpha[i] - (sign[i] * f[i] - 1) / gram[i, i], 0.0), quality.COST)
+            f += (new - alpha[i]) * sign[i] * gram[i]
+            alpha[i] = new
+    w = x.T @ (alpha * sign)
+    marks, dense = model.scaled.marks(), model.dense()
+    loss = lambda v: 0.5 * v @ v + quality.COST * np.maximum(0, 1 - sign * (x @ v)).sum()
+    mine = np.append(model.weights, model.bias / quality.CONSTANT)
+    assert loss(mine) <= loss(w) * 1.01
+    got = {r.doc_id: r.score for r in queries.op6_quality(spark, "/root/testdata/sf0.01").collect()}
+    for r in every[::5]:
+        s = buckets_brute(r.text)
+        margin = sum(v * q for b, v, q in zip(kept, w, ratio) if b in s) + quality.CONSTANT * w[-1]
+        want = 1 / (1 + math.exp(-(model.slope * margin + model.shift)))
+        assert got[r.doc_id] == pytest.approx(want, abs=0.03) and model.score(r.text, marks, dense) == pytest.approx(want, abs=0.03)
+
+
 def test_ngram_hashes_cross_slices(monkeypatch):
     text = " ".join(f"w{i}" for i in range(400))
     whole = ngrams.present(text)
@@ -282,6 +366,53 @@ def test_languages_of_held_out_rows(spark):
     assert sum(r.lang_pred == truth[r.doc_id] for r in held) / len(held) > 0.97
 
 
+def trigrams_brute(text):
+    raw = b" " + b" ".join(bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in text.lower().encode()).split()) + b" "
+    return Counter((int.from_bytes(raw[k : k + 3], "big") * 2654435761 % (1 << 32)) >> 17 for k in range(len(raw) - 2)) if len(raw) > 2 else Counter()
+
+
+def language_brute(p, text):
+    """Mixture of the columns of ``p`` (language -> trigram -> probability), languages added one by one, in plain Python."""
+    if text is None or not any(c.isalpha() for c in text):
+        return "und", 0.0
+    n = trigrams_brute(text)
+
+    def em(chosen):
+        pi = {k: 1 / len(chosen) for k in chosen}
+        for _ in range(langid.ROUNDS):
+            new = dict.fromkeys(chosen, 0.0)
+            for g, c in n.items():
+                below = sum(pi[k] * p[k][g] for k in chosen)
+                for k in chosen:
+                    new[k] += c * pi[k] * p[k][g] / below
+            pi = {k: v / sum(new.values()) for k, v in new.items()}
+        return sum(c * math.log(sum(pi[k] * p[k][g] for k in chosen)) for g, c in n.items()), pi
+
+    best, pi = max((em([k]) for k in p), key=lambda f: f[0])
+    while len(pi) < len(p):
+        fit, more = max((em([*pi, k]) for k in p if k not in pi), key=lambda f: f[0])
+        if fit - best <= langid.PENALTY * 0.5 * math.log(max(sum(n.values()), 2)):
+            break
+        best, pi = fit, more
+    lang = min(pi, key=lambda k: (-pi[k], k))
+    return lang, pi[lang]
+
+
+def test_langid_is_brute_force(spark, sf_dir):
+    rows = documents(spark, sf_dir).select("doc_id", "text", "lang").collect()
+    counts = defaultdict(Counter)
+    for r in rows:
+        if r.lang is not None and r.text is not None and zlib.crc32(str(r.doc_id).encode()) % 3 != 1:
+            counts[r.lang].update(trigrams_brute(r.text))
+    size = 1 << langid.BITS
+    p = {k: defaultdict(lambda t=sum(c.values()): 0.5 / (t + 0.5 * size), {g: (x + 0.5) / (sum(c.values()) + 0.5 * size) for g, x in c.items()}) for k, c in sorted(counts.items())}
+    got = {r.doc_id: (r.lang_pred, r.score) for r in queries.op7_langid(spark, sf_dir).collect()}
+    odd = [r for r in rows if r.text is None or len(r.text) < 4000][:60]
+    for r in odd:
+        lang, score = language_brute(p, r.text)
+        assert got[r.doc_id][0] == lang and got[r.doc_id][1] == pytest.approx(score, abs=2e-3)
+
+
 def test_mixture_finds_both_languages(spark):
     r = random.Random(3)
     en, de = ["the", "and", "with", "think", "light"], ["der", "und", "nicht", "schön", "zwei"]
