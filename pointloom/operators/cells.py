@@ -228,3 +228,13 @@ def grid_counts(points: DataFrame, n_side: int, axes: Sequence[str] = AXES, bits
     var, third = m2 - m1 * m1, m3 - 3 * m1 * m2 + 2 * m1 * m1 * m1
     v = (var - m1) / (m1 * m1)
     return s.select(F.lit(total).alias("n_cells"), m1.alias("mean"), v.alias("variance"), F.when(v > 0, (third - 3 * var + 2 * m1) / (m1 * m1 * m1) / (v * v)).otherwise(0.0).alias("s3"))
+
+
+def box_field_stats(data: DataFrame, axes: Sequence[str] = AXES, bits: int = 16, levels: Sequence[int] = range(9), weight: str | None = "w") -> DataFrame:
+    """field_stats() of a periodic box without randoms: every cell weighs its volume, the box being 1, and cells without a point count with delta = -1."""
+    c = cells(data, None, axes, bits, levels, weight)
+    volume = F.pow(F.lit(2.0), -F.col("level") * len(axes))
+    total = F.broadcast(c.groupBy("level").agg(F.sum("sw_d").alias("all_d")))  # one row a level
+    d = c.join(total, "level").select("level", volume.alias("v"), (F.col("sw_d") / (F.col("all_d") * volume) - 1).alias("delta"))
+    s = d.groupBy("level").agg(F.sum("v").alias("seen"), *[F.sum(F.col("v") * F.pow("delta", k)).alias(f"p{k}") for k in (1, 2, 3, 4)], F.count("*").alias("n_occupied"), F.max("delta").alias("max_delta"))
+    return moments(s.select("level", F.lit(1.0).alias("t"), *[(F.col(f"p{k}") + (-1) ** k * (1 - F.col("seen"))).alias(f"s{k}") for k in (1, 2, 3, 4)], "n_occupied", "max_delta"))

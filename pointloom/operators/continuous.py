@@ -31,6 +31,25 @@ def tents(x: Column, knots: Sequence[float]) -> list[Column]:
     return out
 
 
+def cubic_splines(x: Column, n: int, low: float, high: float) -> list[Column]:
+    """``n`` cubic splines on knots spaced evenly in the logarithm, the end knots fourfold; 0 outside [low, high)."""
+    if n < 4:
+        raise ValueError("cubic splines are four at least")
+    inner = [low * (high / low) ** (k / (n - 3)) for k in range(1, n - 3)]
+    knots = [low] * 4 + inner + [high] * 4
+    basis = [F.when((x >= F.lit(a)) & (x < F.lit(b)), 1.0).otherwise(0.0) if b > a else F.lit(0.0) for a, b in zip(knots[:-1], knots[1:], strict=True)]
+    for degree in (1, 2, 3):
+        rise = lambda k, e=degree: (x - F.lit(knots[k])) / F.lit(knots[k + e] - knots[k]) if knots[k + e] > knots[k] else F.lit(0.0)
+        fall = lambda k, e=degree: (F.lit(knots[k + e]) - x) / F.lit(knots[k + e] - knots[k]) if knots[k + e] > knots[k] else F.lit(0.0)
+        basis = [rise(k) * basis[k] + fall(k + 1) * basis[k + 1] for k in range(len(basis) - 1)]
+    return basis
+
+
+def waves(x: Column, ks: Sequence[float]) -> list[Column]:
+    """sin(kx) / (kx) for each k, 1 where kx is 0."""
+    return [F.when(x * F.lit(float(k)) == 0, 1.0).otherwise(F.sin(x * F.lit(float(k))) / (x * F.lit(float(k)))) for k in ks]
+
+
 def _sums(p: DataFrame, basis: list[Column], gram: bool) -> tuple[np.ndarray, np.ndarray | None]:
     n = len(basis)
     held = p.select(*[b.alias(f"b{i}") for i, b in enumerate(basis)])

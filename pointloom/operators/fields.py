@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pointloom.functions.coords import ACCURACY, chord, unit_vector
+from pointloom.functions.cosmology import Cosmology
 from pointloom.functions.healpix import centre, pixel
 from pointloom.operators.cells import ratio
 from pointloom.operators.rangejoin import pairs
@@ -151,3 +152,72 @@ def shape_class(df: DataFrame, eps: float = 0.02) -> DataFrame:
     apart = (e0 < 0) & (e2 > 0)
     shape = F.when(F.greatest(F.abs(e0), F.abs(e1), F.abs(e2)) < eps, "isotropic").when(apart & (e1 - e0 < eps), "filament").when(apart & (e2 - e1 < eps), "sheet").otherwise("triaxial")
     return df.withColumn("shape", shape)
+
+
+def smoothed_map(pixels: DataFrame, nside: int, column: str, fwhm: float, reach: float = 4.0) -> DataFrame:
+    """(pix, value): mean of a column under a Gaussian of a width in degrees, over pixels within ``reach`` deviations; null pixels count for nothing."""
+    sigma = math.radians(fwhm) / math.sqrt(8 * math.log(2))
+    ra, u = centre(F.col("pix"), nside)
+    x, y, z = unit_vector(ra, u)
+    spots = pixels.select(F.col("pix").alias("id"), x.alias("c0"), y.alias("c1"), z.alias("c2"), F.col(column).cast("double").alias("m"))
+    met = pairs(spots, spots.where("m is not null"), chord(min(180.0, math.degrees(sigma) * reach)), keep=("id", "m"), closed=True)
+    angle = 2 * F.asin(F.least(F.lit(1.0), F.sqrt("d2") / 2))
+    weighed = met.select(F.col("a_id").alias("pix"), "b_m", F.exp(-angle * angle / (2 * sigma * sigma)).alias("k"))
+    return weighed.groupBy("pix").agg((F.sum(F.col("k") * F.col("b_m")) / F.sum("k")).alias("value"))
+
+
+def residual_weights(points: DataFrame, mask: DataFrame, nside: int, fwhm: float = 10.0, threshold: float = 1e-6, floor: float = 0.1, ra: str = "ra", u: str = "u") -> DataFrame:
+    """``points`` with weight 1 / smoothed(counts over expected counts), at least ``floor`` below, scaled to mean 1; 1 outside the mask."""
+    j = count_map(points, nside, ra, u).join(mask, "pix").withColumn("ok", F.col("completeness") >= threshold)
+    mean = j.where("ok").agg(ratio(F.sum("n"), F.sum("completeness")).alias("mean"))
+    held = j.crossJoin(F.broadcast(mean)).select("pix", F.when(F.col("ok"), F.col("n") / (F.col("mean") * F.col("completeness"))).alias("residual"))
+    smooth = smoothed_map(held, nside, "residual", fwhm).select("pix", F.greatest(F.col("value"), F.lit(floor)).alias("level"))
+    placed = points.withColumn("pix", pixel(F.col(ra), F.col(u), nside)).join(smooth, "pix", "left").withColumn("raw", 1 / F.coalesce("level", F.lit(1.0)))
+    return placed.crossJoin(F.broadcast(placed.agg(F.avg("raw").alias("whole")))).withColumn("weight", F.col("raw") / F.col("whole")).drop("pix", "level", "raw", "whole")
+
+
+def harmonic_templates(ra: Column, u: Column, l_max: int = 4) -> dict[str, Column]:
+    """Real spherical harmonics of degrees 1 to l_max at (right ascension in degrees, sin dec): m = 0 as they are, others twice the cosine and minus twice the sine part."""
+    across, out = F.sqrt(F.greatest(F.lit(0.0), 1 - u * u)), {}
+    for m in range(l_max + 1):
+        at = {m: F.lit(float((-1) ** m * math.prod(range(1, 2 * m, 2)))) * F.pow(across, m)}
+        for n in range(m + 1, l_max + 1):
+            at[n] = ((2 * n - 1) * u * at[n - 1] - (n + m - 1) * at.get(n - 2, F.lit(0.0))) / (n - m)
+        for n in range(max(1, m), l_max + 1):
+            norm = math.sqrt((2 * n + 1) / (4 * math.pi) * math.factorial(n - m) / math.factorial(n + m))
+            if m == 0:
+                out[f"y{n}_0"] = norm * at[n]
+            else:
+                out[f"y{n}_{m}_cos"] = 2 * norm * at[n] * F.cos(m * F.radians(ra))
+                out[f"y{n}_{m}_sin"] = -2 * norm * at[n] * F.sin(m * F.radians(ra))
+    return out
+
+
+#: Tilt of the ecliptic in degrees.
+OBLIQUITY = 23.4392911
+
+
+def ecliptic_latitude(ra: Column, dec: Column) -> Column:
+    e = math.radians(OBLIQUITY)
+    s = F.sin(F.radians(dec)) * math.cos(e) - F.cos(F.radians(dec)) * math.sin(e) * F.sin(F.radians(ra))
+    return F.degrees(F.asin(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), s))))
+
+
+def pair_redshifts(points: DataFrame, cosmology: Cosmology, pi_max: float = 200.0, bins: int = 80, fine: int = 2000, z: str = "z") -> tuple[np.ndarray, np.ndarray, float]:
+    """(redshifts, density, pairs): mean redshifts of all pairs closer than pi_max in distance, from counts in ``fine`` steps of redshift; of unit integral."""
+    low, high = points.agg(F.min(z), F.max(z)).first()
+    if low is None or high <= low:
+        raise ValueError("no pairs of different redshifts")
+    step = (high - low) / fine
+    at = F.least(F.floor((F.col(z) - F.lit(low)) / F.lit(step)), F.lit(fine - 1)).cast("int")
+    counts = np.zeros(fine)
+    for r in points.where(F.col(z).isNotNull()).groupBy(at.alias("k")).agg(F.count("*").alias("n")).collect():  # ``fine`` rows at most
+        counts[r["k"]] = r["n"]
+    mids = low + (np.arange(fine) + 0.5) * step
+    chi = np.interp(mids, *cosmology.table())
+    i, j = np.nonzero(np.abs(chi[:, None] - chi) < pi_max)
+    weight = counts[i] * counts[j] - np.where(i == j, counts[i], 0.0)
+    edges = np.linspace(low, high, bins + 1)
+    density, _ = np.histogram((mids[i] + mids[j]) / 2, edges, weights=weight)
+    centres = (edges[:-1] + edges[1:]) / 2
+    return centres, density / np.trapezoid(density, centres), float(weight.sum() / 2)

@@ -21,12 +21,17 @@ def _cell(axis: str, size: float) -> Column:
     return F.floor(F.col(axis) / F.lit(size)).cast("long")
 
 
-def pairs(a: DataFrame, b: DataFrame, radius: float, axes: Sequence[str] = AXES, keep: Sequence[str] = ("id",), box: float | None = None, closed: bool = False, once: bool = False) -> DataFrame:
+def pairs(a: DataFrame, b: DataFrame, radius: float, axes: Sequence[str] = AXES, keep: Sequence[str] = ("id",), box: float | None = None, closed: bool = False, once: bool = False, hot: int | None = None) -> DataFrame:
     """All (a, b) pairs with d2 < radius^2 (<= if ``closed``): columns a_*, b_* of ``keep`` and the axes, and d2.
 
     With ``box`` axes lie in [0, box) and the shortest image counts; 2 * radius may not exceed
     it. Points without coordinates meet nothing. With ``once`` a and b are one catalog and each
     pair of ids comes once, either way round: one of each two opposite neighbour cells is asked.
+
+    Adaptive execution splits a join key by its bytes, but the pairs of a cell grow with the
+    square of its points. With ``hot`` the a side of cells with more points than that is dealt
+    over as many parts as it holds that number, and the b side goes to each of them: one more
+    grouping and two joins on the cell, for catalogs with dense spots.
     """
     if box is not None and 2 * radius > box:
         raise ValueError("the radius is larger than half the box")
@@ -44,7 +49,14 @@ def pairs(a: DataFrame, b: DataFrame, radius: float, axes: Sequence[str] = AXES,
     spread = b.select(*[F.col(c).alias(f"b_{c}") for c in columns], *[c.alias(f"_c{i}") for i, c in enumerate(cells)], around)
     moved = [F.col(f"_c{i}") + F.col(f"_s{i}") for i in range(len(axes))]
     right = spread.select(*[f"b_{c}" for c in columns], *([F.col("_own")] if once else []), *[(m if n is None else F.pmod(m, F.lit(n))).alias(f"_g{i}") for i, m in enumerate(moved)])
-    met = left.join(right, [f"_g{i}" for i in range(len(axes))])
+    on = [f"_g{i}" for i in range(len(axes))]
+    if hot:
+        dense = left.groupBy(*on).agg(F.ceil(F.count("*") / hot).cast("int").alias("_parts")).where("_parts > 1")
+        parts = F.coalesce("_parts", F.lit(1))
+        left = left.join(dense, on, "left").withColumn("_part", F.pmod(F.xxhash64(*[f"a_{c}" for c in columns]), parts).cast("int")).drop("_parts")
+        right = right.join(dense, on, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
+        on.append("_part")
+    met = left.join(right, on)
     if once:
         met = met.where((F.col("a_id") < F.col("b_id")) | ~F.col("_own") if halved else F.col("a_id") < F.col("b_id"))
     gaps = [F.col(f"b_{x}") - F.col(f"a_{x}") for x in axes]

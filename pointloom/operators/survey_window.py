@@ -50,11 +50,13 @@ def radial_density(points: DataFrame, cosmology: Cosmology = Cosmology(), n: int
     return chi, nz / np.maximum(np.gradient(chi, mids), 1e-12)
 
 
-def rr_analytic(mask: DataFrame, nside: int, radial: tuple[np.ndarray, np.ndarray], rp_edges: Sequence[float], pi_edges: Sequence[float], n_r: float = 1.0, steps: int = 60, theta_max: float = 28.6, bins: int = 40) -> DataFrame:
+def rr_analytic(mask: DataFrame, nside: int, radial: tuple[np.ndarray, np.ndarray], rp_edges: Sequence[float], pi_edges: Sequence[float], n_r: float = 1.0, steps: int = 60, theta_max: float = 28.6, bins: int = 40, per_volume: bool = True) -> DataFrame:
     """(rp_bin, pi_bin, rr): expected pairs of ``n_r`` randoms at the middles of the bins, for the mask's correlation and the radial density.
 
     rr = n_r^2 rp drp dpi / (2 f^2 <chi^2>^2) times the integral over distance of chi^2
-    xi(rp / chi) p(chi + pi / 2) p(chi - pi / 2), f the mean completeness.
+    xi(rp / chi) p(chi + pi / 2) p(chi - pi / 2), f the mean completeness: the published form,
+    in which p is a density in volume. With ``per_volume`` false p is one in distance, as
+    radial_density() gives it, and chi^2 / <chi^2>^2 becomes 1 / chi^2; in a thin shell both agree.
     """
     chi, p = radial
     edges = [theta_max * k / bins for k in range(bins + 1)]
@@ -62,7 +64,7 @@ def rr_analytic(mask: DataFrame, nside: int, radial: tuple[np.ndarray, np.ndarra
     theta = np.radians([(edges[b] + edges[b + 1]) / 2 for b, _ in rows])
     xi = np.array([x for _, x in rows])
     f = mask.agg(F.avg("completeness")).first()[0]
-    norm = n_r * n_r / (2 * f * f * np.trapezoid(p * chi * chi, chi) ** 2)
+    norm = n_r * n_r / (2 * f * f * (np.trapezoid(p * chi * chi, chi) ** 2 if per_volume else 1.0))
     out = []
     for i, (a, b) in enumerate(zip(rp_edges[:-1], rp_edges[1:], strict=True)):
         for j, (c, d) in enumerate(zip(pi_edges[:-1], pi_edges[1:], strict=True)):
@@ -71,7 +73,7 @@ def rr_analytic(mask: DataFrame, nside: int, radial: tuple[np.ndarray, np.ndarra
             if chi[-1] - chi[0] > pi:
                 at = np.linspace(chi[0] + pi / 2, chi[-1] - pi / 2, steps)
                 density = np.interp(at + pi / 2, chi, p, left=0, right=0) * np.interp(at - pi / 2, chi, p, left=0, right=0)
-                value = rp * (b - a) * (d - c) * norm * np.trapezoid(at * at * np.interp(rp / at, theta, xi, right=0.0) * density, at)
+                value = rp * (b - a) * (d - c) * norm * np.trapezoid((at * at if per_volume else 1 / (at * at)) * np.interp(rp / at, theta, xi, right=0.0) * density, at)
             out.append((i, j, float(value)))
     return mask.sparkSession.createDataFrame(out, "rp_bin int, pi_bin int, rr double")
 

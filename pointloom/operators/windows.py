@@ -7,6 +7,7 @@ each cell, done by adding each cell to the k origins whose cube holds it.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -112,3 +113,10 @@ def cell_correlation(points: DataFrame, side_bits: int, lags: Sequence[int], axe
     cells = float(side**d)
     every = points.sparkSession.createDataFrame([(int(x),) for x in lags], "lag int")
     return every.join(products, "lag", "left").crossJoin(F.broadcast(total)).select("lag", (F.coalesce("s", F.lit(0)) / (d * cells) / F.pow(F.col("t") / cells, 2) - 1).alias("xi"))
+
+
+def log_sides(low: int, high: int, d: int, per_decade: float) -> list[int]:
+    """Whole window sides from low to high, ``per_decade`` a decade of volume, each once."""
+    step = 1 / (d * per_decade)
+    n = math.ceil((math.log10(high) - math.log10(low)) / step) + 1
+    return sorted({min(high, max(low, math.floor(low * 10 ** (k * step) + 0.5))) for k in range(n + 1)})

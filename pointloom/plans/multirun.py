@@ -76,6 +76,12 @@ def coverage(randoms: DataFrame, runs: DataFrame, axes: Sequence[str] = AXES, bi
     return runs.select("run").join(kept, "run", "left").crossJoin(F.broadcast(randoms.agg(F.sum(weight).alias("whole")))).select("run", F.coalesce(ratio(F.col("kept"), F.col("whole")), F.lit(0.0)).alias("coverage"))
 
 
+def diagnostics(randoms: DataFrame, runs: DataFrame, n_levels: int, axes: Sequence[str] = AXES, bits: int = 16, periodic: bool = True) -> DataFrame:
+    """(run, scale, offset, coverage, n_levels): one row a run, the offset as text, for a CSV sink."""
+    offset = F.concat_ws(";", *[F.format_string("%.6f", f"off{i}") for i in range(len(axes))])
+    return runs.select("run", "scale", offset.alias("offset")).join(coverage(randoms, runs, axes, bits, periodic), "run").withColumn("n_levels", F.lit(n_levels))
+
+
 def run_cells(data: DataFrame, randoms: DataFrame, runs: DataFrame, axes: Sequence[str] = AXES, bits: int = 16, levels: Sequence[int] = range(1, 5), periodic: bool = True) -> DataFrame:
     """(run, scale, level, k.., n_d, sw_d, sw2_d, n_r, sw_r, sw2_r): the cells of every run."""
     keys = _keys(axes)

@@ -632,12 +632,12 @@ def wp_chebyshev(spark, d):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from pointloom import derived_queries  # noqa: F401  registers its own
+    from pointloom import source_queries  # noqa: F401  the modules that build on this one register their own
 
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from pointloom import derived_queries  # noqa: F401
+    from pointloom import source_queries  # noqa: F401
 
     return dict(_SQL)

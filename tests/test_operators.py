@@ -50,6 +50,15 @@ def test_range_join_is_brute_force(data, randoms, box):
     assert got == want
 
 
+def test_range_join_of_dense_cells(spark):
+    """Dense cells dealt over parts give the pairs of the plain join, each once."""
+    r = random.Random(12)
+    rows = [(i, *(r.gauss(0, 3 if i < 300 else 60) for _ in range(3))) for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, c0 double, c1 double, c2 double")
+    found = lambda **o: sorted((min(x.a_id, x.b_id), max(x.a_id, x.b_id)) for x in rangejoin.pairs(df, df, 5.0, **o).collect())
+    assert found(hot=20) == found() and found(once=True, hot=20) == found(once=True) == sorted(set(p for p in found() if p[0] < p[1]))
+
+
 def test_range_join_with_few_cells(data):
     radius = 30000.0
     got = sorted((r.a_id, r.b_id) for r in rangejoin.self_pairs(data[1], radius, AXES, box=65536).collect())
