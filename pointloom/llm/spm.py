@@ -44,7 +44,7 @@ SPACE = "▁"
 #: Texts of more characters are encoded by the parallel scan, in chunks of so many.
 GIANT = 1 << 16
 CHUNK = 1 << 14
-MEMO = 400_000
+MEMO = 150_000
 #: Characters of text whose words are looked up together.
 TOGETHER = 1_000_000
 #: Parts of up to so many characters are joined together and remembered.
@@ -64,13 +64,13 @@ Matrix = dict[State, dict[State, float]]
 
 
 class _Words(dict):
-    """Encoded words behind a given mark; forgets all when full."""
+    """Encoded words behind a given mark; when full, forgets those that the texts at hand don't use."""
 
     def __init__(self, vocabulary: Vocabulary, mark: str):
         super().__init__()
         self.vocabulary, self.mark = vocabulary, mark
 
-    def __missing__(self, word: str) -> tuple[float, bytes]:
+    def __missing__(self, word: str) -> bytes:
         found = self.vocabulary.joined_part(self.mark + word)
         if len(word) < SHORT:
             if len(self) > MEMO:
@@ -150,7 +150,13 @@ class Vocabulary:
         self._part = re.compile(f"{SPACE}*[{known}]+|{SPACE}+|[^{known}{SPACE}]", re.DOTALL) if self.word_cuts else None
         #: Whether a line end is a character that no piece holds, and so a part by itself.
         self.line_cuts = self.word_cuts and not any("\n" in p for p in self.numbers)
-        self.memo: dict[str, tuple[float, bytes]] = {}
+        self.memo: dict[str, bytes] = {}
+        #: The score of each id; of an unknown character's bytes the first one's stands for all.
+        self.score_of = np.array(self.scores)
+        for b, i in self.bytes_.items():
+            self.score_of[i] = 0.0 if 0x80 <= b < 0xC0 else self.unknown
+        if not self.bytes_ and 2 in self.kinds:
+            self.score_of[self.kinds.index(2)] = self.unknown
         self._words = (_Words(self, SPACE), _Words(self, ""))
         self._pairs: _Pairs | None = None
         self._fits: dict[tuple[str, str], bool] = {}
@@ -191,14 +197,14 @@ class Vocabulary:
             offer(a)
         return [p for p in part if p]
 
-    def joined_part(self, text: str) -> tuple[float, bytes]:
-        """Score and ids (32-bit numbers) of a text, joined by itself."""
-        parts = self.join(text)
-        return self.score(parts), array("i", self.emit(parts)).tobytes()
+    def joined_part(self, text: str) -> bytes:
+        """Ids (32-bit numbers) of a text, joined by itself."""
+        return array("i", self.emit(self.join(text))).tobytes()
 
-    def score(self, parts: list[str]) -> float:
-        scores, numbers = self.scores, self.numbers
-        return sum(scores[numbers[p]] if p in numbers else self.unknown for p in parts)
+    def ids_of(self, parts: list[bytes]) -> tuple[np.ndarray, float]:
+        """The ids of some parts, one after the other, and their score."""
+        ids = np.frombuffer(b"".join(parts), "<i4")
+        return ids, float(self.score_of[ids].sum())
 
     def emit(self, parts: list[str]) -> list[int]:
         """Ids of pieces; a character that is none becomes its bytes, or the unknown id."""
@@ -229,10 +235,9 @@ class Vocabulary:
         self.rank_of = np.full(size, NEVER, np.int32)
         for p, i in self.numbers.items():
             self.rank_of[i] = order[self.ranks[p]]
-        self.score_of = np.array(self.scores)
         self._pairs = _Pairs(left, right, joined, size + len(symbols))
 
-    def join_many(self, parts: list[str]) -> list[tuple[float, bytes]]:
+    def join_many(self, parts: list[str]) -> list[bytes]:
         """joined_part() of many parts: those of one length join together, one pair of each at a time."""
         if self._pairs is None:
             self._layout()
@@ -274,12 +279,11 @@ class Vocabulary:
         return found, np.where(found >= 0, self.rank_of[found], NEVER)
 
     def _finish(self, parts: list[str], rows: np.ndarray, symbols: np.ndarray, out: list) -> None:
-        """Score and ids of rows of as many symbols each, into ``out``."""
+        """Ids of rows of as many symbols each, into ``out``."""
         strange = ((symbols < 0) | (symbols >= len(self.pieces))).any(axis=1)
-        scores = self.score_of[np.where(strange[:, None], 0, symbols)].sum(axis=1).tolist()
         raw, step = symbols.astype("<i4").tobytes(), 4 * symbols.shape[1]
         for n, (k, odd) in enumerate(zip(rows.tolist(), strange.tolist(), strict=True)):
-            out[k] = self.joined_part(parts[k]) if odd else (scores[n], raw[n * step : (n + 1) * step])
+            out[k] = self.joined_part(parts[k]) if odd else raw[n * step : (n + 1) * step]
 
     # -- whole texts ---------------------------------------------------------------------
 
@@ -297,8 +301,9 @@ class Vocabulary:
             words.discard("")
             new = [w for w in words if w not in memo]
             if len(memo) + len(new) > MEMO:
+                used = {w: memo[w] for w in words if w in memo}  # what is common stays, words met once go
                 memo.clear()
-                new = list(words)
+                memo.update(used)
             memo.update(zip(new, self.join_many([memo.mark + w for w in new]), strict=True))
 
     def encode_all(self, texts: list[str | None]) -> list[tuple[np.ndarray, float]]:
@@ -314,7 +319,7 @@ class Vocabulary:
         self.prepare(held)
         return [*out, *map(self.encode, held)]
 
-    def best(self, part: str) -> tuple[float, bytes]:
+    def best(self, part: str) -> bytes:
         """joined_part(), remembered if the part is short."""
         found = self.memo.get(part)
         if found is None:
@@ -325,8 +330,8 @@ class Vocabulary:
                 self.memo[part] = found
         return found
 
-    def paths(self, text: str) -> list[tuple[float, bytes]]:
-        """Score and ids of each part between cuts."""
+    def paths(self, text: str) -> list[bytes]:
+        """Ids of each part between cuts."""
         return list(map(self.best, self._part.findall(text) if self._part else [text]))
 
     def encode(self, text: str | None) -> tuple[np.ndarray, float]:
@@ -348,10 +353,7 @@ class Vocabulary:
                 elif not n:
                     found.append(self.best(SPACE))
                 found += map(after.__getitem__, words[1:])
-        if not found:
-            return np.empty(0, "<i4"), 0
-        scores, ids = zip(*found, strict=True)
-        return np.frombuffer(b"".join(ids), "<i4"), sum(scores)
+        return self.ids_of(found)
 
     def decode(self, ids) -> str:
         """The text of ids: byte pieces are joined, space marks become spaces, the dummy prefix goes."""
@@ -447,7 +449,7 @@ class Vocabulary:
         first, last = self.inner(text, before, size)
         if first is None:
             return {state: row for state, at, length in self.entries(text, before) if (row := {s: score for s, score, _ in self.exits(text, end, self.reach(text, at, length, end))})}
-        middle = sum(p[0] for p in self.paths(text[first:last]))
+        middle = self.ids_of(self.paths(text[first:last]))[1]
         right = {s: middle + score for s, score, _ in self.exits(text, end, self.reach(text, last, 0, end))} if last < end else {CUT: middle}
         out = {}
         for state, at, length in self.entries(text, before):
@@ -477,7 +479,7 @@ class Vocabulary:
         if at < first:
             found = self.reach(text, at, length, first)
             ids = self._trace(text, found, max((k for k in found if k[0] == first), key=lambda k: found[k][0]))
-        ids += np.frombuffer(b"".join(part for _, part in self.paths(text[first:last])), "<i4").tolist()
+        ids += self.ids_of(self.paths(text[first:last]))[0].tolist()
         if last < end:
             found = self.reach(text, last, 0, end)
             ids += self._trace(text, found, next(key for s, _, key in self.exits(text, end, found) if s == exit_))
