@@ -38,20 +38,25 @@ HOT_LIST = 64
 STRIDE = 1 << 16
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """The unsigned 64-bit SimHash of one text; 0 for null and for a text without a word."""
+def shingle_hashes(text: str | None, shingle: int) -> Iterator[np.ndarray]:
+    """XXH64 of the shingles of a text, repeats included, ``STRIDE`` at a time; nothing for null and for a text without a word."""
     words = [] if text is None else text.encode("utf-8", "replace").lower().split()
-    if not words:
-        return 0
     joined = b" ".join(words)
     ends = list(accumulate(map(len, words), lambda a, b: a + 1 + b))
     starts = [0, *(e + 1 for e in ends[:-1])]
-    ends = ends[min(shingle, len(words)) - 1 :]
-    h, ones = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
+    ends = ends[max(min(shingle, len(words)) - 1, 0) :]
+    h = xxhash.xxh64_intdigest
     for at in range(0, len(ends), STRIDE):
-        part = np.array([h(joined[a:b], SEED) for a, b in zip(starts[at : at + STRIDE], ends[at : at + STRIDE], strict=False)], np.uint64)
+        yield np.array([h(joined[a:b], SEED) for a, b in zip(starts[at : at + STRIDE], ends[at : at + STRIDE], strict=False)], np.uint64)
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """The unsigned 64-bit SimHash of one text; 0 for null and for a text without a word."""
+    count, ones = 0, np.zeros(64, np.int64)
+    for part in shingle_hashes(text, shingle):
+        count += len(part)
         ones += np.unpackbits(part.view(np.uint8), bitorder="little").reshape(-1, 64).sum(axis=0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > len(ends), bitorder="little").view(np.uint64)[0])
+    return int(np.packbits(ones * 2 > count, bitorder="little").view(np.uint64)[0])
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,22 +109,28 @@ def simhash_groups(docs: DataFrame) -> DataFrame:
     names, nothing is used. An empty table gives an empty result.
     """
     printed = stored(fingerprints(docs))
+    return grouped(printed, links(printed.select("fp").distinct()))
+
+
+def grouped(printed: DataFrame, edges: DataFrame) -> DataFrame:
+    """(doc_id, fp) rows and links (u, v) of fingerprints -> (doc_id, fp, component_id)."""
     nodes = printed.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = connected_components(links(nodes.select("fp")))
+    roots = connected_components(edges)
     rooted = stored(nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(smallest, "root").select("fp", "component_id")
     return printed.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
+def one_of_each(docs: DataFrame, groups: DataFrame | None = None) -> DataFrame:
     """Of each near-duplicate group the row with the smallest doc_id; the columns of ``docs``, whatever their names.
 
     Null, empty and blank texts are one group. An empty table gives an empty result.
     Rows that repeat the kept doc_id are kept once (the one with the smallest text, nulls
-    first). Rows without a doc_id all stay: nothing names them as a copy.
+    first). Rows without a doc_id all stay: nothing names them as a copy. ``groups`` are those
+    of simhash_groups() unless others are given.
     """
-    kept = simhash_groups(docs).where("doc_id = component_id").select("doc_id").distinct()
+    kept = (simhash_groups(docs) if groups is None else groups).where("doc_id = component_id").select("doc_id").distinct()
     rows = nested(docs.where("doc_id is not null"), "doc_id", "text").join(kept, "doc_id", "left_semi")
     first = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_first())
     once = rows.select("row", F.row_number().over(first).alias("rank")).where("rank = 1").select("row.*")

@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from pointloom.llm import bm25, components, langid, linededup, mixing, ngrams, quality, queries, repetition, simhash, spm, toxicity, urlfilter
+from pointloom.llm import bm25, components, langid, linededup, mixing, nearcopies, ngrams, quality, queries, repetition, simhash, spm, toxicity, urlfilter
 from pointloom.llm.common import word_count
 
 SQL = queries.oracle_sql()
@@ -310,6 +310,63 @@ def test_simhash_odd_rows(odd, none):
     assert simhash.simhash_groups(none).count() == 0 and simhash.one_of_each(none).count() == 0
 
 
+def five_words(text):
+    words = re.findall(WORD, re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def near_brute(rows):
+    """doc_id -> smallest id reachable over fingerprints within two bits or a similarity of 0.8."""
+    sets, root = {i: five_words(t) for i, t in rows}, groups_brute({i: simhash_brute(t) for i, t in rows})
+    for a in sorted(sets):
+        for b in sets:
+            x, y = sets[a], sets[b]
+            if root[a] != root[b] and 10 * len(x & y) >= 8 * len(x | y):
+                low, high = sorted((root[a], root[b]))
+                root = {i: low if r == high else r for i, r in root.items()}
+    return root
+
+
+def near_families(seed):
+    """Families of edited copies, some longer, some shorter, texts that share a passage, and pairs on the threshold."""
+    r = random.Random(seed)
+    word = lambda: f"w{r.randrange(3000)}"
+    passage, rows = [word() for _ in range(40)], []
+    for size in (1, 4, 9, 30, 55, 120, 300):
+        base = [word() for _ in range(size)]
+        for _ in range(14):
+            copy = list(base)
+            for _ in range(r.randrange(1 + size // 25)):
+                copy[r.randrange(len(copy))] = word()
+            rows.append(copy + [word() for _ in range(r.randrange(1 + size // 10))])
+    rows += [[word() for _ in range(60)] + passage + [word() for _ in range(20)] for _ in range(40)]
+    rows += [passage + [word() for _ in range(k)] for k in range(14)]
+    for n in (10, 25, 45):  # n shingles, of which 8 n / 10 and one less or more
+        base = [word() for _ in range(n + 4)]
+        rows += [base, *([*base, *[word() for _ in range(n // 4 + d)]] for d in (-1, 0, 1))]
+    r.shuffle(rows)
+    return [(i, " ".join(w).title() if i % 3 else " ".join(w)) for i, w in enumerate(rows)]
+
+
+@pytest.mark.parametrize(("hot", "block", "group", "seen"), [(64, 1024, 1 << 22, 1 << 16), (3, 5, 2000, 2)])
+def test_near_groups_are_brute_force(spark, monkeypatch, hot, block, group, seen):
+    for name, value in (("HOT_LIST", hot), ("BLOCK", block), ("GROUP", group), ("REMEMBERED", seen)):
+        monkeypatch.setattr(nearcopies, name, value)
+    rows = near_families(11)
+    want = near_brute(rows)
+    got = nearcopies.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == want
+    assert 20 < len(set(want.values())) < len(rows) - 20
+    assert len(set(groups_brute({i: simhash_brute(t) for i, t in rows}).values())) > len(set(want.values())) + 20
+
+
+def test_near_groups_odd_rows(odd, none):
+    got = nearcopies.near_groups(odd[1]).collect()
+    assert len(got) == len(odd[0])
+    assert {r.component_id for r in got if r.doc_id in (3, 4, 5)} == {3}
+    assert nearcopies.near_groups(none).count() == 0 and simhash.one_of_each(none, nearcopies.near_groups(none)).count() == 0
+
+
 # -- 5 ----------------------------------------------------------------------------------
 
 
@@ -715,7 +772,7 @@ def test_pipeline_stage_by_stage(spark, sf_dir, model):
     want = line_brute([(r.doc_id, r.text) for r in a.collect()])
     assert sorted((r.doc_id, r.text, r.n_chars) for r in b.collect()) == sorted((i, t, len(t)) for i, t, _, _ in want)
     c = corpus_pipeline.near_copies(spark, b, sf_dir).cache()
-    roots = groups_brute({r.doc_id: simhash_brute(r.text) for r in b.collect()})
+    roots = near_brute([(r.doc_id, r.text) for r in b.collect()])
     assert sorted(r.doc_id for r in c.collect()) == sorted(set(roots.values()))
     e = corpus_pipeline.mixture(spark, c, sf_dir).cache()
     plan = {r.doc_id: r.copies for r in mixing.mix_plan(c).collect()}
