@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointloom.llm import langid, linededup, mixing, simhash, spm
+from pointloom.llm import langid, linededup, mixing, nearcopies, simhash, spm
 from pointloom.llm.common import crc_rest, own, read, stored
 from pointloom.llm.queries import TOKENIZER
 
@@ -36,10 +36,12 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays, the smallest id.
 
-    Null, empty and blank texts are one group; of rows that repeat the id one stays; rows
-    without an id stay. See simhash.one_of_each(). An empty table gives no row.
+    Near are texts with almost equal fingerprints, or with a similarity of 0.8 over five-word
+    shingles: see nearcopies.near_groups(). Null, empty and blank texts are one group; of rows
+    that repeat the id one stays; rows without an id stay. See simhash.one_of_each(). An empty
+    table gives no row.
     """
-    return simhash.one_of_each(docs)
+    return simhash.one_of_each(docs, nearcopies.near_groups(docs))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
