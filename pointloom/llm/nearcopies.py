@@ -36,7 +36,7 @@ HOT_LIST, HOT_SHINGLES = 64, 1 << 18
 #: Members of a block of a long list.
 BLOCK = 1024
 #: Shingles of all pairs verified in one group, repeats included (8 bytes each).
-GROUP = 1 << 22
+GROUP = 1 << 20
 #: Sets a task remembers, to send one of many copies only.
 REMEMBERED = 1 << 16
 
@@ -111,12 +111,12 @@ def _prefixes(hot: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, 250):
-        found = [shingle_set(t.as_py()) for t in batch.column(0)]
+        found = [shingle_set(t.as_py()) for t in batch.column(0)]  # 250 rows, so that few sets are held at once
         yield pa.RecordBatch.from_arrays([pa.array([_key(f) for f in found], pa.int64()), pa.array([f.tobytes() for f in found], pa.binary())], ["key", "members"])
 
 
 def _verified(pairs: pa.Table, sets: pa.Table) -> pa.Table:
-    members = {k: np.frombuffer(m, np.uint64) for k, m in zip(sets.column("key").to_pylist(), sets.column("members").to_pylist(), strict=True)}
+    members = {k.as_py(): np.frombuffer(m.as_buffer(), np.uint64) for k, m in zip(sets.column("key"), sets.column("members"), strict=True)}
     us, vs = pairs.column("u").to_pylist(), pairs.column("v").to_pylist()
     kept = []
     for u, v in zip(us, vs, strict=True):
