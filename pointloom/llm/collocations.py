@@ -140,50 +140,74 @@ def _suffixes(batches: Iterator[pa.RecordBatch], max_n: int, hot: dict[str, int]
         yield from flush()
 
 
+#: Bytes of a suffix that are compared for all rows at once.
+WIDTH = 48
+
+
+def _shared(raw: np.ndarray, ends: np.ndarray, last: bytes) -> np.ndarray:
+    """How many first bytes each of the strings in ``raw`` has in common with the one before it, the first with ``last``."""
+    sizes = np.diff(ends)
+    width = int(min(max(sizes.max(initial=0), len(last)), WIDTH))
+    at = ends[:-1, None] + np.arange(width)
+    padded = np.zeros((len(sizes) + 1, width), np.uint8)
+    padded[0, : len(last[:width])] = np.frombuffer(last[:width], np.uint8)
+    padded[1:] = np.where(at < ends[1:, None], raw[np.minimum(at, len(raw) - 1)], 0)
+    other = padded[1:] != padded[:-1]
+    found = np.where(other.any(1), other.argmax(1), width) if width else np.zeros(len(sizes), np.int64)
+    for i in np.flatnonzero((found == width) & (sizes > width)):
+        one, two = (bytes(raw[ends[i - 1] : ends[i]]) if i else last), bytes(raw[ends[i] : ends[i + 1]])
+        found[i] = next((k for k, (x, y) in enumerate(zip(one, two)) if x != y), min(len(one), len(two)))
+    return found
+
+
 def _stacked(batches: Iterator[pa.RecordBatch], max_n: int, least: int) -> Iterator[pa.RecordBatch]:
-    """Counts of all prefixes of sorted suffixes: (phrase, n_words, count), n_words 0 for a language.
+    """Counts of all prefixes of sorted suffixes: (key, n_words, count), n_words 0 for a language.
 
-    One stack holds the prefixes of the last suffix with what has been counted of each. Prefixes
-    that are not dealt out further are whole and pass only from ``least`` on; the others pass
-    as they are, to be added up.
+    The stack holds the prefixes of the last suffix with what has been counted of each; one that
+    the next suffix does not share is complete and leaves it. Prefixes that begin and end in one
+    batch are summed as runs. Prefixes that are not dealt out further are whole and pass only
+    from ``least`` on; the others pass as they are, to be added up.
     """
-    out: list[tuple[str, int, int]] = []
-    stack: list[str] = []
-    counts: list[int] = []
-    deal = 0
-
-    def close(to: int) -> None:
-        while len(stack) > to:
-            level, n = len(stack) - 1, counts.pop()
-            if n >= least or level < deal:
-                out.append((" ".join(stack), level, n))
-            stack.pop()
-            if counts:
-                counts[-1] += n
-
+    stack: list[tuple[str, int, bool] | None] = [None] * (max_n + 1)  # prefix, count so far, whether it passes anyway
+    last = b""
     for b in batches:
         for at in range(0, b.num_rows, 20_000):
             some = b.slice(at, 20_000)
-            for suffix, by, n in zip(some["suffix"].to_pylist(), some["deal"].to_pylist(), some["count"].to_pylist()):
-                words = suffix.split(" ")
-                words.pop()
-                same = 0
-                for a, w in zip(stack, words):
-                    if a != w:
-                        break
-                    same += 1
-                close(same)
-                deal = by
-                for w in words[same:]:
-                    stack.append(w)
-                    counts.append(0)
-                counts[-1] += n
-            if len(out) > 20_000:
+            text = some["suffix"].cast(pa.large_string())
+            ends = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1]
+            raw = np.frombuffer(text.buffers()[2], np.uint8)[ends[0] : ends[-1]]
+            ends = ends - ends[0]
+            count, deal = some["count"].to_numpy(), some["deal"].to_numpy()
+            blanks = np.flatnonzero(raw == 0x20)
+            first = np.searchsorted(blanks, ends[:-1])
+            levels = np.append(first[1:], len(blanks)) - first
+            shared = _shared(raw, ends, last)
+            last = bytes(raw[ends[-2] : ends[-1]])
+            out: list[tuple[str, int, int]] = []
+            for k in range(max_n + 1):
+                has = np.flatnonzero(levels > k)
+                if not len(has):
+                    continue
+                size = blanks[first[has] + k] - ends[has]  # of the prefix, without the blank behind it
+                new = np.flatnonzero(shared[has] <= size)
+                sums = np.add.reduceat(count[has], new) if len(new) else np.zeros(0, np.int64)
+                before = int(count[has[: new[0]]].sum()) if len(new) else int(count[has].sum())
+                held = stack[k]
+                if held and before:
+                    held = stack[k] = (held[0], held[1] + before, held[2])
+                if not len(new):
+                    continue
+                if held and (held[1] >= least or held[2]):
+                    out.append((held[0], k, held[1]))
+                prefix = lambda g: bytes(raw[ends[has[new[g]]] : ends[has[new[g]]] + size[new[g]]]).decode()  # noqa: B023, E731
+                done = (sums >= least) | (deal[has[new]] > k)
+                out += [(prefix(g), k, int(sums[g])) for g in np.flatnonzero(done[:-1])]
+                stack[k] = (prefix(-1), int(sums[-1]), bool(deal[has[new[-1]]] > k))
+            if out:
                 yield _phrases(out)
-                out.clear()
-    close(0)
-    if out:
-        yield _phrases(out)
+    rest = [(held[0], k, held[1]) for k, held in enumerate(stack) if held and (held[1] >= least or held[2])]
+    if rest:
+        yield _phrases(rest)
 
 
 def _phrases(rows: list[tuple[str, int, int]]) -> pa.RecordBatch:
