@@ -187,7 +187,8 @@ FROM captures c LEFT JOIN found f ON c.url = f.url AND c.day = f.day
 
 OP5_SQL = r"""
 WITH RECURSIVE sized AS (
-  SELECT doc_id, source, CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) END::BIGINT AS size FROM documents
+  SELECT doc_id, source, CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) END::BIGINT AS size,
+         md5('mix-1:' || coalesce(doc_id::VARCHAR, 'text ' || md5(coalesce(text, '')))) AS coin FROM documents
 ), sources AS (
   SELECT source, sum(size)::BIGINT AS source_size, [5.0, 2.0, 1.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS weight
   FROM sized GROUP BY source
@@ -201,12 +202,16 @@ WITH RECURSIVE sized AS (
 ), final AS (
   SELECT source, source_size, CASE WHEN l.level IS NULL THEN 2.0 * source_size ELSE least(weight * l.level, 2.0 * source_size) END::DOUBLE AS target
   FROM sources, (SELECT level FROM rounds WHERE level IS NOT NULL ORDER BY k DESC LIMIT 1) l
+), placed AS (
+  -- coins in order of size by source
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY size DESC, coin) - 1 AS k, ('0x' || substr(md5('mix-1/' || coalesce(source, 'null')), 1, 12))::BIGINT / 281474976710656.0::DOUBLE AS start
+  FROM (SELECT DISTINCT source, size, coin FROM sized)
+), given AS (
+  SELECT p.source, p.size, p.coin, source_size, target, floor(rate) + floor((k + 1) * (rate - floor(rate)) + start) - floor(k * (rate - floor(rate)) + start) AS copies
+  FROM placed p JOIN (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END::DOUBLE AS rate FROM final) f ON p.source IS NOT DISTINCT FROM f.source
 )
-SELECT s.doc_id, s.size, f.source_size, f.target,
-       s.size * (floor(f.target / f.source_size)
-         + (('0x' || substr(md5('mix-1:' || coalesce(s.doc_id::VARCHAR, 'null')), 1, 12))::BIGINT / 281474976710656.0
-            < f.target / f.source_size - floor(f.target / f.source_size))::INT)::BIGINT AS taken
-FROM sized s JOIN final f ON s.source IS NOT DISTINCT FROM f.source
+SELECT s.doc_id, s.size, g.source_size, g.target, (s.size * g.copies)::BIGINT AS taken
+FROM sized s JOIN given g ON s.source IS NOT DISTINCT FROM g.source AND s.size = g.size AND s.coin = g.coin
 """
 
 OP8_SQL = r"""

@@ -405,6 +405,20 @@ def test_mix_odd_rows(odd, none):
     assert mixing.mix_plan(none).count() == 0 and mixing.mix(none).count() == 0
 
 
+def test_sources_miss_their_targets_by_a_document_at_most(spark):
+    """Evenly spread coins: also for a source that few large documents make up, and for documents without ids, which have coins of their texts."""
+    r = random.Random(4)
+    rows = [(i, "w " * (r.choice([1, 5, 400, 3000]) if i % 7 else 0), None, f"s{i % 5}" if i % 5 else None, None) for i in range(600)]
+    rows += [(None, f"t{i} " * (i % 40), None, "nameless", None) for i in range(300)]
+    by = defaultdict(list)
+    for p in mixing.mix_plan(spark.createDataFrame(rows, SCHEMA).repartition(6)).collect():
+        by[p.source].append(p)
+    assert len(by) == 6
+    for plan in by.values():
+        assert abs(sum(p["size"] * p.copies for p in plan) - plan[0].target) <= max(p["size"] for p in plan)
+        assert {p.copies for p in plan} <= {math.floor(plan[0].target / plan[0].source_size), math.ceil(plan[0].target / plan[0].source_size)}
+
+
 def test_words_are_counted_by_six_spaces(spark):
     texts = ["a  b", " a b c ", "", None, "\x1fa\x0bb\x0cc\rd\te\nf", "\n"]
     df = spark.createDataFrame([(t,) for t in texts], "text string")
