@@ -58,6 +58,16 @@ ch AS (SELECT fa.*, rd.scale, rd.sw_r FROM fa JOIN rd ON rd.run = fa.run AND rd.
 rq AS (SELECT run, pattern, sum(w_p) AS t, sum(w_p * we * we) AS q FROM rh GROUP BY ALL)"""
 
 
+@query("pooled_xi", sql(runs_sql(RUNS, list(range(4)), "box_d", "box_r") + """, s AS (SELECT run, scale, level, sum((sw_d * sw_d - sw2_d) / 2) AS dd, sum((sw_r * sw_r - sw2_r) / 2) AS rr, sum(sw_d * sw_r) AS dr FROM rc GROUP BY ALL),
+sh AS (SELECT run, scale, level, dd - lead(dd, 1, 0) OVER o AS dd, dr - lead(dr, 1, 0) OVER o AS dr, rr - lead(rr, 1, 0) OVER o AS rr FROM s WINDOW o AS (PARTITION BY run ORDER BY level)),
+t AS (SELECT run, sum(sw_d) AS wd, sum(sw2_d) AS wd2, sum(sw_r) AS wr, sum(sw2_r) AS wr2 FROM rc WHERE level = 0 GROUP BY run),
+j AS (SELECT scale, level, sum(dd) AS dd, sum(dr) AS dr, sum(rr) AS rr, sum((wd * wd - wd2) / 2) AS nd, sum((wr * wr - wr2) / 2) AS nr, sum(wd * wr) AS nx FROM sh JOIN t USING (run) GROUP BY scale, level)
+SELECT round(scale, 6) AS scale, level, dd, dr, rr, round(CASE WHEN rr <> 0 THEN (dd / nd - 2 * dr / nx + rr / nr) / (rr / nr) END, 6) AS xi FROM j""", "box_d", "box_r"))
+def pooled_xi(spark, d):
+    """Eight shifts at each of two scales."""
+    return multirun.pooled_xi(view(spark, d, "box_d"), view(spark, d, "box_r"), multirun.plan(spark, RUNS), levels=range(4)).select(F.round("scale", 6).alias("scale"), "level", "dd", "dr", "rr", *r6("xi"))
+
+
 @query("pooled_haar", sql(runs_sql(SHIFTS, [1, 2], "box_d", "box_r") + run_haar_sql(1) + " SELECT 0::BIGINT AS pool, pattern, 0.5::DOUBLE AS side, round(sum(q) / sum(t), 6) AS mean_we2 FROM rq GROUP BY pattern", "box_d", "box_r"))
 def pooled_haar(spark, d):
     runs = multirun.plan(spark, SHIFTS)

@@ -46,3 +46,14 @@ def centre(pix: Column, nside: int) -> tuple[Column, Column]:
     step = F.when((pix < north) | (pix >= whole - north), 90 / ring).otherwise(90.0 / n)
     height = F.when(pix < north, 1 - ring * ring / (3.0 * n * n)).when(pix < whole - north, (2 * n - ring) * 2 / (3.0 * n)).otherwise(ring * ring / (3.0 * n * n) - 1)
     return (place - shift) * step, height
+
+
+def ring_place(pix: Column, nside: int) -> tuple[Column, Column]:
+    """(ring, from 1 at the north pole; place in the ring, from 0) of a pixel."""
+    n, p = nside, pix.cast("long")
+    north, whole = 2 * n * (n - 1), 12 * n * n
+    rings = lambda k: (F.floor(F.sqrt(k / 2 - F.sqrt(F.floor(k / 2)))) + 1).cast("long")
+    top, bottom = rings((p + 1).cast("double")), rings((F.lit(whole) - p).cast("double"))
+    ring = F.when(p < north, top).when(p < whole - north, F.floor((p - north) / (4 * n)) + n).otherwise(4 * n - bottom)
+    place = F.when(p < north, p - 2 * top * (top - 1)).when(p < whole - north, (p - north) % (4 * n)).otherwise(p - whole + 2 * bottom * (bottom + 1))
+    return ring.cast("int"), place.cast("int")

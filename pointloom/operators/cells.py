@@ -84,7 +84,11 @@ def xi_shells(data: DataFrame, randoms: DataFrame, axes: Sequence[str] = AXES, b
 
     Pair norms are (W^2 - sum w^2) / 2 for DD and RR and W_d W_r for DR; xi is null where RR is 0.
     """
-    c = cells(data, randoms, axes, bits, levels, weight)
+    return xi_of_cells(cells(data, randoms, axes, bits, levels, weight), levels)
+
+
+def xi_of_cells(c: DataFrame, levels: Sequence[int]) -> DataFrame:
+    """xi_shells() of rows of cells()."""
     stats = pair_level_stats(c)
     order = Window.orderBy("level")
     shells = stats.select("level", *[(F.col(x) - F.lead(x, 1, 0.0).over(order)).alias(x) for x in ("dd", "dr", "rr")])

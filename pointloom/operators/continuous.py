@@ -74,6 +74,36 @@ def xi_basis(data: DataFrame, randoms: DataFrame, knots: Sequence[float], axes:
     return [float(x) for x in np.linalg.lstsq(gram, dd - 2 * dr + rr, rcond=None)[0]]
 
 
+def compensated_bands(randoms: DataFrame, knots: Sequence[float], axes: Sequence[str] = AXES, box: float | None = None) -> np.ndarray:
+    """Coefficients on tents, by rows, of one band fewer than there are knots: functions of the separation that vanish on average over the survey's random pairs and are orthonormal over them.
+
+    The survey's volume enters through its random pairs between the first and the last knot,
+    whose Gram matrix of tents is summed on the executors. A band starts at its knot's tent and
+    is made orthogonal to the constant, which all tents add up to, and to the bands before it.
+    A band that no pair can tell from those before it is 0.
+    """
+    p = self_pairs(randoms, knots[-1], axes, box=box).where(F.col("d2") >= knots[0] ** 2)
+    _, gram = _sums(p, tents(F.sqrt("d2"), knots), True)
+    gram = gram / max(gram.sum(), 1.0)  # the tents add up to 1, so that this is the number of pairs
+    found = [np.ones(len(knots))]
+    for k in range(len(knots) - 1):
+        band = np.eye(len(knots))[k]
+        size = band @ gram @ band
+        for _ in range(2):  # twice, against rounding
+            for other in found:
+                band = band - (other @ gram @ band) * other
+        left = band @ gram @ band
+        found.append(band / math.sqrt(left) if left > 1e-12 * size else np.zeros(len(knots)))
+    return np.array(found[1:])
+
+
+def bands(x: Column, knots: Sequence[float], coefficients: np.ndarray) -> list[Column]:
+    """compensated_bands() as functions of a separation between the first and the last knot; 0 outside."""
+    inside = (x >= F.lit(float(knots[0]))) & (x < F.lit(float(knots[-1])))
+    t = tents(x, knots)
+    return [F.when(inside, sum((F.lit(float(c)) * f for c, f in zip(row, t, strict=True)), F.lit(0.0))).otherwise(0.0) for row in coefficients]
+
+
 def wp_chebyshev(data: DataFrame, randoms: DataFrame, rp_min: float, rp_max: float, pi_max: float, n: int = 4, axes: Sequence[str] = AXES) -> list[float]:
     """Coefficients of wp on Chebyshev polynomials of ln rp: Landy-Szalay sums against the Gram matrix of random pairs, times 2 pi_max."""
     reach = math.hypot(rp_max, pi_max)

@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import math
-import tempfile
 from collections.abc import Callable, Iterator, Sequence
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pointloom.operators.cells import ratio
+from pointloom.operators.neighbours import k_nearest
 from pointloom.operators.pairs import triangles
 from pointloom.operators.rangejoin import AXES, pairs
 
@@ -20,8 +18,8 @@ from pointloom.operators.rangejoin import AXES, pairs
 def nearest(a: DataFrame, b: DataFrame, k: int, radius: float, axes: Sequence[str] = AXES, keep: Sequence[str] = ("id",), same: bool = False, preceding: bool = False) -> DataFrame:
     """The ``k`` nearest points of ``b`` within ``radius`` of each point of ``a``: pairs() columns and rank; ties by id.
 
-    ``same`` leaves out a point itself, ``preceding`` all but those with smaller ids. Exact
-    for points with k neighbours within the radius; see short() for the rest.
+    ``same`` leaves out a point itself, ``preceding`` all but those with smaller ids. Points with
+    fewer neighbours within the radius have fewer rows; neighbours.k_nearest() needs no radius.
     """
     p = pairs(a, b, radius, axes, keep)
     if same:
@@ -32,58 +30,14 @@ def nearest(a: DataFrame, b: DataFrame, k: int, radius: float, axes: Sequence[st
     return p.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def short(a: DataFrame, found: DataFrame, k: int) -> DataFrame:
-    """Points of ``a`` with fewer than ``k`` rows in nearest(): to be asked again with a larger radius."""
-    full = found.groupBy(F.col("a_id").alias("id")).agg(F.count("*").alias("n")).where(F.col("n") >= k)
-    return a.join(full, "id", "left_anti")
-
-
-def _cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once, at most k rows a point, and without its plan, which would double with each radius; in a local folder only in local mode, where none is named."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not named and not sc.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="pointloom-"))
-    return df.checkpoint()
-
-
-def k_nearest(a: DataFrame, b: DataFrame, k: int, radius: float, limit: float, axes: Sequence[str] = AXES, keep: Sequence[str] = ("id",), same: bool = False) -> DataFrame:
-    """nearest() with the radius doubled, up to ``limit``, for the points that lack neighbours, as long as there are any."""
-    left, out = a, None
-    while True:
-        found = nearest(left, b, k, radius, axes, keep, same)
-        if radius < limit:
-            found = _cut(found)
-        rest = short(left, found, k)
-        if radius < limit and rest.isEmpty():
-            radius = limit
-        done = found if radius >= limit else found.join(rest.select(F.col("id").alias("a_id")), "a_id", "left_anti")
-        out = done if out is None else out.unionByName(done)
-        if radius >= limit:
-            return out
-        left, radius = rest, min(2 * radius, limit)
-
-
-def _span(axes: Sequence[str], *catalogs: DataFrame) -> float:
-    """A length above all distances between points of the catalogs, from one row of extents; 0 if there are no points."""
-    x = [F.when(F.abs(c) < float("inf"), c).alias(a) for a in axes for c in [F.col(a).cast("double")]]
-    every = reduce(DataFrame.unionAll, [df.select(*x) for df in catalogs])
-    sides = every.agg(*[(F.max(a) - F.min(a)).alias(a) for a in axes]).first()
-    return 1.001 * math.hypot(*[s or 0.0 for s in sides])
-
-
-def conditional_mean(new: DataFrame, known: DataFrame, covariance: Callable[[np.ndarray], np.ndarray], k: int, radius: float, noise: float = 1e-6, axes: Sequence[str] = AXES) -> DataFrame:
+def conditional_mean(new: DataFrame, known: DataFrame, covariance: Callable[[np.ndarray], np.ndarray], k: int, noise: float = 1e-6, axes: Sequence[str] = AXES) -> DataFrame:
     """(id, mean): Gaussian conditional mean at new points given ``value`` of their k nearest known points.
 
-    The search starts at ``radius`` and widens to the whole catalog for points that lack
-    neighbours. A covariance of distances is solved for batches of points with as many
+    A covariance of distances is solved for batches of points with as many
     neighbours (k, or all known points if they are fewer). Each id of ``new`` has a row: where no known
     point has a distance, as with none or without coordinates, the mean is that of the prior, 0.
     """
-    limit = max(radius, _span(axes, new, known))
-    n = k_nearest(new.withColumn("value", F.lit(0.0)), known, k, radius, limit, axes, ("id", "value"))
+    n = k_nearest(new.withColumn("value", F.lit(0.0)), known, k, axes, ("id", "value"))
     mine = F.first(F.array(*[F.col(f"a_{x}").cast("double") for x in axes])).alias("at")
     near = n.groupBy("a_id").agg(mine, F.collect_list(F.struct(F.array(*[F.col(f"b_{x}").cast("double") for x in axes]).alias("x"), F.col("b_value").cast("double").alias("v"))).alias("near"))  # k rows a point
     d = len(axes)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pointloom.functions.coords import ap_rescale, bin_of, bisector, legendre, soft_bin
 from pointloom.functions.kernels import KERNELS, SUPPORT, shell_volumes
 from pointloom.operators.cells import ratio
+from pointloom.operators.neighbours import cut
 from pointloom.operators.rangejoin import AXES, pairs, self_pairs
 
 
@@ -50,9 +51,13 @@ def xi_estimators(data: DataFrame, randoms: DataFrame, edges: Sequence[float], a
     Counts are brought to one catalog size; Hamilton's ratio needs no sizes. Where a divisor is
     0 the estimate is 0 (simple, LS) or null (the others).
     """
-    dd = pair_histogram(data, None, edges, axes, None, box).select("bin", F.col("npairs").alias("dd"))
-    dr = pair_histogram(data, randoms, edges, axes, None, box).select("bin", F.col("npairs").alias("dr"))
-    rr = pair_histogram(randoms, None, edges, axes, None, box).select("bin", F.col("npairs").alias("rr"))
+    dd, dr, rr = (pair_histogram(a, b, edges, axes, None, box) for a, b in ((data, None), (data, randoms), (randoms, None)))
+    return xi_from_counts(data, randoms, dd, dr, rr)
+
+
+def xi_from_counts(data: DataFrame, randoms: DataFrame, dd: DataFrame, dr: DataFrame, rr: DataFrame) -> DataFrame:
+    """xi_estimators() from counts (bin, npairs) that are there already, one row for every bin."""
+    dd, dr, rr = (h.select("bin", F.col("npairs").alias(name)) for h, name in ((dd, "dd"), (dr, "dr"), (rr, "rr")))
     sizes = data.agg(F.count("*").cast("double").alias("nd")).crossJoin(randoms.agg(F.count("*").cast("double").alias("nr")))
     j = dd.join(dr, "bin").join(rr, "bin").crossJoin(F.broadcast(sizes))  # one row
     fdd, fdr, frr = F.col("dd") / (F.col("nd") * F.col("nd")), F.col("dr") / (F.col("nd") * F.col("nr")), F.col("rr") / (F.col("nr") * F.col("nr"))
@@ -75,16 +80,20 @@ def lisa_weights(data: DataFrame, randoms: DataFrame, edges: Sequence[float], ax
 
     a_j is RR |xi| where xi > ``floor`` (mode 'rr_xi'; plain RR if that is 0 throughout), RR
     ('rr') or 1 in the first bin alone ('smallest'). delta = (N_R / N_D) sum a b_DD / sum a b_DR - 1,
-    and 0 for a point without random partners.
+    and 0 for a point without random partners. Partners are counted once for each point, as a
+    table, and those counts summed for the estimate.
     """
-    est = xi_estimators(data, randoms, edges, axes, box)
+    mine, others = (cut(per_point_counts(data, b, edges, axes, box)) for b in (None, randoms))
+    every = _numbers(data.sparkSession, len(edges) - 1)
+    summed = lambda counts: every.join(counts.groupBy("bin").agg(F.sum("n").alias("npairs")), "bin", "left").na.fill(0, ["npairs"])
+    est = xi_from_counts(data, randoms, summed(mine), summed(others), pair_histogram(randoms, None, edges, axes, None, box))
     a = {"rr_xi": F.when(F.col("xi_ls") > floor, F.col("rr") * F.abs("xi_ls")).otherwise(0.0), "rr": F.col("rr").cast("double"), "smallest": F.when(F.col("bin") == 0, 1.0).otherwise(0.0)}[mode]
     coefficients = est.select("bin", "rr", a.alias("a0"))
     total = coefficients.agg(F.sum("a0").alias("all_a"))
     coefficients = coefficients.crossJoin(F.broadcast(total)).select("bin", F.when(F.col("all_a") == 0, F.col("rr").cast("double")).otherwise(F.col("a0")).alias("a"))
-    part = lambda b, name: per_point_counts(data, b, edges, axes, box).join(F.broadcast(coefficients), "bin").groupBy("id").agg(F.sum(F.col("a") * F.col("n")).alias(name))  # noqa: E731  one row a bin
+    part = lambda counts, name: counts.join(F.broadcast(coefficients), "bin").groupBy("id").agg(F.sum(F.col("a") * F.col("n")).alias(name))  # noqa: E731  one row a bin
     sizes = data.agg(F.count("*").alias("nd")).crossJoin(randoms.agg(F.count("*").alias("nr")))
-    j = data.select("id").join(part(None, "bd"), "id", "left").join(part(randoms, "br"), "id", "left").crossJoin(F.broadcast(sizes))
+    j = data.select("id").join(part(mine, "bd"), "id", "left").join(part(others, "br"), "id", "left").crossJoin(F.broadcast(sizes))
     delta = F.coalesce(ratio(F.col("nr") * F.coalesce("bd", F.lit(0.0)), F.col("nd") * F.col("br")) - 1, F.lit(0.0))
     return j.select("id", delta.alias("delta")).withColumn("weight", 1 + F.col("delta"))
 
@@ -109,17 +118,16 @@ def pair_tensor(data: DataFrame, edges: Sequence[float], axes: Sequence[str] = A
 
 
 def triangles(data: DataFrame, target: float, width: float, axes: Sequence[str] = AXES, box: float | None = None) -> DataFrame:
-    """(id, n): triangles at each vertex all of whose sides lie within ``width`` of ``target``."""
+    """(id, n): triangles at each vertex all of whose sides lie within ``width`` of ``target``. The near pairs are searched once, as a table."""
     low, high = (target - width) ** 2, (target + width) ** 2
-    near = self_pairs(data, target + width, axes, ("id",), box, closed=True).where((F.col("d2") >= F.lit(low)) & (F.col("d2") <= F.lit(high))).select("a_id", "b_id")
+    near = cut(self_pairs(data, target + width, axes, ("id",), box, closed=True).where((F.col("d2") >= F.lit(low)) & (F.col("d2") <= F.lit(high))).select("a_id", "b_id"))
     degree = near.select(F.explode(F.array("a_id", "b_id")).alias("id")).groupBy("id").agg(F.count("*").alias("n"))
     ends = near.join(degree.select(F.col("id").alias("a_id"), F.col("n").alias("a_n")), "a_id").join(degree.select(F.col("id").alias("b_id"), F.col("n").alias("b_n")), "b_id")
     # edges point to the end with more of them, ties by id, so that a hub's edges do not meet each other
-    up = F.struct("a_n", "a_id") < F.struct(F.col("b_n").alias("a_n"), F.col("b_id").alias("a_id"))
-    e = ends.select(F.when(up, F.col("a_id")).otherwise(F.col("b_id")).alias("i"), F.when(up, F.col("b_id")).otherwise(F.col("a_id")).alias("j"))
-    one, two = e.select("i", "j"), e.select("i", F.col("j").alias("k"))
-    wedges = one.join(two, "i").where("j <> k")  # of the two orders of a wedge the one that is an edge meets it
-    found = wedges.join(e.select(F.col("i").alias("j"), F.col("j").alias("k")), ["j", "k"])
+    a, b = F.struct(F.col("a_n").alias("n"), F.col("a_id").alias("id")), F.struct(F.col("b_n").alias("n"), F.col("b_id").alias("id"))
+    e = ends.select(F.least(a, b)["id"].alias("i"), F.greatest(a, b).alias("j"))
+    wedges = e.join(e.select("i", F.col("j").alias("k")), "i").where("j < k")  # the order in which an edge would join the far ends
+    found = wedges.select("i", F.col("j.id").alias("j"), F.col("k.id").alias("k")).join(e.select(F.col("i").alias("j"), F.col("j.id").alias("k")), ["j", "k"])
     return found.select(F.explode(F.array("i", "j", "k")).alias("id")).groupBy("id").agg(F.count("*").alias("n"))
 
 

@@ -2,8 +2,9 @@
 
 Points are filed under their cell; one side is also filed under the neighbours of its
 cell, so that all pairs within the radius meet in one cell exactly once and only the
-distance is left to test. A dense cell is one join key: adaptive execution splits it, as
-nothing above the join needs the rows of a cell together. No side is broadcast by hint.
+distance is left to test. A dense cell would be one join key: cells are counted, and those
+with many points dealt over parts, as nothing above the join needs the rows of a cell
+together. Neither side is broadcast.
 """
 
 from __future__ import annotations
@@ -15,13 +16,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 AXES = ("c0", "c1", "c2")
+#: Points of one side in a cell from which on the cell is dealt over several tasks.
+HOT = 10_000
+#: Most cells that are dealt out (36 bytes each in the broadcast list).
+DENSE = 100_000
 
 
 def _cell(axis: str, size: float) -> Column:
     return F.floor(F.col(axis) / F.lit(size)).cast("long")
 
 
-def pairs(a: DataFrame, b: DataFrame, radius: float, axes: Sequence[str] = AXES, keep: Sequence[str] = ("id",), box: float | None = None, closed: bool = False, once: bool = False, hot: int | None = None) -> DataFrame:
+def pairs(a: DataFrame, b: DataFrame, radius: float, axes: Sequence[str] = AXES, keep: Sequence[str] = ("id",), box: float | None = None, closed: bool = False, once: bool = False, hot: int | None = HOT) -> DataFrame:
     """All (a, b) pairs with d2 < radius^2 (<= if ``closed``): columns a_*, b_* of ``keep`` and the axes, and d2.
 
     With ``box`` axes lie in [0, box) and the shortest image counts; 2 * radius may not exceed
@@ -29,9 +34,10 @@ def pairs(a: DataFrame, b: DataFrame, radius: float, axes: Sequence[str] = AXES,
     pair of ids comes once, either way round: one of each two opposite neighbour cells is asked.
 
     Adaptive execution splits a join key by its bytes, but the pairs of a cell grow with the
-    square of its points. With ``hot`` the a side of cells with more points than that is dealt
-    over as many parts as it holds that number, and the b side goes to each of them: one more
-    grouping and two joins on the cell, for catalogs with dense spots.
+    square of its points. So the points of ``a`` are counted by cell, and the a side of cells
+    with more than ``hot`` of them is dealt over as many parts as they hold that number, and the b
+    side goes to each part. Only cells with more than 1 / DENSE of all points count as dense, so
+    they are DENSE at most and the list of them is broadcast. Without ``hot`` nothing is counted.
     """
     if box is not None and 2 * radius > box:
         raise ValueError("the radius is larger than half the box")
@@ -51,10 +57,12 @@ def pairs(a: DataFrame, b: DataFrame, radius: float, axes: Sequence[str] = AXES,
     right = spread.select(*[f"b_{c}" for c in columns], *([F.col("_own")] if once else []), *[(m if n is None else F.pmod(m, F.lit(n))).alias(f"_g{i}") for i, m in enumerate(moved)])
     on = [f"_g{i}" for i in range(len(axes))]
     if hot:
-        dense = left.groupBy(*on).agg(F.ceil(F.count("*") / hot).cast("int").alias("_parts")).where("_parts > 1")
+        counts = left.groupBy(*on).agg(F.count("*").alias("_n"))
+        most = counts.agg(F.greatest(F.lit(hot), F.sum("_n") / DENSE).alias("_most"))  # one row
+        dense = counts.crossJoin(F.broadcast(most)).select(*on, F.ceil(F.col("_n") / F.col("_most")).cast("int").alias("_parts")).where("_parts > 1")
         parts = F.coalesce("_parts", F.lit(1))
-        left = left.join(dense, on, "left").withColumn("_part", F.pmod(F.xxhash64(*[f"a_{c}" for c in columns]), parts).cast("int")).drop("_parts")
-        right = right.join(dense, on, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
+        left = left.join(F.broadcast(dense), on, "left").withColumn("_part", F.pmod(F.xxhash64(*[f"a_{c}" for c in columns]), parts).cast("int")).drop("_parts")
+        right = right.join(F.broadcast(dense), on, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
         on.append("_part")
     met = left.join(right, on)
     if once:

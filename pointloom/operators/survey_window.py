@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from pointloom.functions.coords import bin_of, bisector, chord, unit_vector
 from pointloom.functions.cosmology import Cosmology
-from pointloom.functions.healpix import centre
-from pointloom.operators.cells import ratio
+from pointloom.functions.healpix import centre, pixel
+from pointloom.operators.cells import cells, ratio, xi_of_cells
 from pointloom.operators.pairs import rp_pi_counts
 from pointloom.operators.rangejoin import AXES, self_pairs
 
@@ -119,3 +119,46 @@ def _by_regions(data: DataFrame, rp_edges: Sequence[float], pi_edges: Sequence[f
     by = {"rp_bin": bin_of(F.col("rp"), rp_edges), "pi_bin": bin_of(F.col("pi"), pi_edges)}
     sums = q.select("product", "one", "two", *[F.coalesce(c, F.lit(-1)).alias(k) for k, c in by.items()]).groupBy("rp_bin", "pi_bin", "one", "two").agg(F.sum("product").cast("double").alias("dd"), F.max(F.least("rp_bin", "pi_bin")).alias("least"))
     return sums.where("least >= 0").drop("least")
+
+
+#: Steps of the table that a radial density is read from.
+STEPS = 1024
+
+
+def window_cells(spark, mask: DataFrame, nside: int, radial: tuple[np.ndarray, np.ndarray], origin: Sequence[float], side: float, level: int, bits: int = 16) -> DataFrame:
+    """(c0, c1, c2, w): the survey's window as weighted cells of one level of a cube, in place of randoms; cells without weight are left out.
+
+    The cube has its first corner at ``origin``, the observer at 0, and is ``side`` wide;
+    coordinates are whole numbers of 2^-bits of it. A cell weighs the completeness of the sky
+    (pix, completeness; missing pixels 0) in the direction of its middle, times the radial density
+    there, which ``radial`` gives for distances as radial_density() does and which is 0
+    beyond them, over the squared distance. 8^level cells are worked out on the executors.
+    """
+    n = 1 << level
+    chi, density = (np.asarray(v, float) for v in radial)
+    grid = np.linspace(chi[0], chi[-1], STEPS + 1)
+    table = F.array(*[F.lit(float(v)) for v in np.interp(grid, chi, density)])
+    step = (grid[-1] - grid[0]) / STEPS
+    at = [F.pmod(F.shiftright("id", level * i), F.lit(n)).alias(f"k{i}") for i in range(3)]
+    spots = [F.lit(float(o)) + (F.col(f"k{i}") + 0.5) * F.lit(side / n) for i, o in enumerate(origin)]
+    middles = spark.range(n**3).select(*at).select("*", *[x.alias(c) for x, c in zip(spots, "xyz", strict=True)]).select("*", F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y") + F.col("z") * F.col("z")).alias("chi"))
+    inside = middles.where((F.col("chi") >= F.lit(float(grid[0]))) & (F.col("chi") <= F.lit(float(grid[-1]))) & (F.col("chi") > 0))
+    place = (F.col("chi") - F.lit(float(grid[0]))) / F.lit(step)
+    low = F.least(F.floor(place), F.lit(STEPS - 1)).cast("int")
+    found = inside.select("k0", "k1", "k2", "chi", pixel(F.degrees(F.atan2("y", "x")), F.col("z") / F.col("chi"), nside).alias("pix"), low.alias("low"), (place - low).alias("part"))
+    p = F.get(table, F.col("low")) * (1 - F.col("part")) + F.get(table, F.col("low") + 1) * F.col("part")
+    met = found.join(mask.select("pix", F.col("completeness").cast("double").alias("m")), "pix").select("k0", "k1", "k2", (F.col("m") * p / (F.col("chi") * F.col("chi"))).alias("w"))
+    width = 1 << (bits - level)
+    return met.where("w > 0").select(*[(F.col(f"k{i}") * width + width // 2).cast("long").alias(f"c{i}") for i in range(3)], "w")
+
+
+def xi_from_window(data: DataFrame, window: DataFrame, levels: Sequence[int], bits: int = 16, axes: Sequence[str] = AXES, weight: str | None = "w") -> DataFrame:
+    """(level, dd, dr, rr, xi): xi_shells() with window_cells() in place of randoms.
+
+    The window is a density, not points: its pairs include those inside its cells, so RR is
+    W^2 / 2, the same on every run. ``levels`` end at the level of the window's cells or above;
+    in the shell of the last one RR is that of a density even over a cell.
+    """
+    rows = data.select(*axes, (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("w"))
+    c = cells(rows, window.select(*[F.col(x).alias(a) for x, a in zip(("c0", "c1", "c2"), axes, strict=True)], "w"), axes, bits, levels, "w")
+    return xi_of_cells(c.withColumn("sw2_r", F.lit(0.0)), levels)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from pointloom.functions import coords, cosmology, healpix
 from pointloom.functions.coords import chord
-from pointloom.operators import cells, continuous, fields, gradients, graph, knn, pairs, rangejoin, windows
+from pointloom.operators import cells, continuous, fields, gradients, graph, knn, neighbours, pairs, rangejoin, windows
 from pointloom.plans import multirun
 
 VIEWS = {
@@ -541,12 +541,6 @@ def run_coverage(spark, d):
     return multirun.coverage(view(spark, d, "box_r"), runs).select("run", *r6("coverage"))
 
 
-@query("pooled_xi", sql(cells_sql("box_d", "box_r", list(range(5))) + XI_SQL + " SELECT 1.0::DOUBLE AS scale, level, round(CASE WHEN frr <> 0 THEN (fdd - 2 * fdr + frr) / frr END, 6) AS xi FROM f", "box_d", "box_r"))
-def pooled_xi(spark, d):
-    runs = multirun.plan(spark, [("a", 1.0, 0.0, 0.0, 0.0), ("b", 1.0, 0.0, 0.0, 0.0)])  # equal runs pool to the single estimate
-    return multirun.pooled_xi(view(spark, d, "box_d"), view(spark, d, "box_r"), runs).select("scale", "level", *r6("xi"))
-
-
 # -- maps, graphs, continuous estimators -------------------------------------------------
 
 
@@ -600,7 +594,7 @@ def three_point(spark, d):
 @query("nearest", sql(f"""
 , p AS (SELECT a.id AS a_id, b.id AS b_id, {D2} AS d2 FROM pts_d a, pts_r b), k AS (SELECT *, row_number() OVER (PARTITION BY a_id ORDER BY d2, b_id) AS rank FROM p) SELECT a_id, b_id, d2, rank::INT AS rank FROM k WHERE rank <= 3""", "pts_d", "pts_r"))
 def nearest(spark, d):
-    return graph.k_nearest(view(spark, d, "pts_d"), view(spark, d, "pts_r"), 3, 8000.0, 120000.0).select("a_id", "b_id", "d2", "rank")
+    return neighbours.k_nearest(view(spark, d, "pts_d"), view(spark, d, "pts_r"), 3).select("a_id", "b_id", "d2", "rank")
 
 
 @query("conditional_mean")
@@ -608,7 +602,7 @@ def conditional_mean(spark, d):
     import numpy as np
 
     known = view(spark, d, "pts_r").withColumn("value", F.col("w"))
-    return graph.conditional_mean(view(spark, d, "pts_d"), known, lambda r: np.exp(-r / 8000.0), 6, 12000.0)
+    return graph.conditional_mean(view(spark, d, "pts_d"), known, lambda r: np.exp(-r / 8000.0), 6)
 
 
 @query("sigma2_data_only", sql(f"""
@@ -632,12 +626,12 @@ def wp_chebyshev(spark, d):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from pointloom import source_queries  # noqa: F401  the modules that build on this one register their own
+    from pointloom import field_queries, source_queries  # noqa: F401  the modules that build on this one register their own
 
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from pointloom import source_queries  # noqa: F401
+    from pointloom import field_queries, source_queries  # noqa: F401
 
     return dict(_SQL)

@@ -3,6 +3,7 @@ import sys
 
 import pytest
 
+os.environ.setdefault("OPENBLAS_NUM_THREADS", "1")  # before numpy: its threads can block each other beside the JVM's
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 

@@ -323,3 +323,68 @@ def test_box_without_randoms(spark):
     runs = multirun.plan(spark, [("a", 0.5, 0.25, 0.0, 0.0)])
     d = multirun.diagnostics(points, runs, 5).first()
     assert d.run == "a" and d.offset == "0.250000;0.000000;0.000000" and 0 < d.coverage < 0.5 and d.n_levels == 5
+
+
+def test_window_cells_stand_for_a_large_random_catalog(spark):
+    """A shell of even density over half the sky: window and randoms give the same pairs and the same estimate."""
+    import numpy as np
+
+    from pointloom.operators import cells, survey_window
+
+    rng = np.random.default_rng(9)
+
+    def shell(n):
+        x = rng.uniform(-200, 200, (20 * n, 3))
+        r = np.sqrt((x * x).sum(1))
+        return x[(r > 100) & (r < 190) & (x[:, 2] > 0)][:n]
+
+    def frame(x):
+        k = np.floor((x + 200) / 400 * 65536).astype(int)
+        return spark.createDataFrame([tuple(map(int, r)) for r in k], "c0 long, c1 long, c2 long")
+
+    data, randoms = frame(np.concatenate([shell(1500), shell(40).repeat(10, 0) + rng.normal(0, 2, (400, 3))])), frame(shell(30000))
+    mask = spark.range(12 * 64).select(F.col("id").alias("pix"), (healpix.centre(F.col("id"), 8)[1] > 1e-9).cast("double").alias("completeness")).where("completeness > 0")
+    chi = np.linspace(100, 190, 91)
+    window = survey_window.window_cells(spark, mask, 8, (chi, chi**2), [-200.0] * 3, 400.0, 6)
+    total = window.agg(F.sum("w"), F.count("*")).first()
+    assert abs(total[1] / 64**3 - 2 * math.pi / 3 * (190**3 - 100**3) / 400**3) < 0.01 and total[0] > 0
+    got = {r.level: r for r in survey_window.xi_from_window(data, window, range(5), weight=None).collect()}
+    want = {r.level: r for r in cells.xi_shells(data, randoms, levels=range(5), weight=None).collect()}
+    share = lambda rows, k, of: rows[of][k] / sum(rows[x][k] for x in rows)
+    for level in range(5):
+        assert share(got, "rr", level) == pytest.approx(share(want, "rr", level), rel=0.05)
+        assert got[level].xi == pytest.approx(want[level].xi, abs=0.05 + 0.05 * abs(want[level].xi))
+
+
+def test_bands_are_orthonormal_over_the_survey(spark):
+    rng, knots = np.random.default_rng(11), [20.0, 35.0, 50.0, 70.0, 100.0]
+    x = rng.uniform(0, 150, (200, 3))
+    randoms = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(x)], "id long, c0 double, c1 double, c2 double")
+    coefficients = continuous.compensated_bands(randoms, knots)
+    r = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))[np.triu_indices(200, 1)]
+    r = r[(r >= 20) & (r < 100)]
+    t = np.array([np.interp(r, knots, np.eye(5)[k]) for k in range(5)])
+    h = coefficients @ t
+    assert np.allclose(h.mean(1), 0, atol=1e-10) and np.allclose(h @ h.T / len(r), np.eye(4), atol=1e-9)
+    shown = spark.createDataFrame([(float(v),) for v in [10.0, *r[:50], 100.0]], "r double").select("r", *[f.alias(f"h{k}") for k, f in enumerate(continuous.bands(F.col("r"), knots, coefficients))]).collect()
+    assert all(v[k + 1] == pytest.approx(0.0 if v.r in (10.0, 100.0) else coefficients[k] @ [np.interp(v.r, knots, np.eye(5)[j]) for j in range(5)], abs=1e-9) for v in shown for k in range(4))
+    assert not continuous.compensated_bands(randoms.limit(0), knots).any()
+
+
+def test_basis_weights_are_the_dense_filter(spark):
+    """A smooth covariance on splines, which is indefinite here, against the dense solution."""
+    rng = np.random.default_rng(12)
+    x, n, radius = rng.uniform(0, 60, (80, 3)), 80, 15.0
+    points = spark.createDataFrame([(i, *map(float, p), n / 60**3) for i, p in enumerate(x)], "id long, c0 double, c1 double, c2 double, nbar double")
+    theta, basis = [1.5, 0.6, -0.2, 0.1, 0.05], lambda r: continuous.cubic_splines(r, 5, 0.5, 40.0)
+    got = {r.id: r.weight for r in wiener.basis_weights(points, theta, basis, 0.5, 40.0, radius).collect()}
+    r = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    flat = spark.createDataFrame([(i, float(v)) for i, v in enumerate(r.ravel())], "i long, r double")
+    values = np.array([v.c for v in flat.select("i", sum(F.lit(t) * f for t, f in zip(theta, basis(F.col("r")))).alias("c")).orderBy("i").collect()]).reshape(n, n)
+    volume = 4 / 3 * math.pi * radius**3
+    d = ((r < radius).sum(1) - 1) / volume / (n / 60**3) - 1
+    d = d - d.mean()
+    c = np.where(r < 40, values, 0.0)
+    np.fill_diagonal(c, 1.5)
+    want = 1 + c @ np.linalg.solve(c + np.eye(n) * (1 / (n / 60**3 * volume) + 1e-6 * 1.5), d)
+    assert np.abs(np.array([got[i] for i in range(n)]) - want).max() < 1e-3 * np.abs(want).max()

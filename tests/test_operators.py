@@ -268,10 +268,10 @@ def test_quantize_and_bins(spark):
 
 
 def test_k_nearest_is_brute_force(data, randoms):
-    from pointloom.operators import graph
+    from pointloom.operators import neighbours
 
     got = {}
-    for r in graph.k_nearest(data[1], randoms[1], 4, 4000.0, 200000.0).collect():
+    for r in neighbours.k_nearest(data[1], randoms[1], 4).collect():
         got.setdefault(r.a_id, []).append((r.d2, r.b_id))
     for a in data[0]:
         assert sorted(got[a[0]]) == sorted((d2(a, b), b[0]) for b in randoms[0])[:4]
@@ -284,12 +284,12 @@ def test_conditional_mean_passes_through_known_points(spark):
 
     rows = [(i, (i * 37) % 100 * 1.0, (i * 53) % 100 * 1.0, (i * 71) % 100 * 1.0, float(i % 5)) for i in range(40)]
     known = spark.createDataFrame(rows, "id long, c0 double, c1 double, c2 double, value double")
-    got = {r.id: r["mean"] for r in graph.conditional_mean(known.drop("value"), known, lambda r: np.exp(-r / 50.0), 8, 200.0).collect()}
+    got = {r.id: r["mean"] for r in graph.conditional_mean(known.drop("value"), known, lambda r: np.exp(-r / 50.0), 8).collect()}
     assert got == pytest.approx({r[0]: r[4] for r in rows}, abs=1e-2)
 
 
 def test_conditional_mean_in_voids(spark):
-    """Points with few or no known points within the radius take the k nearest of the whole catalog; none vanishes."""
+    """Points far from all known points take the k nearest of the whole catalog; none vanishes."""
     import numpy as np
 
     from pointloom.operators import graph
@@ -306,9 +306,9 @@ def test_conditional_mean_in_voids(spark):
         return covariance(np.sqrt(((x[:, 1:4] - at) ** 2).sum(-1))) @ np.linalg.solve(c, x[:, 4])
 
     for k in (6, 50):
-        got = {r.id: r["mean"] for r in graph.conditional_mean(new, known, covariance, k, 8.0).collect()}
+        got = {r.id: r["mean"] for r in graph.conditional_mean(new, known, covariance, k).collect()}
         assert got == pytest.approx({p[0]: 0.0 if p[1] is None else brute(p[1:], k) for p in points}, abs=1e-6)
-    assert {r.id: r["mean"] for r in graph.conditional_mean(new, known.limit(0), covariance, 6, 8.0).collect()} == {p[0]: 0.0 for p in points}
+    assert {r.id: r["mean"] for r in graph.conditional_mean(new, known.limit(0), covariance, 6).collect()} == {p[0]: 0.0 for p in points}
 
 
 def test_regions_are_balanced(spark):
