@@ -10,8 +10,10 @@ each, in any order that is the same for all. The order here is by hash, with the
 that many texts share put last, so that a common passage fills no prefix unless it is nearly
 the whole text. A pair is taken at a shingle only if the sizes, and what is left of both sets
 from there on, still allow the similarity; at the first shingle a similar pair shares they do.
-Long lists meet in blocks, and what is left is verified on the whole sets, which travel once
-for a family of candidates instead of once for a pair.
+Members of a list meet its smallest key first. Only those that this leaves in different
+components then meet each other, in blocks: pairs that are joined already change no
+component. Candidates are verified on the whole sets, which travel once for a family of
+candidates instead of once for a pair.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pointloom.llm.common import drop_stored, slices, stored
+from pointloom.llm.components import connected_components
 from pointloom.llm.simhash import fingerprint, grouped, links, shingle_hashes
 
 SHINGLE = 5
@@ -126,28 +129,42 @@ def _verified(pairs: pa.Table, sets: pa.Table) -> pa.Table:
     return pairs.select(["u", "v"]).filter(pa.array(kept, pa.bool_()))
 
 
-def _candidates(prefixes: DataFrame) -> DataFrame:
-    """(hash, key, n, pos) -> distinct (u, v, weight) with u < v, among them every pair of similar sets."""
+_ALLOWED = f"u < v and 100 * least(n_u, n_v) >= {PERCENT} * greatest(n_u, n_v) and {100 + PERCENT} * least(n_u - pos_u, n_v - pos_v) >= {PERCENT} * (n_u + n_v)"
+
+
+def _side(lists: DataFrame, name: str, *more) -> DataFrame:
+    return lists.select("hash", *more, F.col("key").alias(name), F.col("n").alias(f"n_{name}"), F.col("pos").alias(f"pos_{name}"))
+
+
+def _lists(prefixes: DataFrame) -> DataFrame:
+    """(hash, key, n, pos) of the shingles that more than one set has in its prefix, a table."""
     every = Window.partitionBy("hash")
     met = prefixes.select("*", F.min("key").over(every).alias("least"), F.max("key").over(every).alias("most")).where("least <> most")
-    lists = stored(met.select("hash", "key", "n", "pos").distinct())
-    blocks = lists.groupBy("hash").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    placed = lists.join(blocks, "hash").withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    return stored(met.select("hash", "key", "n", "pos").distinct())
+
+
+def _stars(lists: DataFrame) -> DataFrame:
+    """(hash, key, n, pos) -> distinct (u, v, weight): each member of a list with the list's smallest key, as far as the bounds allow."""
+    centre = lists.groupBy("hash").agg(F.min_by(F.struct("key", "n", "pos"), "key").alias("c")).select("hash", "c.*")
+    pairs = _side(centre, "u").join(_side(lists, "v"), "hash").where(_ALLOWED)
+    return pairs.select("u", "v", (F.col("n_u").cast("long") + F.col("n_v")).alias("weight")).distinct()
+
+
+def _candidates(lists: DataFrame, roots: DataFrame) -> DataFrame:
+    """(hash, key, n, pos) -> distinct (u, v, weight) with u < v, among them every pair of similar sets that (node, root) has in different components."""
+    rooted = lists.join(roots.withColumnRenamed("node", "key"), "key", "left").select("hash", "key", "n", "pos", F.coalesce("root", "key").alias("root"))
+    open_ = rooted.groupBy("hash").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("least <> most").select("hash", "blocks")
+    placed = stored(rooted.join(open_, "hash").withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")))
     others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    left = placed.select("hash", F.col("own").alias("i"), others.alias("j"), F.col("key").alias("u"), F.col("n").alias("n_u"), F.col("pos").alias("pos_u"))
-    right = placed.select("hash", others.alias("i"), F.col("own").alias("j"), F.col("key").alias("v"), F.col("n").alias("n_v"), F.col("pos").alias("pos_v"))
-    pairs = left.join(right, ["hash", "i", "j"]).where(
-        f"u < v and 100 * least(n_u, n_v) >= {PERCENT} * greatest(n_u, n_v) and {100 + PERCENT} * least(n_u - pos_u, n_v - pos_v) >= {PERCENT} * (n_u + n_v)"
-    )
+    left = _side(placed, "u", F.col("own").alias("i"), others.alias("j"), F.col("root").alias("root_u"))
+    right = _side(placed, "v", others.alias("i"), F.col("own").alias("j"), F.col("root").alias("root_v"))
+    pairs = left.join(right, ["hash", "i", "j"]).where(f"root_u <> root_v and {_ALLOWED}")
     return pairs.select("u", "v", (F.col("n_u").cast("long") + F.col("n_v")).alias("weight")).distinct()
 
 
-def similar_pairs(docs: DataFrame, printed: DataFrame) -> DataFrame:
-    """Pairs (u, v) of keys of different shingle sets with a Jaccard similarity of ``PERCENT`` or more: all of them."""
-    counted = printed.select(F.explode("low").alias("hash")).groupBy("hash").count().where(F.col("count") > HOT_LIST)
-    hot = counted.orderBy(F.desc("count"), "hash").limit(HOT_SHINGLES).select("hash").toArrow().column("hash").to_numpy().view(np.uint64)
-    texts = docs.select(F.col("text").cast("string").alias("text"))
-    pairs = stored(_candidates(texts.mapInArrow(_prefixes(np.sort(hot)), "hash long, key long, n int, pos int")))
+def _similar(candidates: DataFrame, docs: DataFrame, printed: DataFrame) -> DataFrame:
+    """The candidates (u, v, weight) whose whole sets have the similarity: (u, v), a table."""
+    pairs = stored(candidates)
     # candidates are verified in families: those that have the smallest neighbour of u in common
     ends = pairs.select(F.col("u").alias("key"), F.col("u").alias("least")).union(pairs.select("v", "u"))
     least = ends.groupBy("key").agg(F.min("least").alias("home"))
@@ -175,7 +192,27 @@ def similar_pairs(docs: DataFrame, printed: DataFrame) -> DataFrame:
     sets = rows.mapInArrow(_sets, "key long, members binary").dropDuplicates(["key"])
     ends = placed.select(F.col("home").alias("at"), F.col("i").alias("at_i"), F.col("j").alias("at_j"), F.explode(F.array("u", "v")).alias("key"))
     wanted = ends.distinct().join(sets, "key")
-    return placed.groupBy("home", "i", "j").cogroup(wanted.groupBy("at", "at_i", "at_j")).applyInArrow(_verified, "u long, v long")
+    found = stored(placed.groupBy("home", "i", "j").cogroup(wanted.groupBy("at", "at_i", "at_j")).applyInArrow(_verified, "u long, v long"))
+    for done in (pairs, homed, placed, ids):
+        drop_stored(done)
+    return found
+
+
+def similar_pairs(docs: DataFrame, printed: DataFrame) -> DataFrame:
+    """Pairs (u, v) of keys of different shingle sets with a Jaccard similarity of ``PERCENT`` or more, enough of them to join all.
+
+    Every such pair is a row, or its ends are joined by a chain of rows. Members of a list meet
+    the list's smallest first; what that joins need not meet in pairs any more, so a family of
+    copies costs its members, not its pairs.
+    """
+    counted = printed.select(F.explode("low").alias("hash")).groupBy("hash").count().where(F.col("count") > HOT_LIST)
+    hot = counted.orderBy(F.desc("count"), "hash").limit(HOT_SHINGLES).select("hash").toArrow().column("hash").to_numpy().view(np.uint64)
+    texts = docs.select(F.col("text").cast("string").alias("text"))
+    lists = _lists(texts.mapInArrow(_prefixes(np.sort(hot)), "hash long, key long, n int, pos int"))
+    near = _similar(_stars(lists), docs, printed)
+    rest = _similar(_candidates(lists, stored(connected_components(near))), docs, printed)
+    drop_stored(lists)
+    return near.union(rest)
 
 
 def near_groups(docs: DataFrame) -> DataFrame:
