@@ -27,10 +27,10 @@ def quadratic_fits(spark, d):
 , n AS (SELECT a.id, (b.c0 - a.c0)::DOUBLE AS x, (b.w - a.w)::DOUBLE AS f, row_number() OVER (PARTITION BY a.id ORDER BY (b.c0 - a.c0) ** 2, b.id) AS rank FROM pts_d a, pts_d b WHERE a.id <> b.id),
 s AS (SELECT id, count(*)::DOUBLE AS s11, sum(x) / 2 AS s12, sum(x * x) / 4 AS s22, sum(f / x) AS t1, sum(f) / 2 AS t2 FROM n WHERE rank <= 6 GROUP BY id),
 h AS (SELECT id, (t1 * s22 - t2 * s12) / (s11 * s22 - s12 * s12) AS g, (s11 * t2 - s12 * t1) / (s11 * s22 - s12 * s12) AS h FROM s)
-SELECT id, round(1000 * g, 4) + 0.0 AS gradient, round(1000000 * h, 3) + 0.0 AS hessian, CASE WHEN h < 0 THEN 'sheet' ELSE 'void' END AS web FROM h""", "pts_d"))
+SELECT id, round(1000 * g, 4) + 0.0 AS gradient, round(1000000 * h, 3) + 0.0 AS hessian FROM h""", "pts_d"))
 def quadratic_fits_line(spark, d):
     f = gaussian.quadratic_fits(_valued(spark, d), 6, ["c0"])
-    return f.select("id", (F.round(1000 * F.get("gradient", F.lit(0)), 4) + 0.0).alias("gradient"), (F.round(1000000 * F.get("hessian", F.lit(0)), 3) + 0.0).alias("hessian"), "web")
+    return f.select("id", (F.round(1000 * F.get("gradient", F.lit(0)), 4) + 0.0).alias("gradient"), (F.round(1000000 * F.get("hessian", F.lit(0)), 3) + 0.0).alias("hessian"))
 
 
 @query("kernel_likelihood")

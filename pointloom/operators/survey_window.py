@@ -137,7 +137,8 @@ def window_cells(spark, mask: DataFrame, nside: int, radial: tuple[np.ndarray, n
     n = 1 << level
     chi, density = (np.asarray(v, float) for v in radial)
     grid = np.linspace(chi[0], chi[-1], STEPS + 1)
-    table = F.array(*[F.lit(float(v)) for v in np.interp(grid, chi, density)])
+    at_steps = np.interp(grid, chi, density)
+    table = spark.createDataFrame([(i, float(at_steps[i]), float(at_steps[i + 1])) for i in range(STEPS)], "low int, p0 double, p1 double")  # STEPS rows
     step = (grid[-1] - grid[0]) / STEPS
     at = [F.pmod(F.shiftright("id", level * i), F.lit(n)).alias(f"k{i}") for i in range(3)]
     spots = [F.lit(float(o)) + (F.col(f"k{i}") + 0.5) * F.lit(side / n) for i, o in enumerate(origin)]
@@ -145,9 +146,11 @@ def window_cells(spark, mask: DataFrame, nside: int, radial: tuple[np.ndarray, n
     inside = middles.where((F.col("chi") >= F.lit(float(grid[0]))) & (F.col("chi") <= F.lit(float(grid[-1]))) & (F.col("chi") > 0))
     place = (F.col("chi") - F.lit(float(grid[0]))) / F.lit(step)
     low = F.least(F.floor(place), F.lit(STEPS - 1)).cast("int")
-    found = inside.select("k0", "k1", "k2", "chi", pixel(F.degrees(F.atan2("y", "x")), F.col("z") / F.col("chi"), nside).alias("pix"), low.alias("low"), (place - low).alias("part"))
-    p = F.get(table, F.col("low")) * (1 - F.col("part")) + F.get(table, F.col("low") + 1) * F.col("part")
-    met = found.join(mask.select("pix", F.col("completeness").cast("double").alias("m")), "pix").select("k0", "k1", "k2", (F.col("m") * p / (F.col("chi") * F.col("chi"))).alias("w"))
+    # behind a generator each direction is worked out once, and not copied into the many places where pixel() needs it
+    seen = inside.select(F.inline(F.array(F.struct("k0", "k1", "k2", "chi", F.degrees(F.atan2("y", "x")).alias("ra"), (F.col("z") / F.col("chi")).alias("u")))))
+    found = seen.select("k0", "k1", "k2", "chi", pixel(F.col("ra"), F.col("u"), nside).alias("pix"), low.alias("low"), (place - low).alias("part"))
+    p = F.col("p0") * (1 - F.col("part")) + F.col("p1") * F.col("part")
+    met = found.join(F.broadcast(table), "low").join(mask.select("pix", F.col("completeness").cast("double").alias("m")), "pix").select("k0", "k1", "k2", (F.col("m") * p / (F.col("chi") * F.col("chi"))).alias("w"))
     width = 1 << (bits - level)
     return met.where("w > 0").select(*[(F.col(f"k{i}") * width + width // 2).cast("long").alias(f"c{i}") for i in range(3)], "w")
 
