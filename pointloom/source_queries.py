@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,14 +28,25 @@ def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def drained(result: DataFrame, mode: str) -> DataFrame:
-    """What a stream gives for all that is there now, as a table in memory; results of these queries are small."""
-    spark, name = result.sparkSession, f"drained_{uuid.uuid4().hex}"
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    writer = result.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
-    if folder:
-        writer = writer.option("checkpointLocation", f"{folder.rstrip('/')}/{name}")
-    writer.start().awaitTermination()
-    return spark.table(name)
+    """What a stream gives for all that is there now: the rows of its batches, of the last one alone in complete mode.
+
+    Batches and checkpoint are kept in the shared folder that spark.checkpoint.dir names (a local
+    one only in local mode, where none is named); a batch that runs again replaces itself.
+    """
+    spark = result.sparkSession
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    folder = f"{(named or tempfile.mkdtemp(prefix='pointloom-')).rstrip('/')}/drained-{uuid.uuid4().hex}"
+    batches: dict[int, str] = {}
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batches[number] = f"{folder}/batch-{number}"
+        batch.write.mode("overwrite").parquet(batches[number])
+
+    result.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    kept = [batches[n] for n in (sorted(batches)[-1:] if mode == "complete" else sorted(batches))]
+    return spark.read.schema(result.schema).parquet(*kept) if kept else spark.createDataFrame([], result.schema)
 
 
 @query("stream_cell_counts", sql(" SELECT level::INT AS level, c0 >> (16 - level) AS k0, c1 >> (16 - level) AS k1, c2 >> (16 - level) AS k2, count(*) AS n, sum(w) AS sw FROM box_d, (SELECT unnest([0, 1, 2]) AS level) GROUP BY ALL", "box_d"))
