@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -72,6 +73,17 @@ def ap_rescale(d: Column, mu: Column, alpha_par: float, alpha_perp: float) -> tu
     return new, F.when(new > 0, F.abs(along) / new).otherwise(0.0)
 
 
+def legendre_array(order: int, mu: np.ndarray) -> np.ndarray:
+    """legendre() of an array."""
+    if order == 0:
+        return np.ones_like(mu)
+    if order == 2:
+        return 1.5 * mu * mu - 0.5
+    if order == 4:
+        return (35.0 * mu**4 - 30.0 * mu * mu + 3.0) / 8.0
+    raise ValueError("order must be 0, 2 or 4")
+
+
 def legendre(order: int, mu: Column) -> Column:
     """P_0, P_2 or P_4."""
     if order == 0:

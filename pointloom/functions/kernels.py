@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -55,6 +56,19 @@ def box_1d(r: Column, side: float) -> Column:
 
 
 KERNELS = {"top_hat": top_hat, "gauss": gauss}
+
+
+def _top_hat_array(r: np.ndarray, radius: float) -> np.ndarray:
+    x = r / radius
+    return np.where(x <= 2, (1 - 0.75 * x + x * x * x / 16) * (3 / (4 * math.pi * radius**3)), 0.0)
+
+
+def _gauss_array(r: np.ndarray, radius: float) -> np.ndarray:
+    return np.exp(-r * r / (4 * radius * radius)) * ((4 * math.pi) ** -1.5 * radius**-3)
+
+
+#: The same of arrays.
+ARRAY_KERNELS = {"top_hat": _top_hat_array, "gauss": _gauss_array}
 #: Beyond so many radii a kernel is taken as zero.
 SUPPORT = {"top_hat": 2.0, "gauss": 6.0}
 

@@ -15,10 +15,10 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pointloom.functions.coords import bin_of, cap_of, chord
+from pointloom.functions.coords import bin_of, chord
 from pointloom.functions.cosmology import C_OVER_H100, Cosmology
 from pointloom.operators.cells import ratio
-from pointloom.operators.rangejoin import pairs
+from pointloom.operators.tiles import near_counts, pair_sums
 
 XYZ = ("x", "y", "z")
 
@@ -32,13 +32,10 @@ def cap_counts(queries: DataFrame, neighbours: DataFrame, thetas: Sequence[float
     q = queries.select("id", *XYZ, bin_of(F.col("red"), q_edges).alias("iq"), *([region] if region else [])).where("iq is not null")
     kept = [weight] if weight else []
     n = neighbours.select("id", *XYZ, bin_of(F.col("red"), n_edges).alias("jn"), *kept).where("jn is not null")
-    met = pairs(q.withColumn("jn", F.lit(0)).withColumns({w: F.lit(1.0) for w in kept}), n, chord(thetas[-1]), XYZ, ("id", "jn", *kept), closed=True)
-    if same:
-        met = met.where("a_id <> b_id")
-    near = met.select(F.col("a_id").alias("id"), F.col("b_jn").alias("jn"), cap_of(F.col("d2"), chords2).alias("t"), (F.col(f"b_{weight}") if weight else F.lit(1)).alias("w")).where("t is not null")
-    ring = near.groupBy("id", "jn", "t").agg(F.sum("w").alias("m"))
-    caps = [F.sum(F.when(F.col("t") <= t, F.col("m")).otherwise(0)).alias(f"n{t}") for t in range(len(thetas))]
-    summed = ring.groupBy("id", "jn").agg(*caps)
+    kind = "w" if weight else "n"
+    near = near_counts(q, n, chords2, XYZ, "jn", weight, closed=True, same=same)
+    caps = [sum((F.col(f"{kind}{s}") for s in range(1, t + 1)), F.col(f"{kind}0")).alias(f"n{t}") for t in range(len(thetas))]
+    summed = near.select("id", F.col("label").cast("int").alias("jn"), *caps)
     shells = F.explode(F.array(*[F.lit(j) for j in range(len(n_edges) - 1)])).alias("jn")
     every = q.select("id", "iq", *([region] if region else []), shells)
     rows = F.inline(F.array(*[F.struct(F.lit(t).alias("t"), F.coalesce(F.col(f"n{t}"), F.lit(0)).alias("n")) for t in range(len(thetas))]))
@@ -252,9 +249,14 @@ def cone_shell_jackknife(centres: DataFrame, points: DataFrame, thetas: Sequence
     shells = range(len(n_edges) - 1)
     c = centres.select("id", *XYZ, F.col(region).alias("own"))
     kept = points.select("id", *XYZ, bin_of(F.col("red"), n_edges).alias("jn"), F.col(region).alias("of")).where("jn is not null")
-    met = pairs(c.withColumns({"jn": F.lit(0), "of": F.lit(0)}), kept, chord(thetas[-1]), XYZ, ("id", "jn", "of"), closed=True)
-    ring = met.groupBy(F.col("a_id").alias("id"), F.col("b_jn").alias("jn"), F.col("b_of").alias("of"), cap_of(F.col("d2"), [chord(t) ** 2 for t in thetas]).alias("ring")).agg(F.count("*").alias("m")).where("ring is not null")
-    part = ring.select("id", "jn", "of", "m", F.explode(F.sequence(F.col("ring"), F.lit(len(thetas) - 1))).alias("t")).groupBy("id", "t", "jn", "of").agg(F.sum("m").alias("m"))
+    names = F.array(*[F.lit(r["of"]) for r in kept.select("of").where("of is not null").distinct().collect()])  # few by design
+    number = F.coalesce(F.array_position(names, F.col("of")), F.lit(0)).cast("long")  # 0 without a region
+    code = F.col("jn") * (F.size(names) + 1) + number
+    near = near_counts(c, kept.withColumn("code", code), [chord(t) ** 2 for t in thetas], XYZ, "code", closed=True)
+    caps = F.inline(F.array(*[F.struct(F.lit(t).alias("t"), sum((F.col(f"n{s}") for s in range(1, t + 1)), F.col("n0")).alias("m")) for t in range(len(thetas))]))
+    spot = F.pmod("label", F.size(names) + 1).cast("int")
+    of = F.get(names, spot - 1) if kept.schema["of"].dataType.typeName() != "void" else F.lit(None)
+    part = near.select("id", F.floor(F.col("label") / (F.size(names) + 1)).cast("int").alias("jn"), of.alias("of"), caps).where("m > 0")
     whole = part.groupBy("id", "t", "jn").agg(F.sum("m").alias("n"))
     grid = F.inline(F.array(*[F.struct(F.lit(t).alias("t"), F.lit(j).alias("jn")) for t in range(len(thetas)) for j in shells]))
     every = c.select("id", "own", grid).join(whole, ["id", "t", "jn"], "left").select("id", "own", "t", "jn", F.coalesce("n", F.lit(0)).alias("n"))
@@ -285,11 +287,29 @@ def slope_between(sigma2: DataFrame, centres: Sequence[float], log: bool = True)
 def pip_counts(points: DataFrame, thetas: Sequence[float], q_edges: Sequence[float], n_edges: Sequence[float], realisations: int) -> DataFrame:
     """(t, iq, jn, s1, s2): as knn_moments, each pair weighted by realisations / common bits of the two ``bits`` arrays; pairs with none are dropped."""
     q = points.select("id", *XYZ, "bits", bin_of(F.col("red"), q_edges).alias("iq"), bin_of(F.col("red"), n_edges).alias("jn"))
-    met = pairs(q.where("iq is not null"), q.where("jn is not null"), chord(thetas[-1]), XYZ, ("id", "bits", "iq", "jn"), closed=True).where("a_id <> b_id")
-    common = F.aggregate(F.zip_with("a_bits", "b_bits", lambda x, y: F.bit_count(x.bitwiseAND(y))), F.lit(0), lambda s, x: s + x)
-    near = met.select(F.col("a_id").alias("id"), F.col("a_iq").alias("iq"), F.col("b_jn").alias("jn"), cap_of(F.col("d2"), [chord(t) ** 2 for t in thetas]).alias("t"), common.alias("c")).where("t is not null and c > 0")
-    ring = near.groupBy("id", "iq", "jn", "t").agg(F.sum(F.lit(float(realisations)) / F.col("c")).alias("m"))
-    cap = ring.groupBy("id", "iq", "jn").agg(*[F.sum(F.when(F.col("t") <= t, F.col("m")).otherwise(0.0)).alias(f"n{t}") for t in range(len(thetas))])
+    chords2, shells = [chord(t) ** 2 for t in thetas], len(n_edges) - 1
+
+    def work(mine, theirs):
+        one, other = (np.stack(list(side["bits"])) if len(side["bits"]) else np.zeros((0, 1), np.int64) for side in (mine, theirs))
+        sums = np.zeros((len(one), shells, len(thetas)))
+        spread = np.zeros((len(other), shells))
+        spread[np.arange(len(other)), theirs["jn"]] = 1.0
+
+        def add(block, chunk, at, gaps, d2):
+            common = sum(np.bitwise_count(x[:, None] & y[None]) for x, y in zip(one[block].T, other[chunk].T, strict=True))
+            paired = np.divide(float(realisations), common, out=np.zeros(d2.shape), where=(common > 0) & (d2 < np.inf))
+            for t, top in enumerate(chords2):
+                sums[block, :, t] += np.where(d2 <= top, paired, 0.0) @ spread[chunk]
+
+        def done():
+            i, j = np.nonzero(sums.any(2))
+            return {"id": mine["id"][i], "iq": mine["iq"][i], "jn": j.astype(np.int32), **{f"n{t}": sums[i, j, t] for t in range(len(thetas))}}
+
+        return add, done
+
+    columns = [f"n{t}" for t in range(len(thetas))]
+    met = pair_sums(q.where("iq is not null"), q.where("jn is not null"), chord(thetas[-1]), work, f"id {dict(points.dtypes)['id']}, iq int, jn int, " + ", ".join(f"{c} double" for c in columns), XYZ, ("bits", "iq"), ("bits", "jn"), closed=True, same=True)
+    cap = met.groupBy("id", "iq", "jn").agg(*[F.sum(c).alias(c) for c in columns])
     rows = F.inline(F.array(*[F.struct(F.lit(t).alias("t"), F.col(f"n{t}").alias("n")) for t in range(len(thetas))]))
     return cap.select("id", "iq", "jn", rows).groupBy("t", "iq", "jn").agg(F.sum("n").alias("s1"), F.sum(F.col("n") * F.col("n")).alias("s2"))
 

@@ -6,14 +6,16 @@ import math
 from collections.abc import Sequence
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pointloom.functions.coords import ap_rescale, bin_of, bisector, legendre, soft_bin
-from pointloom.functions.kernels import KERNELS, SUPPORT, shell_volumes
+from pointloom.functions.coords import ap_rescale, bin_of, legendre_array, soft_bin
+from pointloom.functions.kernels import ARRAY_KERNELS, KERNELS, SUPPORT, shell_volumes
 from pointloom.operators.cells import ratio
 from pointloom.operators.neighbours import cut
 from pointloom.operators.rangejoin import AXES, pairs, self_pairs
+from pointloom.operators.tiles import near_counts, pair_sums
 
 
 def _numbers(spark, n: int, name: str = "bin") -> DataFrame:
@@ -32,9 +34,20 @@ def binned_pairs(a: DataFrame, b: DataFrame | None, edges: Sequence[float], axes
     return found.where("d2 > 0").withColumn("bin", _d2_bin(edges)).where("bin is not null")
 
 
+def _in_bins(a: DataFrame, b: DataFrame | None, edges: Sequence[float], axes: Sequence[str], weight: str | None) -> DataFrame:
+    """near_counts() whose class k + 1 is bin k; class 0 is nearer than the bins, and holds coincident points."""
+    tops = [max(e * e, np.nextafter(0.0, 1.0)) if i == 0 else e * e for i, e in enumerate(edges)]
+    return near_counts(a, a if b is None else b, tops, axes, weight=weight, same=b is None, keep=[weight] if weight else [])
+
+
 def pair_histogram(a: DataFrame, b: DataFrame | None, edges: Sequence[float], axes: Sequence[str] = AXES, weight: str | None = "w", box: float | None = None) -> DataFrame:
     """(bin, npairs, wpairs) for every bin; of one catalog pairs are ordered (each counts twice), of two single."""
     times = 2 if b is None else 1
+    if box is None:
+        h = _in_bins(a, b, edges, axes, weight)
+        bins = range(len(edges) - 1)
+        sums = h.agg(*[F.coalesce(F.sum(f"n{k + 1}"), F.lit(0)).alias(f"n{k}") for k in bins], *[F.coalesce(F.sum(F.col(weight) * F.col(f"w{k + 1}") if weight else F.col(f"n{k + 1}")), F.lit(0)).cast("double").alias(f"w{k}") for k in bins])
+        return sums.select(F.inline(F.array(*[F.struct(F.lit(k).alias("bin"), F.col(f"n{k}").alias("npairs"), F.col(f"w{k}").alias("wpairs")) for k in bins])))
     product = F.col(f"a_{weight}") * F.col(f"b_{weight}") if weight else F.lit(1.0)
     h = binned_pairs(a, b, edges, axes, weight, box).groupBy("bin").agg((F.count("*") * times).alias("npairs"), (F.sum(product) * times).alias("wpairs"))
     return _numbers(a.sparkSession, len(edges) - 1).join(h, "bin", "left").select("bin", F.coalesce("npairs", F.lit(0)).cast("long").alias("npairs"), F.coalesce("wpairs", F.lit(0.0)).cast("double").alias("wpairs"))
@@ -68,6 +81,9 @@ def xi_from_counts(data: DataFrame, randoms: DataFrame, dd: DataFrame, dr: DataF
 
 def per_point_counts(a: DataFrame, b: DataFrame | None, edges: Sequence[float], axes: Sequence[str] = AXES, box: float | None = None) -> DataFrame:
     """(id, bin, n): partners of each point of ``a`` in each bin that has some; of one catalog both ends count."""
+    if box is None:
+        rows = F.inline(F.array(*[F.struct(F.lit(k).alias("bin"), F.col(f"n{k + 1}").alias("n")) for k in range(len(edges) - 1)]))
+        return _in_bins(a, b, edges, axes, None).select("id", rows).where("n > 0")
     p = binned_pairs(a, b, edges, axes, None, box)
     ends = p.select(F.col("a_id").alias("id"), "bin")
     if b is None:
@@ -100,21 +116,62 @@ def lisa_weights(data: DataFrame, randoms: DataFrame, edges: Sequence[float], ax
 
 def multipole_sums(data: DataFrame, edges: Sequence[float], order: int, los: int = 2, axes: Sequence[str] = AXES) -> DataFrame:
     """(id, n, sum_p): partners of each point and the sum of P_L of the angle to one axis, over all bins."""
-    p = binned_pairs(data, None, edges, axes, None)
-    mu = (F.col(f"b_{axes[los]}") - F.col(f"a_{axes[los]}")) / F.sqrt("d2")
-    rows = p.select("a_id", "b_id", legendre(order, mu).alias("p"))
-    ends = rows.select(F.col("a_id").alias("id"), "p").unionByName(rows.select(F.col("b_id").alias("id"), "p"))
-    return ends.groupBy("id").agg(F.count("*").alias("n"), F.sum("p").alias("sum_p"))
+    low = edges[0] ** 2
+
+    def work(mine, theirs):
+        n, total = np.zeros(len(mine["id"]), np.int64), np.zeros(len(mine["id"]))
+
+        def add(block, chunk, at, gaps, d2):
+            inside = (d2 > 0) & (d2 >= low) & (d2 < np.inf)
+            n[block] += np.count_nonzero(inside, axis=1)
+            total[block] += np.where(inside, legendre_array(order, gaps[los] / np.sqrt(np.where(inside, d2, 1.0))), 0.0).sum(1)
+
+        return add, lambda: {"id": mine["id"][n > 0], "n": n[n > 0], "sum_p": total[n > 0]}
+
+    ident = dict(data.dtypes)["id"]
+    found = pair_sums(data, data, edges[-1], work, f"id {ident}, n long, sum_p double", axes, same=True)
+    return found.groupBy("id").agg(F.sum("n").alias("n"), F.sum("sum_p").alias("sum_p"))
 
 
 def pair_tensor(data: DataFrame, edges: Sequence[float], axes: Sequence[str] = AXES) -> DataFrame:
     """(id, bin, n, txx, tyy, tzz, txy, txz, tyz): per point and bin the sum of n n^T over unit separations."""
-    p = binned_pairs(data, None, edges, axes, None)
-    gap = [F.col(f"b_{x}") - F.col(f"a_{x}") for x in axes]
     names = {"txx": (0, 0), "tyy": (1, 1), "tzz": (2, 2), "txy": (0, 1), "txz": (0, 2), "tyz": (1, 2)}
-    rows = p.select("a_id", "b_id", "bin", *[(gap[i] * gap[j] / F.col("d2")).alias(k) for k, (i, j) in names.items()])
-    ends = rows.select(F.col("a_id").alias("id"), "bin", *names).unionByName(rows.select(F.col("b_id").alias("id"), "bin", *names))
-    return ends.groupBy("id", "bin").agg(F.count("*").alias("n"), *[F.sum(k).alias(k) for k in names])
+    squares, bins = [e * e for e in edges], len(edges) - 1
+    far_apart = edges[0] > edges[-1] / 100  # so that sums of products of coordinates, less the point's own, keep their digits
+
+    def work(mine, theirs):
+        size = len(mine["id"])
+        n, sums = np.zeros((size, bins), np.int64), np.zeros((size, bins, len(names)))
+
+        def add(block, chunk, at, gaps, d2):
+            if far_apart:
+                here = at[0] - at[0].mean(1)[:, None]
+                u = (at[1] - at[0].mean(1)[:, None]).T
+                columns = np.concatenate([np.ones((len(u), 1)), u, np.stack([u[:, i] * u[:, j] for i, j in names.values()], 1)], 1)
+            for k in range(bins):
+                inside = (d2 > 0) & (d2 >= squares[k]) & (d2 < squares[k + 1])
+                found = np.count_nonzero(inside, axis=1)
+                if not found.any():
+                    continue
+                n[block, k] += found
+                w = np.divide(1.0, d2, out=np.zeros_like(d2), where=inside)
+                if far_apart:
+                    g = w @ columns
+                    for c, (i, j) in enumerate(names.values()):
+                        sums[block, k, c] += g[:, 4 + c] - here[i] * g[:, 1 + j] - here[j] * g[:, 1 + i] + here[i] * here[j] * g[:, 0]
+                else:
+                    for c, (i, j) in enumerate(names.values()):
+                        sums[block, k, c] += np.einsum("ij,ij,ij->i", w, gaps[i], gaps[j])
+
+        def done():
+            i, k = np.nonzero(n)
+            return {"id": mine["id"][i], "bin": k.astype(np.int32), "n": n[i, k], **dict(zip(names, sums[i, k].T, strict=True))}
+
+        return add, done
+
+    ident = dict(data.dtypes)["id"]
+    found = pair_sums(data, data, edges[-1], work, f"id {ident}, bin int, n long, " + ", ".join(f"{c} double" for c in names), axes, same=True)
+    return found.groupBy("id", "bin").agg(F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in names])
 
 
 def triangles(data: DataFrame, target: float, width: float, axes: Sequence[str] = AXES, box: float | None = None) -> DataFrame:
@@ -132,18 +189,45 @@ def triangles(data: DataFrame, target: float, width: float, axes: Sequence[str]
 
 
 def rp_pi_counts(a: DataFrame, b: DataFrame | None, rp_edges: Sequence[float], pi_edges: Sequence[float], axes: Sequence[str] = AXES, weight: str | None = "w", z: str | None = None, z_edges: Sequence[float] | None = None) -> DataFrame:
-    """(rp_bin, pi_bin[, z_bin], npairs, wpairs): unordered pairs by separation across and along the line of sight, occupied bins."""
-    reach = math.hypot(rp_edges[-1], pi_edges[-1])
-    keep = tuple(dict.fromkeys(x for x in ("id", weight, z) if x))
-    p = self_pairs(a, reach, axes, keep) if b is None else pairs(a, b, reach, axes, keep)
-    rp, pi = bisector([F.col(f"a_{x}") for x in axes], [F.col(f"b_{x}") for x in axes])
-    product = F.col(f"a_{weight}") * F.col(f"b_{weight}") if weight else F.lit(1.0)
-    q = p.select(rp.alias("rp"), pi.alias("pi"), product.alias("product"), *([((F.col(f"a_{z}") + F.col(f"b_{z}")) / 2).alias("z")] if z else []))
-    by = {"rp_bin": bin_of(F.col("rp"), rp_edges), "pi_bin": bin_of(F.col("pi"), pi_edges), **({"z_bin": bin_of(F.col("z"), z_edges)} if z else {})}
-    # pairs outside are dropped as groups, by an aggregate: a filter on bins would go into the join's condition, with all of bisector() in it
-    sums = q.select("product", *[F.coalesce(c, F.lit(-1)).alias(k) for k, c in by.items()]).groupBy(*by).agg(
-        F.count("*").alias("npairs"), F.sum("product").cast("double").alias("wpairs"), F.max(F.least(*by)).alias("least"))
-    return sums.where("least >= 0").drop("least")
+    """(rp_bin, pi_bin[, z_bin], npairs, wpairs): unordered pairs by separation across and along the line of sight, occupied bins; null weights count as 0."""
+    edges = [list(map(float, e)) for e in (rp_edges, pi_edges, *([z_edges] if z else []))]
+    shape = [len(e) - 1 for e in edges]
+    by = ["rp_bin", "pi_bin", "z_bin"][: len(shape)]
+    kept = [x for x in (weight, z) if x]
+
+    def work(mine, theirs):
+        n, sums = np.zeros(shape, np.int64), np.zeros(shape)
+
+        def add(block, chunk, at, gaps, d2):
+            middle = [(x[:, None] + y[None]) / 2 for x, y in zip(*at, strict=True)]
+            norm = np.sqrt(sum(m * m for m in middle))
+            dot = np.abs(sum(g * m for g, m in zip(gaps, middle, strict=True)))
+            pi = np.divide(dot, norm, out=np.zeros_like(dot), where=norm > 0)
+            near = d2 < np.inf
+            d2[~near] = 0.0
+            rp = np.sqrt(np.maximum(d2 - pi * pi, 0.0))
+            values = [rp, pi, *([(mine[z][block][:, None] + theirs[z][chunk][None]) / 2] if z else [])]
+            at_ = np.zeros(rp.shape, np.intp)
+            for v, e in zip(values, edges, strict=True):
+                k = sum((v >= t).astype(np.int8) for t in e) - 1
+                near &= (k >= 0) & (v < e[-1])
+                at_ *= len(e) - 1
+                at_ += k
+            found = at_[near]
+            n.ravel()[:] += np.bincount(found, minlength=n.size)
+            if weight:
+                sums.ravel()[:] += np.bincount(found, (mine[weight][block][:, None] * theirs[weight][chunk][None])[near], n.size)
+
+        def done():
+            at_ = np.nonzero(n)
+            return {**{k: v.astype(np.int32) for k, v in zip(by, at_, strict=True)}, "npairs": n[at_], "wpairs": (sums if weight else n)[at_].astype(float)}
+
+        return add, done
+
+    made = lambda df: df.select("id", *axes, *([F.coalesce(F.col(weight).cast("double"), F.lit(0.0)).alias(weight)] if weight else []), *([F.col(z).cast("double").alias(z)] if z else []))
+    times = 2 if b is None else 1  # of one catalog each pair comes from both ends
+    found = pair_sums(made(a), made(a if b is None else b), math.hypot(rp_edges[-1], pi_edges[-1]), work, ", ".join(f"{k} int" for k in by) + ", npairs long, wpairs double", axes, kept, kept, same=b is None)
+    return found.groupBy(*by).agg((F.sum("npairs") / times).cast("long").alias("npairs"), (F.sum("wpairs") / times).alias("wpairs"))
 
 
 def _ls_grid(data: DataFrame, randoms: DataFrame, counts: Sequence[DataFrame], by: Sequence[str], every: DataFrame) -> DataFrame:
@@ -185,10 +269,20 @@ def wp_kernel_z(data: DataFrame, randoms: DataFrame, rp_edges: Sequence[float],
 def kernel_sums(a: DataFrame, b: DataFrame | None, radius: float, kernel: str = "top_hat", axes: Sequence[str] = AXES) -> DataFrame:
     """(id, s): for each point of ``a`` the sum of a pair kernel over its partners; points without one are absent."""
     reach = radius * SUPPORT[kernel]
-    p = pairs(a, a if b is None else b, reach, axes, ("id",))
-    if b is None:
-        p = p.where("a_id <> b_id")
-    return p.groupBy(F.col("a_id").alias("id")).agg(F.sum(KERNELS[kernel](F.sqrt("d2"), radius)).alias("s"))
+    of = ARRAY_KERNELS[kernel]
+
+    def work(mine, theirs):
+        n, sums = np.zeros(len(mine["id"]), np.int64), np.zeros(len(mine["id"]))
+
+        def add(block, chunk, at, gaps, d2):
+            near = d2 < np.inf
+            n[block] += np.count_nonzero(near, axis=1)
+            sums[block] += np.where(near, of(np.sqrt(np.where(near, d2, 0.0)), radius), 0.0).sum(1)
+
+        return add, lambda: {"id": mine["id"][n > 0], "s": sums[n > 0]}
+
+    found = pair_sums(a, a if b is None else b, reach, work, f"id {dict(a.dtypes)['id']}, s double", axes, same=b is None)
+    return found.groupBy("id").agg(F.sum("s").alias("s"))
 
 
 def density_weights(data: DataFrame, randoms: DataFrame, radius: float, kernel: str = "top_hat", axes: Sequence[str] = AXES) -> DataFrame:
@@ -208,15 +302,43 @@ def neighbour_density(data: DataFrame, others: DataFrame, radius: float, axes: S
 def ap_histogram(data: DataFrame, randoms: DataFrame | None, edges: Sequence[float], alpha_par: float, alpha_perp: float, los: int = 2, soft: bool = False, axes: Sequence[str] = AXES, weight: str | None = "w") -> DataFrame:
     """(bin, wpairs): pairs re-binned after stretching along and across one axis; ordered for one catalog. ``soft`` splits a pair between bins."""
     reach = edges[-1] / min(alpha_par, alpha_perp, 1.0)
+    if not soft:
+        return _ap_sums(data, randoms, edges, alpha_par, alpha_perp, los, axes, weight, reach)
     keep = ("id", weight) if weight else ("id",)
     p = (self_pairs(data, reach, axes, keep) if randoms is None else pairs(data, randoms, reach, axes, keep)).where("d2 > 0")
     mu = (F.col(f"b_{axes[los]}") - F.col(f"a_{axes[los]}")) / F.sqrt("d2")
     new, _ = ap_rescale(F.sqrt("d2"), mu, alpha_par, alpha_perp)
     product = (F.col(f"a_{weight}") * F.col(f"b_{weight}") if weight else F.lit(1.0)) * (2.0 if randoms is None else 1.0)
     rows = p.select(product.alias("p"), new.alias("s"))
-    if soft:
-        return rows.select("p", F.inline(soft_bin(F.col("s"), edges))).groupBy("bin").agg(F.sum(F.col("p") * F.col("part")).alias("wpairs"))
-    return rows.select("p", bin_of(F.col("s"), edges).alias("bin")).where("bin is not null").groupBy("bin").agg(F.sum("p").alias("wpairs"))
+    return rows.select("p", F.inline(soft_bin(F.col("s"), edges))).groupBy("bin").agg(F.sum(F.col("p") * F.col("part")).alias("wpairs"))
+
+
+def _ap_sums(data: DataFrame, randoms: DataFrame | None, edges: Sequence[float], alpha_par: float, alpha_perp: float, los: int, axes: Sequence[str], weight: str | None, reach: float) -> DataFrame:
+    """ap_histogram() without split pairs; of one catalog each pair comes from both ends."""
+    edges, bins = list(map(float, edges)), len(edges) - 1
+
+    def work(mine, theirs):
+        n, sums = np.zeros(bins, np.int64), np.zeros(bins)
+
+        def add(block, chunk, at, gaps, d2):
+            near = (d2 > 0) & (d2 < np.inf)
+            d = np.sqrt(np.where(near, d2, 1.0))
+            mu = gaps[los] / d
+            along = alpha_par * d * mu
+            s = np.sqrt(along * along + alpha_perp**2 * d * d * (1 - mu * mu))
+            k = sum((s >= e).astype(np.int8) for e in edges) - 1
+            near &= (k >= 0) & (s < edges[-1])
+            found = k[near]
+            n[:] += np.bincount(found, minlength=bins)
+            if weight:
+                sums[:] += np.bincount(found, (mine[weight][block][:, None] * theirs[weight][chunk][None])[near], bins)
+
+        return add, lambda: {"bin": np.flatnonzero(n).astype(np.int32), "wpairs": (sums if weight else n)[n > 0].astype(float)}
+
+    kept = [weight] if weight else []
+    made = lambda df: df.select("id", *axes, *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in kept])
+    found = pair_sums(made(data), made(data if randoms is None else randoms), reach, work, "bin int, wpairs double", axes, kept, kept, same=randoms is None)
+    return found.groupBy("bin").agg(F.sum("wpairs").alias("wpairs"))
 
 
 def sigma2_from_counts(xi: DataFrame, edges: Sequence[float], radii: Sequence[float], kernel: str = "top_hat") -> DataFrame:

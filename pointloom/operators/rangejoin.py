@@ -64,7 +64,8 @@ def pairs(a: DataFrame, b: DataFrame, radius: float, axes: Sequence[str] = AXES,
         left = left.join(F.broadcast(dense), on, "left").withColumn("_part", F.pmod(F.xxhash64(*[f"a_{c}" for c in columns]), parts).cast("int")).drop("_parts")
         right = right.join(F.broadcast(dense), on, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
         on.append("_part")
-    met = left.join(right, on)
+    # the plan takes the b side for as small as its table, not for the copies under all neighbours, and would send it to the driver
+    met = left.hint("shuffle_hash").join(right, on)
     if once:
         met = met.where((F.col("a_id") < F.col("b_id")) | ~F.col("_own") if halved else F.col("a_id") < F.col("b_id"))
     gaps = [F.col(f"b_{x}") - F.col(f"a_{x}") for x in axes]

@@ -364,3 +364,37 @@ def test_triangles_of_a_hub(spark):
     want = Counter(p[0] for i, a in enumerate(at) for j, b in enumerate(at[:i]) for c in at[:j] if near(a, b) and near(b, c) and near(a, c) for p in (a, b, c))
     got = pairs.triangles(spark.createDataFrame(at, "id long, c0 double, c1 double, c2 double"), 10.0, 2.0).collect()
     assert {r.id: r.n for r in got} == want
+
+
+def test_pair_sums_without_a_row_for_a_pair(spark, monkeypatch):
+    """Counts and sums of tiles that are dealt over parts, against all pairs; and no join that could send copies of a catalog to the driver."""
+    import numpy as np
+
+    from pointloom.operators import tiles
+
+    rng = np.random.default_rng(3)
+    at = np.concatenate([rng.integers(0, 400, (300, 3)), rng.integers(190, 210, (300, 3)), np.full((40, 3), 200)]).astype(float)  # a clump and a pile
+    rows = [(i, *map(float, p), float(1 + i % 3), i % 2) for i, p in enumerate(at)]
+    df = spark.createDataFrame(rows, "id long, c0 double, c1 double, c2 double, w double, kind long")
+    tops, w = [25.0, 400.0, 2500.0], np.array([r[4] for r in rows])
+    d2 = ((at[:, None] - at[None]) ** 2).sum(-1)
+    np.fill_diagonal(d2, np.inf)
+    for most in (8_192, 50):
+        monkeypatch.setattr(tiles, "MINE", most)
+        monkeypatch.setattr(tiles, "THEIRS", 2 * most)
+        for closed in (False, True):
+            got = {(r.id, r.label): r for r in tiles.near_counts(df, df, tops, label="kind", weight="w", closed=closed, same=True).collect()}
+            for i in range(len(rows)):
+                for kind in (0, 1):
+                    low = -1.0
+                    for t, top in enumerate(tops):
+                        inside = ((d2[i] > low) & (d2[i] <= top) if closed else (d2[i] >= max(low, 0.0)) & (d2[i] < top)) & (np.arange(len(rows)) % 2 == kind)
+                        r = got.get((i, kind))
+                        assert (r[f"n{t}"] if r else 0) == inside.sum() and abs((r[f"w{t}"] if r else 0.0) - w[inside].sum()) < 1e-9
+                        low = top
+        s = {r.id: r.s for r in pairs.kernel_sums(df, None, 25.0).collect()}
+        x = np.sqrt(d2) / 25
+        expected = np.where(x < 2, (1 - 0.75 * x + np.minimum(x, 9) ** 3 / 16) * 3 / (4 * np.pi * 25.0**3), 0.0).sum(1)
+        assert all(abs(s.get(i, 0.0) - e) < 1e-12 for i, e in enumerate(expected))
+    plan = rangejoin.pairs(df, df, 20.0)._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan
