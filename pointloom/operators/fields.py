@@ -6,7 +6,7 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pointloom.functions.coords import ACCURACY, chord, unit_vector
@@ -98,7 +98,20 @@ def environment_means(df: DataFrame, by: str, labels: Sequence[str]) -> DataFram
 
 def median_split(df: DataFrame, label: str) -> DataFrame:
     """``df`` with half: 1 above the median of a label (the lower of two in the middle), else 0; a null label has none."""
-    return df.crossJoin(F.broadcast(df.agg(F.percentile_approx(label, 0.5, ACCURACY).alias("_m")))).withColumn("half", F.when(F.col(label).isNotNull(), (F.col(label) > F.col("_m")).cast("int"))).drop("_m")
+    return df.withColumn("half", F.when(F.col(label).isNotNull(), (F.col(label) > F.lit(_median(df, label))).cast("int")))
+
+
+def _median(df: DataFrame, label: str):
+    """The exact lower median; null without values. A sketch gives two bounds, and the values between them, a few in ACCURACY, are counted."""
+    margin = 2 / ACCURACY
+    bounds, n = df.agg(F.percentile_approx(label, [0.5 - margin, 0.5 + margin], ACCURACY), F.count(label)).first()
+    if not n:
+        return None
+    low, high = (F.lit(b) for b in bounds)
+    below = df.where(F.col(label) < low).count()
+    between = df.where(F.col(label).between(low, high)).groupBy(F.col(label).alias("_v")).agg(F.count("*").alias("_n"))
+    reached = between.select("_v", F.sum("_n").over(Window.orderBy("_v")).alias("_upto"))  # a few in ACCURACY of all rows
+    return reached.where(F.col("_upto") >= (n + 1) // 2 - below).agg(F.min("_v")).first()[0]
 
 
 def tidal_split(df: DataFrame) -> DataFrame:

@@ -398,3 +398,15 @@ def test_pair_sums_without_a_row_for_a_pair(spark, monkeypatch):
         assert all(abs(s.get(i, 0.0) - e) < 1e-12 for i, e in enumerate(expected))
     plan = rangejoin.pairs(df, df, 20.0)._jdf.queryExecution().executedPlan().toString()
     assert "ShuffledHashJoin" in plan
+
+
+def test_median_split_is_exact_on_many_rows(spark):
+    from pointloom.operators import fields
+
+    df = spark.range(0, 1_000_000, 1, 8).select(((F.col("id") * 7919) % 1_000_003).alias("label"))
+    values = sorted(i * 7919 % 1_000_003 for i in range(1_000_000))
+    assert fields._median(df, "label") == values[499_999]
+    assert {r.half: r["count"] for r in fields.median_split(df, "label").groupBy("half").count().collect()} == {0: 500_000, 1: 500_000}
+    odd = spark.createDataFrame([(3.0,), (None,), (1.0,), (3.0,)], "label double")
+    assert sorted(str(r.half) for r in fields.median_split(odd, "label").collect()) == ["0", "0", "0", "None"]
+    assert fields.median_split(odd.where("label is null"), "label").first().half is None
