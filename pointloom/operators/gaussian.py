@@ -23,6 +23,8 @@ from pointloom.operators.rangejoin import AXES
 FULL = 128
 #: Added to the variance at no distance, as a share of it.
 JITTER = 1e-4
+#: Distance of different points at one place.
+TOUCHING = 1e-300
 #: Mean number of points of a block of the inner solve; no block has more than twice as many.
 BLOCK = 1024
 #: Rows of factors worked on at once in a task.
@@ -100,8 +102,11 @@ def _gaps(a: np.ndarray, b: np.ndarray, box: float | None) -> np.ndarray:
 
 
 def _distances(at: np.ndarray, box: float | None) -> np.ndarray:
+    """0 on the diagonal alone: two points at one place are told from a point and itself, or their matrix would be singular."""
     g = _gaps(at[:, :, None], at[:, None], box)
-    return np.sqrt((g * g).sum(-1))
+    r = np.sqrt((g * g).sum(-1))
+    r[(r == 0) & ~np.eye(r.shape[-1], dtype=bool)] = TOUCHING
+    return r
 
 
 def _batches(rows: Iterator[pa.RecordBatch], d: int) -> Iterator[_Batch]:
@@ -215,7 +220,9 @@ def derivatives(factors: DataFrame, theta: Sequence[float], axes: Sequence[str]
             if m:
                 weights = np.linalg.solve(rbf(_distances(there, box), theta)[0], np.nan_to_num(values)[..., None])[..., 0]
                 gap = _gaps(here[:, None], there, box)
-                c = rbf(np.sqrt((gap * gap).sum(-1)), theta)[0]
+                r = np.sqrt((gap * gap).sum(-1))
+                r[(r == 0) & ~(np.eye(m, dtype=bool) if b.full else False)] = TOUCHING
+                c = rbf(r, theta)[0]
                 smooth = math.exp(theta[0]) * np.exp(-(gap * gap).sum(-1) / (2 * s2))
                 mean = (c * weights).sum(-1)
                 gradient = -(gap * (smooth * weights)[..., None]).sum(1) / s2

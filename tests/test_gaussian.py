@@ -210,3 +210,14 @@ def test_kernels_of_two_halves(spark):
     label = np.arange(80) * 1.0
     got = {r.half: r for r in gaussian.clustering_by_label(frame(spark, x, label=label), "label", 6, gaussian.exponential, [math.log(0.5), math.log(0.3)], steps=3).collect()}
     assert set(got) == {"high", "low"} and got["high"].n + got["low"].n == 80 and all(len(r.theta) == 2 for r in got.values())
+
+
+def test_points_at_one_place(spark):
+    """Twins with values of their own: the jitter is each point's, so their matrix can be inverted."""
+    x = np.repeat(RNG.random((200, 3)), 2, axis=0)
+    theta = [0.0, math.log(0.5)]
+    factors = gaussian.conditioning(frame(spark, x, value=RNG.normal(size=400)), 6)
+    row = gaussian.likelihood(factors, gaussian.exponential, theta).first()
+    assert row.n == 400 and np.isfinite([row.loss, *row.gradient, *row.hessian]).all()
+    found = gaussian.derivatives(factors, theta).collect()
+    assert len(found) == 400 and np.isfinite([[r.mean, *r.gradient, *r.hessian] for r in found]).all()
