@@ -80,12 +80,3 @@ def pairs(a: DataFrame, b: DataFrame, radius: float, axes: Sequence[str] = AXES,
 def self_pairs(points: DataFrame, radius: float, axes: Sequence[str] = AXES, keep: Sequence[str] = ("id",), box: float | None = None, closed: bool = False) -> DataFrame:
     """Unordered pairs of different ids of one catalog, either end as a; see pairs()."""
     return pairs(points, points, radius, axes, keep, box, closed, once=True)
-
-
-def grid_pairs_d(a: DataFrame, b: DataFrame, radius: float, vector: str, dims: Sequence[int]) -> DataFrame:
-    """Pairs of long vectors within a radius: the cells are of ``dims`` components only, the distance of all."""
-    axes = [f"v{i}" for i in dims]
-    file = lambda df: df.select("id", vector, *[F.col(vector)[i].cast("double").alias(x) for i, x in zip(dims, axes, strict=True)])
-    met = pairs(file(a), file(b), radius, axes, ("id", vector))
-    gap = F.aggregate(F.zip_with(f"a_{vector}", f"b_{vector}", lambda x, y: (x.cast("double") - y) * (x.cast("double") - y)), F.lit(0.0), lambda s, x: s + x)
-    return met.drop("d2").withColumn("d2", gap).where(F.col("d2") < F.lit(radius * radius))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from pointloom.functions import coords, cosmology, healpix
 from pointloom.functions.coords import chord
-from pointloom.operators import cells, continuous, fields, gradients, graph, knn, neighbours, pairs, rangejoin, windows
+from pointloom.operators import cells, continuous, fields, gradients, graph, knn, neighbours, pairs, vectors, windows
 from pointloom.plans import multirun
 
 VIEWS = {
@@ -380,7 +380,7 @@ SELECT a.vec_id AS id, count(*) AS n FROM embeddings a, embeddings b WHERE a.vec
 AND list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: (p[1]::DOUBLE - p[2]::DOUBLE) * (p[1]::DOUBLE - p[2]::DOUBLE))) < 1.69 GROUP BY a.vec_id""")
 def embedding_neighbours(spark, d):
     e = spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("id"), "embedding")
-    return rangejoin.grid_pairs_d(e, e, 1.3, "embedding", [0, 1]).where("a_id <> b_id").groupBy(F.col("a_id").alias("id")).agg(F.count("*").alias("n"))
+    return vectors.near_counts(e, e, 1.69, "embedding", same=True)
 
 
 # -- neighbour counts on the sky ---------------------------------------------------------

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pointloom.functions import coords, cosmology, healpix, kernels
-from pointloom.operators import cells, gradients, knn, pairs, rangejoin, windows
+from pointloom.operators import cells, gradients, knn, pairs, rangejoin, vectors, windows
 from pointloom.plans import multirun
 from pointloom.sources import catalogs
 from pointloom.streaming import cells as stream
@@ -410,3 +410,25 @@ def test_median_split_is_exact_on_many_rows(spark):
     odd = spark.createDataFrame([(3.0,), (None,), (1.0,), (3.0,)], "label double")
     assert sorted(str(r.half) for r in fields.median_split(odd, "label").collect()) == ["0", "0", "0", "None"]
     assert fields.median_split(odd.where("label is null"), "label").first().half is None
+
+
+@pytest.mark.parametrize("part", [3, 100])
+def test_near_counts_of_long_vectors(spark, monkeypatch, part):
+    """Against all pairs: components by null or length missing, distances at the limit, ids given twice, huge and infinite values."""
+    monkeypatch.setattr(vectors, "PART", part)
+    monkeypatch.setattr(vectors, "BLOCK", 7)
+    r = random.Random(5)
+    rows = [(i, [r.choice([0.0, 0.5, 1.0]) for _ in range(6)]) for i in range(60)]
+    rows += [(3, [0.0] * 6), (60, [None, 1.0, 0.5]), (61, [None] * 6), (62, []), (63, None), (None, [0.5] * 6), (64, [0.5]), (65, [1e30] * 6), (66, [1e30] * 6), (67, [float("inf")] + [0.5] * 5), (68, [None] + [0.5] * 5), (69, [float("nan")] + [0.5] * 5)]
+
+    def near(a, b):
+        both = [(x, y) for x, y in zip(a, b, strict=False) if x is not None and y is not None]
+        return bool(both) and sum((x - y) * (x - y) for x, y in both) < 1.25
+
+    df = spark.createDataFrame(rows, "id long, v array<float>")
+    whole = [x for x in rows if None not in x]
+    for same in (True, False):
+        expected = Counter()
+        for i, a in whole:
+            expected[i] += sum(near(a, b) and not (same and i == j) for j, b in whole)
+        assert {x.id: x.n for x in vectors.near_counts(df, df, 1.25, "v", same).collect()} == {i: n for i, n in expected.items() if n}
