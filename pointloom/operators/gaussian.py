@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pointloom.operators.neighbours import cut, k_nearest
+from pointloom.operators.neighbours import cut, k_nearest_lists
 from pointloom.operators.rangejoin import AXES
 
 #: Most points of the highest generations that are conditioned on each other in full.
@@ -79,11 +79,11 @@ def conditioning(points: DataFrame, k: int, axes: Sequence[str] = AXES, box: flo
     full = F.col("_class") >= first
     classes = F.explode(F.when(F.col("_class") > 0, F.sequence(F.lit(0), F.least(F.col("_class"), F.lit(first)) - 1)).otherwise(F.array().cast("array<int>")))
     before = dealt.select("id", *axes, "value", classes.alias("_of")).withColumnRenamed("_of", "_class")
-    found = k_nearest(dealt.where(~full), before, k, axes, ("id", "value"), box=box, by=["_class"])
+    found = k_nearest_lists(dealt.where(~full), before, k, axes, ("id", "value"), box=box, by=["_class"])
     spot = lambda p: F.array(*[F.col(f"{p}{a}") for a in axes]).alias("at")
-    near = found.groupBy(F.col("a_id").alias("_id")).agg(F.sort_array(F.collect_list(F.struct("rank", F.struct(F.col("b_id").alias("id"), spot("b_"), F.col("b_value").alias("value")).alias("p")))).alias("near"))  # k rows a point
+    near = found.select(F.col("a_id").alias("_id"), F.transform("near", lambda s: F.struct(s["b_id"].alias("id"), F.array(*[s[f"b_{a}"] for a in axes]).alias("at"), s["b_value"].alias("value"))).alias("near"))
     none = F.array().cast("array<struct<id:bigint,at:array<double>,value:double>>")
-    rest = dealt.where(~full).join(near, F.col("id") == F.col("_id"), "left").select("id", spot(""), "value", F.coalesce(F.transform("near", lambda s: s["p"]), none).alias("near"))
+    rest = dealt.where(~full).join(near, F.col("id") == F.col("_id"), "left").select("id", spot(""), "value", F.coalesce("near", none).alias("near"))
     top = dealt.where(full).select(F.struct("id", spot(""), "value").alias("p")).agg(F.sort_array(F.collect_list("p")).alias("near")).where(F.size("near") > 0)  # FULL points at most
     whole = top.select(F.lit(None).cast("long").alias("id"), F.lit(None).cast("array<double>").alias("at"), F.lit(None).cast("double").alias("value"), "near")
     return cut(rest.select(F.col("id").cast("long").alias("id"), "at", "value", "near").unionByName(whole))
@@ -259,11 +259,13 @@ def quadratic_fits(points: DataFrame, k: int = 20, axes: Sequence[str] = AXES, b
     """
     d = len(axes)
     finite = points.where(F.col(value).isNotNull()).select("id", *[F.col(a).cast("double").alias(a) for a in axes], F.col(value).cast("double").alias("value"))
-    found = k_nearest(finite, finite, k, axes, ("id", "value"), same=True, box=box)
-    gaps = [F.col(f"b_{a}") - F.col(f"a_{a}") for a in axes]
-    if box is not None:
-        gaps = [g - F.lit(box) * F.round(g / F.lit(box)) for g in gaps]
-    near = found.groupBy(F.col("a_id").alias("_id")).agg(F.flatten(F.collect_list(F.array(*gaps, F.col("b_value") - F.col("a_value")))).alias("rows"))  # k rows a point
+    found = k_nearest_lists(finite, finite, k, axes, ("id", "value"), same=True, box=box)
+
+    def gaps(p):
+        g = [p[f"b_{a}"] - F.col(f"a_{a}") for a in axes]
+        return g if box is None else [x - F.lit(box) * F.round(x / F.lit(box)) for x in g]
+
+    near = found.select(F.col("a_id").alias("_id"), F.flatten(F.transform("near", lambda p: F.array(*gaps(p), p["b_value"] - F.col("a_value")))).alias("rows"))
     usable = finite
     for a in axes:
         usable = usable.where(F.abs(F.col(a)) < float("inf"))

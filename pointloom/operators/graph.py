@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pointloom.operators.cells import ratio
-from pointloom.operators.neighbours import k_nearest
+from pointloom.operators.neighbours import k_nearest_lists
 from pointloom.operators.pairs import triangles
 from pointloom.operators.rangejoin import AXES, pairs
 
@@ -37,9 +37,9 @@ def conditional_mean(new: DataFrame, known: DataFrame, covariance: Callable[[np.
     neighbours (k, or all known points if they are fewer). Each id of ``new`` has a row: where no known
     point has a distance, as with none or without coordinates, the mean is that of the prior, 0.
     """
-    n = k_nearest(new.withColumn("value", F.lit(0.0)), known, k, axes, ("id", "value"))
-    mine = F.first(F.array(*[F.col(f"a_{x}").cast("double") for x in axes])).alias("at")
-    near = n.groupBy("a_id").agg(mine, F.collect_list(F.struct(F.array(*[F.col(f"b_{x}").cast("double") for x in axes]).alias("x"), F.col("b_value").cast("double").alias("v"))).alias("near"))  # k rows a point
+    n = k_nearest_lists(new.withColumn("value", F.lit(0.0)), known, k, axes, ("id", "value"))
+    mine = F.array(*[F.col(f"a_{x}").cast("double") for x in axes]).alias("at")
+    near = n.select("a_id", mine, F.transform("near", lambda p: F.struct(F.array(*[p[f"b_{x}"].cast("double") for x in axes]).alias("x"), p["b_value"].cast("double").alias("v"))).alias("near"))
     d = len(axes)
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,6 +1,7 @@
 """Nearest neighbours, Gaussian conditioning, kernel likelihoods, posterior maxima and quadratic fits against dense computations."""
 
 import math
+import random
 
 import numpy as np
 import pytest
@@ -221,3 +222,22 @@ def test_points_at_one_place(spark):
     assert row.n == 400 and np.isfinite([row.loss, *row.gradient, *row.hessian]).all()
     found = gaussian.derivatives(factors, theta).collect()
     assert len(found) == 400 and np.isfinite([[r.mean, *r.gradient, *r.hessian] for r in found]).all()
+
+
+def test_nearest_rows_are_found_in_place(spark, monkeypatch):
+    """A clump beside a void, over many groups and parts; every table cut on the way is a small multiple of the input, no row a candidate."""
+    r = random.Random(11)
+    rows = [(i, *(r.randrange(64) for _ in range(3))) for i in range(1500)] + [(2000 + i, *(r.randrange(65536) for _ in range(3))) for i in range(100)] + [(3000 + i, 7, 7, 7) for i in range(200)]
+    points = spark.createDataFrame(rows, "id long, c0 long, c1 long, c2 long")
+    monkeypatch.setattr(neighbours, "GROUP", 100)
+    monkeypatch.setattr(neighbours, "MINE", 40)
+    monkeypatch.setattr(neighbours, "THEIRS", 300)
+    sizes, cut = [], neighbours.cut
+    monkeypatch.setattr(neighbours, "cut", lambda df: sizes.append(cut(df)) or sizes[-1])
+    found = {}
+    for n in neighbours.k_nearest(points, points, 20, same=True).collect():
+        found.setdefault(n.a_id, []).append((n["rank"], n.d2, n.b_id))
+    for i, *at in rows[::7]:
+        near = sorted((sum((x - y) ** 2 for x, y in zip(at, other, strict=True)), j) for j, *other in rows if j != i)[:20]
+        assert sorted(found[i]) == [(rank, *p) for rank, p in enumerate(near, 1)]
+    assert max(df.count() for df in sizes) <= 5 * len(rows)
