@@ -8,15 +8,19 @@ pooled statistic comes last. Rows are one for each point, run and level; nothing
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pointloom.operators.cells import AXES, _keys, ratio
+from pointloom.operators.neighbours import ROWS, cut
 from pointloom.plans.multirun import _side, apply, pools, run_cells, run_haar_sums, run_raw_sums
 
 SUMS = ("s1", "s2", "s3", "s4")
+#: Most cells of runs that are broadcast (100 bytes each).
+CELLS = 100_000
 
 
 def _members(points: DataFrame, runs: DataFrame, axes: Sequence[str], bits: int, levels: Sequence[int], periodic: bool) -> DataFrame:
@@ -82,11 +86,11 @@ def run_average_gradient(data: DataFrame, randoms: DataFrame, runs: DataFrame, l
     return g.select("id", _chain(statistic).alias("value")).groupBy("id").agg(F.sum("value").alias("value")).crossJoin(n).select("id", (F.col("value") / F.col("runs")).alias("value"))  # one row
 
 
-def run_haar_gradient(data: DataFrame, randoms: DataFrame, runs: DataFrame, of: str = "d", axes: Sequence[str] = AXES, bits: int = 16, levels: Sequence[int] = range(1, 4), periodic: bool = True, footprint: float = 0.0) -> DataFrame:
-    """(id, run, level, pattern, dt, dq): derivatives of a run's sums T and T <we^2> of run_haar_sums()."""
+def _haar_parts(data: DataFrame, randoms: DataFrame, runs: DataFrame, rows: DataFrame, of: str, axes: Sequence[str], bits: int, levels: Sequence[int], periodic: bool, footprint: float) -> tuple[DataFrame, DataFrame]:
+    """Derivatives of a run's T (dt) and T <we^2> (dq1.. by pattern) for a point: those of its child cell (run, level, k.., corner), and those of all points (run, level)."""
     keys, d = _keys(axes), len(axes)
     wanted = sorted({*levels, *(x + 1 for x in levels)})
-    c = _with_delta(run_cells(data, randoms, runs, axes, bits, wanted, periodic), footprint)
+    c = cut(_with_delta(run_cells(data, randoms, runs, axes, bits, wanted, periodic), footprint))
     corner = sum(F.col(k).bitwiseAND(F.lit(1)).cast("int") * (1 << i) for i, k in enumerate(keys)).alias("corner")
     up = [F.shiftright(k, 1).alias(k) for k in keys]
     fine = [x + 1 for x in levels]
@@ -94,32 +98,63 @@ def run_haar_gradient(data: DataFrame, randoms: DataFrame, runs: DataFrame, of:
     signs = [F.when(F.bit_count(F.col("corner").bitwiseAND(F.lit(e))) % 2 == 0, 1.0).otherwise(-1.0) for e in range(1, 1 << d)]
     whole = children.groupBy("run", "level", *keys).agg(F.count("*").alias("n"), *[F.sum(s * F.col("delta")).alias(f"e{e}") for e, s in enumerate(signs, 1)]).where(F.col("n") == (1 << d)).drop("n")
     parents = whole.join(c.where("delta is not null").select("run", "level", *keys, F.col("sw_r").alias("w_p")), ["run", "level", *keys])
-    per = F.inline(F.array(*[F.struct(F.lit(e).alias("pattern"), (F.col(f"e{e}") / (1 << d)).alias("we"), s.alias("sign")) for e, s in enumerate(signs, 1)]))
-    held = children.join(parents, ["run", "level", *keys]).select("run", "level", *keys, "corner", "delta", "sw_c", "alpha", "all_r", "w_p", per)
-    if of == "d":
-        dt, dq = F.lit(0.0), 2 * F.col("w_p") * F.col("we") * F.col("sign") / ((1 << d) * F.col("sw_c") * F.col("alpha"))
-    else:
-        dt, dq = F.lit(1.0), F.col("we") * F.col("we") - 2 * F.col("w_p") * F.col("we") * F.col("sign") * (1 + F.col("delta")) / ((1 << d) * F.col("sw_c"))
-    local = held.select("run", "level", *keys, "corner", "pattern", dt.alias("dt"), dq.alias("dq"))
-    own = _members(data if of == "d" else randoms, runs, axes, bits, fine, periodic).select("id", "run", (F.col("level") - 1).alias("level"), *up, corner)
+    dqs = []
+    for e, sign in enumerate(signs, 1):
+        we = F.col(f"e{e}") / (1 << d)
+        if of == "d":
+            dq = 2 * F.col("w_p") * we * sign / ((1 << d) * F.col("sw_c") * F.col("alpha"))
+        else:
+            dq = we * we - 2 * F.col("w_p") * we * sign * (1 + F.col("delta")) / ((1 << d) * F.col("sw_c"))
+        dqs.append(dq.alias(f"dq{e}"))
+    local = children.join(parents, ["run", "level", *keys]).select("run", "level", *keys, "corner", F.lit(0.0 if of == "d" else 1.0).alias("dt"), *dqs)
     # every point of a run moves alpha, and so all coefficients alike
-    total = run_haar_sums(data, randoms, runs, axes, bits, levels, periodic, footprint).select("run", "level", "pattern", "q")
-    alphas = c.select("run", "alpha", "all_r").distinct()
+    alphas = c.groupBy("run", "level").agg(F.first("alpha").alias("alpha"), F.first("all_r").alias("all_r"))
     scale = 1 / F.col("all_r") if of == "r" else -1 / (F.col("alpha") * F.col("all_r"))
-    common = total.join(alphas, "run").select("run", "level", "pattern", F.lit(0.0).alias("dt"), (2 * F.col("q") * scale).alias("dq"))  # one row a run, level and pattern
-    every = own.select("id", "run", "level").join(F.broadcast(common), ["run", "level"]).select("id", "run", "level", "pattern", "dt", "dq")
-    inside = own.join(local, ["run", "level", *keys, "corner"]).select("id", "run", "level", "pattern", "dt", "dq")
-    return every.unionByName(inside).groupBy("id", "run", "level", "pattern").agg(F.sum("dt").alias("dt"), F.sum("dq").alias("dq"))
+    q = rows.groupBy("run", "level").agg(*[F.sum(F.when(F.col("pattern") == e, F.col("q"))).alias(f"q{e}") for e in range(1, 1 << d)])
+    return local, q.join(alphas, ["run", "level"]).select("run", "level", *[(2 * F.col(f"q{e}") * scale).alias(f"c{e}") for e in range(1, 1 << d)])
 
 
-def pooled_haar_gradient(data: DataFrame, randoms: DataFrame, runs: DataFrame, of: str = "d", tolerance: float = 0.02, axes: Sequence[str] = AXES, bits: int = 16, levels: Sequence[int] = range(1, 4), periodic: bool = True, footprint: float = 0.0) -> DataFrame:
-    """(id, pool, pattern, value): derivative of the mean square coefficients of pooled_haar()."""
+def _haar_rows(points: DataFrame, runs: DataFrame, local: DataFrame, common: DataFrame, axes: Sequence[str], bits: int, levels: Sequence[int], periodic: bool) -> DataFrame:
+    """One row for each point, run and level: the columns of ``common`` but c1.., and dt, dq1.. of both parts."""
+    keys, patterns = _keys(axes), range(1, 1 << len(axes))
+    corner = sum(F.col(k).bitwiseAND(F.lit(1)).cast("int") * (1 << i) for i, k in enumerate(keys)).alias("corner")
+    own = _members(points, runs, axes, bits, [x + 1 for x in levels], periodic).select("id", "run", (F.col("level") - 1).alias("level"), *[F.shiftright(k, 1).alias(k) for k in keys], corner)
+    if runs.count() * sum(1 << (len(axes) * (x + 1)) for x in levels) <= CELLS:
+        local = F.broadcast(local)  # CELLS rows at most
+    met = own.join(F.broadcast(common), ["run", "level"]).join(local, ["run", "level", *keys, "corner"], "left")  # one row a run and level
+    given = [c for c in common.columns if c not in {f"c{e}" for e in patterns}]
+    return met.select("id", *given, F.coalesce("dt", F.lit(0.0)).alias("dt"), *[(F.col(f"c{e}") + F.coalesce(f"dq{e}", F.lit(0.0))).alias(f"dq{e}") for e in patterns])
+
+
+def _by_pattern(d: int, value) -> Column:
+    return F.inline(F.array(*[F.struct(F.lit(e).alias("pattern"), *value(e)) for e in range(1, 1 << d)]))
+
+
+def run_haar_gradient(data: DataFrame, randoms: DataFrame, runs: DataFrame, of: str = "d", axes: Sequence[str] = AXES, bits: int = 16, levels: Sequence[int] = range(1, 4), periodic: bool = True, footprint: float = 0.0) -> DataFrame:
+    """(id, run, level, pattern, dt, dq): derivatives of a run's sums T and T <we^2> of run_haar_sums()."""
     rows = run_haar_sums(data, randoms, runs, axes, bits, levels, periodic, footprint)
-    at = F.broadcast(pools(rows, tolerance))  # one row a run and level
-    sums = rows.join(at, ["run", "level"]).groupBy("pool", "pattern").agg(F.sum("t").alias("t"), F.sum("q").alias("q"))
-    g = run_haar_gradient(data, randoms, runs, of, axes, bits, levels, periodic, footprint).join(at, ["run", "level"]).groupBy("id", "pool", "pattern").agg(F.sum("dt").alias("dt"), F.sum("dq").alias("dq"))
-    value = ratio(F.col("dq") - ratio(F.col("q"), F.col("t")) * F.col("dt"), F.col("t"))
-    return g.join(F.broadcast(sums), ["pool", "pattern"]).select("id", "pool", "pattern", F.coalesce(value, F.lit(0.0)).alias("value"))
+    local, common = _haar_parts(data, randoms, runs, rows, of, axes, bits, levels, periodic, footprint)
+    g = _haar_rows(data if of == "d" else randoms, runs, local, common, axes, bits, levels, periodic)
+    added = g.groupBy("id", "run", "level").agg(*[F.sum(c).alias(c) for c in g.columns if c[:2] in ("dt", "dq")])
+    return added.select("id", "run", "level", _by_pattern(len(axes), lambda e: [F.col("dt"), F.col(f"dq{e}").alias("dq")]))
+
+
+def pooled_haar_gradient(data: DataFrame, randoms: DataFrame, runs: DataFrame, of: str = "d", tolerance: float = 0.02, axes: Sequence[str] = AXES, bits: int = 16, levels: Sequence[int] = range(1, 4), periodic: bool = True, footprint: float = 0.0) -> DataFrame:
+    """(id, pool, pattern, value): derivative of the mean square coefficients of pooled_haar().
+
+    Points are dealt by id, so what their runs give is added where it arises; patterns become rows at the end.
+    """
+    patterns = range(1, 1 << len(axes))
+    rows = cut(run_haar_sums(data, randoms, runs, axes, bits, levels, periodic, footprint))  # one row a run, level and pattern
+    at = cut(pools(rows, tolerance))  # one row a run and level
+    sums = rows.join(at, ["run", "level"]).groupBy("pool").agg(*[F.sum(F.when(F.col("pattern") == e, F.col(x))).alias(f"{x}{e}") for e in patterns for x in ("t", "q")])
+    local, common = _haar_parts(data, randoms, runs, rows, of, axes, bits, levels, periodic, footprint)
+    points = data if of == "d" else randoms
+    dealt = points.repartition(max(points.sparkSession.sparkContext.defaultParallelism, math.ceil(points.count() / ROWS)), "id")
+    g = _haar_rows(dealt, runs, local, common.join(at, ["run", "level"]), axes, bits, levels, periodic)
+    added = g.groupBy("id", "pool").agg(*[F.sum(c).alias(c) for c in g.columns if c[:2] in ("dt", "dq")])
+    value = lambda e: ratio(F.col(f"dq{e}") - ratio(F.col(f"q{e}"), F.col(f"t{e}")) * F.col("dt"), F.col(f"t{e}"))
+    return added.join(F.broadcast(sums), "pool").select("id", "pool", _by_pattern(len(axes), lambda e: [F.coalesce(value(e), F.lit(0.0)).alias("value")]))  # one row a pool
 
 
 def quadrupole_gradient(gradient: DataFrame, by: str = "pool", d: int = 3) -> DataFrame:
