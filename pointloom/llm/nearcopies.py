@@ -14,6 +14,14 @@ Members of a list meet its smallest key first. Only those that this leaves in di
 components then meet each other, in blocks: pairs that are joined already change no
 component. Candidates are verified on the whole sets, which travel once for a family of
 candidates instead of once for a pair.
+
+A large family of near copies shares nearly all of its shingles, so each member would meet
+each other one. In a long list the members are therefore told apart by what they do not share
+with one of them, the pivot: for the differences D = S ^ P from any one set P, |S ^ T| is
+|D_S| + |D_T| - 2 |D_S & D_T|. Members so close to the pivot that this is small whatever
+D_S & D_T is are similar to the pivot. All other similar pairs share an element of their
+differences, which few members have, and the same bounds hold for these sets as for whole ones,
+which are the differences from an empty pivot.
 """
 
 from __future__ import annotations
@@ -34,7 +42,8 @@ SHINGLE = 5
 #: The least Jaccard similarity of a link, in percent, so that all bounds are whole numbers.
 PERCENT = 80
 #: Shingles in the counted parts of more texts than this come last in the order, the 2^18 most
-#: common ones at most (2 MB in each worker). Which ones do never changes a result.
+#: common ones at most (2 MB in each worker). Lists with more members than this are long and have
+#: a pivot. Neither changes a result.
 HOT_LIST, HOT_SHINGLES = 64, 1 << 18
 #: Members of a block of a long list.
 BLOCK = 1024
@@ -129,37 +138,93 @@ def _verified(pairs: pa.Table, sets: pa.Table) -> pa.Table:
     return pairs.select(["u", "v"]).filter(pa.array(kept, pa.bool_()))
 
 
-_ALLOWED = f"u < v and 100 * least(n_u, n_v) >= {PERCENT} * greatest(n_u, n_v) and {100 + PERCENT} * least(n_u - pos_u, n_v - pos_v) >= {PERCENT} * (n_u + n_v)"
+def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches, 250):
+        sets, pivots = ([np.frombuffer(m.as_buffer(), np.uint64) for m in batch.column(c)] for c in ("members", "of_pivot"))
+        apart = [np.setxor1d(a, b, assume_unique=True) for a, b in zip(sets, pivots, strict=True)]
+        sizes = [pa.array([len(x) for x in v], pa.int32()) for v in (sets, pivots)]
+        ends = np.cumsum([0, *map(len, apart)]).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([batch.column("pivot"), batch.column("key"), *sizes, pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(apart).view(np.int64)))], ["pivot", "key", "n", "n_pivot", "apart"])
+
+
+#: Twice the size of two differences' intersection that a similar pair has, on the scale 100 + PERCENT, is at least what both sides' ``bound`` add up to.
+_BOUND = f"{100 + PERCENT}L * d - {100 - PERCENT}L * n"
+_ALLOWED = f"u < v and root_u <> root_v and 100L * least(n_u, n_v) >= {PERCENT} * greatest(n_u, n_v) and {2 * (100 + PERCENT)}L * least(d_u - pos_u, d_v - pos_v) >= {_BOUND.replace(' d', ' d_u').replace(' n', ' n_u')} + {_BOUND.replace(' d', ' d_v').replace(' n', ' n_v')}"
 
 
 def _side(lists: DataFrame, name: str, *more) -> DataFrame:
-    return lists.select("hash", *more, F.col("key").alias(name), F.col("n").alias(f"n_{name}"), F.col("pos").alias(f"pos_{name}"))
+    return lists.select("hash", *more, *[F.col(c).alias(name if c == "key" else f"{c}_{name}") for c in ("key", "n", "d", "pos", "root")])
 
 
 def _lists(prefixes: DataFrame) -> DataFrame:
-    """(hash, key, n, pos) of the shingles that more than one set has in its prefix, a table."""
+    """(hash, key, n, pos, size) of the shingles that more than one set has in its prefix and of how many have it, a table."""
     every = Window.partitionBy("hash")
     met = prefixes.select("*", F.min("key").over(every).alias("least"), F.max("key").over(every).alias("most")).where("least <> most")
-    return stored(met.select("hash", "key", "n", "pos").distinct())
+    once = met.select("hash", "key", "n", "pos").distinct()
+    return stored(once.select("*", F.count("*").over(every).alias("size")))
+
+
+def _apart(long: DataFrame, docs: DataFrame, printed: DataFrame) -> DataFrame:
+    """(hash, key) of long lists -> (pivot, key, n, n_pivot, apart): the differences of each member from the pivots of its lists, a table.
+
+    The pivot of a list is the member that is in most long lists, so that the lists of a family have few.
+    """
+    often = long.groupBy("key").agg(F.count("*").alias("often"))
+    pivots = long.join(often, "key").groupBy("hash").agg(F.max_by("key", F.struct("often", "key")).alias("pivot"))
+    members = stored(long.join(pivots, "hash").select("pivot", "key").distinct())
+    sets = stored(_sets_of(members.select("key").distinct(), docs, printed))  # a pivot is a member
+    met = members.join(sets, "key").join(sets.select(F.col("key").alias("pivot"), F.col("members").alias("of_pivot")), "pivot")
+    found = stored(met.mapInArrow(_differences, "pivot long, key long, n int, n_pivot int, apart array<long>"))
+    for done in (members, sets):
+        drop_stored(done)
+    return found
+
+
+def _lists_apart(apart: DataFrame) -> DataFrame:
+    """(hash, key, n, d, pos): lists of what members differ in from a pivot, the rarest first, as far as a member of any ``bound`` can need them."""
+    each = apart.select("pivot", "key", "n", "n_pivot", F.size("apart").alias("d"), F.explode("apart").alias("element"))
+    sized = each.withColumn("size", F.count("*").over(Window.partitionBy("pivot", "element")))
+    placed = sized.withColumn("pos", F.row_number().over(Window.partitionBy("pivot", "key").orderBy("size", "element")) - 1)
+    near = placed.where(f"size > 1 and {2 * (100 + PERCENT)}L * (d - pos) >= {_BOUND} - {100 - PERCENT}L * n_pivot")  # no bound is below the pivot's
+    return near.select(F.xxhash64("pivot", "element").alias("hash"), "key", "n", "d", "pos")
+
+
+def _rooted(lists: DataFrame, roots: DataFrame) -> DataFrame:
+    """The rows of lists whose members (node, root) has in different components, with their root."""
+    rooted = lists.join(roots.withColumnRenamed("node", "key"), "key", "left").select("hash", "key", "n", "d", "pos", F.coalesce("root", "key").alias("root"))
+    every = Window.partitionBy("hash")
+    return rooted.select("*", F.min("root").over(every).alias("least"), F.max("root").over(every).alias("most"), F.count("*").over(every).alias("size")).where("least <> most").drop("least", "most")
 
 
-def _stars(lists: DataFrame) -> DataFrame:
-    """(hash, key, n, pos) -> distinct (u, v, weight): each member of a list with the list's smallest key, as far as the bounds allow."""
-    centre = lists.groupBy("hash").agg(F.min_by(F.struct("key", "n", "pos"), "key").alias("c")).select("hash", "c.*")
-    pairs = _side(centre, "u").join(_side(lists, "v"), "hash").where(_ALLOWED)
+def _weighed(pairs: DataFrame) -> DataFrame:
     return pairs.select("u", "v", (F.col("n_u").cast("long") + F.col("n_v")).alias("weight")).distinct()
 
 
+def _stars(lists: DataFrame, roots: DataFrame) -> DataFrame:
+    """(hash, key, n, d, pos) -> distinct (u, v, weight): each member of a list with the list's smallest key, as far as the bounds allow and (node, root) has them in different components."""
+    rooted = stored(_rooted(lists, roots))
+    centre = rooted.groupBy("hash").agg(F.min_by(F.struct("key", "n", "d", "pos", "root"), "key").alias("c")).select("hash", "c.*")
+    return _weighed(_side(centre, "u").join(_side(rooted, "v"), "hash").where(_ALLOWED))
+
+
 def _candidates(lists: DataFrame, roots: DataFrame) -> DataFrame:
-    """(hash, key, n, pos) -> distinct (u, v, weight) with u < v, among them every pair of similar sets that (node, root) has in different components."""
-    rooted = lists.join(roots.withColumnRenamed("node", "key"), "key", "left").select("hash", "key", "n", "pos", F.coalesce("root", "key").alias("root"))
-    open_ = rooted.groupBy("hash").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("least <> most").select("hash", "blocks")
-    placed = stored(rooted.join(open_, "hash").withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")))
+    """(hash, key, n, d, pos) -> distinct (u, v, weight) with u < v, among them every pair of similar sets that share a list and that (node, root) has in different components."""
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    placed = stored(_rooted(lists, roots).withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")))
     others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    left = _side(placed, "u", F.col("own").alias("i"), others.alias("j"), F.col("root").alias("root_u"))
-    right = _side(placed, "v", others.alias("i"), F.col("own").alias("j"), F.col("root").alias("root_v"))
-    pairs = left.join(right, ["hash", "i", "j"]).where(f"root_u <> root_v and {_ALLOWED}")
-    return pairs.select("u", "v", (F.col("n_u").cast("long") + F.col("n_v")).alias("weight")).distinct()
+    left = _side(placed, "u", F.col("own").alias("i"), others.alias("j"))
+    right = _side(placed, "v", others.alias("i"), F.col("own").alias("j"))
+    return _weighed(left.join(right, ["hash", "i", "j"]).where(_ALLOWED))
+
+
+def _sets_of(keys: DataFrame, docs: DataFrame, printed: DataFrame) -> DataFrame:
+    """(key, members): the whole sets of the keys."""
+    # one row that has the set: its id is null-safe, other rows of that id bring sets nobody asks for
+    asked = printed.join(keys, "key", "left_semi").groupBy("key").agg(F.min("doc_id").alias("asked"))
+    ids = stored(asked.select("asked").distinct())
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = named.join(ids, F.col("doc_id").eqNullSafe(F.col("asked")), "left_semi").select("text")
+    return rows.mapInArrow(_sets, "key long, members binary").dropDuplicates(["key"])
 
 
 def _similar(candidates: DataFrame, docs: DataFrame, printed: DataFrame) -> DataFrame:
@@ -184,16 +249,11 @@ def _similar(candidates: DataFrame, docs: DataFrame, printed: DataFrame) -> Data
             "v",
         )
     )
-    # one row that has the set: its id is null-safe, other rows of that id bring sets nobody asks for
-    asked = printed.join(least, "key", "left_semi").groupBy("key").agg(F.min("doc_id").alias("asked"))
-    ids = stored(asked.select("asked").distinct())
-    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = named.join(ids, F.col("doc_id").eqNullSafe(F.col("asked")), "left_semi").select("text")
-    sets = rows.mapInArrow(_sets, "key long, members binary").dropDuplicates(["key"])
+    sets = _sets_of(least, docs, printed)
     ends = placed.select(F.col("home").alias("at"), F.col("i").alias("at_i"), F.col("j").alias("at_j"), F.explode(F.array("u", "v")).alias("key"))
     wanted = ends.distinct().join(sets, "key")
     found = stored(placed.groupBy("home", "i", "j").cogroup(wanted.groupBy("at", "at_i", "at_j")).applyInArrow(_verified, "u long, v long"))
-    for done in (pairs, homed, placed, ids):
+    for done in (pairs, homed, placed):
         drop_stored(done)
     return found
 
@@ -201,17 +261,24 @@ def _similar(candidates: DataFrame, docs: DataFrame, printed: DataFrame) -> Data
 def similar_pairs(docs: DataFrame, printed: DataFrame) -> DataFrame:
     """Pairs (u, v) of keys of different shingle sets with a Jaccard similarity of ``PERCENT`` or more, enough of them to join all.
 
-    Every such pair is a row, or its ends are joined by a chain of rows. Members of a list meet
-    the list's smallest first; what that joins need not meet in pairs any more, so a family of
-    copies costs its members, not its pairs.
+    Every such pair is a row, or its ends are joined by a chain of rows. Members of a long list
+    meet its pivot first and the others only over what they do not share with it; of those, and in short
+    lists, members meet the list's smallest first, and what that joins need not meet in pairs
+    any more. So a family of copies costs its members, not its pairs.
     """
     counted = printed.select(F.explode("low").alias("hash")).groupBy("hash").count().where(F.col("count") > HOT_LIST)
     hot = counted.orderBy(F.desc("count"), "hash").limit(HOT_SHINGLES).select("hash").toArrow().column("hash").to_numpy().view(np.uint64)
     texts = docs.select(F.col("text").cast("string").alias("text"))
-    lists = _lists(texts.mapInArrow(_prefixes(np.sort(hot)), "hash long, key long, n int, pos int"))
-    near = _similar(_stars(lists), docs, printed)
+    every = _lists(texts.mapInArrow(_prefixes(np.sort(hot)), "hash long, key long, n int, pos int"))
+    apart = _apart(every.where(F.col("size") > HOT_LIST), docs, printed)
+    close = apart.where(f"key <> pivot and {100 + PERCENT}L * size(apart) <= {100 - PERCENT}L * (n + n_pivot)")
+    known = stored(close.select(F.least("pivot", "key").alias("u"), F.greatest("pivot", "key").alias("v")).distinct())
+    short = every.where(F.col("size") <= HOT_LIST).select("hash", "key", "n", F.col("n").alias("d"), "pos")
+    lists = stored(short.union(_lists_apart(apart)))
+    near = known.union(_similar(_stars(lists, stored(connected_components(known))), docs, printed))
     rest = _similar(_candidates(lists, stored(connected_components(near))), docs, printed)
-    drop_stored(lists)
+    for done in (every, apart, lists):
+        drop_stored(done)
     return near.union(rest)
 
 

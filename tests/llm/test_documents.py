@@ -360,6 +360,27 @@ def test_near_groups_are_brute_force(spark, monkeypatch, hot, block, group, seen
     assert len(set(groups_brute({i: simhash_brute(t) for i, t in rows}).values())) > len(set(want.values())) + 20
 
 
+def test_near_family_costs_no_square(spark, monkeypatch):
+    """Copies with one to five words changed: most pairs are not similar, and all share most of their shingles."""
+    r, asked, similar = random.Random(5), [], nearcopies._similar
+    base, rows = [f"w{k}" for k in range(150)], []
+    for i in range(400):
+        copy = list(base)
+        for at in r.sample(range(150), 1 + i % 5):
+            copy[at] = f"x{r.randrange(10**9)}"
+        rows.append((i, " ".join(copy)))
+
+    def counted(candidates, *more):
+        kept = nearcopies.stored(candidates)
+        asked.append(kept.count())
+        return similar(kept, *more)
+
+    monkeypatch.setattr(nearcopies, "_similar", counted)
+    got = nearcopies.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {x.doc_id: x.component_id for x in got} == near_brute(rows)
+    assert sum(asked) < 20 * len(rows)
+
+
 def test_near_groups_odd_rows(odd, none):
     got = nearcopies.near_groups(odd[1]).collect()
     assert len(got) == len(odd[0])
