@@ -12,15 +12,16 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pointloom.functions.coords import bin_of, bisector, chord, unit_vector
+from pointloom.functions.coords import bin_of, chord, unit_vector
 from pointloom.functions.cosmology import Cosmology
 from pointloom.functions.healpix import centre, pixel
 from pointloom.operators.cells import cells, ratio, xi_of_cells
 from pointloom.operators.pairs import rp_pi_counts
 from pointloom.operators.rangejoin import AXES, self_pairs
+from pointloom.operators.tiles import pair_sums
 
 
 def mask_correlation(mask: DataFrame, nside: int, edges: Sequence[float]) -> DataFrame:
@@ -110,15 +111,73 @@ def wp_analytic(data: DataFrame, rr: DataFrame, n_r: float, rp_edges: Sequence[f
     return j.groupBy("rp_bin", *(["region"] if region else [])).agg((2 * F.sum(xi * widths)).alias("wp"))
 
 
+def _root_reaches(edge: float) -> float:
+    """The least x whose rounded square root reaches the edge: comparing x with it decides as comparing the root does."""
+    if edge <= 0:
+        return -math.inf
+    x = edge * edge
+    while math.sqrt(x) < edge:
+        x = math.nextafter(x, math.inf)
+    while math.sqrt(below := math.nextafter(x, 0.0)) >= edge:
+        x = below
+    return x
+
+
 def _by_regions(data: DataFrame, rp_edges: Sequence[float], pi_edges: Sequence[float], axes: Sequence[str], weight: str | None, region: str) -> DataFrame:
-    """(rp_bin, pi_bin, one, two, dd): data pairs by the regions of both ends."""
-    p = self_pairs(data, math.hypot(rp_edges[-1], pi_edges[-1]), axes, tuple(dict.fromkeys(x for x in ("id", weight, region) if x)))
-    rp, pi = bisector([F.col(f"a_{x}") for x in axes], [F.col(f"b_{x}") for x in axes])
-    product = F.col(f"a_{weight}") * F.col(f"b_{weight}") if weight else F.lit(1.0)
-    q = p.select(rp.alias("rp"), pi.alias("pi"), product.alias("product"), F.col(f"a_{region}").alias("one"), F.col(f"b_{region}").alias("two"))
-    by = {"rp_bin": bin_of(F.col("rp"), rp_edges), "pi_bin": bin_of(F.col("pi"), pi_edges)}
-    sums = q.select("product", "one", "two", *[F.coalesce(c, F.lit(-1)).alias(k) for k, c in by.items()]).groupBy("rp_bin", "pi_bin", "one", "two").agg(F.sum("product").cast("double").alias("dd"), F.max(F.least("rp_bin", "pi_bin")).alias("least"))
-    return sums.where("least >= 0").drop("least")
+    """(rp_bin, pi_bin, one, two, dd): data pairs by the regions of both ends, either way round; null weights count as 0.
+
+    Points of one region at one place are one point with their weights' sum. With A and B the
+    squared distances of the ends from the observer, pi is |B - A| / sqrt(2 A + 2 B - d2).
+    """
+    rp_at, pi_at, n_pi = [_root_reaches(float(e)) for e in rp_edges], list(map(float, pi_edges)), len(pi_edges) - 1
+    code = F.xxhash64(region)
+    w = F.coalesce(F.col(weight).cast("double"), F.lit(0.0)) if weight else F.lit(1.0)
+    rows = data.select("id", *[F.col(x).cast("double").alias(x) for x in axes], code.alias("_region"), w.alias("_w"), (F.count("*").over(Window.partitionBy("id")) > 1).alias("_again"))
+    # an id that comes again meets all but itself, so it stays apart
+    places = rows.groupBy(*axes, "_region", F.when(F.col("_again"), F.col("id")).alias("_apart")).agg(F.min("id").alias("id"), F.sum("_w").alias("_w"), F.sum(F.col("_w") * F.col("_w")).alias("_w2"), F.max("_again").alias("_again"))
+
+    def work(mine, theirs):
+        (ones, one), (twos, two) = (np.unique(v["_region"], return_inverse=True) for v in (mine, theirs))
+        shape = (len(rp_edges) - 1, n_pi, len(ones), len(twos))
+        sums, regions = np.zeros(math.prod(shape)), len(ones) * len(twos)
+        other = theirs["_w"] * np.where(theirs["_own"], 0.5, 1.0)  # of its own tile a pair comes from both ends
+        one = one * len(twos)
+
+        def add(block, chunk, at, gaps, d2):
+            a, b = (sum(x * x for x in v) for v in at)
+            near = d2 < np.inf
+            d2[~near] = 0.0
+            sight = 2 * (a[:, None] + b[None]) - d2
+            pi = np.divide(np.abs(b[None] - a[:, None]), np.sqrt(np.maximum(sight, 0.0, out=sight), out=sight), out=np.zeros_like(d2), where=sight > 0)
+            across = d2 - pi * pi
+            i, j = (sum((v >= e).view(np.int8) for e in edges) - 1 for v, edges in ((across, rp_at), (pi, pi_at)))
+            near &= (i >= 0) & (i < shape[0]) & (j >= 0) & (j < n_pi)
+            found = np.flatnonzero(near)
+            p, q = block[found // len(chunk)], chunk[found % len(chunk)]
+            places = (i.ravel()[found].astype(np.intp) * n_pi + j.ravel()[found]) * regions + one[p] + two[q]
+            sums[:] += np.bincount(places, mine["_w"][p] * other[q], len(sums))
+
+        def done():
+            held = sums.reshape(shape)
+            i, j, p, q = np.nonzero(held)
+            return {"rp_bin": i.astype(np.int32), "pi_bin": j.astype(np.int32), "one": ones[p], "two": twos[q], "dd": held[i, j, p, q]}
+
+        return add, done
+
+    kept = ("_region", "_w")
+    found = pair_sums(places, places, math.hypot(rp_edges[-1], pi_edges[-1]), work, "rp_bin int, pi_bin int, one long, two long, dd double", axes, kept, kept, same=True, once=True)
+    if rp_edges[0] <= 0 <= rp_edges[-1] and pi_edges[0] <= 0 <= pi_edges[-1]:
+        at = [F.lit(sum(e <= 0 for e in edges) - 1).alias(k) for k, edges in (("rp_bin", rp_edges), ("pi_bin", pi_edges))]
+        inside = _finite_rows(places, axes).where("not _again").select(*at, F.col("_region").alias("one"), F.col("_region").alias("two"), ((F.col("_w") * F.col("_w") - F.col("_w2")) / 2).alias("dd"))
+        found = found.unionByName(inside)
+    sums = found.groupBy("rp_bin", "pi_bin", "one", "two").agg(F.sum("dd").alias("dd"))
+    names = data.select(F.col(region).alias("name"), code.alias("code")).distinct()
+    named = sums.join(names.select(F.col("code").alias("one"), F.col("name").alias("name_one")), "one").join(names.select(F.col("code").alias("two"), F.col("name").alias("name_two")), "two")
+    return named.select("rp_bin", "pi_bin", F.col("name_one").alias("one"), F.col("name_two").alias("two"), "dd")
+
+
+def _finite_rows(df: DataFrame, axes: Sequence[str]) -> DataFrame:
+    return df.where(" and ".join(f"abs(`{x}`) < double('inf')" for x in axes))
 
 
 #: Steps of the table that a radial density is read from.

@@ -47,8 +47,11 @@ def _side(a: DataFrame, radius: float, d: int) -> float:
     return radius * 2.0 ** max([k for k, t in enumerate(tiles) if n <= MEAN * t], default=0)
 
 
-def _groups(a: DataFrame, b: DataFrame, radius: float, d: int) -> tuple[DataFrame, DataFrame, list[str]]:
-    """Both catalogs with the tile and the part that they meet in; ``b`` also in the tiles within the radius."""
+def _groups(a: DataFrame, b: DataFrame, radius: float, d: int, once: bool = False) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Both catalogs with the tile and the part that they meet in; ``b`` also in the tiles within the radius.
+
+    With ``once`` only in those before its own, and ``_own`` tells whether it is its own.
+    """
     side, reach = _side(a, radius, d), radius * (1 + 1e-9)
     tile = [f"_t{i}" for i in range(d)]
     spark = a.sparkSession
@@ -59,6 +62,9 @@ def _groups(a: DataFrame, b: DataFrame, radius: float, d: int) -> tuple[DataFram
     for i, t in enumerate(tile):
         low, high = (F.floor((F.col(f"_x{i}") + F.lit(s * reach)) / F.lit(side)) for s in (-1, 1))
         right = right.select("*", F.explode(F.sequence(low, high)).alias(t))
+    if once:
+        here = F.struct(*[F.floor(F.col(f"_x{i}") / F.lit(side)).alias(t) for i, t in enumerate(tile)])
+        right = right.select("*", (F.struct(*tile) == here).alias("_own")).where(F.struct(*tile) <= here)
 
     mine = own(a).groupBy(*tile).agg(F.count("*").alias("_n"))
     around = own(b).groupBy(*tile).agg(F.count("*").alias("_n"))  # in and around a tile: at most what the tiles next to it hold
@@ -148,18 +154,21 @@ def _apart(ids: np.ndarray, theirs: np.ndarray) -> tuple[np.ndarray, Callable]:
     return shared, part
 
 
-def pair_sums(a: DataFrame, b: DataFrame, radius: float, work: Work, schema: str, axes: Sequence[str] = AXES, mine: Sequence[str] = (), theirs: Sequence[str] = (), closed: bool = False, same: bool = False) -> DataFrame:
+def pair_sums(a: DataFrame, b: DataFrame, radius: float, work: Work, schema: str, axes: Sequence[str] = AXES, mine: Sequence[str] = (), theirs: Sequence[str] = (), closed: bool = False, same: bool = False, once: bool = False) -> DataFrame:
     """What ``work`` makes of the pairs of each group, rows of ``schema``, to be added up.
 
     ``work`` gets the columns ``mine`` and ``theirs`` and the ids of the group as arrays and gives
     add(block, chunk, at, gaps, d2), called with rows of both, the coordinates of both, their
     differences and squared distances, and done(), the group's columns. What lies beyond the
     radius has an infinite d2, and so has the own id if ``same``. Points without finite coordinates meet nothing.
+    With ``once`` a and b are one catalog and a pair comes from one end only, but from both where
+    the other's ``_own``, one more of its columns, is true.
     """
     d, top = len(axes), radius * radius
     mine, theirs = list(dict.fromkeys(["id", *mine])), list(dict.fromkeys(["id", *theirs]))
-    left, right, by = _groups(_finite(a, axes, mine), _finite(b, axes, theirs), radius, d)
+    left, right, by = _groups(_finite(a, axes, mine), _finite(b, axes, theirs), radius, d, once)
     x = [f"_x{i}" for i in range(d)]
+    theirs += ["_own"] if once else []
 
     def run(one: pa.Table, other: pa.Table) -> pa.Table:
         at, there = (np.stack(list(_columns(t, x).values())) for t in (one, other))

@@ -388,3 +388,30 @@ def test_basis_weights_are_the_dense_filter(spark):
     np.fill_diagonal(c, 1.5)
     want = 1 + c @ np.linalg.solve(c + np.eye(n) * (1 / (n / 60**3 * volume) + 1e-6 * 1.5), d)
     assert np.abs(np.array([got[i] for i in range(n)]) - want).max() < 1e-3 * np.abs(want).max()
+
+
+def test_pairs_by_regions_are_brute_force(spark):
+    """Points that share a place or an id, which never meets itself however far it lies, and a region without a name."""
+    r = random.Random(8)
+    rows = [(i if i % 9 else i % 4, *(float(r.randrange(12) * 5) for _ in range(3)), r.choice(["a", "b", None]), float(r.randrange(1, 4))) for i in range(400)]
+    rows += [(1000 + i, *row[1:]) for i, row in enumerate(rows[:60])]
+    rp, pi, want = [0.0, 5.0, 10.0, 15.0], [0.0, 5.0, 15.0], {}
+    for k, (i, *p, one, v) in enumerate(rows):
+        for j, *q, two, w in rows[:k]:
+            d2, sight = sum((x - y) ** 2 for x, y in zip(p, q, strict=True)), math.sqrt(sum(((x + y) / 2) ** 2 for x, y in zip(p, q, strict=True)))
+            along = abs(sum((y - x) * (x + y) / 2 for x, y in zip(p, q, strict=True)) / sight) if sight else 0.0
+            across = math.sqrt(max(0.0, d2 - along * along))
+            if i != j and across < rp[-1] and along < pi[-1]:
+                at = (sum(across >= e for e in rp) - 1, sum(along >= e for e in pi) - 1, *sorted((str(one), str(two))))
+                want[at] = want.get(at, 0.0) + v * w
+    data, got = spark.createDataFrame(rows, "id long, c0 double, c1 double, c2 double, region string, w double"), {}
+    for x in survey_window._by_regions(data, rp, pi, ["c0", "c1", "c2"], "w", "region").collect():
+        at = (x.rp_bin, x.pi_bin, *sorted((str(x.one), str(x.two))))
+        got[at] = got.get(at, 0.0) + x.dd
+    assert {k: v for k, v in got.items() if v} == want
+
+
+def test_root_reaches():
+    for edge in (0.1, 1 / 3, 500.0, 2000.0, 1e-9):
+        x = survey_window._root_reaches(edge)
+        assert math.sqrt(x) >= edge > math.sqrt(math.nextafter(x, 0.0))
