@@ -127,7 +127,8 @@ def train(labelled: DataFrame, sample: int = SAMPLE) -> Model:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     if not languages:
         return Model([], np.zeros((0, 1 << BITS)))
-    shares = known.sparkSession.createDataFrame([(r["lang"], int(min(1.0, sample / r["rows"]) * (1 << 31))) for r in sizes], "of string, below long")
+    below = pa.array([int(min(1.0, sample / r["rows"]) * (1 << 31)) for r in sizes], pa.int64())
+    shares = known.sparkSession.createDataFrame(pa.table({"of": pa.array([r["lang"] for r in sizes], pa.string()), "below": below}))  # a list of rows would start Python workers of another kind
     named = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id"))
     picked = known.join(F.broadcast(shares), F.col("lang") == F.col("of")).where(F.pmod(named, F.lit(1 << 31)) < F.col("below"))  # MAX_LANGUAGES rows
     texts = picked.select("text", "lang")

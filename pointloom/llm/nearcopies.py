@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pointloom.llm.common import drop_stored, slices, stored
+from pointloom.llm.common import drop_stored, slices, small_batches, stored
 from pointloom.llm.components import connected_components
 from pointloom.llm.simhash import fingerprint, grouped, links, shingle_hashes
 
@@ -48,7 +48,9 @@ HOT_LIST, HOT_SHINGLES = 64, 1 << 18
 #: Members of a block of a long list.
 BLOCK = 1024
 #: Shingles of all pairs verified in one group, repeats included (8 bytes each).
-GROUP = 1 << 20
+GROUP = 1 << 18
+#: Rows of an Arrow batch: texts, or one or two sets each.
+BATCH = 500
 #: Sets a task remembers, to send one of many copies only.
 REMEMBERED = 1 << 16
 
@@ -293,8 +295,9 @@ def near_groups(docs: DataFrame) -> DataFrame:
     Sets and shingles are told apart by 64-bit hashes.
     """
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    printed = stored(named.mapInArrow(_printed, "doc_id long, fp long, key long, low array<long>"))
-    pairs = stored(similar_pairs(docs, printed))
+    with small_batches(docs.sparkSession, BATCH):
+        printed = stored(named.mapInArrow(_printed, "doc_id long, fp long, key long, low array<long>"))
+        pairs = stored(similar_pairs(docs, printed))
     slim = stored(printed.select("doc_id", "fp", "key"))
     drop_stored(printed)
     prints = slim.select("key", "fp").distinct()

@@ -32,6 +32,7 @@ from array import array
 from collections.abc import Iterator
 from functools import reduce
 from heapq import heappop, heappush
+from weakref import WeakKeyDictionary, proxy
 
 import numpy as np
 import pyarrow as pa
@@ -68,7 +69,7 @@ class _Words(dict):
 
     def __init__(self, vocabulary: Vocabulary, mark: str):
         super().__init__()
-        self.vocabulary, self.mark = vocabulary, mark
+        self.vocabulary, self.mark = proxy(vocabulary), mark  # no cycle, so that both go at once
 
     def __missing__(self, word: str) -> bytes:
         found = self.vocabulary.joined_part(self.mark + word)
@@ -527,15 +528,14 @@ def load(spark, path: str) -> bytes:
     return bytes(spark.read.format("binaryFile").load(path).select("content").first()[0])
 
 
-_VOCABULARIES: dict[int, Vocabulary] = {}
+_VOCABULARIES: WeakKeyDictionary = WeakKeyDictionary()
 
 
 def _vocabulary(held) -> Vocabulary:
-    """One vocabulary, and so one memo, for each worker and model."""
-    key = hash(held.value)
-    if key not in _VOCABULARIES:
-        _VOCABULARIES[key] = Vocabulary(held.value)
-    return _VOCABULARIES[key]
+    """One vocabulary, and so one memo, for each worker and broadcast model; it goes with the broadcast, at the worker's first task without it."""
+    if held not in _VOCABULARIES:
+        _VOCABULARIES[held] = Vocabulary(held.value)
+    return _VOCABULARIES[held]
 
 
 def encode_giants(texts: DataFrame, model: bytes, chunk: int = CHUNK, block: int = 64) -> DataFrame:

@@ -1,9 +1,11 @@
 """The document operators against brute force, on whole small tables and on awkward rows."""
 
+import gc
 import hashlib
 import math
 import random
 import re
+import weakref
 import zlib
 from collections import Counter, defaultdict
 
@@ -381,6 +383,38 @@ def test_near_family_costs_no_square(spark, monkeypatch):
     assert sum(asked) < 20 * len(rows)
 
 
+def test_near_groups_send_small_batches(spark, monkeypatch):
+    """Rows that go to Python together are bounded, and the session's own bound comes back."""
+    name, bound, own, printed = "spark.sql.execution.arrow.maxRecordsPerBatch", 7, spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"), nearcopies._printed
+
+    def bounded(batches):
+        for batch in batches:
+            assert batch.num_rows <= bound
+            yield from printed(iter([batch]))
+
+    monkeypatch.setattr(nearcopies, "BATCH", bound, raising=False)
+    monkeypatch.setattr(nearcopies, "_printed", bounded)
+    rows = [(i, f"a text of number {i}") for i in range(40)] + [(40, "a text of number 3")]
+    got = {r.doc_id: r.component_id for r in nearcopies.near_groups(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()}
+    assert got[40] == 3 and len(got) == 41 and spark.conf.get(name) == own
+
+
+def test_pipeline_stages_bound_batches(spark):
+    """What a stage returns is read and sent to Python in small batches; a session's smaller ones stay."""
+    import corpus_pipeline
+
+    before = {name: spark.conf.get(name) for name in corpus_pipeline.BATCHES}
+    try:
+        for set_to, want in ((4096, 500), (7, 7)):
+            for name in before:
+                spark.conf.set(name, set_to)
+            corpus_pipeline._bounded(lambda s, docs, sf_dir: docs)(spark, None, "")
+            assert {int(spark.conf.get(name)) for name in before} == {want}
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
 def test_near_groups_odd_rows(odd, none):
     got = nearcopies.near_groups(odd[1]).collect()
     assert len(got) == len(odd[0])
@@ -505,6 +539,13 @@ def test_langid_is_brute_force(spark, sf_dir):
         assert got[r.doc_id][0] == lang and got[r.doc_id][1] == pytest.approx(score, abs=2e-3)
 
 
+def test_language_model_starts_no_row_workers(spark, monkeypatch):
+    """The shares of the sample are a local table: rows from a list would be dealt to Python workers of a second kind, which stay beside the others."""
+    df = spark.createDataFrame([(i, "some words" if i % 2 else "des mots", "en" if i % 2 else "fr") for i in range(20)], "doc_id long, text string, lang string")
+    monkeypatch.setattr(spark.sparkContext, "parallelize", None)
+    assert langid.train(df).languages == ["en", "fr"]
+
+
 def test_mixture_finds_both_languages(spark):
     r = random.Random(3)
     en, de = ["the", "and", "with", "think", "light"], ["der", "und", "nicht", "schön", "zwei"]
@@ -747,6 +788,21 @@ def test_max_plus_is_associative(model):
     assert spm.max_plus(spm.max_plus(m[0], m[1]), m[2]) == spm.max_plus(m[0], spm.max_plus(m[1], m[2]))
 
 
+def test_vocabulary_goes_with_its_broadcast(spark, model):
+    """A worker that goes on to other work keeps no vocabulary and no memo."""
+    held = spark.sparkContext.broadcast(model)
+    gc.collect()
+    gc.disable()  # nothing may wait for the collector of cycles
+    try:
+        v = spm._vocabulary(held)
+        assert spm._vocabulary(held) is v and len(v.encode_all(["a plain text of some words", "and one more"])) == 2
+        kept = weakref.ref(v)
+        del v, held
+        assert kept() is None
+    finally:
+        gc.enable()
+
+
 def test_vocabulary_without_word_cuts(model, library):
     v = spm.Vocabulary(model)
     v._part, v.line_cuts = None, False
