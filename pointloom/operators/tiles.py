@@ -30,6 +30,10 @@ BLOCK = 64
 #: whose arrays stay small enough (98 kB) not to be mapped afresh each time.
 COUNTED, SUMMED = 512, 192
 
+#: Mean number of asking points of a tile where triangles are counted, points of a piece of their neighbours, and the
+#: largest whole coordinate whose squared distances a matrix product gives exactly.
+CORNERS, PIECE, WHOLE = 256, 512, 2.0**22
+
 #: The group's columns -> (add(block, chunk, at, gaps, d2), done()), see pair_sums().
 Work = Callable[[dict, dict], tuple[Callable, Callable]]
 
@@ -40,19 +44,20 @@ def _finite(df: DataFrame, axes: Sequence[str], keep: Sequence[str]) -> DataFram
     return df.where(inside).select(*[F.col(k).alias(k) for k in keep], *[c.alias(f"_x{i}") for i, c in enumerate(x)])
 
 
-def _side(a: DataFrame, radius: float, d: int) -> float:
-    """The widest tile, the radius times a power of two, that holds MEAN points or fewer on average."""
+def _side(a: DataFrame, radius: float, d: int, mean: int) -> float:
+    """The widest tile, the radius times a power of two, that holds ``mean`` points or fewer on average."""
     at = lambda k: F.xxhash64(*[F.floor(F.col(f"_x{i}") / F.lit(radius * 2.0**k)) for i in range(d)])
     n, *tiles = a.agg(F.count("*"), *[F.approx_count_distinct(at(k), 0.1) for k in range(20)]).first()
-    return radius * 2.0 ** max([k for k, t in enumerate(tiles) if n <= MEAN * t], default=0)
+    return radius * 2.0 ** max([k for k, t in enumerate(tiles) if n <= mean * t], default=0)
 
 
-def _groups(a: DataFrame, b: DataFrame, radius: float, d: int, once: bool = False) -> tuple[DataFrame, DataFrame, list[str]]:
+def _groups(a: DataFrame, b: DataFrame, radius: float, d: int, once: bool = False, mean: int = MEAN, two: bool = False) -> tuple[DataFrame, DataFrame, list[str]]:
     """Both catalogs with the tile and the part that they meet in; ``b`` also in the tiles within the radius.
 
-    With ``once`` only in those before its own, and ``_own`` tells whether it is its own.
+    With ``once`` only in those before its own, and ``_own`` tells whether it is its own. With ``two``
+    any two parts of ``b`` meet in one group, ``_pb`` and ``_pc``, and ``_part`` tells a point's own.
     """
-    side, reach = _side(a, radius, d), radius * (1 + 1e-9)
+    side, reach = _side(a, radius, d, mean), radius * (1 + 1e-9)
     tile = [f"_t{i}" for i in range(d)]
     spark = a.sparkSession
     tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -83,6 +88,12 @@ def _groups(a: DataFrame, b: DataFrame, radius: float, d: int, once: bool = Fals
     number = F.xxhash64(*[f"_x{i}" for i in range(d)], "id")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     one = lambda n: F.pmod(number, F.col(n)).cast("int")
+    if two:
+        parts, both = lambda low: F.sequence(low, F.col("_nb") - 1), lambda p, q: F.struct(F.least(p, q).alias("_pb"), F.greatest(p, q).alias("_pc"))
+        left = dealt(left).select("*", one("_na").alias("_pa"), F.inline(F.flatten(F.transform(parts(F.lit(0)), lambda p: F.transform(parts(p), lambda q: both(p, q)))))).drop("_na", "_nb")
+        right = dealt(right).select("*", every("_na").alias("_pa"), one("_nb").alias("_part"))
+        right = right.select("*", F.inline(F.transform(parts(F.lit(0)), lambda q: both(F.col("_part"), q)))).drop("_na", "_nb")
+        return left, right, [*tile, "_pa", "_pb", "_pc"]
     left = dealt(left).select("*", one("_na").alias("_pa"), every("_nb").alias("_pb")).drop("_na", "_nb")
     right = dealt(right).select("*", every("_na").alias("_pa"), one("_nb").alias("_pb")).drop("_na", "_nb")
     return left, right, [*tile, "_pa", "_pb"]
@@ -250,3 +261,104 @@ def near_counts(a: DataFrame, b: DataFrame, tops: Sequence[float], axes: Sequenc
 def _types(df: DataFrame, names: Sequence[str]) -> dict[str, str]:
     types = dict(df.dtypes)
     return {c: types[c] for c in names}
+
+
+def _near_each_other(at: np.ndarray, size: int) -> np.ndarray:
+    """An order of the points in which those of a run of ``size`` stand together."""
+    out = []
+
+    def halve(some: np.ndarray) -> None:
+        if len(some) <= size:
+            out.append(some)
+            return
+        axis = np.ptp(at[:, some], axis=1).argmax()
+        cut_at = size * (-(-len(some) // size) // 2)  # whole runs
+        parted = np.argpartition(at[axis, some], cut_at)
+        halve(some[parted[:cut_at]])
+        halve(some[parted[cut_at:]])
+
+    halve(np.arange(at.shape[1]))
+    return np.concatenate(out)
+
+
+class _Shell:
+    """Which points of two sets lie from ``low`` to ``high`` in squared distance, as ones and zeros."""
+
+    def __init__(self, low: float, high: float, whole: bool):
+        self.low, self.high, self.whole = low, high, whole
+
+    def __call__(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        if self.whole:  # all terms are whole numbers below 2^53
+            middle = x.mean(1).round()[:, None]
+            x, y = x - middle, y - middle
+            ones = np.ones((1, x.shape[1])), np.ones((1, y.shape[1]))
+            d2 = np.concatenate([-2 * x, ones[0], (x * x).sum(0)[None]]).T @ np.concatenate([y, (y * y).sum(0)[None], ones[1]])
+        else:
+            d2 = sum((b[None] - a[:, None]) ** 2 for a, b in zip(x, y, strict=True))
+        inside = d2 >= self.low
+        inside &= d2 <= self.high
+        return inside.astype(np.float32)
+
+    def all_or_none(self, x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray]) -> bool | None:
+        """Whether all points of two boxes (lows, highs) are apart so, or none; None if it depends on the points."""
+        near = (np.maximum(np.maximum(x[0] - y[1], y[0] - x[1]), 0.0) ** 2).sum()
+        far = (np.maximum(x[1] - y[0], y[1] - x[0]) ** 2).sum()
+        if near * (1 - 1e-12) > self.high or far * (1 + 1e-12) < self.low:
+            return False
+        return True if near * (1 - 1e-12) >= self.low and far * (1 + 1e-12) <= self.high else None
+
+
+def triangle_counts(points: DataFrame, low: float, high: float, axes: Sequence[str] = AXES) -> DataFrame:
+    """(id, n): triangles at each vertex all of whose sides lie from ``low`` to ``high``, low above 0; ids are unique.
+
+    A tile's points meet all points within the longest side in one group, no pair and no wedge has a row.
+    For each block of points the sides to the others, ones and zeros, are multiplied with the
+    sides among the others, piece by piece. In dense tiles any two parts of the others meet.
+    """
+    d, ident = len(axes), dict(points.dtypes)["id"]
+    finite = lambda: _finite(points.where("id is not null"), axes, ["id"])  # noqa: E731  one for each side
+    left, right, by = _groups(finite(), finite(), high, d, mean=CORNERS, two=True)
+    x = [f"_x{i}" for i in range(d)]
+
+    def run(one: pa.Table, other: pa.Table) -> pa.Table:
+        here, there = (np.stack(list(_columns(t, x).values())) for t in (one, other))
+        whole = all((np.abs(v) <= WHOLE).all() and (v == np.rint(v)).all() for v in (here, there))
+        shell, top = _Shell(low * low, high * high, whole), high * high
+        order = _near_each_other(here, BLOCK)
+        here, n = here[:, order], np.zeros(len(order))
+        part, pb, pc = (other.column(c).to_numpy() for c in ("_part", "_pb", "_pc"))
+        same = not len(pb) or pb[0] == pc[0]
+        sides = [there] if same else [there[:, part == pb], there[:, part == pc]]
+        sides = [s[:, _near_each_other(s, PIECE)] for s in sides if s.shape[1]]
+        if len(sides) < (1 if same else 2):
+            return pa.table({"id": one.column("id").slice(0, 0), "n": pa.array([], pa.int64())})
+
+        def pieces(block: np.ndarray, others: np.ndarray) -> list[tuple]:
+            least, most = block.min(1)[:, None], block.max(1)[:, None]
+            gap = np.maximum(np.maximum(least - others, others - most), 0.0)
+            others = others[:, (gap * gap).sum(0) <= top * (1 + 1e-12)]
+            met = shell(block, others)
+            some = met.any(0)
+            others, met = others[:, some], np.ascontiguousarray(met[:, some])
+            cuts = [slice(k, k + PIECE) for k in range(0, others.shape[1], PIECE)]
+            return [(others[:, c], met[:, c], (others[:, c].min(1), others[:, c].max(1))) for c in cuts]
+
+        for start in range(0, len(order), BLOCK):
+            block, total = here[:, start : start + BLOCK], n[start : start + BLOCK]
+            held = [pieces(block, s) for s in sides]
+            for i, (p, met_p, box_p) in enumerate(held[0]):
+                for j, (q, met_q, box_q) in enumerate(held[0][i:] if same else held[1]):
+                    among = shell.all_or_none(box_p, box_q)
+                    if among is False:
+                        continue
+                    if among:
+                        found = met_p.sum(1) * met_q.sum(1)
+                    else:
+                        found = np.einsum("ij,ij->i", met_p @ shell(p, q), met_q)  # at most PIECE squared: single precision is exact
+                    total += found * 0.5 if same and j == 0 else found
+        counts = np.rint(n).astype(np.int64)
+        some = np.flatnonzero(counts)
+        return pa.table({"id": one.column("id").take(pa.array(order[some])), "n": pa.array(counts[some])})
+
+    found = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(run, f"id {ident}, n long")
+    return found.groupBy("id").agg(F.sum("n").alias("n"))
