@@ -66,6 +66,35 @@ def bisector(p1: Sequence[Column], p2: Sequence[Column]) -> tuple[Column, Column
     return F.sqrt(F.greatest(F.lit(0.0), sum(x * x for x in s) - pi * pi)), pi
 
 
+def root_reaches(edge: float) -> float:
+    """The least x whose rounded square root reaches the edge: comparing x with it decides as comparing the root does."""
+    if edge <= 0:
+        return -math.inf
+    x = edge * edge
+    while math.sqrt(x) < edge:
+        x = math.nextafter(x, math.inf)
+    while math.sqrt(below := math.nextafter(x, 0.0)) >= edge:
+        x = below
+    return x
+
+
+def sight_array(at: tuple[np.ndarray, np.ndarray], d2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """bisector() of all pairs of two sets, as the square of rp and pi, from their coordinates and squared distances (infinite: both, or neither, are numbers).
+
+    With A and B the squared distances of the ends from the origin pi is |B - A| / sqrt(2 A + 2 B - d2).
+    """
+    a, b = (sum(x * x for x in v) for v in at)
+    sight = np.add(2 * a[:, None], 2 * b[None])
+    np.subtract(sight, d2, out=sight)
+    np.sqrt(np.maximum(sight, 1e-300, out=sight), out=sight)
+    pi = np.subtract(b[None], a[:, None])
+    np.abs(pi, out=pi)
+    with np.errstate(invalid="ignore", over="ignore"):
+        np.divide(pi, sight, out=pi)
+        np.multiply(pi, pi, out=sight)
+        return np.subtract(d2, sight, out=sight), pi
+
+
 def ap_rescale(d: Column, mu: Column, alpha_par: float, alpha_perp: float) -> tuple[Column, Column]:
     """Separation and direction cosine after stretching along and across the line of sight."""
     along, across2 = F.lit(alpha_par) * d * mu, F.lit(alpha_perp**2) * d * d * (1 - mu * mu)

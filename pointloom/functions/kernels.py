@@ -60,7 +60,14 @@ KERNELS = {"top_hat": top_hat, "gauss": gauss}
 
 def _top_hat_array(r: np.ndarray, radius: float) -> np.ndarray:
     x = r / radius
-    return np.where(x <= 2, (1 - 0.75 * x + x * x * x / 16) * (3 / (4 * math.pi * radius**3)), 0.0)
+    k = x * x
+    k /= 16
+    k -= 0.75
+    k *= x
+    k += 1
+    k *= 3 / (4 * math.pi * radius**3)
+    k *= x <= 2
+    return k
 
 
 def _gauss_array(r: np.ndarray, radius: float) -> np.ndarray:

@@ -10,12 +10,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pointloom.functions.coords import ap_rescale, bin_of, legendre_array, soft_bin
+from pointloom.functions.coords import ap_rescale, bin_of, legendre_array, root_reaches, sight_array, soft_bin
 from pointloom.functions.kernels import ARRAY_KERNELS, KERNELS, SUPPORT, shell_volumes
 from pointloom.operators.cells import ratio
 from pointloom.operators.neighbours import cut
 from pointloom.operators.rangejoin import AXES, pairs, self_pairs
-from pointloom.operators.tiles import near_counts, pair_sums, triangle_counts
+from pointloom.operators.tiles import images, inside_places, near_counts, pair_sums, place_rows, place_sums, places, triangle_counts
 
 
 def _numbers(spark, n: int, name: str = "bin") -> DataFrame:
@@ -34,23 +34,19 @@ def binned_pairs(a: DataFrame, b: DataFrame | None, edges: Sequence[float], axes
     return found.where("d2 > 0").withColumn("bin", _d2_bin(edges)).where("bin is not null")
 
 
-def _in_bins(a: DataFrame, b: DataFrame | None, edges: Sequence[float], axes: Sequence[str], weight: str | None) -> DataFrame:
-    """near_counts() whose class k + 1 is bin k; class 0 is nearer than the bins, and holds coincident points."""
+def _in_bins(a: DataFrame, b: DataFrame | None, edges: Sequence[float], axes: Sequence[str], weight: str | None, box: float | None = None) -> DataFrame:
+    """near_counts() in space or in a periodic box, whose class k + 1 is bin k; class 0 is nearer than the bins, and holds coincident points."""
     tops = [max(e * e, np.nextafter(0.0, 1.0)) if i == 0 else e * e for i, e in enumerate(edges)]
-    return near_counts(a, a if b is None else b, tops, axes, weight=weight, same=b is None, keep=[weight] if weight else [])
+    others = a if b is None else b
+    return near_counts(a, others if box is None else images(others, edges[-1], box, axes), tops, axes, weight=weight, same=b is None, keep=[weight] if weight else [])
 
 
 def pair_histogram(a: DataFrame, b: DataFrame | None, edges: Sequence[float], axes: Sequence[str] = AXES, weight: str | None = "w", box: float | None = None) -> DataFrame:
     """(bin, npairs, wpairs) for every bin; of one catalog pairs are ordered (each counts twice), of two single."""
-    times = 2 if b is None else 1
-    if box is None:
-        h = _in_bins(a, b, edges, axes, weight)
-        bins = range(len(edges) - 1)
-        sums = h.agg(*[F.coalesce(F.sum(f"n{k + 1}"), F.lit(0)).alias(f"n{k}") for k in bins], *[F.coalesce(F.sum(F.col(weight) * F.col(f"w{k + 1}") if weight else F.col(f"n{k + 1}")), F.lit(0)).cast("double").alias(f"w{k}") for k in bins])
-        return sums.select(F.inline(F.array(*[F.struct(F.lit(k).alias("bin"), F.col(f"n{k}").alias("npairs"), F.col(f"w{k}").alias("wpairs")) for k in bins])))
-    product = F.col(f"a_{weight}") * F.col(f"b_{weight}") if weight else F.lit(1.0)
-    h = binned_pairs(a, b, edges, axes, weight, box).groupBy("bin").agg((F.count("*") * times).alias("npairs"), (F.sum(product) * times).alias("wpairs"))
-    return _numbers(a.sparkSession, len(edges) - 1).join(h, "bin", "left").select("bin", F.coalesce("npairs", F.lit(0)).cast("long").alias("npairs"), F.coalesce("wpairs", F.lit(0.0)).cast("double").alias("wpairs"))
+    h = _in_bins(a, b, edges, axes, weight, box)
+    bins = range(len(edges) - 1)
+    sums = h.agg(*[F.coalesce(F.sum(f"n{k + 1}"), F.lit(0)).alias(f"n{k}") for k in bins], *[F.coalesce(F.sum(F.col(weight) * F.col(f"w{k + 1}") if weight else F.col(f"n{k + 1}")), F.lit(0)).cast("double").alias(f"w{k}") for k in bins])
+    return sums.select(F.inline(F.array(*[F.struct(F.lit(k).alias("bin"), F.col(f"n{k}").alias("npairs"), F.col(f"w{k}").alias("wpairs")) for k in bins])))
 
 
 def analytic_rr(n: int, edges: Sequence[float], box: float) -> list[float]:
@@ -81,14 +77,8 @@ def xi_from_counts(data: DataFrame, randoms: DataFrame, dd: DataFrame, dr: DataF
 
 def per_point_counts(a: DataFrame, b: DataFrame | None, edges: Sequence[float], axes: Sequence[str] = AXES, box: float | None = None) -> DataFrame:
     """(id, bin, n): partners of each point of ``a`` in each bin that has some; of one catalog both ends count."""
-    if box is None:
-        rows = F.inline(F.array(*[F.struct(F.lit(k).alias("bin"), F.col(f"n{k + 1}").alias("n")) for k in range(len(edges) - 1)]))
-        return _in_bins(a, b, edges, axes, None).select("id", rows).where("n > 0")
-    p = binned_pairs(a, b, edges, axes, None, box)
-    ends = p.select(F.col("a_id").alias("id"), "bin")
-    if b is None:
-        ends = ends.unionByName(p.select(F.col("b_id").alias("id"), "bin"))
-    return ends.groupBy("id", "bin").agg(F.count("*").alias("n"))
+    rows = F.inline(F.array(*[F.struct(F.lit(k).alias("bin"), F.col(f"n{k + 1}").alias("n")) for k in range(len(edges) - 1)]))
+    return _in_bins(a, b, edges, axes, None, box).select("id", rows).where("n > 0")
 
 
 def lisa_weights(data: DataFrame, randoms: DataFrame, edges: Sequence[float], axes: Sequence[str] = AXES, mode: str = "rr_xi", floor: float = 0.0, box: float | None = None) -> DataFrame:
@@ -195,45 +185,60 @@ def triangles(data: DataFrame, target: float, width: float, axes: Sequence[str]
 
 
 def rp_pi_counts(a: DataFrame, b: DataFrame | None, rp_edges: Sequence[float], pi_edges: Sequence[float], axes: Sequence[str] = AXES, weight: str | None = "w", z: str | None = None, z_edges: Sequence[float] | None = None) -> DataFrame:
-    """(rp_bin, pi_bin[, z_bin], npairs, wpairs): unordered pairs by separation across and along the line of sight, occupied bins; null weights count as 0."""
+    """(rp_bin, pi_bin[, z_bin], npairs, wpairs): unordered pairs by separation across and along the line of sight, occupied bins; null weights count as 0.
+
+    Points at one place (and of one ``z``) are one point, and each pair of places comes once.
+    """
+    held = [None if c is None else cut(_sights(c, axes, weight, z)) for c in (a, b)]
+    return _rp_pi(*held, rp_edges, pi_edges, axes, weight, z, z_edges)
+
+
+def _sights(df: DataFrame, axes: Sequence[str], weight: str | None, z: str | None) -> DataFrame:
+    """The places of a catalog, those of one redshift apart, for _rp_pi()."""
+    return places(df.withColumn("_z", F.col(z).cast("double")) if z else df, axes, weight, ["_z"] if z else [])
+
+
+def _rp_pi(a: DataFrame, b: DataFrame | None, rp_edges: Sequence[float], pi_edges: Sequence[float], axes: Sequence[str], weight: str | None, z: str | None = None, z_edges: Sequence[float] | None = None) -> DataFrame:
+    """rp_pi_counts() of _sights()."""
     edges = [list(map(float, e)) for e in (rp_edges, pi_edges, *([z_edges] if z else []))]
-    shape = [len(e) - 1 for e in edges]
+    reached = [[root_reaches(e) for e in edges[0]], *edges[1:]]
+    shape = [len(e) + 1 for e in edges]  # and what lies below and beyond
     by = ["rp_bin", "pi_bin", "z_bin"][: len(shape)]
-    kept = [x for x in (weight, z) if x]
 
     def work(mine, theirs):
-        n, sums = np.zeros(shape, np.int64), np.zeros(shape)
-
-        def add(block, chunk, at, gaps, d2):
-            middle = [(x[:, None] + y[None]) / 2 for x, y in zip(*at, strict=True)]
-            norm = np.sqrt(sum(m * m for m in middle))
-            dot = np.abs(sum(g * m for g, m in zip(gaps, middle, strict=True)))
-            pi = np.divide(dot, norm, out=np.zeros_like(dot), where=norm > 0)
-            near = d2 < np.inf
-            d2[~near] = 0.0
-            rp = np.sqrt(np.maximum(d2 - pi * pi, 0.0))
-            values = [rp, pi, *([(mine[z][block][:, None] + theirs[z][chunk][None]) / 2] if z else [])]
-            at_ = np.zeros(rp.shape, np.intp)
-            for v, e in zip(values, edges, strict=True):
-                k = sum((v >= t).astype(np.int8) for t in e) - 1
-                near &= (k >= 0) & (v < e[-1])
-                at_ *= len(e) - 1
-                at_ += k
-            found = at_[near]
-            n.ravel()[:] += np.bincount(found, minlength=n.size)
+        size = math.prod(shape)
+        n, sums = np.zeros(size), np.zeros(size)
+
+        def add(block, chunk, at, d2):
+            across, pi = sight_array(at, d2)
+            values = [across, pi, *([(mine["_z"][block][:, None] + theirs["_z"][chunk][None]) / 2] if z else [])]
+            code = np.zeros(d2.shape, np.intp)
+            for v, e, k in zip(values, reached, shape, strict=True):
+                found = np.zeros(d2.shape, np.int8 if k < 128 else np.int16)
+                for t in e:
+                    np.add(found, (v >= t).view(np.int8), out=found)
+                code *= k
+                code += found
+            count = lambda w: np.bincount(code.ravel(), np.multiply(mine[w][block][:, None], theirs[w][chunk][None]).ravel(), size)
+            n[:] += count("_n")
             if weight:
-                sums.ravel()[:] += np.bincount(found, (mine[weight][block][:, None] * theirs[weight][chunk][None])[near], n.size)
+                sums[:] += count("_w")
 
         def done():
-            at_ = np.nonzero(n)
-            return {**{k: v.astype(np.int32) for k, v in zip(by, at_, strict=True)}, "npairs": n[at_], "wpairs": (sums if weight else n)[at_].astype(float)}
+            inner = tuple(slice(1, -1) for _ in shape)
+            held, weights = n.reshape(shape)[inner], (sums if weight else n).reshape(shape)[inner]
+            at_ = np.nonzero(held)
+            return {**{k: v.astype(np.int32) for k, v in zip(by, at_, strict=True)}, "npairs": held[at_], "wpairs": weights[at_]}
 
         return add, done
 
-    made = lambda df: df.select("id", *axes, *([F.coalesce(F.col(weight).cast("double"), F.lit(0.0)).alias(weight)] if weight else []), *([F.col(z).cast("double").alias(z)] if z else []))
-    times = 2 if b is None else 1  # of one catalog each pair comes from both ends
-    found = pair_sums(made(a), made(a if b is None else b), math.hypot(rp_edges[-1], pi_edges[-1]), work, ", ".join(f"{k} int" for k in by) + ", npairs long, wpairs double", axes, kept, kept, same=b is None)
-    return found.groupBy(*by).agg((F.sum("npairs") / times).cast("long").alias("npairs"), (F.sum("wpairs") / times).alias("wpairs"))
+    found = place_sums(a, b, math.hypot(rp_edges[-1], pi_edges[-1]), work, ", ".join(f"{k} int" for k in by) + ", npairs double, wpairs double", axes, ["_z"] if z else [])
+    if b is None and all(e[0] <= 0 < e[-1] for e in edges[:2]):  # pairs of one place
+        rows, pairs_, products = inside_places(a)
+        at = [F.lit(sum(t <= 0 for t in e) - 1).alias(k) for k, e in zip(by, edges[:2])]  # noqa: B905
+        inside = rows.select(*at, *([bin_of(F.col("_z"), edges[2]).cast("int").alias("z_bin")] if z else []), pairs_.alias("npairs"), (products if weight else pairs_).alias("wpairs"))
+        found = found.unionByName(inside.where("z_bin is not null") if z else inside)
+    return found.groupBy(*by).agg(F.round(F.sum("npairs")).cast("long").alias("npairs"), F.sum("wpairs").alias("wpairs"))
 
 
 def _ls_grid(data: DataFrame, randoms: DataFrame, counts: Sequence[DataFrame], by: Sequence[str], every: DataFrame) -> DataFrame:
@@ -250,7 +255,8 @@ def _ls_grid(data: DataFrame, randoms: DataFrame, counts: Sequence[DataFrame], b
 
 def xi_rp_pi(data: DataFrame, randoms: DataFrame, rp_edges: Sequence[float], pi_edges: Sequence[float], axes: Sequence[str] = AXES, weight: str | None = None) -> DataFrame:
     """(rp_bin, pi_bin, dd, dr, rr, xi) for every bin."""
-    counts = [rp_pi_counts(x, y, rp_edges, pi_edges, axes, weight) for x, y in ((data, None), (data, randoms), (randoms, None))]
+    d, r = (cut(_sights(df, axes, weight, None)) for df in (data, randoms))
+    counts = [_rp_pi(x, y, rp_edges, pi_edges, axes, weight) for x, y in ((d, None), (d, r), (r, None))]
     spark = data.sparkSession
     every = _numbers(spark, len(rp_edges) - 1, "rp_bin").crossJoin(_numbers(spark, len(pi_edges) - 1, "pi_bin"))
     return _ls_grid(data, randoms, counts, ("rp_bin", "pi_bin"), every)
@@ -266,7 +272,8 @@ def wp_kernel_z(data: DataFrame, randoms: DataFrame, rp_edges: Sequence[float],
     """(rp_bin, wp): projected correlation of pairs weighted by a Gaussian in their mean redshift about z_eff."""
     centre = F.element_at(F.array(*[F.lit((a + b) / 2) for a, b in zip(z_edges[:-1], z_edges[1:], strict=True)]), F.col("z_bin") + 1)
     g = F.exp(-F.pow((centre - F.lit(z_eff)) / F.lit(sigma), 2) / 2)
-    counts = [rp_pi_counts(x, y, rp_edges, pi_edges, axes, None, z, z_edges).groupBy("rp_bin", "pi_bin").agg(F.sum(g * F.col("wpairs")).alias("wpairs")) for x, y in ((data, None), (data, randoms), (randoms, None))]
+    d, r = (cut(_sights(df, axes, None, z)) for df in (data, randoms))
+    counts = [_rp_pi(x, y, rp_edges, pi_edges, axes, None, z, z_edges).groupBy("rp_bin", "pi_bin").agg(F.sum(g * F.col("wpairs")).alias("wpairs")) for x, y in ((d, None), (d, r), (r, None))]
     spark = data.sparkSession
     every = _numbers(spark, len(rp_edges) - 1, "rp_bin").crossJoin(_numbers(spark, len(pi_edges) - 1, "pi_bin"))
     return wp(_ls_grid(data, randoms, counts, ("rp_bin", "pi_bin"), every), pi_edges)
@@ -274,21 +281,34 @@ def wp_kernel_z(data: DataFrame, randoms: DataFrame, rp_edges: Sequence[float],
 
 def kernel_sums(a: DataFrame, b: DataFrame | None, radius: float, kernel: str = "top_hat", axes: Sequence[str] = AXES) -> DataFrame:
     """(id, s): for each point of ``a`` the sum of a pair kernel over its partners; points without one are absent."""
-    reach = radius * SUPPORT[kernel]
+    rows, key = place_rows(a, axes, None, same=b is None)
+    held = cut(places(a, axes, same=b is None).withColumn("_place", F.monotonically_increasing_id()))
+    found = _kernel_sums(held, None if b is None else cut(places(b, axes, same=False)), radius, kernel, axes)
+    return rows.join(held.join(found, "_place").select(*[F.col(c).alias(f"_{c}") for c in key], "s"), reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in key])).groupBy("id").agg(F.sum("s").alias("s"))
+
+
+def _kernel_sums(a: DataFrame, b: DataFrame | None, radius: float, kernel: str, axes: Sequence[str]) -> DataFrame:
+    """(_place, s): kernel_sums() for one point of each of places()."""
     of = ARRAY_KERNELS[kernel]
+    top = (radius * SUPPORT[kernel]) ** 2
 
     def work(mine, theirs):
-        n, sums = np.zeros(len(mine["id"]), np.int64), np.zeros(len(mine["id"]))
+        n, sums = np.zeros(len(mine["id"])), np.zeros(len(mine["id"]))
 
-        def add(block, chunk, at, gaps, d2):
-            near = d2 < np.inf
-            n[block] += np.count_nonzero(near, axis=1)
-            sums[block] += np.where(near, of(np.sqrt(np.where(near, d2, 0.0)), radius), 0.0).sum(1)
+        def add(block, chunk, at, d2):
+            near = (d2 < top).astype(np.float64)
+            k = of(np.sqrt(np.minimum(d2, top, out=d2), out=d2), radius)
+            np.multiply(k, near, out=k)
+            n[block] += near @ theirs["_n"][chunk]
+            sums[block] += k @ theirs["_n"][chunk]
 
-        return add, lambda: {"id": mine["id"][n > 0], "s": sums[n > 0]}
+        return add, lambda: {"_place": mine["_place"][n > 0], "s": sums[n > 0]}
 
-    found = pair_sums(a, a if b is None else b, reach, work, f"id {dict(a.dtypes)['id']}, s double", axes, same=b is None)
-    return found.groupBy("id").agg(F.sum("s").alias("s"))
+    found = place_sums(a, b, radius * SUPPORT[kernel], work, "_place long, s double", axes, mine=["_place"], once=False)
+    if b is None:
+        at_0 = float(of(np.zeros(1), radius)[0])
+        found = found.unionByName(inside_places(a)[0].select("_place", ((F.col("_n") - 1) * at_0).alias("s")))
+    return found.groupBy("_place").agg(F.sum("s").alias("s"))
 
 
 def density_weights(data: DataFrame, randoms: DataFrame, radius: float, kernel: str = "top_hat", axes: Sequence[str] = AXES) -> DataFrame:
@@ -300,7 +320,7 @@ def density_weights(data: DataFrame, randoms: DataFrame, radius: float, kernel:
 
 def neighbour_density(data: DataFrame, others: DataFrame, radius: float, axes: Sequence[str] = AXES, box: float | None = None) -> DataFrame:
     """(id, n, density): points of ``others`` within a radius of each point, the point's own id aside; 0 where there is none."""
-    p = pairs(data, others, radius, axes, ("id",), box).where("a_id <> b_id").groupBy(F.col("a_id").alias("id")).agg(F.count("*").alias("n"))
+    p = near_counts(data, others if box is None else images(others, radius, box, axes), [radius * radius], axes, same=True).groupBy("id").agg(F.sum("n0").alias("n"))
     volume = 4 / 3 * math.pi * radius**3
     return data.select("id").join(p, "id", "left").select("id", F.coalesce("n", F.lit(0)).alias("n")).withColumn("density", F.col("n") / F.lit(volume))
 

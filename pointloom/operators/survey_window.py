@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pointloom.functions.coords import bin_of, chord, unit_vector
+from pointloom.functions.coords import bin_of, chord, root_reaches, unit_vector
 from pointloom.functions.cosmology import Cosmology
 from pointloom.functions.healpix import centre, pixel
 from pointloom.operators.cells import cells, ratio, xi_of_cells
@@ -111,25 +111,13 @@ def wp_analytic(data: DataFrame, rr: DataFrame, n_r: float, rp_edges: Sequence[f
     return j.groupBy("rp_bin", *(["region"] if region else [])).agg((2 * F.sum(xi * widths)).alias("wp"))
 
 
-def _root_reaches(edge: float) -> float:
-    """The least x whose rounded square root reaches the edge: comparing x with it decides as comparing the root does."""
-    if edge <= 0:
-        return -math.inf
-    x = edge * edge
-    while math.sqrt(x) < edge:
-        x = math.nextafter(x, math.inf)
-    while math.sqrt(below := math.nextafter(x, 0.0)) >= edge:
-        x = below
-    return x
-
-
 def _by_regions(data: DataFrame, rp_edges: Sequence[float], pi_edges: Sequence[float], axes: Sequence[str], weight: str | None, region: str) -> DataFrame:
     """(rp_bin, pi_bin, one, two, dd): data pairs by the regions of both ends, either way round; null weights count as 0.
 
     Points of one region at one place are one point with their weights' sum. With A and B the
     squared distances of the ends from the observer, pi is |B - A| / sqrt(2 A + 2 B - d2).
     """
-    rp_at, pi_at, n_pi = [_root_reaches(float(e)) for e in rp_edges], list(map(float, pi_edges)), len(pi_edges) - 1
+    rp_at, pi_at, n_pi = [root_reaches(float(e)) for e in rp_edges], list(map(float, pi_edges)), len(pi_edges) - 1
     code = F.xxhash64(region)
     w = F.coalesce(F.col(weight).cast("double"), F.lit(0.0)) if weight else F.lit(1.0)
     rows = data.select("id", *[F.col(x).cast("double").alias(x) for x in axes], code.alias("_region"), w.alias("_w"), (F.count("*").over(Window.partitionBy("id")) > 1).alias("_again"))

@@ -15,7 +15,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pointloom.operators.rangejoin import AXES, DENSE
@@ -107,10 +107,13 @@ def _classes(d2: np.ndarray, tops: Sequence[float], closed: bool) -> np.ndarray:
     return sum(((d2 > t) if closed else (d2 >= t)).view(np.int8) for t in tops)
 
 
-def _walk(at: np.ndarray, there: np.ndarray, tops: Sequence[float], closed: bool, settle: Callable | None, meet: Callable, shared: np.ndarray | None, size: int) -> None:
-    """Calls meet(block, chunk, gaps, d2) for what must be paired and settle(block, others, classes) for what lies in one class for all of a block."""
+def _walk(at: np.ndarray, there: np.ndarray, tops: Sequence[float], closed: bool, settle: Callable | None, meet: Callable, shared: np.ndarray | None, size: int, bare: bool = False) -> None:
+    """Calls meet(block, chunk, gaps, d2) for what must be paired and settle(block, others, classes) for what lies in one class for all of a block.
+
+    With ``bare`` it is meet(block, chunk), and no distance is worked out.
+    """
     beyond = len(tops)
-    room = np.empty((len(at) + 2, BLOCK * size))  # written over for each chunk: fresh memory costs more than the sums
+    room = None if bare else np.empty((len(at) + 2, BLOCK * size))  # written over for each chunk: fresh memory costs more than the sums
 
     def visit(mine: np.ndarray, others: np.ndarray) -> None:
         near, far = np.zeros(len(others)), np.zeros(len(others))
@@ -141,6 +144,9 @@ def _walk(at: np.ndarray, there: np.ndarray, tops: Sequence[float], closed: bool
             return
         for start in range(0, len(others), size):
             chunk = others[start : start + size]
+            if bare:
+                meet(mine, chunk)
+                continue
             n, m = len(mine), len(chunk)
             gaps = [np.subtract(y[chunk][None], x[mine][:, None], out=g[: n * m].reshape(n, m)) for x, y, g in zip(at, there, room)]  # noqa: B905
             d2, square = (v[: n * m].reshape(n, m) for v in room[len(gaps) :])
@@ -200,6 +206,95 @@ def pair_sums(a: DataFrame, b: DataFrame, radius: float, work: Work, schema: str
     return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(run, schema)
 
 
+def images(df: DataFrame, radius: float, box: float, axes: Sequence[str] = AXES) -> DataFrame:
+    """The points of a periodic box, whose axes lie in [0, box), with their images within the radius of it: pairs with them are those of shortest images."""
+    if 2 * radius > box:
+        raise ValueError("the radius is larger than half the box")
+    reach = radius * (1 + 1e-9)
+    for a in axes:
+        x = F.col(a).cast("double")
+        seen = F.array(x, F.when(x <= F.lit(reach), x + F.lit(box)), F.when(x >= F.lit(box - reach), x - F.lit(box)))
+        df = df.select(*[c for c in df.columns if c != a], F.explode(F.filter(seen, lambda v: v.isNotNull())).alias(a))
+    return df
+
+
+def place_rows(df: DataFrame, axes: Sequence[str], weight: str | None = None, by: Sequence[str] = (), same: bool = True) -> tuple[DataFrame, list[str]]:
+    """The points with finite coordinates as (id, axes, by.., _w, _again, ..) and the columns that tell a place.
+
+    A place is one point of the axes and of ``by``. With ``same``, for catalogs that meet themselves, an id that
+    comes again meets all but itself and a point without an id nothing: their places are their own.
+    """
+    w = F.coalesce(F.col(weight).cast("double"), F.lit(0.0)) if weight else F.lit(1.0)
+    x = [F.col(a).cast("double").alias(a) for a in axes]
+    rows = df.where(" and ".join(f"abs(double(`{a}`)) < double('inf')" for a in axes))
+    again = (F.count("*").over(Window.partitionBy("id")) > 1) if same else F.lit(False)
+    rows = rows.select("id", *x, *by, w.alias("_w"), again.alias("_again"))
+    rows = rows.select("*", F.when(F.col("_again"), F.col("id")).alias("_apart"), (F.col("id").isNull() & F.lit(same)).alias("_nameless"))
+    return rows, [*axes, *by, "_apart", "_nameless"]
+
+
+def places(df: DataFrame, axes: Sequence[str], weight: str | None = None, by: Sequence[str] = (), same: bool = True) -> DataFrame:
+    """(axes, by.., id, _n, _w, _w2, _again, ..): the places of place_rows() with one of their ids, their number of points and the sums of weights and of their squares."""
+    rows, key = place_rows(df, axes, weight, by, same)
+    return rows.groupBy(*key).agg(F.min("id").alias("id"), F.count("*").cast("double").alias("_n"), F.sum("_w").alias("_w"), F.sum(F.col("_w") * F.col("_w")).alias("_w2"), F.max("_again").alias("_again"))
+
+
+def inside_places(held: DataFrame) -> tuple[DataFrame, Column, Column]:
+    """The places whose points meet each other at no distance, their number of pairs and the sum of these pairs' products of weights."""
+    return held.where("_n > 1 and not _again and not _nameless"), F.col("_n") * (F.col("_n") - 1) / 2, (F.col("_w") * F.col("_w") - F.col("_w2")) / 2
+
+
+def place_sums(a: DataFrame, b: DataFrame | None, radius: float, work: Work, schema: str, axes: Sequence[str] = AXES, keep: Sequence[str] = (), mine: Sequence[str] = (), once: bool = True) -> DataFrame:
+    """What ``work`` makes of the pairs of places() of two catalogs, or of one (b None) of different places, rows of ``schema``, to be added up.
+
+    ``work`` gets the columns id, _n, _w and ``keep`` of both sides, of the first also ``mine``, and gives add(block, chunk, at, d2), called with rows of
+    both, the coordinates of both and their squared distances, infinite for a pair that is none, and done(). Some pairs lie
+    beyond the radius. Of one catalog with ``once`` each pair comes once, or twice with half of the other's _n and _w;
+    without, once from each end. Squared distances of whole numbers are exact.
+    """
+    same, d = b is None, len(axes)
+    x, columns = [f"_x{i}" for i in range(d)], list(dict.fromkeys(["id", "_n", "_w", *keep]))
+    named = a.where("not _nameless") if same else a
+    left, right, by = _groups(_finite(named, axes, [*columns, *mine]), _finite(named if same else b, axes, columns), radius, d, same and once)
+
+    def run(one: pa.Table, other: pa.Table) -> pa.Table:
+        at, there = (np.stack(list(_columns(t, x).values())) for t in (one, other))
+        held, met = _columns(one, [*columns, *mine]), _columns(other, columns)
+        if same and once:
+            half = np.where(other.column("_own").to_numpy(), 0.5, 1.0)
+            met |= {k: met[k] * half for k in ("_n", "_w")}
+        add, done = work(held, met)
+        shared, part = _apart(held["id"], met["id"]) if same else (None, None)
+        whole = all((np.abs(v) <= WHOLE).all() and (v == np.rint(v)).all() for v in (at, there))
+        if whole:
+            rows = np.concatenate([-2 * at, np.ones((1, at.shape[1])), (at * at).sum(0)[None]]).T.copy()
+            others = np.concatenate([there, (there * there).sum(0)[None], np.ones((1, there.shape[1]))])
+        room, gap = np.empty(BLOCK * COUNTED), np.empty(BLOCK * COUNTED)
+
+        def meet(block, chunk):
+            n, m = len(block), len(chunk)
+            d2 = room[: n * m].reshape(n, m)
+            here, beside = at[:, block], there[:, chunk]
+            if whole:
+                np.matmul(rows[block], others[:, chunk], out=d2)
+            else:
+                g = gap[: n * m].reshape(n, m)
+                d2[:] = 0.0
+                for u, v in zip(here, beside, strict=True):
+                    np.subtract(v[None], u[:, None], out=g)
+                    np.multiply(g, g, out=g)
+                    np.add(d2, g, out=d2)
+            if same:
+                part(block, chunk, d2)
+            add(block, chunk, (here, beside), d2)
+
+        if one.num_rows and other.num_rows:
+            _walk(at, there, [radius * radius], True, None, meet, None, COUNTED, bare=True)
+        return pa.table(done())
+
+    return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(run, schema)
+
+
 def near_counts(a: DataFrame, b: DataFrame, tops: Sequence[float], axes: Sequence[str] = AXES, label: str | None = None, weight: str | None = None, closed: bool = False, same: bool = False, keep: Sequence[str] = ()) -> DataFrame:
     """(id, keep..[, label], n0, n1, ..[, w0, w1, ..]): for each point of ``a`` the points of ``b`` in each class of squared distance, and the sums of their weights.
 
