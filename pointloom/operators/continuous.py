@@ -9,9 +9,11 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pointloom.functions.coords import bisector
-from pointloom.functions.kernels import KERNELS
-from pointloom.operators.rangejoin import AXES, pairs, self_pairs
+from pointloom.functions.coords import root_reaches, sight_array
+from pointloom.functions.kernels import ARRAY_KERNELS, SUPPORT
+from pointloom.operators.neighbours import cut
+from pointloom.operators.rangejoin import AXES, self_pairs
+from pointloom.operators.tiles import inside_places, place_sums, places
 
 
 def chebyshev(x: Column, n: int) -> list[Column]:
@@ -61,15 +63,53 @@ def _sums(p: DataFrame, basis: list[Column], gram: bool) -> tuple[np.ndarray, np
     return s, np.array([[row[f"g{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(n)] for i in range(n)]) if gram else None
 
 
+def _moments(a: DataFrame, b: DataFrame | None, knots: Sequence[float], axes: Sequence[str]) -> list[np.ndarray]:
+    """Number, sum and sum of squares of (r - middle of the knots) over the pairs between any two neighbouring knots, from places()."""
+    squares, middle = [root_reaches(float(k)) for k in knots[:-1]] + [float(knots[-1]) ** 2], float(np.mean(knots))
+
+    def work(mine, theirs):
+        sums = np.zeros((len(knots) - 1, 3))
+
+        def add(block, chunk, at, d2):
+            m, w = mine["_n"][block], theirs["_n"][chunk]
+            reached = [d2 >= t for t in squares]
+            u = np.sqrt(np.minimum(d2, squares[-1], out=d2), out=d2)
+            u -= middle
+            for k in range(len(sums)):
+                f = (reached[k] & ~reached[k + 1]).astype(np.float64)
+                for power in range(3):
+                    sums[k, power] += m @ f @ w
+                    if power < 2:
+                        f *= u
+
+        return add, lambda: {"k": np.arange(len(sums), dtype=np.int32), **{f"m{i}": v for i, v in enumerate(sums.T)}}
+
+    found = place_sums(a, b, knots[-1], work, "k int, m0 double, m1 double, m2 double", axes)
+    if b is None and knots[0] <= 0:  # pairs of one place
+        rows, n, _ = inside_places(a)
+        found = found.unionByName(rows.select(F.lit(0).alias("k"), n.alias("m0"), (n * -middle).alias("m1"), (n * middle**2).alias("m2")))
+    rows = {r["k"]: [r["m0"], r["m1"], r["m2"]] for r in found.groupBy("k").agg(*[F.sum(f"m{i}").alias(f"m{i}") for i in range(3)]).collect()}  # one row a knot
+    return [np.array(rows.get(k, [0.0] * 3)) for k in range(len(knots) - 1)]
+
+
+def _tent_sums(moments: list[np.ndarray], knots: Sequence[float]) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of tents and of their products: between two knots one falls and the other rises by the same part."""
+    s, g, middle = np.zeros(len(knots)), np.zeros((len(knots),) * 2), float(np.mean(knots))
+    for k, (m0, m1, m2) in enumerate(moments):
+        width, low = knots[k + 1] - knots[k], knots[k] - middle
+        t, t2 = (m1 - low * m0) / width, (m2 - 2 * low * m1 + low * low * m0) / width**2
+        s[k : k + 2] += [m0 - t, t]
+        g[k : k + 2, k : k + 2] += [[m0 - 2 * t + t2, t - t2], [t - t2, t2]]
+    return s, g
+
+
 def xi_basis(data: DataFrame, randoms: DataFrame, knots: Sequence[float], axes: Sequence[str] = AXES) -> list[float]:
     """Coefficients of xi(r) on tents: solve (sum_RR f f^T) c = sum_DD f - 2 sum_DR f + sum_RR f, each over its norm."""
-    low2, top = knots[0] ** 2, knots[-1]
     nd, nr = data.count(), randoms.count()
+    d, r = (cut(places(df, axes)) for df in (data, randoms))
     found = []
-    for a, b, norm in ((data, None, nd * (nd - 1) / 2), (data, randoms, nd * nr), (randoms, None, nr * (nr - 1) / 2)):
-        p = (self_pairs(a, top, axes) if b is None else pairs(a, b, top, axes)).where(F.col("d2") >= low2)
-        s, g = _sums(p, tents(F.sqrt("d2"), knots), b is None and a is randoms)
-        found.append((s / max(norm, 1.0), None if g is None else g / max(norm, 1.0)))
+    for a, b, norm in ((d, None, nd * (nd - 1) / 2), (d, r, nd * nr), (r, None, nr * (nr - 1) / 2)):
+        found.append([x / max(norm, 1.0) for x in _tent_sums(_moments(a, b, knots, axes), knots)])
     (dd, _), (dr, _), (rr, gram) = found
     return [float(x) for x in np.linalg.lstsq(gram, dd - 2 * dr + rr, rcond=None)[0]]
 
@@ -104,27 +144,62 @@ def bands(x: Column, knots: Sequence[float], coefficients: np.ndarray) -> list[C
     return [F.when(inside, sum((F.lit(float(c)) * f for c, f in zip(row, t, strict=True)), F.lit(0.0))).otherwise(0.0) for row in coefficients]
 
 
+def _chebyshev_sums(a: DataFrame, b: DataFrame | None, rp_min: float, rp_max: float, pi_max: float, n: int, axes: Sequence[str]) -> np.ndarray:
+    """Sums of T_0 .. T_{n-1} of ln rp, which runs from -1 to 1, over the pairs of places()."""
+    low, high, scale = root_reaches(rp_min), root_reaches(rp_max), 1 / math.log(rp_max / rp_min)
+
+    def work(mine, theirs):
+        sums = np.zeros(n)
+
+        def add(block, chunk, at, d2):
+            across, pi = sight_array(at, d2)
+            inside = (across >= low) & (across < high) & (pi < pi_max)
+            x = np.clip(np.log(across[inside]) * scale - (2 * math.log(rp_min) * scale + 1), -1.0, 1.0)
+            w = np.multiply(mine["_n"][block][:, None], theirs["_n"][chunk][None])[inside]
+            before, now = w, w * x
+            for k in range(n):
+                sums[k] += before.sum()
+                before, now = now, 2 * x * now - before
+
+        return add, lambda: {"k": np.arange(n, dtype=np.int32), "s": sums}
+
+    found = place_sums(a, b, math.hypot(rp_max, pi_max), work, "k int, s double", axes)
+    rows = {r["k"]: r["s"] for r in found.groupBy("k").agg(F.sum("s").alias("s")).collect()}  # n rows
+    return np.array([rows.get(k, 0.0) for k in range(n)])
+
+
 def wp_chebyshev(data: DataFrame, randoms: DataFrame, rp_min: float, rp_max: float, pi_max: float, n: int = 4, axes: Sequence[str] = AXES) -> list[float]:
-    """Coefficients of wp on Chebyshev polynomials of ln rp: Landy-Szalay sums against the Gram matrix of random pairs, times 2 pi_max."""
-    reach = math.hypot(rp_max, pi_max)
+    """Coefficients of wp on Chebyshev polynomials of ln rp: Landy-Szalay sums against the Gram matrix of random pairs, times 2 pi_max.
+
+    Products of two polynomials are halves of sums of two others: T_i T_j = (T_{i+j} + T_{|i-j|}) / 2.
+    """
     nd, nr = data.count(), randoms.count()
+    d, r = (cut(places(df, axes)) for df in (data, randoms))
     found = []
-    for a, b, norm in ((data, None, nd * (nd - 1) / 2), (data, randoms, nd * nr), (randoms, None, nr * (nr - 1) / 2)):
-        p = self_pairs(a, reach, axes) if b is None else pairs(a, b, reach, axes)
-        rp, pi = bisector([F.col(f"a_{x}") for x in axes], [F.col(f"b_{x}") for x in axes])
-        p = p.select(rp.alias("rp"), pi.alias("pi")).where((F.col("rp") >= rp_min) & (F.col("rp") < rp_max) & (F.col("pi") < pi_max))
-        x = 2 * (F.ln("rp") - math.log(rp_min)) / math.log(rp_max / rp_min) - 1
-        s, g = _sums(p, chebyshev(x, n), b is None and a is randoms)
-        found.append((s / max(norm, 1.0), None if g is None else g / max(norm, 1.0)))
-    (dd, _), (dr, _), (rr, gram) = found
-    return [float(x) * 2 * pi_max for x in np.linalg.lstsq(gram, dd - 2 * dr + rr, rcond=None)[0]]
+    for a, b, norm in ((d, None, nd * (nd - 1) / 2), (d, r, nd * nr), (r, None, nr * (nr - 1) / 2)):
+        found.append(_chebyshev_sums(a, b, rp_min, rp_max, pi_max, 2 * n - 1 if a is r else n, axes) / max(norm, 1.0))
+    dd, dr, rr = found
+    gram = np.array([[(rr[i + j] + rr[abs(i - j)]) / 2 for j in range(n)] for i in range(n)])
+    return [float(x) * 2 * pi_max for x in np.linalg.lstsq(gram, dd - 2 * dr + rr[:n], rcond=None)[0]]
 
 
 def sigma2_data_only(data: DataFrame, radius: float, expected: float, kernel: str = "top_hat", axes: Sequence[str] = AXES, weight: str = "w") -> DataFrame:
     """(radius, sigma2): (sum_{i<j} w_i w_j K / W - expected) / expected with W = ((sum w)^2 - sum w^2) / 2; ``expected`` is the kernel's mean over random pairs."""
-    from pointloom.functions.kernels import SUPPORT
+    of, top = ARRAY_KERNELS[kernel], (radius * SUPPORT[kernel]) ** 2
+
+    def work(mine, theirs):
+        sums = np.zeros(1)
+
+        def add(block, chunk, at, d2):
+            near = d2 < top
+            k = of(np.sqrt(np.minimum(d2, top, out=d2), out=d2), radius)
+            sums[0] += mine["_w"][block] @ np.multiply(k, near, out=k) @ theirs["_w"][chunk]
+
+        return add, lambda: {"s": sums}
 
-    p = self_pairs(data, radius * SUPPORT[kernel], axes, ("id", weight))
-    s = p.agg(F.coalesce(F.sum(F.col(f"a_{weight}") * F.col(f"b_{weight}") * KERNELS[kernel](F.sqrt("d2"), radius)), F.lit(0.0)).alias("s"))
+    held = cut(places(data, axes, weight))
+    rows, _, products = inside_places(held)
+    found = place_sums(held, None, radius * SUPPORT[kernel], work, "s double", axes).unionByName(rows.select((products * float(of(np.zeros(1), radius)[0])).alias("s")))
+    s = found.agg(F.coalesce(F.sum("s"), F.lit(0.0)).alias("s"))
     t = data.agg(((F.sum(weight) * F.sum(weight) - F.sum(F.col(weight) * F.col(weight))) / 2).alias("pairs"))
     return s.crossJoin(t).select(F.lit(float(radius)).alias("radius"), ((F.col("s") / F.col("pairs") - expected) / expected).alias("sigma2"))
