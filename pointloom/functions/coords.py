@@ -78,21 +78,49 @@ def root_reaches(edge: float) -> float:
     return x
 
 
-def sight_array(at: tuple[np.ndarray, np.ndarray], d2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """bisector() of all pairs of two sets, as the square of rp and pi, from their coordinates and squared distances (infinite: both, or neither, are numbers).
+class Sights:
+    """bisector() of all pairs of two sets (d, n) of points, as the square of rp and pi, in memory that is written over.
 
     With A and B the squared distances of the ends from the origin pi is |B - A| / sqrt(2 A + 2 B - d2).
     """
-    a, b = (sum(x * x for x in v) for v in at)
-    sight = np.add(2 * a[:, None], 2 * b[None])
-    np.subtract(sight, d2, out=sight)
-    np.sqrt(np.maximum(sight, 1e-300, out=sight), out=sight)
-    pi = np.subtract(b[None], a[:, None])
-    np.abs(pi, out=pi)
-    with np.errstate(invalid="ignore", over="ignore"):
-        np.divide(pi, sight, out=pi)
-        np.multiply(pi, pi, out=sight)
-        return np.subtract(d2, sight, out=sight), pi
+
+    def __init__(self, here: np.ndarray, there: np.ndarray, size: int):
+        self.here, self.there = here, there
+        self.a, self.b = ((x * x).sum(0) for x in (here, there))
+        self.opposed = not all((x > 0).all() for x in (here, there))  # a middle could be the origin
+        self.room = np.empty((2, size))
+
+    def __call__(self, block: np.ndarray, chunk: np.ndarray, d2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where d2 is infinite they are out of every bin: infinite or no number."""
+        a, b = self.a[block][:, None], self.b[chunk][None]
+        sight, pi = (x[: d2.size].reshape(d2.shape) for x in self.room)
+        np.subtract(b, a, out=pi)
+        np.abs(pi, out=pi)
+        np.add(2 * a, 2 * b, out=sight)
+        np.subtract(sight, d2, out=sight)
+        with np.errstate(invalid="ignore", over="ignore"):
+            if self.opposed:
+                np.maximum(sight, 1e-300, out=sight)
+            np.divide(pi, np.sqrt(sight, out=sight), out=pi)
+            np.multiply(pi, pi, out=sight)
+            return np.subtract(d2, sight, out=sight), pi
+
+    def narrow(self, rp: float, pi: float):
+        """narrow(block, others): those of the others that can be within ``rp`` and ``pi`` of a point of the block."""
+
+        def of(block: np.ndarray, others: np.ndarray) -> np.ndarray:
+            a, b = self.a[block], self.b[others]
+            low, high = a.min(), a.max()
+            others = others[np.maximum(b - high, low - b) <= pi * (np.sqrt(b) + math.sqrt(high)) * (1 + 1e-9)]
+            b, near, middle = self.b[others], 0.0, 0.0
+            for x, y in zip(self.here, self.there, strict=True):
+                least, most, v = x[block].min(), x[block].max(), y[others]
+                near = near + np.maximum(np.maximum(least - v, v - most), 0.0) ** 2
+                middle = middle + np.maximum(np.maximum(least + v, -most - v), 0.0) ** 2
+            along = np.minimum(np.maximum(high - b, b - low) / np.sqrt(np.maximum(middle, 1e-300)), pi)  # pi is no larger, or the pair is none
+            return others[near - along * along <= rp * rp * (1 + 1e-9)]
+
+        return of
 
 
 def ap_rescale(d: Column, mu: Column, alpha_par: float, alpha_perp: float) -> tuple[Column, Column]:

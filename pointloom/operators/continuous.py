@@ -9,11 +9,11 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pointloom.functions.coords import root_reaches, sight_array
+from pointloom.functions.coords import Sights, root_reaches
 from pointloom.functions.kernels import ARRAY_KERNELS, SUPPORT
 from pointloom.operators.neighbours import cut
 from pointloom.operators.rangejoin import AXES, self_pairs
-from pointloom.operators.tiles import inside_places, place_sums, places
+from pointloom.operators.tiles import BLOCK, PAIRED, inside_places, place_sums, places
 
 
 def chebyshev(x: Column, n: int) -> list[Column]:
@@ -149,10 +149,10 @@ def _chebyshev_sums(a: DataFrame, b: DataFrame | None, rp_min: float, rp_max: fl
     low, high, scale = root_reaches(rp_min), root_reaches(rp_max), 1 / math.log(rp_max / rp_min)
 
     def work(mine, theirs):
-        sums = np.zeros(n)
+        sums, sights = np.zeros(n), Sights(mine["_at"], theirs["_at"], BLOCK * PAIRED)
 
         def add(block, chunk, at, d2):
-            across, pi = sight_array(at, d2)
+            across, pi = sights(block, chunk, d2)
             inside = (across >= low) & (across < high) & (pi < pi_max)
             x = np.clip(np.log(across[inside]) * scale - (2 * math.log(rp_min) * scale + 1), -1.0, 1.0)
             w = np.multiply(mine["_n"][block][:, None], theirs["_n"][chunk][None])[inside]
@@ -161,7 +161,7 @@ def _chebyshev_sums(a: DataFrame, b: DataFrame | None, rp_min: float, rp_max: fl
                 sums[k] += before.sum()
                 before, now = now, 2 * x * now - before
 
-        return add, lambda: {"k": np.arange(n, dtype=np.int32), "s": sums}
+        return add, lambda: {"k": np.arange(n, dtype=np.int32), "s": sums}, sights.narrow(rp_max, pi_max)
 
     found = place_sums(a, b, math.hypot(rp_max, pi_max), work, "k int, s double", axes)
     rows = {r["k"]: r["s"] for r in found.groupBy("k").agg(F.sum("s").alias("s")).collect()}  # n rows

@@ -10,12 +10,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pointloom.functions.coords import ap_rescale, bin_of, legendre_array, root_reaches, sight_array, soft_bin
+from pointloom.functions.coords import Sights, ap_rescale, bin_of, legendre_array, root_reaches, soft_bin
 from pointloom.functions.kernels import ARRAY_KERNELS, KERNELS, SUPPORT, shell_volumes
 from pointloom.operators.cells import ratio
 from pointloom.operators.neighbours import cut
 from pointloom.operators.rangejoin import AXES, pairs, self_pairs
-from pointloom.operators.tiles import images, inside_places, near_counts, pair_sums, place_rows, place_sums, places, triangle_counts
+from pointloom.operators.tiles import BLOCK, PAIRED, images, inside_places, near_counts, pair_sums, place_rows, place_sums, places, triangle_counts
 
 
 def _numbers(spark, n: int, name: str = "bin") -> DataFrame:
@@ -209,17 +209,24 @@ def _rp_pi(a: DataFrame, b: DataFrame | None, rp_edges: Sequence[float], pi_edge
         size = math.prod(shape)
         n, sums = np.zeros(size), np.zeros(size)
 
+        kind = np.int8 if size < 128 else np.int16 if size < 32768 else np.int32
+        sights, product = Sights(mine["_at"], theirs["_at"], BLOCK * PAIRED), np.empty(BLOCK * PAIRED)
+
         def add(block, chunk, at, d2):
-            across, pi = sight_array(at, d2)
+            across, pi = sights(block, chunk, d2)
             values = [across, pi, *([(mine["_z"][block][:, None] + theirs["_z"][chunk][None]) / 2] if z else [])]
-            code = np.zeros(d2.shape, np.intp)
-            for v, e, k in zip(values, reached, shape, strict=True):
-                found = np.zeros(d2.shape, np.int8 if k < 128 else np.int16)
+            code = np.zeros(d2.shape, kind)
+            for i, (v, e, k) in enumerate(zip(values, reached, shape, strict=True)):
+                if i:
+                    code *= k
                 for t in e:
-                    np.add(found, (v >= t).view(np.int8), out=found)
-                code *= k
-                code += found
-            count = lambda w: np.bincount(code.ravel(), np.multiply(mine[w][block][:, None], theirs[w][chunk][None]).ravel(), size)
+                    np.add(code, (v >= t).view(np.int8), out=code)
+            code = code.ravel().astype(np.intp)
+
+            def count(w):
+                p = product[: d2.size].reshape(d2.shape)
+                return np.bincount(code, np.multiply(mine[w][block][:, None], theirs[w][chunk][None], out=p).ravel(), size)
+
             n[:] += count("_n")
             if weight:
                 sums[:] += count("_w")
@@ -230,7 +237,7 @@ def _rp_pi(a: DataFrame, b: DataFrame | None, rp_edges: Sequence[float], pi_edge
             at_ = np.nonzero(held)
             return {**{k: v.astype(np.int32) for k, v in zip(by, at_, strict=True)}, "npairs": held[at_], "wpairs": weights[at_]}
 
-        return add, done
+        return add, done, sights.narrow(edges[0][-1], edges[1][-1])
 
     found = place_sums(a, b, math.hypot(rp_edges[-1], pi_edges[-1]), work, ", ".join(f"{k} int" for k in by) + ", npairs double, wpairs double", axes, ["_z"] if z else [])
     if b is None and all(e[0] <= 0 < e[-1] for e in edges[:2]):  # pairs of one place

@@ -29,6 +29,8 @@ BLOCK = 64
 #: Others paired with a block at once: for counts, which write into the same memory each time, and for other sums,
 #: whose arrays stay small enough (98 kB) not to be mapped afresh each time.
 COUNTED, SUMMED = 512, 192
+#: The same for pairs of places, whose arrays are to stay in a core's cache.
+PAIRED = 256
 
 #: Mean number of asking points of a tile where triangles are counted, points of a piece of their neighbours, and the
 #: largest whole coordinate whose squared distances a matrix product gives exactly.
@@ -107,10 +109,10 @@ def _classes(d2: np.ndarray, tops: Sequence[float], closed: bool) -> np.ndarray:
     return sum(((d2 > t) if closed else (d2 >= t)).view(np.int8) for t in tops)
 
 
-def _walk(at: np.ndarray, there: np.ndarray, tops: Sequence[float], closed: bool, settle: Callable | None, meet: Callable, shared: np.ndarray | None, size: int, bare: bool = False) -> None:
+def _walk(at: np.ndarray, there: np.ndarray, tops: Sequence[float], closed: bool, settle: Callable | None, meet: Callable, shared: np.ndarray | None, size: int, bare: bool = False, narrow: Callable | None = None) -> None:
     """Calls meet(block, chunk, gaps, d2) for what must be paired and settle(block, others, classes) for what lies in one class for all of a block.
 
-    With ``bare`` it is meet(block, chunk), and no distance is worked out.
+    With ``bare`` it is meet(block, chunk), and no distance is worked out. narrow(block, others) gives those of the others that a block has to meet.
     """
     beyond = len(tops)
     room = None if bare else np.empty((len(at) + 2, BLOCK * size))  # written over for each chunk: fresh memory costs more than the sums
@@ -142,6 +144,7 @@ def _walk(at: np.ndarray, there: np.ndarray, tops: Sequence[float], closed: bool
             visit(mine[half[: len(mine) // 2]], others)
             visit(mine[half[len(mine) // 2 :]], others)
             return
+        others = narrow(mine, others) if narrow else others
         for start in range(0, len(others), size):
             chunk = others[start : start + size]
             if bare:
@@ -247,8 +250,9 @@ def inside_places(held: DataFrame) -> tuple[DataFrame, Column, Column]:
 def place_sums(a: DataFrame, b: DataFrame | None, radius: float, work: Work, schema: str, axes: Sequence[str] = AXES, keep: Sequence[str] = (), mine: Sequence[str] = (), once: bool = True) -> DataFrame:
     """What ``work`` makes of the pairs of places() of two catalogs, or of one (b None) of different places, rows of ``schema``, to be added up.
 
-    ``work`` gets the columns id, _n, _w and ``keep`` of both sides, of the first also ``mine``, and gives add(block, chunk, at, d2), called with rows of
-    both, the coordinates of both and their squared distances, infinite for a pair that is none, and done(). Some pairs lie
+    ``work`` gets the columns id, _n, _w and ``keep`` of both sides, of the first also ``mine``, and their coordinates _at, and
+    gives add(block, chunk, at, d2), called with rows of both, the coordinates of both and their squared distances, infinite
+    for a pair that is none, done() and, if it likes, narrow(block, others), the others that a block has to meet. Some pairs lie
     beyond the radius. Of one catalog with ``once`` each pair comes once, or twice with half of the other's _n and _w;
     without, once from each end. Squared distances of whole numbers are exact.
     """
@@ -263,13 +267,13 @@ def place_sums(a: DataFrame, b: DataFrame | None, radius: float, work: Work, sch
         if same and once:
             half = np.where(other.column("_own").to_numpy(), 0.5, 1.0)
             met |= {k: met[k] * half for k in ("_n", "_w")}
-        add, done = work(held, met)
+        add, done, *narrow = work(held | {"_at": at}, met | {"_at": there})
         shared, part = _apart(held["id"], met["id"]) if same else (None, None)
         whole = all((np.abs(v) <= WHOLE).all() and (v == np.rint(v)).all() for v in (at, there))
         if whole:
             rows = np.concatenate([-2 * at, np.ones((1, at.shape[1])), (at * at).sum(0)[None]]).T.copy()
             others = np.concatenate([there, (there * there).sum(0)[None], np.ones((1, there.shape[1]))])
-        room, gap = np.empty(BLOCK * COUNTED), np.empty(BLOCK * COUNTED)
+        room, gap = np.empty(BLOCK * PAIRED), np.empty(BLOCK * PAIRED)
 
         def meet(block, chunk):
             n, m = len(block), len(chunk)
@@ -289,7 +293,7 @@ def place_sums(a: DataFrame, b: DataFrame | None, radius: float, work: Work, sch
             add(block, chunk, (here, beside), d2)
 
         if one.num_rows and other.num_rows:
-            _walk(at, there, [radius * radius], True, None, meet, None, COUNTED, bare=True)
+            _walk(at, there, [radius * radius], True, None, meet, None, PAIRED, True, *narrow)
         return pa.table(done())
 
     return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(run, schema)
