@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pointloom.operators.neighbours import cut, k_nearest_lists
+from pointloom.operators.neighbours import cut, k_nearest_lists, table
 from pointloom.operators.rangejoin import AXES
 
 #: Most points of the highest generations that are conditioned on each other in full.
@@ -321,7 +321,7 @@ def precision(factors: DataFrame, kernel: Kernel, theta: Sequence[float], d: int
 
 
 def _blocks(points: DataFrame, entries: DataFrame, axes: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """(blocks, members): the square pieces of the matrix for the points of a cell and all that the matrix links them to.
+    """(blocks, members): the rows of the matrix for the points of a cell, and these points, ``own``, with all that the rows link them to.
 
     A cell with more than twice BLOCK points is dealt into parts by id.
     """
@@ -332,15 +332,14 @@ def _blocks(points: DataFrame, entries: DataFrame, axes: Sequence[str]) -> tuple
     placed = points.select("id", cell.alias("cell"))
     parts = placed.groupBy("cell").agg(F.ceil(F.count("*") / (2 * BLOCK)).alias("parts"))
     home = cut(placed.join(parts, "cell").select("id", F.concat_ws("/", "cell", F.pmod(F.xxhash64("id"), F.col("parts"))).alias("block")))
-    ring = entries.join(home.withColumnRenamed("id", "i"), "i").groupBy("block", F.col("j").alias("id")).agg(F.max(F.lit(False)).alias("own"))
-    members = cut(ring.unionByName(home.select("block", "id", F.lit(True).alias("own"))).groupBy("block", "id").agg(F.max("own").alias("own")))
-    inside = entries.join(members.select("block", F.col("id").alias("i")), "i").join(members.select(F.col("block").alias("_b"), F.col("id").alias("_j")), (F.col("block") == F.col("_b")) & (F.col("j") == F.col("_j")))
-    blocks = inside.groupBy("block").agg(F.collect_list(F.struct("i", "j", "q")).alias("entries"))  # of one block
-    return cut(blocks), members
+    rows = table(entries.join(home.withColumnRenamed("id", "i"), "i").groupBy("block").agg(F.collect_list(F.struct("i", "j", "q")).alias("entries")))  # of one block
+    ring = rows.select("block", F.explode(F.array_distinct("entries.j")).alias("id"), F.lit(False).alias("own"))
+    members = ring.unionByName(home.select("block", "id", F.lit(True).alias("own"))).groupBy("block", "id").agg(F.max("own").alias("own"))
+    return rows, table(members)
 
 
-def _in_blocks(blocks: DataFrame, members: DataFrame, state: DataFrame, column: str, solve: bool) -> DataFrame:
-    """(id, v): the matrix, with W added to its diagonal, times a column; or the sum of the blocks' own solutions."""
+def _in_blocks(blocks: DataFrame, members: DataFrame, state: DataFrame, column: str, times: bool) -> DataFrame:
+    """(id, q, y): the matrix, with W added to its diagonal, times a column, or with ``times`` false the column itself; and the solution of that by the square pieces of the blocks' own points."""
     sent = members.join(state.select("id", F.col(column).alias("v"), "w"), "id").groupBy("block").agg(F.collect_list(F.struct("id", "own", "v", "w")).alias("held"))  # of one block
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -349,20 +348,16 @@ def _in_blocks(blocks: DataFrame, members: DataFrame, state: DataFrame, column:
                 held, entries = batch.column("held").slice(k, 1).flatten(), batch.column("entries").slice(k, 1).flatten()
                 order = np.argsort(held.field("id").to_numpy())
                 ids, own = held.field("id").to_numpy()[order], held.field("own").to_numpy(zero_copy_only=False)[order]
-                v, w = held.field("v").to_numpy()[order], held.field("w").to_numpy()[order]
+                v, w = held.field("v").to_numpy()[order], held.field("w").to_numpy()[order][own]
                 i, j, q = np.searchsorted(ids, entries.field("i").to_numpy()), np.searchsorted(ids, entries.field("j").to_numpy()), entries.field("q").to_numpy()
-                if solve:
-                    dense = np.zeros((len(ids), len(ids)))
-                    dense[i, j] = q
-                    dense[np.arange(len(ids)), np.arange(len(ids))] += w
-                    out = np.linalg.solve(dense, v)
-                    kept = np.ones(len(ids), bool)
-                else:
-                    out = np.bincount(i, q * v[j], len(ids)) + w * v
-                    kept = own
-                yield pa.RecordBatch.from_arrays([pa.array(ids[kept]), pa.array(out[kept])], ["id", "v"])
+                out = np.bincount(i, q * v[j], len(ids))[own] + w * v[own] if times else v[own]
+                at, inside = np.cumsum(own) - 1, own[j]
+                dense = np.zeros((len(w), len(w)))
+                dense[at[i[inside]], at[j[inside]]] = q[inside]
+                dense[np.arange(len(w)), np.arange(len(w))] += w
+                yield pa.RecordBatch.from_arrays([pa.array(ids[own]), pa.array(out), pa.array(np.linalg.solve(dense, out))], ["id", "q", "y"])
 
-    return blocks.join(sent, "block").mapInArrow(run, "id long, v double").groupBy("id").agg(F.sum("v").alias("v"))
+    return blocks.join(sent, "block").mapInArrow(run, "id long, q double, y double")
 
 
 def map_field(points: DataFrame, factors: DataFrame, kernel: Kernel, theta: Sequence[float], mean: float, form: str = "density", axes: Sequence[str] = AXES, box: float | None = None, steps: int = 20, inner: int = 40, tolerance: float = 1e-9) -> tuple[DataFrame, list[float]]:
@@ -373,7 +368,7 @@ def map_field(points: DataFrame, factors: DataFrame, kernel: Kernel, theta: Sequ
     a constant. ``mean`` is the number expected in the volume. ``form`` 'density' has 1 + field
     as the density over the mean, 'log' its logarithm. ``factors`` are conditioning() of the
     same points. Newton steps, halved until the loss falls; the steps solve (Q + W) s = -g
-    by conjugate gradients, preconditioned by the solutions of overlapping blocks, with all
+    by conjugate gradients, preconditioned by the solutions of blocks side by side, with all
     vectors in a table. Losses leave out what does not depend on the field.
     """
     if form not in ("density", "log"):
@@ -400,14 +395,14 @@ def map_field(points: DataFrame, factors: DataFrame, kernel: Kernel, theta: Sequ
         open_ = 1 + x > 1e-10
         slope = F.when(counted, F.when(open_, -1 / (1 + x)).otherwise(0.0)).otherwise(F.when(1 + x > 0, share).otherwise(0.0))
         bend = F.when(counted & open_, 1 / ((1 + x) * (1 + x))).otherwise(0.0)
-    state = cut(finite.select("id", "counted", F.lit(0.0).alias("x"), F.lit(0.0).alias("qx")))
+    state = table(finite.select("id", "counted", F.lit(0.0).alias("x"), F.lit(0.0).alias("qx")))
     losses = [state.agg(F.sum(cost(x))).first()[0] or 0.0]
     if state.isEmpty():
         return state.select("id", x.alias("field"), x.alias("delta")), losses
     halves = [0.5**t for t in range(12)]
     for k in range(steps):
         now = state.select("*", bend.alias("w"), (-slope - F.col("qx")).alias("r"), F.lit(0.0).alias("s"))
-        now = cut(_descend(now, blocks, members, inner, max(1e-3, 0.1 ** (k + 1))))
+        now = table(_descend(now, blocks, members, inner, max(1e-3, 0.1 ** (k + 1))))
         qs = -slope - F.col("qx") - F.col("r") - F.col("w") * F.col("s")  # what the steps have left of -g tells Q s
         moved = now.select("id", "counted", "x", "qx", "s", qs.alias("qs"))
         tried = moved.agg(*[F.sum((x + h * F.col("s")) * (F.col("qx") + h * F.col("qs")) / 2 + cost(x + h * F.col("s"))).alias(f"h{t}") for t, h in enumerate(halves)]).first()
@@ -415,7 +410,7 @@ def map_field(points: DataFrame, factors: DataFrame, kernel: Kernel, theta: Sequ
         if best is None:
             break
         h, gain = halves[best], losses[-1] - tried[best]
-        state = cut(moved.select("id", "counted", (x + h * F.col("s")).alias("x"), (F.col("qx") + h * F.col("qs")).alias("qx")))
+        state = table(moved.select("id", "counted", (x + h * F.col("s")).alias("x"), (F.col("qx") + h * F.col("qs")).alias("qx")))
         losses.append(tried[best])
         if gain <= tolerance * max(1.0, abs(losses[-1])):
             break
@@ -426,15 +421,13 @@ def map_field(points: DataFrame, factors: DataFrame, kernel: Kernel, theta: Sequ
 def _descend(now: DataFrame, blocks: DataFrame, members: DataFrame, inner: int, share: float) -> DataFrame:
     """Conjugate gradients for (Q + W) s = r from s = 0, until what is left has ``share`` of its first size: the state with s, and what is left in r.
 
-    A round is one job: the matrix times p and the blocks' solution of that, then one row of sums.
+    A round is one job and each block is met once in it: the matrix times p and the block's solution of that, then one row of sums.
     """
-    def met(state, column, solve, name):
-        return state.join(_in_blocks(blocks, members, state, column, solve).withColumnRenamed("v", name), "id", "left").na.fill(0.0, [name])
-
-    now = cut(met(now, "r", True, "z")).withColumn("p", F.col("z"))
+    met = lambda state, column, times: state.join(_in_blocks(blocks, members, state, column, times), "id", "left").na.fill(0.0, ["q", "y"])
+    now = table(met(now, "r", False).drop("q").withColumnRenamed("y", "z").withColumn("p", F.col("z")))
     first = None
     for _ in range(inner):
-        both = cut(met(met(now, "p", False, "q"), "q", True, "y"))
+        both = table(met(now, "p", True))
         dot = lambda a, b: F.sum(F.col(a) * F.col(b))
         rz, pq, ry, zq, qy = both.agg(dot("r", "z"), dot("p", "q"), dot("r", "y"), dot("z", "q"), dot("q", "y")).first()
         first = first or rz

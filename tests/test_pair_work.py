@@ -147,3 +147,23 @@ def test_redshift_bins_of_one_place(spark):
     df = spark.createDataFrame(rows, "id long, c0 double, c1 double, c2 double, z double")
     c = pairs.rp_pi_counts(df, None, [0.0, 1.0], [0.0, 1.0, 3.0], weight=None, z="z", z_edges=[0.0, 0.8, 1.2])
     assert {(r.rp_bin, r.pi_bin, r.z_bin): r.npairs for r in c.collect()} == {(0, 0, 0): 1, (0, 0, 1): 2, (0, 1, 0): 2, (0, 1, 1): 1}
+
+
+def test_rounds_of_the_posterior_keep_their_size(spark):
+    """Each round joins what the last has joined: the estimate of the state's size stays that of a table. The blocks' solution is a block diagonal one."""
+    from pointloom.operators import gaussian
+
+    rng = np.random.default_rng(4)
+    rows = [(i, *map(float, rng.uniform(0, 100, 3)), bool(i % 2)) for i in range(40)]
+    points = spark.createDataFrame(rows, "id long, c0 double, c1 double, c2 double, counted boolean")
+    q = np.eye(40) * 4 + np.diag(np.full(39, -1.0), 1) + np.diag(np.full(39, -1.0), -1)
+    entries = spark.createDataFrame([(int(i), int(j), float(q[i, j])) for i, j in zip(*np.nonzero(q), strict=True)], "i long, j long, q double")
+    blocks, members = gaussian._blocks(points, entries, ["c0", "c1", "c2"])
+    b = rng.normal(size=40)
+    now = spark.createDataFrame([(i, bool(i % 2), 0.0, 0.0, 0.5, 0.0, float(v)) for i, v in enumerate(b)], "id long, counted boolean, x double, qx double, w double, s double, r double")
+    one = {r.id: (r.q, r.y) for r in gaussian._in_blocks(blocks, members, now, "r", True).collect()}
+    a = q + 0.5 * np.eye(40)
+    assert [one[i][0] for i in range(40)] == pytest.approx((a @ b).tolist()) and [one[i][1] for i in range(40)] == pytest.approx(b.tolist())  # all in one block
+    found = gaussian._descend(now, blocks, members, 12, 0.0)
+    assert len(str(found._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < 12
+    assert [r.s for r in found.orderBy("id").collect()] == pytest.approx(np.linalg.solve(a, b).tolist(), rel=1e-9)
